@@ -1,8 +1,10 @@
 """The corpus operators' queries, and their SQL where SQL can express them."""
 
-from . import bpe, decontaminate, simhash, urlfilter, warc
+from . import bpe, decontaminate, licenses, pii, simhash, urlfilter, warc
 
 QUERIES = {
+    "op1_pii_disclosure": pii.op1,
+    "op2_license_index": licenses.op2,
     "op4_byte_bpe": bpe.op4,
     "op6_simhash_neardup": simhash.op6,
     "op7_url_filter": urlfilter.op7,
