@@ -1,12 +1,13 @@
 """The corpus operators' queries, and their SQL where SQL can express them."""
 
-from . import bpe, decontaminate, embeddings, licenses, pii, quality, simhash, urlfilter, warc
+from . import bpe, decontaminate, embeddings, licenses, pii, quality, repeats, simhash, urlfilter, warc
 
 QUERIES = {
     "op1_pii_disclosure": pii.op1,
     "op2_license_index": licenses.op2,
     "op3_quality_cotraining": quality.op3,
     "op4_byte_bpe": bpe.op4,
+    "op5_suffix_repeats": repeats.op5,
     "op6_simhash_neardup": simhash.op6,
     "op7_url_filter": urlfilter.op7,
     "op8_warc_transactions": warc.op8,
