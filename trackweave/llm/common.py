@@ -39,6 +39,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def plain(df: DataFrame, known: tuple[str, ...]) -> tuple[DataFrame, list[str]]:
+    """df with columns beyond the known ones renamed to _own0, _own1, ...: names that clash with an operator's own or
+    hold dots do no harm. The second value is what to give toDF() to have the old names back."""
+    first = {c: df.columns.index(c) for c in known}
+    return df.toDF(*[c if first.get(c) == k else f"_own{k}" for k, c in enumerate(df.columns)]), list(df.columns)
+
+
 def ascii_lower(col):
     """Lower-cases A-Z alone; lower() would change other letters too."""
     return F.translate(col, UPPER, LOWER)

@@ -25,12 +25,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from .common import slices, table, utf8
+from .common import plain, slices, table, utf8
 
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 SAMPLE = 8
 STATE = "id long, text string, hit array<struct<start:int,end:int>>, items array<long>, n_words long"
+HIT = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
 
 class WaveletMatrix:
@@ -232,24 +234,32 @@ def cut_words(text: bytes, spans: list[tuple[int, int]]) -> bytes:
     return b"".join([*out, text[last:]])
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 16 << 20, cut: bool = False) -> DataFrame:
-    """(id, n_words, n_hit, hit, items), with cut=True also clean: the text without its hit spans (null stays null)."""
+def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 16 << 20, cut: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(id, n_words, n_hit, hit, items, *carry), with cut=True also clean: the text without its hit spans (null stays null)."""
     spark = docs.sparkSession
     empty = F.array().cast("array<struct<start:int,end:int>>"), F.array().cast("array<long>")
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), empty[0].alias("hit"), empty[1].alias("items"), F.lit(0).cast("long").alias("n_words"))
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), empty[0].alias("hit"), empty[1].alias("items"), F.lit(0).cast("long").alias("n_words"), *carry)
+    shape = StructType([*StructType.fromDDL(STATE).fields, *(docs.schema[c] for c in carry)])
     blocks = benchmark_blocks(benchmark, block_bytes)
     block = next(blocks)
     while block is not None:
         after = next(blocks, None)
-        rows = rows.mapInArrow(one_pass(spark.sparkContext.broadcast(block), window, after is None, cut), STATE)
+        rows = rows.mapInArrow(one_pass(spark.sparkContext.broadcast(block), window, after is None, cut), shape)
         block = after
     n_hit = F.aggregate("hit", F.lit(0).cast("long"), lambda n, s: n + (s["end"] - s["start"]))
-    return rows.select("id", "n_words", n_hit.alias("n_hit"), "hit", "items", *([F.col("text").alias("clean")] if cut else []))
+    return rows.select("id", "n_words", n_hit.alias("n_hit"), "hit", "items", *carry, *([F.col("text").alias("clean")] if cut else []))
 
 
-def one_pass(block, window: int, last: bool, cut: bool):
-    spans_type = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+def without_benchmark(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """docs without the words that any benchmark window covers; documents of which no word is left go. n_chars follows."""
+    rows, names = plain(docs, ("doc_id", "text", "n_chars"))
+    own = tuple(c for c in rows.columns if c != "text")
+    out = contamination(rows, benchmark, cut=True, carry=own).where("n_hit = 0 or n_hit < n_words")
+    n_chars = F.when(F.col("n_hit") > 0, F.length("clean").cast("long")).otherwise(F.col("n_chars")).alias("n_chars")
+    return out.select(*[{"text": F.col("clean").alias("text"), "n_chars": n_chars}.get(c, F.col(c)) for c in rows.columns]).toDF(*names)
+
 
+def one_pass(block, window: int, last: bool, cut: bool):
     def run(batches):
         phrases = Phrases(block.value, window)
         for whole in batches:
@@ -265,8 +275,8 @@ def one_pass(block, window: int, last: bool, cut: bool):
                     text = pa.array([c if s else o for c, s, o in zip(cleaned, spans, text.to_pylist(), strict=True)], pa.string())
                 elif last:
                     text = pa.nulls(len(texts), pa.string())
-                hit = pa.array([[{"start": a, "end": b} for a, b in s] for s in spans], spans_type)
-                yield pa.record_batch([batch.column(0), text, hit, pa.array(items, pa.list_(pa.int64())), pa.array(n_words, pa.int64())], ["id", "text", "hit", "items", "n_words"])
+                hit = pa.array([[{"start": a, "end": b} for a, b in s] for s in spans], HIT)
+                yield pa.record_batch([batch.column(0), text, hit, pa.array(items, pa.list_(pa.int64())), pa.array(n_words, pa.int64()), *batch.columns[5:]], ["id", "text", "hit", "items", "n_words", *batch.schema.names[5:]])
 
     return run
 

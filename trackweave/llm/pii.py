@@ -24,7 +24,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import plain, table
 
 # Plain forms: [A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+ ; [0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+) ;
 # [0-9]([\x20-]?[0-9])+ ; \+[0-9][\x20().0-9-]+[0-9]. A match starts at a run's start or where the last match ended.
@@ -169,6 +169,17 @@ def sanitised(text: Column, removed: Column) -> Column:
     return F.when(F.size(spans) > 0, F.aggregate(spans, F.struct(F.lit(0).alias("pos"), F.lit("").alias("out")), step, end)).otherwise(text)
 
 
+def without_pii(docs: DataFrame) -> DataFrame:
+    """docs with sanitised texts (null stays null) and n_chars to match."""
+    rows, names = plain(docs, ("doc_id", "text", "n_chars"))
+    own = tuple(c for c in rows.columns if c != "text")
+    out = scanned(rows, keep=(*own, "text"))
+    clean = F.when(F.col("_text").isNotNull(), sanitised(F.col("text"), F.col("removed")))
+    changed = out.withColumn("clean", clean).withColumn("differs", F.coalesce(F.col("clean") != F.col("_text"), F.lit(False)))
+    n_chars = F.when(F.col("differs"), F.length("clean").cast("long")).otherwise(F.col("_n_chars")).alias("n_chars")
+    return changed.select(*[{"text": F.col("clean").alias("text"), "n_chars": n_chars}.get(c, F.col(f"_{c}").alias(c)) for c in rows.columns]).toDF(*names)
+
+
 def listing(kind: str) -> Column:
     return F.transform(kind, lambda s: F.concat_ws(":", F.lit(kind), s["start"].cast("string"), s["end"].cast("string")))
 

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, StructField, StructType
 
-from .common import slices, table
+from .common import plain, slices, table
 
 DENSE = 14
 TEXT_DIM = 256 + DENSE
@@ -191,8 +191,8 @@ def scored(docs: DataFrame, model: CoTrained, threshold: float = 0.5) -> DataFra
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
     """The rows of docs that the classifier accepts, with docs's columns."""
-    plain = docs.toDF(*[c if c in ("doc_id", "text", "lang", "source", "n_chars") else f"_own{k}" for k, c in enumerate(docs.columns)])
-    return scored(plain, trained(docs, labels), threshold).where("quality_keep").select(*plain.columns).toDF(*docs.columns)
+    rows, names = plain(docs, ("doc_id", "text", "lang", "source", "n_chars"))
+    return scored(rows, trained(rows, labels), threshold).where("quality_keep").select(*rows.columns).toDF(*names)
 
 
 def op3(spark, sf_dir: str) -> DataFrame:

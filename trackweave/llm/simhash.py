@@ -21,9 +21,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_batch, connected_components, materialise, unite, utf8
+from .common import by_batch, connected_components, materialise, plain, slices, unite, utf8
 
 TILE = 1024
+CHANCE = 256
 
 
 def fingerprint(text: bytes, shingle: int = 3) -> int:
@@ -46,22 +47,23 @@ def fingerprint(text: bytes, shingle: int = 3) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
-    """(id, fp): one row per row of docs; fp holds the 64 bits as a signed long."""
+    """(id, th, fp): one row per row of docs; fp holds the 64 bits as a signed long, th is the text's hash."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        fp = np.array([fingerprint(t, shingle) for t in utf8(batch.column(1))], np.uint64).view(np.int64)
-        return pa.record_batch([batch.column(0), pa.array(fp)], ["id", "fp"])
+        fp = np.array([fingerprint(t, shingle) for t in utf8(batch.column(2))], np.uint64).view(np.int64)
+        return pa.record_batch([batch.column(0), batch.column(1), pa.array(fp)], ["id", "th", "fp"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(by_batch(run), "id long, fp long")
+    text = F.col(text_col).cast("string").alias("text")
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("th"), text)
+    return rows.mapInArrow(by_batch(run), "id long, th long, fp long")
 
 
 def block_masks(radius: int, n_classes: int) -> list[int]:
-    """One mask per choice of c out of radius + c blocks; c is the least that leaves about 32 chance members a bucket."""
+    """One mask per choice of c out of radius + c blocks; c is the least that leaves about CHANCE chance members a bucket."""
     for c in range(1, 8):
         blocks = radius + c
         edges = [round(64 * k / blocks) for k in range(blocks + 1)]
-        if n_classes / 2 ** (64 * c // blocks) <= 32 or c == 7:
+        if n_classes / 2 ** (64 * c // blocks) <= CHANCE or c == 7:
             break
     parts = [((1 << (y - x)) - 1) << x for x, y in zip(edges, edges[1:], strict=False)]
     return [sum(chosen) for chosen in combinations(parts, c)]
@@ -104,7 +106,7 @@ def bucket_links(radius: int):
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = 2) -> DataFrame:
-    """(id, fp, component): component is the smallest id reachable over links of at most `radius` differing bits."""
+    """(id, th, fp, component): component is the smallest id reachable over links of at most `radius` differing bits."""
     spark = docs.sparkSession
     fps = materialise(fingerprints(docs, id_col, text_col, shingle), "simhash-fp")
     classes = materialise(fps.where("id is not null").groupBy("fp").agg(F.min("id").alias("rep")), "simhash-class")
@@ -115,14 +117,43 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     edges = rows.groupBy("shard").applyInArrow(bucket_links(radius), "u long, v long")
     roots = connected_components(edges, "simhash-cc")
     found = classes.join(roots, F.col("rep") == F.col("node"), "left").select("fp", F.coalesce("root", "rep").alias("component"))
-    return fps.join(found.hint("merge"), "fp", "left").select("id", "fp", "component")
+    return fps.join(found.hint("merge"), "fp", "left").select("id", "th", "fp", "component")
 
 
-def keep_one(docs: DataFrame, shingle: int = 3, radius: int = 2) -> DataFrame:
-    """The rows of docs whose id is their component's smallest; rows with a null id are kept, of rows repeating a kept id all are."""
-    found = near_duplicates(docs, shingle=shingle, radius=radius)
-    go = found.where("id <> component").select(F.col("id").alias("doc_id")).distinct()
-    return docs.join(go, "doc_id", "left_anti").select(*docs.columns)
+def shingle_set(text: bytes, shingle: int) -> set:
+    words = text.lower().split()
+    return {tuple(words[k : k + shingle]) for k in range(max(1, len(words) - shingle + 1))}
+
+
+def alike(shingle: int, least: float):
+    """Of rows (id, th, text, other) the id and th of those whose Jaccard similarity of word shingles is at least `least`."""
+
+    def run(batches):
+        for whole in batches:
+            for batch in slices(whole):
+                same = []
+                for a, b in zip(utf8(batch.column(2)), utf8(batch.column(3)), strict=True):
+                    x, y = (shingle_set(t, shingle) for t in (a, b))
+                    same.append(a == b or len(x & y) >= least * len(x | y))
+                mask = pa.array(same, pa.bool_())
+                yield pa.record_batch([batch.column(0).filter(mask), batch.column(1).filter(mask)], ["id", "th"])
+
+    return run
+
+
+def keep_one(docs: DataFrame, shingle: int = 5, radius: int = 10, least: float = 0.8) -> DataFrame:
+    """docs without the near copies of documents that stay. Of each linked group the smallest id stays, and those whose
+    shingles are at least `least` similar to it go; members less similar than that stay too. Rows with a null id stay."""
+    rows, names = plain(docs, ("doc_id", "text"))
+    groups = materialise(near_duplicates(rows, shingle=shingle, radius=radius), "simhash-groups").select("id", "th", "component").distinct()
+    members, text = groups.where("id <> component"), F.col("text").cast("string").alias("text")
+    texts = rows.select(F.col("doc_id").cast("long").alias("id"), F.xxhash64(text).alias("th"), text)
+    heads = groups.where("id = component").join(members.select("component").distinct().hint("merge"), "component", "left_semi")
+    heads = texts.join(heads.hint("merge"), ["id", "th"]).groupBy("component").agg(F.min("text").alias("other"))
+    pairs = texts.join(members.hint("merge"), ["id", "th"]).join(heads.hint("merge"), "component").select("id", "th", "text", "other")
+    go = materialise(pairs.mapInArrow(alike(shingle, least), "id long, th long"), "simhash-go").distinct()
+    gone = (F.col("doc_id").cast("long") == F.col("_go.id")) & (F.xxhash64(text) == F.col("_go.th"))
+    return rows.join(go.hint("merge").alias("_go"), gone, "left_anti").toDF(*names)
 
 
 def op6(spark, sf_dir: str) -> DataFrame:

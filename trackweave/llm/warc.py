@@ -104,7 +104,7 @@ def write_archives(plan: DataFrame, roll_bytes: int = 64 << 20) -> DataFrame:
     return materialise(rows.mapInArrow(run, "path string, records long, bytes long"), "warc-manifest")
 
 
-def members(stream, chunk: int = 1 << 20):
+def members(stream, chunk: int = 1 << 16):
     """The decompressed gzip members of a stream, one after another."""
     z, out, rest = zlib.decompressobj(31), [], b""
     while raw := rest or stream.read(chunk):
@@ -174,12 +174,12 @@ def transactions(records: DataFrame) -> DataFrame:
         return mine.groupBy(F.col("concurrent_to").alias("main_id")).agg(F.min_by(F.struct("record_id", *columns), "record_id").alias(kind), F.count("*").alias(f"n_{kind}"))
 
     main = records.where(F.col("type").isin("response", "revisit")).select(F.col("record_id").alias("main_id"), F.struct("record_id", "type", "refers_to", "target", "payload_bytes", "payload_digest", "payload").alias("response"))
-    return main.join(companions("request", "target"), "main_id", "left").join(companions("metadata", "page_id", "payload_bytes"), "main_id", "left")
+    return main.join(companions("request", "target").hint("merge"), "main_id", "left").join(companions("metadata", "page_id", "payload_bytes").hint("merge"), "main_id", "left")
 
 
 def op8(spark, sf_dir: str) -> DataFrame:
     manifest = write_archives(planned(table(spark, sf_dir, "pages")))
-    got = transactions(read_archives(manifest, with_payload=False))
+    got = transactions(materialise(read_archives(manifest, with_payload=False), "warc-records"))
     return got.select(
         F.col("metadata.page_id").alias("page_id"), F.coalesce("response.payload_bytes", "metadata.payload_bytes").alias("payload_bytes"), F.col("response.payload_digest").alias("payload_digest"),
         F.col("response.type").alias("record_type"), F.regexp_extract("response.refers_to", r"^urn:x-page:(-?\d+)$", 1).try_cast("long").alias("refers_to"),
