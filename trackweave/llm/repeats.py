@@ -28,10 +28,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, table
+from .common import materialise, slices, table
 
 GRAM = 16
 HOT = 100_000
+LAST = 2**63 - 1  # stands for a null id
 BITS = 24  # of a place in a slice of texts, which is below 2 ** 24 bytes or one text
 
 
@@ -217,23 +218,25 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """(id, n_bytes, spans array<struct<s,e>>, kept binary): spans are the maximal removed runs of bytes."""
     spark = docs.sparkSession
     text = F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(2**63 - 1)).alias("doc"), F.xxhash64(text).alias("th"), text.alias("text"), F.col(id_col).cast("long").alias("id"))
-    held = rows.select("doc", "th", "text", "id")
-    found = runs(rows.select("doc", "th", "text"), length)
+    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("doc"), F.xxhash64(text).alias("th"), text.alias("text"))
+    found = materialise(runs(rows, length), "repeats-runs")
     often = found.groupBy("h").agg(F.count("*").alias("n")).where("n > 1")
     hits = found.join(often.hint("merge"), "h")
-    places = hits.groupBy("doc", "th").agg(F.collect_list(F.when(F.col("n") <= hot, F.struct("h", "a", "e"))).alias("cold"), F.collect_list(F.when(F.col("n") > hot, F.struct("h", "a", "e"))).alias("warm"))
-    near = held.join(places.hint("merge"), ["doc", "th"])
+    run = F.struct("h", "a", "e")
+    places = hits.groupBy("doc", "th").agg(F.collect_list(F.when(F.col("n") <= hot, run)).alias("cold"), F.collect_list(F.when(F.col("n") > hot, run)).alias("warm"))
+    places = materialise(places, "repeats-places")
+    near = rows.join(places.hint("merge"), ["doc", "th"])
     shape = "h long, doc long, th long, a int, bytes binary"
     shards = 8 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     cold = near.select("doc", "th", "text", "cold").mapInArrow(cut_runs(length, True), shape)
     spans = cold.groupBy(F.pmod("h", F.lit(shards)).alias("shard")).applyInArrow(shard_repeats(length), "doc long, th long, s int, e int")
-    warm = near.where(F.size("warm") > 0).select("doc", "th", "text", "warm").mapInArrow(cut_runs(length, False), shape)
-    first = warm.groupBy("bytes").agg(F.min(F.struct("doc", "th", "a")).alias("first"))
-    later = warm.join(first.hint("merge"), "bytes").where(F.struct("doc", "th", "a") > F.col("first"))
-    spans = spans.unionAll(later.select("doc", "th", F.col("a").alias("s"), (F.col("a") + length).alias("e")))
+    if not places.where(F.size("warm") > 0).isEmpty():
+        warm = near.where(F.size("warm") > 0).select("doc", "th", "text", "warm").mapInArrow(cut_runs(length, False), shape)
+        first = warm.groupBy("bytes").agg(F.min(F.struct("doc", "th", "a")).alias("first"))
+        later = warm.join(first.hint("merge"), "bytes").where(F.struct("doc", "th", "a") > F.col("first"))
+        spans = spans.unionAll(later.select("doc", "th", F.col("a").alias("s"), (F.col("a") + length).alias("e")))
     gone = spans.groupBy("doc", "th").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
-    ends = held.join(gone.hint("merge"), ["doc", "th"], "left").select("id", "text", "spans")
+    ends = rows.join(gone.hint("merge"), ["doc", "th"], "left").select(F.nullif("doc", F.lit(LAST)).alias("id"), "text", "spans")
 
     def run(batches):
         for big in batches:
