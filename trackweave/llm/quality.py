@@ -24,7 +24,7 @@ from pyspark.sql.types import BooleanType, DoubleType, StructField, StructType
 
 from .common import plain, slices, table
 
-DENSE = 14
+DENSE = 15
 TEXT_DIM = 256 + DENSE
 SOURCES, LANGS, SIZES = 64, 16, 20
 META_DIM = SOURCES + LANGS + SIZES
@@ -33,7 +33,7 @@ SYMBOLS[[b for b in range(33, 127) if not chr(b).isalnum() and chr(b) not in ".,
 
 
 def text_features(text: bytes) -> np.ndarray:
-    """Byte shares, and shares of symbols, capitals, digits, repeated words, lines and word pairs, lengths, redundancy."""
+    """Byte shares, and shares of symbols, capitals, digits, repeated words, lines, word pairs and stutters, lengths, redundancy."""
     out = np.zeros(TEXT_DIM, np.float32)
     if not text:
         return out
@@ -45,10 +45,11 @@ def text_features(text: bytes) -> np.ndarray:
     ends = sum(1 for w in words if SYMBOLS[w[-1]])
     unique = len(set(words))
     pairs = len(set(zip(words, words[1:], strict=False)))
+    again = sum(map(bytes.__eq__, words, words[1:]))
     out[256:] = (
         1, np.log1p(n), np.log1p(len(text)), int(counts[SYMBOLS].sum()) / len(text), int(counts[65:91].sum()) / letters, int(counts[48:58].sum()) / len(text),
         ends / n, unique / n, pairs / n, len(set(lines)) / len(lines), len(text) / n / 10, len(lines) / n, sum(map(bytes.isupper, words)) / n,
-        len(zlib.compress(text, 1)) / len(text),
+        len(zlib.compress(text, 1)) / len(text), again / n,
     )
     return out
 
@@ -106,31 +107,33 @@ class CoTrained:
         return sure(self.both.log_odds(np.column_stack([a, b]))), sure(a), sure(b)
 
 
-def most_sure(odds: np.ndarray, share: float, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Up to `most` rows, good and bad in the labelled rows' proportion, that a view is surest of."""
+def most_sure(odds: np.ndarray, share: float, most: int, sure: float) -> tuple[np.ndarray, np.ndarray]:
+    """Up to `most` rows, good and bad in the labelled rows' proportion, of calibrated log odds beyond `sure`."""
     good, order = max(1, round(most * share)), np.argsort(odds, kind="stable")
     bad = max(1, most - good)
-    rows = np.concatenate([order[:bad], order[len(order) - good :]])
-    ok = np.abs(odds[rows]) > 1.0
-    return rows[ok], (odds[rows] > 0).astype(float)[ok]
+    rows = np.unique(np.concatenate([order[:bad], order[len(order) - good :]]))
+    rows = rows[np.abs(odds[rows]) >= sure]
+    return rows, (odds[rows] > 0).astype(float)
 
 
-def co_train(text: np.ndarray, meta: np.ndarray, label: np.ndarray, rounds: int = 3, per_round: int = 500) -> CoTrained:
-    """label: 1 good, 0 bad, NaN unlabelled."""
+def co_train(text: np.ndarray, meta: np.ndarray, label: np.ndarray, rounds: int = 3, per_round: int = 500, confidence: float = 0.97) -> CoTrained:
+    """label: 1 good, 0 bad, NaN unlabelled. A quarter of the labelled rows is held out; it calibrates each view before
+    it may pass labels on, so a view that tells little passes nothing, and it calibrates the combination at the end."""
     known = np.flatnonzero(~np.isnan(label))
     share = float(label[known].mean()) if len(known) else 1.0
-    held, own = known[::5], np.delete(known, np.s_[::5])
+    held, own = known[::4], np.delete(known, np.s_[::4])
     if min(len({*label[held]}), len({*label[own]})) < 2:
         return CoTrained(None, None, None, share)
     views, given = {"text": text, "meta": meta}, {"text": {}, "meta": {}}
-    pool = np.flatnonzero(np.isnan(label))
+    pool, sure = np.flatnonzero(np.isnan(label)), np.log(confidence / (1 - confidence))
     fit = lambda v: Logistic.fit(np.concatenate([views[v][own], views[v][[*given[v]]]]), np.concatenate([label[own], [*given[v].values()]]))
     models = {v: fit(v) for v in views}
     for _ in range(rounds if len(pool) else 0):
         for a, b in (("text", "meta"), ("meta", "text")):
             free = pool[~np.isin(pool, [*given[b]])]
             if len(free):
-                rows, said = most_sure(models[a].log_odds(views[a][free]), share, min(per_round, len(free) // 2))
+                odds = models[a].log_odds(views[a])[:, None]
+                rows, said = most_sure(Logistic.fit(odds[held], label[held]).log_odds(odds[free]), share, per_round, sure)
                 given[b].update(zip(free[rows].tolist(), said.tolist(), strict=True))
         models = {v: fit(v) for v in views}
     odds = np.column_stack([models[v].log_odds(views[v][held]) for v in ("text", "meta")])

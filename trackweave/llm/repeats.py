@@ -11,6 +11,9 @@ different left neighbours (a run's start counts as different) is a maximal repea
 The earliest occurrence (document, then place) stays, of the others the common prefix goes. Groups of windows that all
 have the same left neighbour are left out before the scan: the group one byte to the left stands for them.
 
+Texts are dealt once, by document, for the cutting and the result. Anchors are found twice rather than kept, which
+would cost more disk than the work is worth.
+
 An anchor with more than `hot` runs would fill a task: its windows are instead aggregated by their bytes for the earliest
 place and joined back, which Spark combines before the shuffle and splits if skewed. The result is the same.
 
@@ -25,6 +28,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,7 +37,9 @@ from .common import materialise, slices, table
 GRAM = 16
 HOT = 100_000
 LAST = 2**63 - 1  # stands for a null id
-BITS = 24  # of a place in a slice of texts, which is below 2 ** 24 bytes or one text
+BITS = 24  # of a place in a slice of texts; more for a longer slice
+SLICE = 1 << 19  # bytes of text whose anchors are found at a time
+BLOB = 8 << 20  # bytes of runs that are packed at a time
 
 
 def words64(buf: np.ndarray, n: int, kind: str = "<u8") -> np.ndarray:
@@ -47,6 +53,29 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+BASE, UNBASE = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)
+BYTES = mix(np.arange(1, 257, dtype=np.uint64))
+POWERS: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """BASE ** k and BASE ** -k modulo 2 ** 64 for k < n."""
+    if len(POWERS[0]) < n:
+        for k, base in enumerate((BASE, UNBASE)):
+            step = np.full(2 * n, base, np.uint64)
+            step[0] = 1
+            POWERS[k] = np.cumprod(step)
+    return POWERS[0][:n], POWERS[1][:n]
+
+
+def window_hashes(buf: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
+    """Polynomial hashes of the windows, from sums over prefixes; bytes are compared later."""
+    up, down = powers(len(buf))
+    prefix = np.zeros(len(buf) + 1, np.uint64)
+    np.cumsum(BYTES[buf] * up, out=prefix[1:])
+    return (prefix[at + length] - prefix[at]) * down[at]
+
+
 def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     """Minimum of x[i:i+width] for each i that has so many."""
     step = 1
@@ -68,7 +97,10 @@ def anchor_runs(texts: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray
     buf = np.frombuffer(b"".join([*texts, bytes(8)]), np.uint8)
     w = words64(buf, total)
     n = total - GRAM + 1
-    h = mix(w[:n] * np.uint64(0x9E3779B97F4A7C15) + mix(w[8 : n + 8]))
+    h = w[:n] * np.uint64(0x9E3779B97F4A7C15)
+    h ^= w[8 : n + 8] * np.uint64(0xC2B2AE3D27D4EB4F)
+    h ^= h >> np.uint64(29)
+    h *= np.uint64(0xBF58476D1CE4E5B9)
     low = np.uint64((1 << bits) - 1)
     place = (sliding_min((h & ~low) | np.arange(n, dtype=np.uint64), length - GRAM + 1) & low).astype(np.int64)
     ends = np.cumsum(sizes)
@@ -83,27 +115,23 @@ def anchor_runs(texts: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray
     return text[new], h[place[new]].view(np.int64), start[new] - base, start[last] + length - base
 
 
-def maximal_repeats(h: np.ndarray, order: np.ndarray, contexts: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Runs (anchor hash, order number, bytes) of a shard -> (run, start within it, bytes to remove from there).
+def maximal_repeats(order: np.ndarray, contexts: bytes, sizes: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of a shard, their bytes joined -> (run, start within it, bytes to remove from there).
 
-    order[k] must be unique and ascend with (document, first byte); starts within a run follow it."""
+    order[k] must ascend with (document, first byte); of runs that are equal in both the first one counts."""
     none = np.zeros(0, np.int64)
-    if len(contexts) < 2:
+    if len(sizes) < 2:
         return none, none, none
-    sizes = np.array([len(c) for c in contexts], np.int64)
-    windows = sizes - length + 1
-    buf = np.frombuffer(b"".join([*contexts, bytes(length + 8)]), np.uint8)
-    w = words64(buf, len(buf) - 8)
+    again = np.ones(len(sizes), bool)
+    again[np.unique(order, return_index=True)[1]] = False
+    windows = np.where(again, 0, sizes - length + 1)
+    buf = np.frombuffer(contexts + bytes(length + 8), np.uint8)
     begin = np.cumsum(sizes) - sizes
     run = np.repeat(np.arange(len(sizes)), windows)
     off = np.arange(len(run)) - np.repeat(np.cumsum(windows) - windows, windows)
     at = begin[run] + off
-    sums = np.zeros(len(at), np.uint64)
-    steps = [*range(0, length - 8, 8), length - 8]
-    odd = mix(np.arange(1, len(steps) + 1, dtype=np.uint64)) | np.uint64(1)
-    for c, k in zip(odd, steps, strict=True):
-        sums += mix(w[at + k] * c)
-    by = np.argsort(sums, kind="stable")
+    sums = window_hashes(buf, at, length)
+    by = np.argsort(sums)
     edge = np.flatnonzero(np.concatenate(([True], sums[by][1:] != sums[by][:-1], [True])))
     size = np.diff(edge)
     group_of = np.repeat(np.arange(len(size)), size)
@@ -155,51 +183,107 @@ def scan_intervals(lcp: np.ndarray, left: np.ndarray, first: np.ndarray) -> np.n
     return best
 
 
-RUN = "h long, doc long, th long, a int, e int"
+RUN = "h long, doc long, th int, place long"
+SPAN_BITS = 24  # of a run's length in `place`, which holds first byte << SPAN_BITS | length
 
 
 def runs(rows: DataFrame, length: int) -> DataFrame:
     def run(batches):
         for whole in batches:
-            for batch in slices(whole):
+            for batch in slices(whole, SLICE):
                 texts = [t.as_py() for t in batch.column(2)]
                 text, h, a, e = anchor_runs(texts, length)
                 at = pa.array(text)
-                yield pa.record_batch([pa.array(h), batch.column(0).take(at), batch.column(1).take(at), pa.array(a.astype(np.int32)), pa.array(e.astype(np.int32))], ["h", "doc", "th", "a", "e"])
+                yield pa.record_batch([pa.array(h), batch.column(0).take(at), batch.column(1).take(at), pa.array(a << SPAN_BITS | (e - a))], ["h", "doc", "th", "place"])
 
     return rows.mapInArrow(run, RUN)
 
 
-def shard_repeats(length: int):
-    def run(rows: pa.Table) -> pa.Table:
-        h, doc, th, a = (rows.column(c).to_numpy() for c in ("h", "doc", "th", "a"))
-        order = np.lexsort((a, th, doc))
-        keys = np.stack([h[order], doc[order], th[order], a[order]])
-        order = order[np.concatenate(([True], (keys[:, 1:] != keys[:, :-1]).any(axis=0)))] if len(order) else order
-        bytes_ = rows.column("bytes").to_pylist()
-        run_, off, cut = maximal_repeats(h[order], np.arange(len(order)), [bytes_[k] for k in order], length)
-        s = a[order][run_] + off
-        return pa.table({"doc": doc[order][run_], "th": th[order][run_], "s": s.astype(np.int32), "e": (s + cut).astype(np.int32)})
-
-    return run
-
-
-def cut_runs(length: int, whole: bool):
-    """Rows (doc, th, text, places) -> the runs' bytes; with whole=False one row for each window instead."""
+def packed(shard: np.ndarray, doc: np.ndarray, th: np.ndarray, a: np.ndarray, parts: list[bytes]) -> pa.RecordBatch:
+    """Runs of a shard as one compressed value: columns, then bytes."""
+    order = np.argsort(shard, kind="stable")
+    cut = np.flatnonzero(np.diff(shard[order], prepend=-1, append=-1))
+    squeeze = zstandard.ZstdCompressor(level=1).compress
+    blobs = []
+    for x, y in zip(cut, cut[1:], strict=False):
+        own = order[x:y]
+        bytes_ = [parts[k] for k in own]
+        sizes = np.array([len(p) for p in bytes_], np.int32)
+        blobs.append(squeeze(b"".join([np.int64(len(own)).tobytes(), doc[own].astype(np.int64).tobytes(), th[own].astype(np.int32).tobytes(), a[own].astype(np.int32).tobytes(), sizes.tobytes(), *bytes_])))
+    return pa.record_batch([pa.array(shard[order][cut[:-1]].astype(np.int32)), pa.array(blobs, pa.binary())], ["shard", "blob"])
+
+
+def unpacked(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, bytes]:
+    cols, rest = [[], [], [], []], []
+    for raw in map(zstandard.ZstdDecompressor().decompress, blobs):
+        n, at = int(np.frombuffer(raw, np.int64, 1)[0]), 8
+        for col, kind in zip(cols, (np.int64, np.int32, np.int32, np.int32), strict=True):
+            col.append(np.frombuffer(raw, kind, n, at).astype(np.int64))
+            at += n * np.dtype(kind).itemsize
+        rest.append(raw[at:])
+    return (*(np.concatenate(c) for c in cols), b"".join(rest))
+
+
+def pack_runs(batches):
+    """Rows (doc, th, text, cold) -> the runs' bytes, by shard."""
+    held: list[tuple] = []
+    parts: list[bytes] = []
+    size = 0
+    for big in batches:
+        for batch in slices(big, 2 << 20):
+            texts, lists = batch.column(2).to_pylist(), batch.column(3)
+            if not (flat := lists.flatten()):
+                continue
+            row = np.repeat(np.arange(len(texts)), np.diff(lists.offsets.to_numpy()))
+            shard, place = flat.field("shard").to_numpy(), flat.field("place").to_numpy()
+            a, n = place >> SPAN_BITS, place & ((1 << SPAN_BITS) - 1)
+            parts += [texts[r][x:y] for r, x, y in zip(row.tolist(), a.tolist(), (a + n).tolist(), strict=True)]
+            held.append((shard, batch.column(0).to_numpy()[row], batch.column(1).to_numpy()[row], a))
+            size += int(n.sum())
+            if size > BLOB:
+                yield packed(*(np.concatenate(c) for c in zip(*held, strict=True)), parts)
+                held, parts, size = [], [], 0
+    if held:
+        yield packed(*(np.concatenate(c) for c in zip(*held, strict=True)), parts)
+
+
+def single_windows(length: int):
+    """Rows (doc, th, text, warm) -> one row per window."""
 
     def run(batches):
         for big in batches:
-            for batch in slices(big):
+            for batch in slices(big, 1 << 18):
                 out: list[tuple] = []
                 for doc, th, text, places in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                     for p in places:
-                        h, a, e = p["h"], p["a"], p["e"]
-                        if whole:
-                            out.append((h, doc, th, a, text[a:e]))
-                        else:
-                            out += [(h, doc, th, s, text[s : s + length]) for s in range(a, e - length + 1)]
-                cols = list(zip(*out, strict=True)) or [[]] * 5
-                yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()), strict=True)], ["h", "doc", "th", "a", "bytes"])
+                        a, n = p >> SPAN_BITS, p & ((1 << SPAN_BITS) - 1)
+                        out += [(doc, th, s, text[s : s + length]) for s in range(a, a + n - length + 1)]
+                cols = list(zip(*out, strict=True)) or [[]] * 4
+                yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.binary()), strict=True)], ["doc", "th", "s", "bytes"])
+
+    return run
+
+
+def shard_repeats(length: int):
+    def run(rows: pa.Table) -> pa.Table:
+        doc, th, a, sizes, contexts = unpacked(rows.column("blob").to_pylist())
+        by = np.lexsort((a, th, doc))
+        keys = np.stack([doc[by], th[by], a[by]])
+        order = np.empty(len(by), np.int64)
+        order[by] = np.cumsum(np.concatenate(([True], (keys[:, 1:] != keys[:, :-1]).any(axis=0))))
+        run_, off, cut = maximal_repeats(order, contexts, sizes, length)
+        # overlapping spans of a document are one
+        s = a[run_] + off
+        e, doc, th = s + cut, doc[run_], th[run_]
+        by = np.lexsort((s, th, doc))
+        s, e, doc, th = s[by], e[by], doc[by], th[by]
+        new = np.concatenate(([True], (doc[1:] != doc[:-1]) | (th[1:] != th[:-1])))[: len(s)]
+        text = np.cumsum(new)
+        reach = np.maximum.accumulate(e + text * (1 << 40)) if len(e) else e
+        first = new | np.concatenate(([True], s[1:] + text[1:] * (1 << 40) > reach[:-1]))[: len(s)]
+        at = np.flatnonzero(first)
+        last = np.append(at[1:] - 1, len(s) - 1)[: len(at)]
+        return pa.table({"doc": doc[at], "th": th[at].astype(np.int32), "span": s[at] << 32 | (reach[last] - text[last] * (1 << 40))})
 
     return run
 
@@ -218,32 +302,30 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """(id, n_bytes, spans array<struct<s,e>>, kept binary): spans are the maximal removed runs of bytes."""
     spark = docs.sparkSession
     text = F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("doc"), F.xxhash64(text).alias("th"), text.alias("text"))
-    found = materialise(runs(rows, length), "repeats-runs")
-    often = found.groupBy("h").agg(F.count("*").alias("n")).where("n > 1")
-    hits = found.join(often.hint("merge"), "h")
-    run = F.struct("h", "a", "e")
-    places = hits.groupBy("doc", "th").agg(F.collect_list(F.when(F.col("n") <= hot, run)).alias("cold"), F.collect_list(F.when(F.col("n") > hot, run)).alias("warm"))
-    places = materialise(places, "repeats-places")
-    near = rows.join(places.hint("merge"), ["doc", "th"])
-    shape = "h long, doc long, th long, a int, bytes binary"
+    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("doc"), F.hash(text).alias("th"), text.alias("text"))
+    found = runs(rows, length)
+    often = materialise(found.groupBy("h").agg(F.count("*").alias("n")).where("n > 1"), "repeats-anchors")
     shards = 8 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cold = near.select("doc", "th", "text", "cold").mapInArrow(cut_runs(length, True), shape)
-    spans = cold.groupBy(F.pmod("h", F.lit(shards)).alias("shard")).applyInArrow(shard_repeats(length), "doc long, th long, s int, e int")
-    if not places.where(F.size("warm") > 0).isEmpty():
-        warm = near.where(F.size("warm") > 0).select("doc", "th", "text", "warm").mapInArrow(cut_runs(length, False), shape)
-        first = warm.groupBy("bytes").agg(F.min(F.struct("doc", "th", "a")).alias("first"))
-        later = warm.join(first.hint("merge"), "bytes").where(F.struct("doc", "th", "a") > F.col("first"))
-        spans = spans.unionAll(later.select("doc", "th", F.col("a").alias("s"), (F.col("a") + length).alias("e")))
-    gone = spans.groupBy("doc", "th").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
+    hits = found.join(often.hint("merge"), "h").select("doc", "th", "n", "place", F.pmod("h", F.lit(shards)).cast("int").alias("shard"))
+    lists = {"cold": F.collect_list(F.when(F.col("n") <= hot, F.struct("shard", "place"))), "warm": F.collect_list(F.when(F.col("n") > hot, F.col("place")))}
+    warm = not often.where(F.col("n") > hot).isEmpty()
+    near = rows.join(hits.groupBy("doc", "th").agg(*[lists[c].alias(c) for c in lists if c == "cold" or warm]).hint("merge"), ["doc", "th"])
+    cold = near.select("doc", "th", "text", "cold").mapInArrow(pack_runs, "shard int, blob binary")
+    spans = cold.groupBy("shard").applyInArrow(shard_repeats(length), "doc long, th int, span long")
+    if warm:
+        each = near.where(F.size("warm") > 0).select("doc", "th", "text", "warm").mapInArrow(single_windows(length), "doc long, th int, s long, bytes binary")
+        first = each.groupBy("bytes").agg(F.min(F.struct("doc", "th", "s")).alias("first"))
+        later = each.join(first.hint("merge"), "bytes").where(F.struct("doc", "th", "s") > F.col("first"))
+        spans = spans.unionAll(later.select("doc", "th", F.shiftleft("s", 32).bitwiseOR(F.col("s") + length).alias("span")))
+    gone = spans.groupBy("doc", "th").agg(F.collect_list("span").alias("spans"))
     ends = rows.join(gone.hint("merge"), ["doc", "th"], "left").select(F.nullif("doc", F.lit(LAST)).alias("id"), "text", "spans")
 
     def run(batches):
         for big in batches:
-            for batch in slices(big):
+            for batch in slices(big, 4 << 20):
                 ids, n, out, kept = batch.column(0), [], [], []
                 for text, spans in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                    cuts = merged((x["s"], x["e"]) for x in spans or ())
+                    cuts = merged((x >> 32, x & 0xFFFFFFFF) for x in spans or ())
                     edges = [0, *(x for c in cuts for x in c), len(text)]
                     n.append(len(text))
                     out.append([{"s": a, "e": b} for a, b in cuts])
