@@ -125,5 +125,31 @@ def op2(spark, sf_dir: str) -> DataFrame:
     return out.select(
         F.col("id").cast("long").alias("doc_id"), "n_words", F.aggregate("base", F.lit(0).cast("long"), lambda a, b: a + b["n"]).alias("n_base"),
         F.array_min(F.transform("base", lambda b: b["first"])).alias("first_word"), F.array_max(F.transform("base", lambda b: b["last"])).alias("last_word"),
-        joined(base_labels).alias("base_labels"), joined(F.concat(base_labels, "found")).alias("labels"), "score",
+        joined(base_labels).alias("base_labels"), joined(F.concat(base_labels, "found")).alias("labels"), F.round("score", 6).alias("score"),
     )
+
+
+def sql(top: int = 12, min_idf: float = 1.5, accept: float = 0.6) -> str:
+    """The query in DuckDB's SQL."""
+    quote = lambda x: "'" + x + "'"
+    rows = lambda xs: ", ".join("(" + ", ".join(map(str, x)) + ")" for x in xs)
+    az, pattern = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'", r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
+    base = rows((quote(p), len(p.split()), quote(label)) for p, label in BASE.items())
+    words = rows((t, p, quote(w)) for t, (_, text, _) in enumerate(TEMPLATES) for p, w in enumerate(text.split()))
+    phrases = rows((t, quote(label), quote(p)) for t, (label, _, ps) in enumerate(TEMPLATES) for p in ps)
+    return f"""WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), {az}), {pattern}) AS w FROM documents),
+j AS (SELECT doc_id, len(w) AS n_words, ' ' || array_to_string(w, ' ') || ' ' AS s FROM d),
+x AS (SELECT doc_id, unnest(w) AS w, unnest(generate_series(0, len(w) - 1)) AS i FROM d),
+base(phrase, k, label) AS (VALUES {base}), tw(t, p, w) AS (VALUES {words}), ph(t, label, phrase) AS (VALUES {phrases}),
+hit AS (SELECT x.doc_id, b.label, x.i FROM x JOIN base b ON x.w = string_split(b.phrase, ' ')[1] JOIN d ON d.doc_id = x.doc_id WHERE array_to_string(d.w[x.i + 1 : x.i + b.k], ' ') = b.phrase),
+h AS (SELECT doc_id, count(*) AS n, min(i) AS a, max(i) AS b, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM hit GROUP BY doc_id),
+idf AS (SELECT v.w, ln(((SELECT count(*) FROM d) + 1.0e0) / (count(DISTINCT x.doc_id) + 1.0e0)) AS idf FROM (SELECT DISTINCT w FROM tw) v LEFT JOIN x ON x.w = v.w GROUP BY v.w),
+tops AS (SELECT doc_id, w, idf FROM (SELECT x.doc_id, x.w, any_value(f.idf) AS idf, row_number() OVER (PARTITION BY x.doc_id ORDER BY any_value(f.idf) DESC, x.w) AS k FROM x JOIN idf f ON f.w = x.w WHERE f.idf >= {min_idf} GROUP BY 1, 2) WHERE k <= {top}),
+votes AS (SELECT x.doc_id, tw.t, x.i - tw.p AS g, sum(o.idf) AS s FROM x JOIN tops o ON o.doc_id = x.doc_id AND o.w = x.w JOIN tw ON tw.w = x.w GROUP BY 1, 2, 3),
+whole AS (SELECT t, sum(idf) AS s FROM tw JOIN idf ON idf.w = tw.w GROUP BY t),
+score AS (SELECT v.doc_id, v.t, least(1.0e0, max(v.s / greatest(q.s, 1e-9))) AS s FROM votes v JOIN whole q ON q.t = v.t GROUP BY 1, 2),
+found AS (SELECT c.doc_id, ph.t, any_value(ph.label) AS label FROM score c JOIN ph ON ph.t = c.t JOIN j ON j.doc_id = c.doc_id WHERE c.s >= {accept} GROUP BY 1, 2 HAVING bool_and(contains(j.s, ' ' || ph.phrase || ' '))),
+labels AS (SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM (SELECT doc_id, label FROM hit UNION ALL SELECT doc_id, label FROM found) GROUP BY doc_id)
+SELECT j.doc_id, CAST(j.n_words AS BIGINT) AS n_words, coalesce(h.n, 0) AS n_base, CAST(h.a AS BIGINT) AS first_word, CAST(h.b AS BIGINT) AS last_word, coalesce(h.labels, '') AS base_labels,
+coalesce(l.labels, '') AS labels, round(coalesce((SELECT max(s) FROM score c WHERE c.doc_id = j.doc_id), 0.0e0), 6) AS score
+FROM j LEFT JOIN h ON h.doc_id = j.doc_id LEFT JOIN labels l ON l.doc_id = j.doc_id"""

@@ -356,3 +356,19 @@ def brute(texts: list[bytes], length: int = 100) -> list[tuple[int, int, int, st
         kept = bytes(b for b, g in zip(t, gone, strict=True) if not g)
         rows.append((len(t), sum(gone), sum(1 for k in range(len(t)) if gone[k] and (k == 0 or not gone[k - 1])), hashlib.sha256(kept).hexdigest()))
     return rows
+
+
+SQL = """
+WITH h AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+w AS (SELECT doc_id, s, md5(substr(x, 2 * s - 1, 200)) AS k FROM (SELECT doc_id, x, unnest(generate_series(1, len(x) // 2 - 99)) AS s FROM h WHERE len(x) >= 200)),
+later AS (SELECT doc_id, s FROM (SELECT doc_id, s, row_number() OVER (PARTITION BY k ORDER BY doc_id, s) AS n FROM w) WHERE n > 1),
+edge AS (SELECT doc_id, s, CASE WHEN s <= lag(s) OVER v + 100 THEN 0 ELSE 1 END AS new FROM later WINDOW v AS (PARTITION BY doc_id ORDER BY s)),
+isle AS (SELECT doc_id, s, sum(new) OVER (PARTITION BY doc_id ORDER BY s ROWS UNBOUNDED PRECEDING) AS g FROM edge),
+gone AS (SELECT doc_id, min(s) AS a, max(s) + 100 AS b FROM isle GROUP BY doc_id, g),
+kept AS (SELECT gone.doc_id, coalesce(lag(b) OVER v, 1) AS a, gone.a AS b FROM gone WINDOW v AS (PARTITION BY doc_id ORDER BY a)
+         UNION ALL SELECT doc_id, max(b), 1000000000 FROM gone GROUP BY doc_id),
+left_ AS (SELECT kept.doc_id, string_agg(substr(h.x, 2 * kept.a - 1, 2 * (kept.b - kept.a)), '' ORDER BY kept.a) AS x FROM kept JOIN h ON h.doc_id = kept.doc_id GROUP BY 1),
+n AS (SELECT doc_id, sum(b - a) AS removed, count(*) AS spans FROM gone GROUP BY doc_id)
+SELECT h.doc_id, len(h.x) // 2 AS n_bytes, CAST(coalesce(n.removed, 0) AS BIGINT) AS n_removed, coalesce(n.spans, 0) AS n_spans, sha256(unhex(coalesce(left_.x, CASE WHEN n.spans IS NULL THEN h.x ELSE '' END))) AS kept_sha256
+FROM h LEFT JOIN n ON n.doc_id = h.doc_id LEFT JOIN left_ ON left_.doc_id = h.doc_id
+"""
