@@ -69,20 +69,38 @@ def block_masks(radius: int, n_classes: int) -> list[int]:
     return [sum(chosen) for chosen in combinations(parts, c)]
 
 
-def compare_tiles(fps: np.ndarray, radius: int, tile: int = TILE) -> np.ndarray:
-    """Class labels (smallest index) after linking all fps within radius; fps must be ordered by population count."""
-    labels = np.arange(len(fps))
+def close_pairs(fps: np.ndarray, radius: int, tile: int):
+    """Tile by tile the pairs (i < j, bits) within radius; fps must be ordered by population count."""
     ones = np.bitwise_count(fps)
     for x in range(0, len(fps), tile):
         for y in range(x, len(fps), tile):
             if int(ones[y]) - int(ones[min(x + tile, len(fps)) - 1]) > radius:
                 break  # later tiles have still higher counts
-            near = np.bitwise_count(fps[x : x + tile, None] ^ fps[None, y : y + tile]) <= radius
+            bits = np.bitwise_count(fps[x : x + tile, None] ^ fps[None, y : y + tile])
+            near = bits <= radius
             i, j = np.nonzero(np.triu(near, 1) if x == y else near)
-            unite(labels, i + x, j + y)
+            yield i + x, j + y, bits[i, j]
+
+
+def compare_tiles(fps: np.ndarray, radius: int, tile: int = TILE) -> np.ndarray:
+    """Class labels (smallest index) after linking all fps within radius."""
+    labels = np.arange(len(fps))
+    for i, j, _ in close_pairs(fps, radius, tile):
+        unite(labels, i, j)
     return labels
 
 
+def nearest_earlier(fps: np.ndarray, rank: np.ndarray, radius: int, tile: int = TILE) -> tuple[np.ndarray, np.ndarray]:
+    """For each fingerprint the fewest bits to one of smaller rank within radius, and that one's rank (-1: none)."""
+    best = np.full(len(fps), np.iinfo(np.int64).max)
+    for i, j, bits in close_pairs(fps, radius, tile):
+        for a, b in ((i, j), (j, i)):
+            ok = rank[b] < rank[a]
+            np.minimum.at(best, a[ok], bits[ok].astype(np.int64) << 40 | rank[b][ok])
+    none = best == np.iinfo(np.int64).max
+    return np.where(none, -1, best >> 40), np.where(none, -1, best & ((1 << 40) - 1))
+
+
 def bucket_links(radius: int):
     """For applyInArrow: rows (shard, bucket, fp, rep) of some buckets -> a spanning star (u, v) per linked group."""
 
@@ -105,16 +123,45 @@ def bucket_links(radius: int):
     return run
 
 
+def bucket_nearest(radius: int):
+    """For applyInArrow: rows (shard, bucket, fp, rep, th) -> each class's nearest one of smaller id in its bucket."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        bucket, fp, rep, th = (rows.column(c).to_numpy() for c in ("bucket", "fp", "rep", "th"))
+        fp = fp.view(np.uint64)
+        order = np.lexsort((np.bitwise_count(fp), bucket))
+        bucket, fp, rep, th = bucket[order], fp[order], rep[order], th[order]
+        cut = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1], [True])))
+        out = []
+        for k in np.flatnonzero(np.diff(cut) > 1):
+            own = slice(cut[k], cut[k + 1])
+            by = np.lexsort((th[own], rep[own]))
+            rank = np.empty(len(by), np.int64)
+            rank[by] = np.arange(len(by))
+            bits, at = nearest_earlier(fp[own], rank, radius)
+            has = np.flatnonzero(bits >= 0)
+            to = by[at[has]]
+            out.append((rep[own][has], th[own][has], bits[has], rep[own][to], th[own][to]))
+        cols = [np.concatenate([np.zeros(0, np.int64), *(o[k] for o in out)]) for k in range(5)]
+        return pa.table(dict(zip(("id", "th", "bits", "other", "other_th"), cols, strict=True)))
+
+    return run
+
+
+def in_buckets(classes: DataFrame, radius: int) -> DataFrame:
+    """classes (fp, ...) once for each choice of blocks: (shard, bucket, ...)."""
+    masks = block_masks(radius, classes.count())
+    shards = max(1, int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    keyed = F.array(*[F.struct(F.xxhash64(F.lit(k), F.col("fp").bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m))).alias("bucket")) for k, m in enumerate(masks)])
+    rows = classes.withColumn("k", F.explode(keyed)).withColumn("bucket", F.col("k.bucket")).drop("k")
+    return rows.withColumn("shard", F.pmod("bucket", F.lit(shards * 8)))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = 2) -> DataFrame:
     """(id, th, fp, component): component is the smallest id reachable over links of at most `radius` differing bits."""
-    spark = docs.sparkSession
     fps = materialise(fingerprints(docs, id_col, text_col, shingle), "simhash-fp")
     classes = materialise(fps.where("id is not null").groupBy("fp").agg(F.min("id").alias("rep")), "simhash-class")
-    masks = block_masks(radius, classes.count())
-    shards = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    keyed = F.array(*[F.struct(F.xxhash64(F.lit(k), F.col("fp").bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m))).alias("bucket")) for k, m in enumerate(masks)])
-    rows = classes.select("fp", "rep", F.explode(keyed).alias("k")).select(F.pmod(F.col("k.bucket"), F.lit(shards * 8)).alias("shard"), "k.bucket", "fp", "rep")
-    edges = rows.groupBy("shard").applyInArrow(bucket_links(radius), "u long, v long")
+    edges = in_buckets(classes, radius).groupBy("shard").applyInArrow(bucket_links(radius), "u long, v long")
     roots = connected_components(edges, "simhash-cc")
     found = classes.join(roots, F.col("rep") == F.col("node"), "left").select("fp", F.coalesce("root", "rep").alias("component"))
     return fps.join(found.hint("merge"), "fp", "left").select("id", "th", "fp", "component")
@@ -142,16 +189,25 @@ def alike(shingle: int, least: float):
 
 
 def keep_one(docs: DataFrame, shingle: int = 5, radius: int = 10, least: float = 0.8) -> DataFrame:
-    """docs without the near copies of documents that stay. Of each linked group the smallest id stays, and those whose
-    shingles are at least `least` similar to it go; members less similar than that stay too. Rows with a null id stay."""
+    """docs without those that repeat a document of smaller id: exact copies, and documents whose shingles are at least
+    `least` similar (Jaccard, exact) to their nearest fingerprint of smaller id within radius. Following these pointers
+    down, each group has one document that stays. A chance neighbour fails the exact comparison and binds nobody, so
+    groups do not run together as the corpus grows. Rows with a null id stay, as do repeats of a row that stays."""
     rows, names = plain(docs, ("doc_id", "text"))
-    groups = materialise(near_duplicates(rows, shingle=shingle, radius=radius), "simhash-groups").select("id", "th", "component").distinct()
-    members, text = groups.where("id <> component"), F.col("text").cast("string").alias("text")
-    texts = rows.select(F.col("doc_id").cast("long").alias("id"), F.xxhash64(text).alias("th"), text)
-    heads = groups.where("id = component").join(members.select("component").distinct().hint("merge"), "component", "left_semi")
-    heads = texts.join(heads.hint("merge"), ["id", "th"]).groupBy("component").agg(F.min("text").alias("other"))
-    pairs = texts.join(members.hint("merge"), ["id", "th"]).join(heads.hint("merge"), "component").select("id", "th", "text", "other")
-    go = materialise(pairs.mapInArrow(alike(shingle, least), "id long, th long"), "simhash-go").distinct()
+    fps = materialise(fingerprints(rows, shingle=shingle), "simhash-fp").where("id is not null")
+    texts = materialise(fps.groupBy("th", "fp").agg(F.min("id").alias("id")), "simhash-texts")  # one row per different text
+    classes = materialise(texts.groupBy("fp").agg(F.min(F.struct("id", "th")).alias("r")).select("fp", F.col("r.id").alias("rep"), F.col("r.th").alias("th")), "simhash-class")
+    across = in_buckets(classes, radius).groupBy("shard").applyInArrow(bucket_nearest(radius), "id long, th long, bits long, other long, other_th long")
+    across = across.groupBy("id", "th").agg(F.min(F.struct("bits", "other", "other_th")).alias("n")).select("id", "th", "n.other", "n.other_th")
+    within = texts.join(classes.select("fp", F.col("rep").alias("other"), F.col("th").alias("other_th")).hint("merge"), "fp").where("th <> other_th").select("id", "th", "other", "other_th")
+    pointers = materialise(across.unionAll(within), "simhash-pointers")
+    text = F.col("text").cast("string").alias("text")
+    whole = rows.select(F.col("doc_id").cast("long").alias("id"), F.xxhash64(text).alias("th"), text)
+    named = whole.join(pointers.select(F.col("other").alias("id"), F.col("other_th").alias("th")).distinct().hint("merge"), ["id", "th"], "left_semi").dropDuplicates(["id", "th"])
+    named = named.select(F.col("id").alias("other"), F.col("th").alias("other_th"), F.col("text").alias("other_text"))
+    pairs = whole.join(pointers.hint("merge"), ["id", "th"]).join(named.hint("merge"), ["other", "other_th"]).select("id", "th", "text", "other_text")
+    copies = fps.join(texts.withColumnRenamed("id", "first").hint("merge"), ["th", "fp"]).where("id <> first").select("id", "th")
+    go = materialise(pairs.mapInArrow(alike(shingle, least), "id long, th long").unionAll(copies), "simhash-go").distinct()
     gone = (F.col("doc_id").cast("long") == F.col("_go.id")) & (F.xxhash64(text) == F.col("_go.th"))
     return rows.join(go.hint("merge").alias("_go"), gone, "left_anti").toDF(*names)
 
