@@ -291,3 +291,26 @@ def test_segmentation_finds_components(spark):
     rows = [(0, z, y, x, 100 if (z, y, x) in on else 0) for z in range(2) for y in range(3) for x in range(3)]
     got = {(r.z, r.y, r.x): r.label for r in voxel.segment(spark.createDataFrame(rows, "t int, z int, y int, x int, value int")).collect()}
     assert set(got) == on and got[0, 0, 0] == got[0, 0, 1] != got[0, 2, 2] == got[1, 2, 2]
+
+
+def test_selection_backfills_only_if_asked(spark):
+    n = spark.createDataFrame([(7, 1, 0.0), (7, 3, 0.0)], "id long, t int, x double").withColumns({"y": F.lit(0.0), "z": F.lit(0.0)})
+    p = spark.createDataFrame([(k, t, float(k)) for k in (1, 30) for t in range(5)], "id long, t int, x double").withColumns({"y": F.lit(0.0), "z": F.lit(0.0)})
+    c = spark.createDataFrame([(0, 0, 9, 0, 7)], "cell_id long, t_lo int, t_hi int, prio int, id long")
+    got = lambda **k: {(r.t, r.id) for r in spatial.select_spots(p, n, c, p.select("t").distinct(), **k).collect()}
+    assert got() == {(1, 1), (3, 1)} and got(backfill=True) == {(1, 1), (2, 1), (3, 1), (4, 1)}
+
+
+def test_linking_in_a_moving_frame(spark):
+    rows = [(0, t, 10 * t + k, 50.0 * t + 5 * k) for t in range(4) for k in range(2)]
+    p = spark.createDataFrame(rows, "cell_id long, t int, id long, x double").withColumns({"y": F.lit(0.0), "z": F.lit(0.0)})
+    ref = spark.createDataFrame([(0, t, 50.0 * t) for t in range(4)], "cell_id long, t int, x double").withColumns({"y": F.lit(0.0), "z": F.lit(0.0)})
+    got = {r.id: (r.track, r.x) for r in linking.link_registered(p, ref, "cell_id", 2.0).collect()}
+    assert len({v[0] for v in got.values()}) == 2 and len({got[10 * t][0] for t in range(4)}) == 1 and got[31][1] == 155.0
+
+
+def test_simulated_runs_pool_by_model(spark):
+    rows = [("u", 1, t, c) for t, c in enumerate([0.9, 0.1, 0.9])] + [("v", 1, t, 0.9) for t in range(2)]
+    df = spark.createDataFrame(rows, "model string, k long, t int, cos double").withColumn("id", F.struct("model", "k"))
+    got = {(r.model, r.c): (r.p1, r.b1) for r in persistence.persistence_prob(persistence.run_counter(df), "model").collect()}
+    assert got == {("u", 1): (2, 0), ("v", 1): (1, 0), ("v", 2): (1, 0)}

@@ -60,6 +60,12 @@ def test_writers(spark, tmp_path):
     assert spark.read.csv(str(tmp_path / "c"), header=True).columns == ["id", "t"]
 
 
+def test_stored_work_is_not_done_again(spark, tmp_path):
+    calls = []
+    make = lambda: calls.append(1) or spark.range(3)
+    assert [writers.stored(spark, str(tmp_path / "s"), make).count() for _ in range(2)] == [3, 3] and len(calls) == 1
+
+
 def test_config():
     text = '{"TrackerConfig": {"MotionModel": {"A": {"matrix": [1, 0, 0, 1]}}}}'
     assert readers.read_config(text)["MotionModel"]["A"]["matrix"] == [1, 0, 0, 1]

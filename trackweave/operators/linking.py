@@ -10,7 +10,7 @@ from math import ceil, log2
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .spatial import radius_pairs
+from .spatial import radius_pairs, register
 
 
 def mutual_links(points: DataFrame, max_dist: float, key: list[str] | None = None) -> DataFrame:
@@ -91,3 +91,11 @@ def link_frames(points: DataFrame, key: str, max_dist: float, max_lost: int = 2)
 
     kinds = dict(points.dtypes)
     return points.select(key, "id", "t", *"xyz").groupBy(key).applyInPandas(run, f"{key} {kinds[key]}, id {kinds['id']}, t {kinds['t']}, track long")
+
+
+def link_registered(points: DataFrame, reference: DataFrame, key: str, max_dist: float, max_lost: int = 2) -> DataFrame:
+    """Links in the frame of a moving reference (key, t, x, y, z), which takes the cell's own motion out, and returns
+    (key, track, t, id, x, y, z) in the original frame. Frames without a reference are left out."""
+    fixed = register(points, reference, [key, "t"]).select(key, "t", "id", *[F.col(f"{c}_reg").alias(c) for c in "xyz"])
+    tracks = link_frames(fixed, key, max_dist, max_lost)
+    return tracks.join(points, [key, "t", "id"]).select(key, "track", "t", "id", *"xyz")

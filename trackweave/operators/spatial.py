@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import distance, xyz
@@ -80,3 +80,18 @@ def pairwise_distance(series: DataFrame, key: str = "cell_id") -> DataFrame:
     b = series.select(key, "t", F.col("id").alias("id_b"), *[F.col(c).alias(f"_{c}") for c in "xyz"])
     both = a.join(b, [key, "t"]).where("id_a < id_b")
     return both.select(key, "t", "id_a", "id_b", distance(xyz(), xyz("_")).alias("dist"))
+
+
+def select_spots(points: DataFrame, nuclei: DataFrame, candidates: DataFrame, frames: DataFrame, radius: float = 10.0, backfill: bool = False) -> DataFrame:
+    """(cell_id, t, id, dist): spots closer than radius to the cell's chosen nucleus of the frame. Frames without one select
+    nothing; with backfill they take the nucleus of the last frame before that had one. frames lists every (t)."""
+    chosen = by_priority(candidates, nuclei)
+    if backfill:
+        grid_ = frames.select("t").crossJoin(F.broadcast(chosen.select("cell_id").distinct()))  # cells of a hand-made list
+        filled = grid_.join(chosen, ["cell_id", "t"], "left")
+        last = F.last(F.when(F.col("id").isNotNull(), F.struct("id", *"xyz")), ignorenulls=True)
+        filled = filled.withColumn("_n", last.over(Window.partitionBy("cell_id").orderBy("t").rowsBetween(Window.unboundedPreceding, 0)))
+        chosen = filled.where("_n is not null").select("cell_id", "t", "_n.*")
+    targets = chosen.select("cell_id", "t", F.col("id").alias("target_id"), *"xyz")
+    cells = points.join(targets.select("cell_id", "t"), "t")
+    return radius_pairs(cells, targets, radius, ["cell_id", "t"]).select("cell_id", "t", "id", "dist")

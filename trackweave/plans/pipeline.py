@@ -22,10 +22,10 @@ def volumes_to_tracks(voxels: DataFrame, movie: int = 0, max_dist: float = 40.0,
     return {"labels": labels, "objects": objects, "tracks": tracks, "track_labels": renamed}
 
 
-def select_and_curate(points: DataFrame, nuclei: DataFrame, candidates: DataFrame, edits: DataFrame, mains: list[int], radius: float = 10.0, top_tp: int = 349) -> dict[str, DataFrame]:
+def select_and_curate(points: DataFrame, nuclei: DataFrame, candidates: DataFrame, edits: DataFrame, mains: list[int], radius: float = 10.0, top_tp: int = 349, backfill: bool = False) -> dict[str, DataFrame]:
     """Spots near the chosen nucleus, and the tracks after the curation script; merged follows spots into others."""
     chosen = spatial.by_priority(candidates, nuclei)
-    near = spatial.radius_pairs(points, chosen.withColumnRenamed("id", "target_id"), radius)
+    near = spatial.select_spots(points, nuclei, candidates, points.select("t").distinct(), radius, backfill)
     selected = points.join(near.select("t", "id"), ["t", "id"], "left_semi")
     numbered = curation.numbered(curation.intervals(curation.parse(edits), top_tp), mains)
     return {"reference": chosen, "selected": selected, "curated": curation.apply(numbered, points), "merged": curation.apply(numbered, points, merged=True)}

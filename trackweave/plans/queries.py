@@ -705,6 +705,11 @@ def null_models(spark, d):
     return P.null_models(cos, P.persistence_prob(P.run_counter(cos)), 100)
 
 
+@query()
+def null_model_persistence(spark, d):
+    return P.persistence_prob(P.run_counter(null_models(spark, d).withColumn("id", F.struct("model", "cell_id", "id"))), "model").select("model", "c", "p1", "b1", r6("prob").alias("prob"))
+
+
 # ---- scalars ----
 
 

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 
 
 def write_table(rows: DataFrame, path: str, by_frame: bool = False) -> None:
@@ -15,3 +18,14 @@ def write_table(rows: DataFrame, path: str, by_frame: bool = False) -> None:
 
 def write_points(points: DataFrame, path: str, sep: str = ",") -> None:
     points.write.mode("overwrite").csv(path, header=True, sep=sep)
+
+
+def stored(spark: SparkSession, path: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """The table at path; if there is none yet it is made and written first, so interrupted work goes on from there."""
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+    make().write.parquet(path)
+    return spark.read.parquet(path)
