@@ -52,6 +52,14 @@ def test_components(spark):
     assert common.connected_components(spark.createDataFrame([], "u long, v long")).count() == 0
 
 
+def test_intermediate_tables_can_be_cleared(spark):
+    df = common.materialise(spark.range(5), "test-clear")
+    assert df.count() == 5 and common.clear_intermediate(spark) >= 1
+    with pytest.raises(Exception, match="(?i)not exist|not found"):
+        df.count()
+    assert common.clear_intermediate(spark) == 0
+
+
 # ---- embeddings ----
 
 

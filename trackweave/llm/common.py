@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -26,11 +25,24 @@ def shared_dir(spark: SparkSession) -> str:
     return held.rstrip("/")
 
 
+WRITTEN: list[str] = []  # folders of intermediate tables that this driver has made
+
+
+def clear_intermediate(spark: SparkSession) -> int:
+    """Deletes the intermediate tables made so far. Only for when results that read them have been written."""
+    jvm, conf, n = spark._jvm, spark._jsc.hadoopConfiguration(), 0
+    while WRITTEN:
+        path = jvm.org.apache.hadoop.fs.Path(WRITTEN.pop())
+        n += path.getFileSystem(conf).delete(path, True)
+    return n
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Writes df as Parquet into the shared folder and reads it again, which cuts the lineage for good: the files
     outlive any executor. Each call uses a new folder, so a repeated query never reads an older one's rows."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    WRITTEN.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -117,13 +129,3 @@ def connected_components(edges: DataFrame, name: str = "components", max_rounds:
         if last[0]:
             raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
-
-
-def local_path(uri: str) -> str:
-    return uri[len("file://") :] if uri.startswith("file://") else uri
-
-
-def ensure_file(path: str) -> str:
-    if not os.path.exists(path):
-        raise FileNotFoundError(path)
-    return path

@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, shared_dir, slices, table
+from .common import WRITTEN, materialise, shared_dir, slices, table
 
 REVISIT_LEAST = 1000  # bytes a payload needs to be stored once only
 DATE = "2024-01-01T00:00:00Z"
@@ -72,6 +72,7 @@ def capture(name: str, page_id, url: str, payload: bytes, digest: str, refers) -
 def write_archives(plan: DataFrame, roll_bytes: int = 64 << 20) -> DataFrame:
     """Writes the archives and returns the written manifest (path, records, bytes) of finished files."""
     folder = f"{shared_dir(plan.sparkSession)}/warc-{uuid.uuid4().hex}"
+    WRITTEN.append(folder)
 
     def run(batches):
         from pyarrow import fs
