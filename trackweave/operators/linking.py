@@ -10,6 +10,7 @@ from math import ceil, log2
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import materialise
 from .spatial import radius_pairs, register
 
 
@@ -26,12 +27,14 @@ def mutual_links(points: DataFrame, max_dist: float, key: list[str] | None = Non
 
 def chains(points: DataFrame, links: DataFrame, n_frames: int) -> DataFrame:
     """(id, t, head, place): the first point of each point's chain and the steps from it. Chains have one link in and one
-    out at most, so pointers are doubled: log2(n_frames) joins. Ids are unique over frames."""
+    out at most, so pointers are doubled: log2(n_frames) joins, each written, as a plan that joins with itself would double
+    as well. Ids are unique over frames."""
     up = points.select("id", "t").join(links.select(F.col("id_b").alias("id"), F.col("id_a").alias("head")), "id", "left")
     up = up.withColumn("place", F.when(F.col("head").isNull(), 0).otherwise(1)).withColumn("head", F.coalesce("head", "id"))
+    up = materialise(up, "chains")
     for _ in range(max(1, ceil(log2(max(2, n_frames))))):
         above = up.select(F.col("id").alias("head"), F.col("head").alias("_h"), F.col("place").alias("_p"))
-        up = up.join(above, "head").select("id", "t", F.col("_h").alias("head"), (F.col("place") + F.col("_p")).alias("place"))
+        up = materialise(up.join(above, "head").select("id", "t", F.col("_h").alias("head"), (F.col("place") + F.col("_p")).alias("place")), "chains")
     return up
 
 

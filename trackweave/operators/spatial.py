@@ -76,6 +76,7 @@ def unregister(points: DataFrame, reference: DataFrame, on: list[str] | str = "t
 
 def pairwise_distance(series: DataFrame, key: str = "cell_id") -> DataFrame:
     """(key, t, id_a, id_b, dist) of the unordered pairs of a cell's spots that are both present in a frame."""
+    series = series.select(key, "t", "id", *"xyz").repartition(key, "t")  # one exchange for both sides
     a = series.select(key, "t", F.col("id").alias("id_a"), *"xyz")
     b = series.select(key, "t", F.col("id").alias("id_b"), *[F.col(c).alias(f"_{c}") for c in "xyz"])
     both = a.join(b, [key, "t"]).where("id_a < id_b")

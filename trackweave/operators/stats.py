@@ -16,6 +16,7 @@ def pearson(a: str, b: str) -> Column:
 def correlation(rows: DataFrame, columns: list[str], key: str = "cell_id") -> DataFrame:
     """(key, id_a, id_b, r_<column>...) for all ordered pairs of a cell's series, pairwise complete; in long form, never
     pivoted. rows are dense (id, key, t, columns)."""
+    rows = rows.select(key, "t", "id", *columns).repartition(key, "t")  # one exchange for both sides
     a = rows.select(key, "t", F.col("id").alias("id_a"), *columns)
     b = rows.select(key, "t", F.col("id").alias("id_b"), *[F.col(c).alias(f"_{c}") for c in columns])
     return a.join(b, [key, "t"]).groupBy(key, "id_a", "id_b").agg(*[pearson(c, f"_{c}").alias(f"r_{c}") for c in columns])
