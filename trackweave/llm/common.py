@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -10,41 +9,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where that is unset (tests, one machine) a folder under /tmp is set."""
-    at = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if at:
-        return at.rstrip("/")
-    held = spark.sparkContext.getCheckpointDir()
-    if held is None:
-        spark.sparkContext.setCheckpointDir("file:///tmp/checkpoints")
-        held = spark.sparkContext.getCheckpointDir()
-    return held.rstrip("/")
-
-
-WRITTEN: list[str] = []  # folders of intermediate tables that this driver has made
+from ..sources.shared import WRITTEN, clear_intermediate, materialise, shared_dir  # noqa: F401  for the operators
 
-
-def clear_intermediate(spark: SparkSession) -> int:
-    """Deletes the intermediate tables made so far. Only for when results that read them have been written."""
-    jvm, conf, n = spark._jvm, spark._jsc.hadoopConfiguration(), 0
-    while WRITTEN:
-        path = jvm.org.apache.hadoop.fs.Path(WRITTEN.pop())
-        n += path.getFileSystem(conf).delete(path, True)
-    return n
-
-
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Writes df as Parquet into the shared folder and reads it again, which cuts the lineage for good: the files
-    outlive any executor. Each call uses a new folder, so a repeated query never reads an older one's rows."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    WRITTEN.append(path)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
