@@ -222,6 +222,16 @@ def test_repeats_treats_repeated_rows_as_one_document(spark):
     assert repeats.without_repeats(rows.limit(0)).count() == 0
 
 
+def test_repeats_in_pieces_of_a_long_text(spark):
+    rng = np.random.default_rng(0)
+    t = bytes(rng.integers(97, 101, 5000, np.uint8)).decode()
+    t = t + t[1000:2300] + "x" + t[:150]
+    rows = spark.createDataFrame([(1, 0, t.encode())], "doc long, th int, text binary")
+    windows = lambda df: Counter((r.h, s) for r in df.collect() for s in range(r.place >> 24, (r.place >> 24) + (r.place & 0xFFFFFF) - 99))
+    whole = windows(repeats.runs(rows, 100))
+    assert windows(repeats.runs(rows, 100, piece=333)) == whole and sorted(s for _, s in whole) == list(range(len(t) - 99))
+
+
 def test_repeat_groups_hold_all_occurrences():
     left = np.array([1, 2, 2, 3])
     assert repeats.scan_intervals(np.array([30, 50, 30]), left, np.array([3, 1, 2, 0])).tolist() == [30, 30, 30, 0]

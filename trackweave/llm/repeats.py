@@ -187,14 +187,23 @@ RUN = "h long, doc long, th int, place long"
 SPAN_BITS = 24  # of a run's length in `place`, which holds first byte << SPAN_BITS | length
 
 
-def runs(rows: DataFrame, length: int) -> DataFrame:
+def runs(rows: DataFrame, length: int, piece: int = 4 * SLICE) -> DataFrame:
+    """A window's anchor depends on the window alone, so a text longer than `piece` is worked off in pieces that share
+    length - 1 bytes."""
+
     def run(batches):
         for whole in batches:
             for batch in slices(whole, SLICE):
                 texts = [t.as_py() for t in batch.column(2)]
-                text, h, a, e = anchor_runs(texts, length)
-                at = pa.array(text)
-                yield pa.record_batch([pa.array(h), batch.column(0).take(at), batch.column(1).take(at), pa.array(a << SPAN_BITS | (e - a))], ["h", "doc", "th", "place"])
+                row = np.array([k for k, t in enumerate(texts) for _ in range(0, max(1, len(t) - length + 1), piece)])
+                base = np.array([s for t in texts for s in range(0, max(1, len(t) - length + 1), piece)])
+                parts = [texts[k][s : s + piece + length - 1] for k, s in zip(row.tolist(), base.tolist(), strict=True)]
+                step = len(parts) if sum(map(len, parts)) <= 2 * piece else 1
+                for x in range(0, len(parts), step):
+                    part, h, a, e = anchor_runs(parts[x : x + step], length)
+                    at = pa.array(row[part + x])
+                    place = (a + base[part + x]) << SPAN_BITS | (e - a)
+                    yield pa.record_batch([pa.array(h), batch.column(0).take(at), batch.column(1).take(at), pa.array(place)], ["h", "doc", "th", "place"])
 
     return rows.mapInArrow(run, RUN)
 
