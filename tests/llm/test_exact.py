@@ -109,7 +109,7 @@ def as_table(monkeypatch):
     """Lets a query read a given table."""
 
     def give(module, **tables):
-        monkeypatch.setattr(module, "table", lambda spark, sf_dir, name: tables[name])
+        monkeypatch.setattr(module, "documents", lambda spark, sf_dir: tables["documents"])
 
     return give
 

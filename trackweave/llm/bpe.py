@@ -22,7 +22,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, table
+from .common import documents, slices
 
 MEMO = 600_000  # pre-tokens a worker remembers before it starts anew
 MOST_VOCABULARY_BYTES = 64 << 20
@@ -193,4 +193,4 @@ def vocabulary() -> tuple[str, str]:
 
 
 def op4(spark, sf_dir: str) -> DataFrame:
-    return tokenised(table(spark, sf_dir, "documents"), *vocabulary(), with_ids=False).withColumnRenamed("id", "doc_id")
+    return tokenised(documents(spark, sf_dir), *vocabulary(), with_ids=False).withColumnRenamed("id", "doc_id")

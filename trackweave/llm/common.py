@@ -18,6 +18,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table documents. If it has fewer splits than there are cores, its rows are dealt evenly to all: the operators
+    work long on each text. Large tables have more splits and are read as they are."""
+    docs, n = table(spark, sf_dir, "documents"), spark.sparkContext.defaultParallelism
+    return docs.repartition(n) if docs.rdd.getNumPartitions() < n else docs
+
+
 def plain(df: DataFrame, known: tuple[str, ...]) -> tuple[DataFrame, list[str]]:
     """df with columns beyond the known ones renamed to _own0, _own1, ...: names that clash with an operator's own or
     hold dots do no harm. The second value is what to give toDF() to have the old names back."""

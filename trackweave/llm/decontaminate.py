@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import plain, slices, table, utf8
+from .common import documents, plain, slices, table, utf8
 
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 SAMPLE = 8
@@ -282,7 +282,7 @@ def one_pass(block, window: int, last: bool, cut: bool):
 
 
 def op9(spark, sf_dir: str) -> DataFrame:
-    out = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    out = contamination(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
     names = F.array_join(F.array_sort(F.transform("items", lambda i: i.cast("string"))), ",")
     return out.select(
         F.col("id").alias("doc_id"), "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),

@@ -19,7 +19,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, table
+from .common import ascii_lower, documents
 
 # Base phrases and their labels.
 BASE = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
@@ -119,7 +119,7 @@ def licences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", te
 
 
 def op2(spark, sf_dir: str) -> DataFrame:
-    out = licences(table(spark, sf_dir, "documents"))
+    out = licences(documents(spark, sf_dir))
     base_labels = F.array_compact(F.array(*[F.when(F.get("base", F.lit(k))["n"] > 0, F.lit(label)) for k, label in enumerate(BASE.values())]))
     joined = lambda labels: F.array_join(F.array_sort(F.array_distinct(labels)), ",")
     return out.select(

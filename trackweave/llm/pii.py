@@ -24,7 +24,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import plain, table
+from .common import documents, plain
 
 # Plain forms: [A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+ ; [0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+) ;
 # [0-9]([\x20-]?[0-9])+ ; \+[0-9][\x20().0-9-]+[0-9]. A match starts at a run's start or where the last match ended.
@@ -185,7 +185,7 @@ def listing(kind: str) -> Column:
 
 
 def op1(spark, sf_dir: str) -> DataFrame:
-    out = scanned(table(spark, sf_dir, "documents"))
+    out = scanned(documents(spark, sf_dir))
     base = F.concat(*[listing(k) for k in KINDS])
     return out.select(
         F.col("id").alias("doc_id"), *[F.size(k).cast("long").alias(f"n_{k}") for k in KINDS],

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, StructField, StructType
 
-from .common import plain, slices, table
+from .common import documents, plain, slices, table
 
 DENSE = 15
 TEXT_DIM = 256 + DENSE
@@ -200,7 +200,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> Dat
 
 
 def op3(spark, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = documents(spark, sf_dir)
     model = trained(docs, table(spark, sf_dir, "labels"))
     rows = docs.selectExpr("cast(doc_id as long) doc_id", *SEEN.split(", "))
     return scored(rows, model).select("doc_id", F.col("quality_score").alias("score"), "score_text", "score_metadata", F.col("quality_keep").alias("keep"))

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_batch, connected_components, materialise, plain, slices, unite, utf8
+from .common import by_batch, connected_components, documents, materialise, plain, slices, unite, utf8
 
 TILE = 1024
 CHANCE = 256
@@ -213,7 +213,5 @@ def keep_one(docs: DataFrame, shingle: int = 5, radius: int = 10, least: float =
 
 
 def op6(spark, sf_dir: str) -> DataFrame:
-    from .common import table
-
-    out = near_duplicates(table(spark, sf_dir, "documents"))
+    out = near_duplicates(documents(spark, sf_dir))
     return out.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
