@@ -314,3 +314,44 @@ def test_simulated_runs_pool_by_model(spark):
     df = spark.createDataFrame(rows, "model string, k long, t int, cos double").withColumn("id", F.struct("model", "k"))
     got = {(r.model, r.c): (r.p1, r.b1) for r in persistence.persistence_prob(persistence.run_counter(df), "model").collect()}
     assert got == {("u", 1): (2, 0), ("v", 1): (1, 0), ("v", 2): (1, 0)}
+
+
+def test_nucleus_text_round_trip(spark):
+    rows = [(1, 0, 5, 35), (1, 0, 3, None), (1, 10, 5, 36), (2, 2, 7, 1)]
+    df = spark.createDataFrame(rows, "cell_id long, t int, id long, nuc_id long")
+    text = curation.nucleus_lines(df)
+    assert {r.cell_id: r.text for r in text.collect()} == {1: "T: 0\n3: nan\n5: 35\nT: 10\n5: 36\n", 2: "T: 2\n7: 1\n"}
+    assert {tuple(r) for r in curation.nucleus_text(text).collect()} == set(rows)
+
+
+def test_two_dimensions_have_z_zero(spark):
+    p = spark.createDataFrame([(k, t, float(10 * k + t), 1.0, 9.0 * k * t, 0) for k in (1, 2) for t in range(3)], "id long, t int, x double, y double, z double, movie int")
+    flat = tables.project(p, two_d=True).withColumn("movie", F.lit(0))
+    assert {r.z for r in flat.collect()} == {0.0}
+    named = flat.withColumn("id", F.col("id") * 100 + F.col("t"))
+    track = {r.id: r.track for r in linking.link_frames(named, "movie", 3.0).collect()}
+    assert track[100] == track[101] == track[102] != track[200] == track[202]
+
+
+def test_missing_frames_and_moving_average(spark):
+    rows = spark.createDataFrame([(1, 0, 1.0), (1, 3, 4.0), (2, 1, 5.0)], "id long, t int, v double")
+    assert {tuple(r) for r in spine.missing_frames(rows).collect()} == {(1, 1), (1, 2), (2, 0), (2, 2), (2, 3)}
+    avg = {(r.id, r.t): r.v_avg for r in spine.moving_avg(spine.densify(rows, "id"), ["v"], ["id"]).collect()}
+    assert avg[1, 1] == 2.5 and avg[1, 0] == 1.0 and avg[2, 3] == 5.0
+
+
+def test_intensity_correction_scales_back(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, 0, t, float(rng.normal()), 0.0, float(rng.integers(0, 9)), float(rng.uniform(5, 9))) for i in (1, 2) for t in range(12)]
+    df = spark.createDataFrame(rows, "id long, cell_id long, t int, x double, y double, z double, fluo double")
+    top = max(r[5] for r in rows)
+    lo = {i: min(r[6] for r in rows if r[0] == i) for i in (1, 2)}
+    hi = {i: max(r[6] for r in rows if r[0] == i) for i in (1, 2)}
+    norm = np.array([(r[6] - lo[r[0]]) / (hi[r[0]] - lo[r[0]]) for r in rows])
+    x = np.column_stack([[top - r[5] for r in rows], [r[2] for r in rows], np.ones(len(rows))])
+    for log in (False, True):
+        b = np.linalg.lstsq(x, np.log1p(norm) if log else norm, rcond=None)[0]
+        ratio = np.exp(b[2]) / np.exp(x @ b) if log else b[2] / (x @ b)
+        want = {(r[0], r[2]): v * q * (hi[r[0]] - lo[r[0]]) + lo[r[0]] for r, v, q in zip(rows, norm, ratio)}
+        got = {(r.id, r.t): r.fluo_corr for r in stats.zt_correction(df, log).collect()}
+        assert got == pytest.approx(want)

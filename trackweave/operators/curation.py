@@ -63,3 +63,12 @@ def nucleus_text(texts: DataFrame) -> DataFrame:
     rows = lines(texts).withColumns({"_k": key, "_v": value})
     t = F.last(F.when(F.col("_k") == "T", F.col("_v").try_cast("int")), ignorenulls=True).over(Window.partitionBy("cell_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0))
     return rows.withColumn("t", t).where("_k <> 'T'").select("cell_id", "t", F.col("_k").try_cast("long").alias("id"), F.col("_v").try_cast("long").alias("nuc_id"))
+
+
+def nucleus_lines(rows: DataFrame) -> DataFrame:
+    """Rows (cell_id, t, id, nuc_id) -> (cell_id, text) in that format; a missing nucleus is written as nan."""
+    pair = F.concat_ws(": ", F.col("id").cast("string"), F.coalesce(F.col("nuc_id").cast("string"), F.lit("nan")))
+    frame = rows.groupBy("cell_id", "t").agg(F.transform(F.array_sort(F.collect_list(F.struct("id", pair.alias("line")))), lambda s: s["line"]).alias("lines"))
+    block = F.concat(F.lit("T: "), F.col("t").cast("string"), F.lit("\n"), F.array_join("lines", "\n"), F.lit("\n"))
+    cells = frame.groupBy("cell_id").agg(F.array_sort(F.collect_list(F.struct("t", block.alias("block")))).alias("blocks"))
+    return cells.select("cell_id", F.array_join(F.transform("blocks", lambda b: b["block"]), "").alias("text"))
