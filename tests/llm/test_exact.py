@@ -4,6 +4,7 @@ import hashlib
 import re
 from collections import Counter
 
+import duckdb
 import numpy as np
 import pytest
 import tiktoken
@@ -72,6 +73,19 @@ def test_pii_terms_follow_the_corpus(spark):
     assert not any(r.terms for r in listed(pii.scanned(pair)).collect())  # two texts are too few to tell
 
 
+def test_pii_sql_agrees_where_terms_are_found(spark, as_table, tmp_path):
+    rows = [(k, f"w{chr(97 + k)} Zebedee Éric writes from zeb{chr(64)}mail.org, Zebedee, +1 (988) 555-248{k} on day {chr(97 + k)}") for k in range(5)]
+    rows += [(10 + k, f"plain text on writes from day {k} 4111 1111 1111 1111") for k in range(40)] + [(60, HARD[0]), (61, None), (62, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    as_table(pii, documents=df)
+    con = duckdb.connect()
+    df.coalesce(1).write.parquet(str(tmp_path / "d"))
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/d/*.parquet'")
+    rel = con.sql(pii.sql())
+    got = pii.op1(spark, "").select(*rel.columns).collect()
+    assert by_row(got) == by_row(rel.fetchall()) and sum(r.n_terms for r in got) >= 10
+
+
 def test_pii_disclosure_is_the_formula(spark):
     rows = [(k, f"alpha beta x{chr(64)}y.org gamma") for k in range(5)] + [(9 + k, "alpha other") for k in range(5)] + [(50 + k, "nothing here") for k in range(30)]
     rows = [(k, f"{t} uniq{'abcdefghij'[k % 10]}{'klmnopqrst'[k // 10]}") for k, t in rows]

@@ -191,3 +191,40 @@ def op1(spark, sf_dir: str) -> DataFrame:
         F.col("id").alias("doc_id"), *[F.size(k).cast("long").alias(f"n_{k}") for k in KINDS],
         F.sha2(F.array_join(base, ","), 256).alias("base_sha256"), F.array_join(F.concat(base, listing("term")), ",").alias("spans"), F.size("term").cast("long").alias("n_terms"),
     )
+
+
+PLAIN = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+
+
+def sql(window: int = 6, generalise_at: float = 0.6, min_support: int = 3) -> str:
+    """The query in DuckDB's SQL, for tables whose ids are unique."""
+    places = "coalesce(list_sum(list_transform(p[1:i], lambda y: length(y))), 0) + coalesce(list_sum(list_transform(m[1:i-1], lambda y: length(y))), 0)"
+    found = " UNION ALL ".join(f"SELECT doc_id, h, '{kind}' AS kind, {k} AS k, regexp_extract_all(x, '{re}') AS m, string_split_regex(x, '{re}') AS p FROM d" for k, (kind, re) in enumerate(PLAIN.items()))
+    terms_of = lambda x: f"list_filter(string_split_regex(lower({x}), '[^\\p{{L}}]+'), lambda w: length(w) >= 3)"
+    digit = "CAST(substr(dg, length(dg) - j + 1, 1) AS INT) * (1 + (j - 1) % 2)"
+    return f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS x, md5(coalesce(text, '')) AS h FROM documents),
+f AS (SELECT *, unnest(generate_series(1, len(m))) AS i FROM ({found})),
+s AS (SELECT doc_id, h, kind, k, m[i] AS v, regexp_replace(m[i], '[^0-9]', '', 'g') AS dg, CAST({places} AS BIGINT) AS a, p[i] AS before, p[i+1] AS after FROM f),
+base AS (SELECT *, a + length(v) AS b FROM s WHERE CASE kind WHEN 'ip' THEN list_max(list_transform(string_split(v, '.'), lambda y: CAST(y AS DOUBLE))) <= 255
+  WHEN 'card' THEN length(dg) BETWEEN 16 AND 19 AND list_sum(list_transform(generate_series(1, length(dg)), lambda j: {digit} - CASE WHEN {digit} > 9 THEN 9 ELSE 0 END)) % 10 = 0
+  WHEN 'phone' THEN length(dg) BETWEEN 8 AND 15 ELSE true END),
+e AS (SELECT doc_id, h, kind || ':' || CASE kind WHEN 'email' THEN lower(v) WHEN 'ip' THEN v ELSE dg END AS entity, list_concat({terms_of('before')}[-{window}:], {terms_of('after')}[1:{window}]) AS w FROM base),
+near AS (SELECT DISTINCT doc_id, h, entity, term FROM (SELECT doc_id, h, entity, unnest(w) AS term FROM e)),
+n_e AS (SELECT entity, count(DISTINCT doc_id) AS n FROM e GROUP BY 1),
+joint AS (SELECT entity, term, count(*) AS n FROM near GROUP BY 1, 2 HAVING count(DISTINCT h) >= {min_support}),
+n_t AS (SELECT term, count(*) AS n FROM (SELECT doc_id, unnest(list_distinct({terms_of('x')})) AS term FROM d) GROUP BY 1),
+told AS (SELECT j.entity, j.term FROM joint j JOIN n_e ON n_e.entity = j.entity JOIN n_t ON n_t.term = j.term, (SELECT count(*) AS n FROM d) c
+  WHERE log2(j.n * CAST(c.n AS DOUBLE) / (n_e.n * n_t.n)) / nullif(log2(CAST(c.n AS DOUBLE) / n_e.n), 0) >= {generalise_at}),
+listed AS (SELECT DISTINCT near.doc_id, near.term FROM near JOIN told ON told.entity = near.entity AND told.term = near.term),
+r AS (SELECT doc_id, m, p, unnest(generate_series(1, len(m))) AS i FROM (SELECT doc_id, regexp_extract_all(x, '\\p{{L}}+') AS m, string_split_regex(x, '\\p{{L}}+') AS p FROM d WHERE doc_id IN (SELECT doc_id FROM listed))),
+runs AS (SELECT r.doc_id, CAST({places} AS BIGINT) AS a, m[i] AS v FROM r),
+term AS (SELECT runs.doc_id, a, a + length(v) AS b FROM runs JOIN listed ON listed.doc_id = runs.doc_id AND listed.term = lower(v)
+  WHERE NOT EXISTS (SELECT 1 FROM base WHERE base.doc_id = runs.doc_id AND base.a < runs.a + length(runs.v) AND runs.a < base.b)),
+bs AS (SELECT doc_id, count(*) FILTER (WHERE k = 0) AS n0, count(*) FILTER (WHERE k = 1) AS n1, count(*) FILTER (WHERE k = 2) AS n2, count(*) FILTER (WHERE k = 3) AS n3,
+  string_agg(kind || ':' || a || ':' || b, ',' ORDER BY k, a) AS s FROM base GROUP BY 1),
+ts AS (SELECT doc_id, count(*) AS n, string_agg('term:' || a || ':' || b, ',' ORDER BY a) AS s FROM term GROUP BY 1)
+SELECT d.doc_id, coalesce(n0, 0) AS n_email, coalesce(n1, 0) AS n_ip, coalesce(n2, 0) AS n_card, coalesce(n3, 0) AS n_phone, sha256(coalesce(bs.s, '')) AS base_sha256,
+concat_ws(',', bs.s, ts.s) AS spans, coalesce(ts.n, 0) AS n_terms FROM d LEFT JOIN bs ON bs.doc_id = d.doc_id LEFT JOIN ts ON ts.doc_id = d.doc_id"""

@@ -14,8 +14,9 @@ QUERIES = {
     "op9_decontamination": decontaminate.op9,
     "op10_embedding_caps": embeddings.op10,
 }
-# The others: 1 and 3 rest on what is fitted to the corpus, 4 and 6 on a tokeniser and a hash that SQL lacks.
+# The others: 3 rests on a trained model, 4 and 6 on a tokeniser and a hash that SQL lacks.
 ORACLE_SQL = {
+    "op1_pii_disclosure": pii.sql(),
     "op2_license_index": licenses.sql(),
     "op5_suffix_repeats": repeats.SQL,
     "op7_url_filter": urlfilter.SQL,
