@@ -234,7 +234,7 @@ def cut_words(text: bytes, spans: list[tuple[int, int]]) -> bytes:
     return b"".join([*out, text[last:]])
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 16 << 20, cut: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 2 << 20, cut: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
     """(id, n_words, n_hit, hit, items, *carry), with cut=True also clean: the text without its hit spans (null stays null)."""
     spark = docs.sparkSession
     empty = F.array().cast("array<struct<start:int,end:int>>"), F.array().cast("array<long>")
