@@ -71,7 +71,8 @@ def capture(name: str, page_id, url: str, payload: bytes, digest: str, refers) -
 
 def write_archives(plan: DataFrame, roll_bytes: int = 64 << 20) -> DataFrame:
     """Writes the archives and returns the written manifest (path, records, bytes) of finished files."""
-    folder = f"{shared_dir(plan.sparkSession)}/warc-{uuid.uuid4().hex}"
+    spark = plan.sparkSession
+    folder = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
     WRITTEN.append(folder)
 
     def run(batches):
@@ -99,10 +100,14 @@ def write_archives(plan: DataFrame, roll_bytes: int = 64 << 20) -> DataFrame:
         if sink is not None:
             sink.close()
             done.append((name, records, size))
-        yield pa.record_batch([pa.array([f"{folder}/{x[0]}" for x in done], pa.string()), pa.array([x[1] for x in done], pa.int64()), pa.array([x[2] for x in done], pa.int64())], ["path", "records", "bytes"])
+        names = pa.array([[{"path": f"{folder}/{n}", "records": r, "bytes": b} for n, r, b in done]], pa.list_(pa.struct([("path", pa.string()), ("records", pa.int64()), ("bytes", pa.int64())])))
+        yield pa.record_batch([names], ["files"])
 
+    # One row per task: a task that runs again sends its row where the first one went, so a reader has the files of one run.
     rows = plan.select("id", "url", "payload", "digest", "n", "refers")
-    return materialise(rows.mapInArrow(run, "path string, records long, bytes long"), "warc-manifest")
+    finished = rows.mapInArrow(run, "files array<struct<path:string,records:long,bytes:long>>")
+    few = finished.repartition(max(1, spark.sparkContext.defaultParallelism // 4))
+    return materialise(few.select(F.inline("files")), "warc-manifest")
 
 
 def members(stream, chunk: int = 1 << 16):
@@ -168,19 +173,19 @@ def read_archives(manifest: DataFrame, with_payload: bool = True) -> DataFrame:
 
 def transactions(records: DataFrame) -> DataFrame:
     """One row per capture: structs response (or revisit), request, metadata; missing companions are null. If several
-    records of a kind name the same capture, the one with the smallest record id is taken and `n_*` counts them."""
-
-    def companions(kind: str, *columns: str) -> DataFrame:
-        mine = records.where((F.col("type") == kind) & F.col("concurrent_to").isNotNull())
-        return mine.groupBy(F.col("concurrent_to").alias("main_id")).agg(F.min_by(F.struct("record_id", *columns), "record_id").alias(kind), F.count("*").alias(f"n_{kind}"))
-
+    records of a kind name the same capture, the one with the smallest record id is taken and `n_*` counts them. Both
+    kinds of companions meet by the capture's id in one aggregate, which is then joined."""
+    mine = records.where(F.col("type").isin("request", "metadata") & F.col("concurrent_to").isNotNull())
+    of = lambda kind, *columns: F.when(F.col("type") == kind, F.struct("record_id", *columns))
+    first = [F.min(of("request", "target")).alias("request"), F.count_if(F.col("type") == "request").alias("n_request"), F.min(of("metadata", "page_id", "payload_bytes")).alias("metadata"), F.count_if(F.col("type") == "metadata").alias("n_metadata")]
+    companions = mine.groupBy(F.col("concurrent_to").alias("main_id")).agg(*first)
     main = records.where(F.col("type").isin("response", "revisit")).select(F.col("record_id").alias("main_id"), F.struct("record_id", "type", "refers_to", "target", "payload_bytes", "payload_digest", "payload").alias("response"))
-    return main.join(companions("request", "target").hint("merge"), "main_id", "left").join(companions("metadata", "page_id", "payload_bytes").hint("merge"), "main_id", "left")
+    return main.join(companions.hint("merge"), "main_id", "left")
 
 
 def op8(spark, sf_dir: str) -> DataFrame:
     manifest = write_archives(planned(table(spark, sf_dir, "pages")))
-    got = transactions(materialise(read_archives(manifest, with_payload=False), "warc-records"))
+    got = transactions(read_archives(manifest, with_payload=False))
     return got.select(
         F.col("metadata.page_id").alias("page_id"), F.coalesce("response.payload_bytes", "metadata.payload_bytes").alias("payload_bytes"), F.col("response.payload_digest").alias("payload_digest"),
         F.col("response.type").alias("record_type"), F.regexp_extract("response.refers_to", r"^urn:x-page:(-?\d+)$", 1).try_cast("long").alias("refers_to"),
