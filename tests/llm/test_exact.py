@@ -146,6 +146,18 @@ def test_licence_templates_need_position_and_phrase(spark):
     assert licenses.licences(rows.limit(0)).count() == 0
 
 
+def test_licence_files_of_several_licences(spark):
+    """All of a file's licences are found, however many words they have together."""
+    text_of = {label: text for label, text, _ in licenses.TEMPLATES}  # the last, longest one of each label
+    sets = [("mit", "bsd-3"), ("bsd-3", "apache-2"), ("mit", "bsd-3", "apache-2"), tuple(text_of), ("bsd-3",)]
+    texts = [" ".join(f"part {k} {text_of[label]}." for k, label in enumerate(labels)) for labels in sets]
+    texts += [f"Licensed under the GNU General Public License version 3. {text_of['bsd-3']}"] + [f"ordinary words number {k}" for k in range(300)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.id: set(r.found) for r in licenses.licences(rows).collect()}
+    assert [got[k] for k in range(len(sets))] == [set(labels) for labels in sets]
+    assert got[len(sets)] == {"gpl-3", "bsd-3"} and not any(got[k] for k in range(len(sets) + 1, len(texts)))
+
+
 # ---- BPE ----
 
 

@@ -3,8 +3,10 @@
 Templates are short licence texts with mandatory key phrases. Their words make the index: word -> postings (template,
 position). The corpus gives each indexed word its IDF, ln((rows + 1) / (rows with it + 1)). A file looks up the `top`
 indexed words of highest IDF that it holds (at least `min_idf`); each of their places votes, with the word's IDF, for
-(template, place - position). The best relative position's votes over the template's whole IDF is the template's score.
-Templates that reach `accept` and whose key phrases stand in the file word for word give their label.
+(template, place - position). The best relative position's votes over the template's whole IDF is the template's score;
+the file's score is the best one. Texts of several licences share the `top` words, so labels do not rest on them: for
+each template whose key phrases stand in the file word for word, all its words vote at all their places, and it gives its
+label if that reaches `accept` of its IDF. These votes hold the index's own, so no template that the index accepts is lost.
 
 Base phrases are found word for word beside that, and their labels are always given. All is DataFrame functions within a
 row: the one exchange is the count of rows by indexed word, a few hundred words.
@@ -81,6 +83,14 @@ def best_votes(votes: Column, template: int) -> Column:
     return F.aggregate(F.filter(votes, lambda v: v["t"] == template), start, step, lambda a: a["best"])
 
 
+def votes_of(words: Column, chosen: Column, templates: Column | None, postings: dict[str, list[Column]]) -> Column:
+    """Sorted votes of the chosen words' places, for the given templates or for all."""
+    index = F.create_map(*[x for w, places in postings.items() for x in (F.lit(w), F.array(*places))])
+    hits = F.filter(F.transform(words, lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda x: F.array_contains(chosen, x["w"]))
+    votes = F.flatten(F.transform(hits, lambda h: F.transform(F.element_at(index, h["w"]), lambda p: F.struct(p["t"].alias("t"), (h["i"] - p["p"]).alias("d"), p["idf"].alias("idf")))))
+    return F.array_sort(votes if templates is None else F.filter(votes, lambda v: F.array_contains(templates, v["t"])))
+
+
 def licences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates=TEMPLATES, top: int = 12, min_idf: float = 1.5, accept: float = 0.6) -> DataFrame:
     """(id, n_words, base array<struct<n,first,last>> in the order of BASE, found array<string>, score)."""
     rows = docs.select(F.col(id_col).alias("id"), words_of(F.col(text_col)).alias("words"))
@@ -92,28 +102,30 @@ def licences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", te
     base = F.array(*[phrase_places(joined, n_words, p) for p in BASE])
     if not rare:
         return out.select("id", n_words.cast("long").alias("n_words"), base.alias("base"), F.array().cast("array<string>").alias("found"), F.lit(0.0).alias("score"))
-    postings: dict[str, list[Column]] = {w: [] for w in rare}
+    postings: dict[str, list[Column]] = {w: [] for w in vocabulary}
     for t, (_, text, _) in enumerate(templates):
         for p, w in enumerate(text.split()):
-            if w in postings:
-                postings[w].append(F.struct(F.lit(t).alias("t"), F.lit(p).alias("p"), F.lit(idf[w]).alias("idf")))
-    index = F.create_map(*[x for w in rare for x in (F.lit(w), F.array(*postings[w]))])
-    out = out.withColumn("top", F.slice(F.array_intersect(F.array(*[F.lit(w) for w in rare]), "words"), 1, top))
-    hits = F.filter(F.transform("words", lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda x: F.array_contains("top", x["w"]))
-    votes = F.flatten(F.transform(hits, lambda h: F.transform(F.element_at(index, h["w"]), lambda p: F.struct(p["t"].alias("t"), (h["i"] - p["p"]).alias("d"), p["idf"].alias("idf")))))
+            postings[w].append(F.struct(F.lit(t).alias("t"), F.lit(p).alias("p"), F.lit(idf[w]).alias("idf")))
+    whole = [max(sum(idf[w] for w in text.split()), 1e-9) for _, text, _ in templates]
     none = F.array().cast("array<struct<t:int,d:int,idf:double>>")
-    out = out.withColumn("votes", F.when(F.size("top") > 0, F.array_sort(votes)).otherwise(none))
-    whole = [sum(idf[w] for w in text.split()) for _, text, _ in templates]
-    scores = F.array(*[F.least(F.lit(1.0), best_votes(F.col("votes"), t) / F.lit(max(whole[t], 1e-9))) for t in range(len(templates))])
-    out = out.withColumn("scores", F.when(F.size("votes") > 0, scores).otherwise(F.array_repeat(F.lit(0.0), len(templates))))
+    out = out.withColumn("top", F.slice(F.array_intersect(F.array(*[F.lit(w) for w in rare]), "words"), 1, top))
+    votes = votes_of(F.col("words"), F.col("top"), None, {w: postings[w] for w in rare})
+    out = out.withColumn("votes", F.when(F.size("top") > 0, votes).otherwise(none))
+    share = lambda votes, t: F.least(F.lit(1.0), best_votes(F.col(votes), t) / F.lit(whole[t]))
+    out = out.withColumn("scores", F.when(F.size("votes") > 0, F.array(*[share("votes", t) for t in range(len(templates))])).otherwise(F.array(F.lit(0.0))))
+
+    def phrased(t: int) -> Column:
+        ok = F.lit(True)
+        for p in templates[t][2]:
+            ok = ok & F.contains(joined, F.lit(f" {p} "))
+        return F.when(ok, F.lit(t))
 
     def verified(t: int) -> Column:
-        label, _, phrases = templates[t]
-        ok = F.get("scores", F.lit(t)) >= accept
-        for p in phrases:
-            ok = ok & F.contains(joined, F.lit(f" {p} "))
-        return F.when(ok, F.lit(label))
+        return F.when(F.array_contains("phrased", F.lit(t)) & (share("all_votes", t) >= accept), F.lit(templates[t][0]))
 
+    out = out.withColumn("phrased", F.array_compact(F.array(*[phrased(t) for t in range(len(templates))])))
+    votes = votes_of(F.col("words"), F.array(*[F.lit(w) for w in vocabulary]), F.col("phrased"), postings)
+    out = out.withColumn("all_votes", F.when(F.size("phrased") > 0, votes).otherwise(none))
     found = F.array_compact(F.array(*[verified(t) for t in range(len(templates))]))
     return out.select("id", n_words.cast("long").alias("n_words"), base.alias("base"), found.alias("found"), F.array_max("scores").alias("score"))
 
