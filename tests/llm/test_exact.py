@@ -158,6 +158,15 @@ def test_licence_files_of_several_licences(spark):
     assert got[len(sets)] == {"gpl-3", "bsd-3"} and not any(got[k] for k in range(len(sets) + 1, len(texts)))
 
 
+def test_licences_that_many_rows_hold(spark):
+    """Common licence words: a header in a third of the rows, in all rows, and tables of few rows."""
+    head = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: file"
+    tables = [[f"{head} {k}" if k % 3 == 0 else f"ordinary words number {k}" for k in range(60)], [f"{head} {k}" for k in range(20)], [head, "ordinary words"], [head]]
+    for texts in tables:
+        rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+        assert {r.id: r.found for r in licenses.licences(rows).collect()} == {k: ["bsd-3"] if head in t else [] for k, t in enumerate(texts)}
+
+
 # ---- BPE ----
 
 

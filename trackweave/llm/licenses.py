@@ -7,6 +7,8 @@ indexed words of highest IDF that it holds (at least `min_idf`); each of their p
 the file's score is the best one. Texts of several licences share the `top` words, so labels do not rest on them: for
 each template whose key phrases stand in the file word for word, all its words vote at all their places, and it gives its
 label if that reaches `accept` of its IDF. These votes hold the index's own, so no template that the index accepts is lost.
+There a word weighs LEAST at least, so licences that stand in many rows or in all, and those of tiny tables, are found too;
+words below `min_idf` stay out of the index alone.
 
 Base phrases are found word for word beside that, and their labels are always given. All is DataFrame functions within a
 row: the one exchange is the count of rows by indexed word, a few hundred words.
@@ -39,6 +41,7 @@ TEMPLATES = [
     ("mpl-2", "this source code form is subject to the terms of the mozilla public license v 2 0", ["mozilla public license"]),
     ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", ["with or without fee"]),
 ]
+LEAST = 0.01  # weight of a word that stands in every row
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
@@ -100,19 +103,24 @@ def licences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", te
     n_words, joined = F.size("words"), F.col("joined")
     out = rows.withColumn("joined", F.concat(F.lit(" "), F.array_join("words", " "), F.lit(" ")))
     base = F.array(*[phrase_places(joined, n_words, p) for p in BASE])
-    if not rare:
-        return out.select("id", n_words.cast("long").alias("n_words"), base.alias("base"), F.array().cast("array<string>").alias("found"), F.lit(0.0).alias("score"))
-    postings: dict[str, list[Column]] = {w: [] for w in vocabulary}
-    for t, (_, text, _) in enumerate(templates):
-        for p, w in enumerate(text.split()):
-            postings[w].append(F.struct(F.lit(t).alias("t"), F.lit(p).alias("p"), F.lit(idf[w]).alias("idf")))
-    whole = [max(sum(idf[w] for w in text.split()), 1e-9) for _, text, _ in templates]
+    weight = {w: max(LEAST, idf[w]) for w in vocabulary}
+
+    def postings(words: list[str], weights: dict[str, float]) -> dict[str, list[Column]]:
+        places = [(w, t, p) for t, (_, text, _) in enumerate(templates) for p, w in enumerate(text.split())]
+        return {x: [F.struct(F.lit(t).alias("t"), F.lit(p).alias("p"), F.lit(weights[w]).alias("idf")) for w, t, p in places if w == x] for x in words}
+
     none = F.array().cast("array<struct<t:int,d:int,idf:double>>")
-    out = out.withColumn("top", F.slice(F.array_intersect(F.array(*[F.lit(w) for w in rare]), "words"), 1, top))
-    votes = votes_of(F.col("words"), F.col("top"), None, {w: postings[w] for w in rare})
-    out = out.withColumn("votes", F.when(F.size("top") > 0, votes).otherwise(none))
-    share = lambda votes, t: F.least(F.lit(1.0), best_votes(F.col(votes), t) / F.lit(whole[t]))
-    out = out.withColumn("scores", F.when(F.size("votes") > 0, F.array(*[share("votes", t) for t in range(len(templates))])).otherwise(F.array(F.lit(0.0))))
+    if rare:
+        out = out.withColumn("top", F.slice(F.array_intersect(F.array(*[F.lit(w) for w in rare]), "words"), 1, top))
+        votes = votes_of(F.col("words"), F.col("top"), None, postings(rare, idf))
+        out = out.withColumn("votes", F.when(F.size("top") > 0, votes).otherwise(none))
+    else:
+        out = out.withColumn("votes", none)
+
+    def share(votes: str, t: int, weights: dict[str, float]) -> Column:
+        return F.least(F.lit(1.0), best_votes(F.col(votes), t) / F.lit(max(sum(weights[w] for w in templates[t][1].split()), 1e-9)))
+
+    out = out.withColumn("scores", F.when(F.size("votes") > 0, F.array(*[share("votes", t, idf) for t in range(len(templates))])).otherwise(F.array(F.lit(0.0))))
 
     def phrased(t: int) -> Column:
         ok = F.lit(True)
@@ -121,10 +129,10 @@ def licences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", te
         return F.when(ok, F.lit(t))
 
     def verified(t: int) -> Column:
-        return F.when(F.array_contains("phrased", F.lit(t)) & (share("all_votes", t) >= accept), F.lit(templates[t][0]))
+        return F.when(F.array_contains("phrased", F.lit(t)) & (share("all_votes", t, weight) >= accept), F.lit(templates[t][0]))
 
     out = out.withColumn("phrased", F.array_compact(F.array(*[phrased(t) for t in range(len(templates))])))
-    votes = votes_of(F.col("words"), F.array(*[F.lit(w) for w in vocabulary]), F.col("phrased"), postings)
+    votes = votes_of(F.col("words"), F.array(*[F.lit(w) for w in vocabulary]), F.col("phrased"), postings(vocabulary, weight))
     out = out.withColumn("all_votes", F.when(F.size("phrased") > 0, votes).otherwise(none))
     found = F.array_compact(F.array(*[verified(t) for t in range(len(templates))]))
     return out.select("id", n_words.cast("long").alias("n_words"), base.alias("base"), found.alias("found"), F.array_max("scores").alias("score"))
