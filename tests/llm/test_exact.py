@@ -349,6 +349,17 @@ def test_keep_one(spark, odd_docs):
     assert left == {1, 3}
 
 
+def test_keep_one_compares_all_neighbours(spark):
+    """Near copies go although their nearest fingerprint, here the same one, is that of a different text."""
+    stutter = "again " * 700
+    own = lambda name: [f"{name}{k}" for k in range(200)]
+    changed = own("b")[:100] + ["changed"] + own("b")[101:]
+    rows = [(k, stutter + " ".join(w)) for k, w in enumerate((own("a"), own("b"), changed, own("c")), 1)]
+    assert len({simhash.fingerprint(t.encode(), 5) for _, t in rows}) == 1
+    left = {r.doc_id for r in simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert left == {1, 2, 4}
+
+
 # ---- decontamination ----
 
 

@@ -148,6 +148,31 @@ def bucket_nearest(radius: int):
     return run
 
 
+def bucket_pairs(radius: int):
+    """For applyInArrow: rows (shard, bucket, fp, node, root) -> all pairs of nodes within radius whose roots differ."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        bucket, fp, node, root = (rows.column(c).to_numpy() for c in ("bucket", "fp", "node", "root"))
+        fp = fp.view(np.uint64)
+        order = np.lexsort((np.bitwise_count(fp), bucket))
+        bucket, fp, node, root = bucket[order], fp[order], node[order], root[order]
+        cut = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1], [True])))
+        us, vs = [], []
+        for k in np.flatnonzero(np.diff(cut) > 1):
+            own = slice(cut[k], cut[k + 1])
+            if (root[own] == root[cut[k]]).all():
+                continue
+            for i, j, _ in close_pairs(fp[own], radius, TILE):
+                other = root[own][i] != root[own][j]
+                us.append(node[own][i[other]])
+                vs.append(node[own][j[other]])
+        none = np.zeros(0, np.int64)
+        u, v = np.concatenate([none, *us]), np.concatenate([none, *vs])
+        return pa.table({"u": np.minimum(u, v), "v": np.maximum(u, v)})
+
+    return run
+
+
 def in_buckets(classes: DataFrame, radius: int) -> DataFrame:
     """classes (fp, ...) once for each choice of blocks: (shard, bucket, ...)."""
     masks = block_masks(radius, classes.count())
@@ -173,7 +198,7 @@ def shingle_set(text: bytes, shingle: int) -> set:
 
 
 def alike(shingle: int, least: float):
-    """Of rows (id, th, text, other) the id and th of those whose Jaccard similarity of word shingles is at least `least`."""
+    """Of rows (u, v, text, other) the u and v of those whose Jaccard similarity of word shingles is at least `least`."""
 
     def run(batches):
         for whole in batches:
@@ -183,31 +208,48 @@ def alike(shingle: int, least: float):
                     x, y = (shingle_set(t, shingle) for t in (a, b))
                     same.append(a == b or len(x & y) >= least * len(x | y))
                 mask = pa.array(same, pa.bool_())
-                yield pa.record_batch([batch.column(0).filter(mask), batch.column(1).filter(mask)], ["id", "th"])
+                yield pa.record_batch([batch.column(0).filter(mask), batch.column(1).filter(mask)], ["u", "v"])
 
     return run
 
 
+def verified(pairs: DataFrame, texts: DataFrame, shingle: int, least: float) -> DataFrame:
+    """The pairs (u, v) whose texts are alike; texts is (node, text) with repeats."""
+    named = pairs.select(F.col("u").alias("node")).unionAll(pairs.select("v")).distinct()
+    own = materialise(texts.join(named, "node", "left_semi").dropDuplicates(["node"]), "simhash-own")
+    both = pairs.join(own.select(F.col("node").alias("u"), "text").hint("merge"), "u").join(own.select(F.col("node").alias("v"), F.col("text").alias("other")).hint("merge"), "v")
+    return materialise(both.select("u", "v", "text", "other").mapInArrow(alike(shingle, least), "u long, v long"), "simhash-links")
+
+
 def keep_one(docs: DataFrame, shingle: int = 5, radius: int = 10, least: float = 0.8) -> DataFrame:
-    """docs without those that repeat a document of smaller id: exact copies, and documents whose shingles are at least
-    `least` similar (Jaccard, exact) to their nearest fingerprint of smaller id within radius. Following these pointers
-    down, each group has one document that stays. A chance neighbour fails the exact comparison and binds nobody, so
-    groups do not run together as the corpus grows. Rows with a null id stay, as do repeats of a row that stays."""
+    """docs without those that repeat a document of smaller id: exact copies, and documents linked to one. Links join
+    texts within radius whose shingles are at least `least` similar (Jaccard, exact); the smallest id of each connected
+    component stays. First each text is held against the nearest fingerprint of smaller id and the first text of equal
+    fingerprint; then every pair within radius that these links have not joined is compared, so no link is lost, while
+    large groups of copies have been joined by then and make no pairs. A chance neighbour fails the exact comparison and
+    binds nobody, so groups do not run together as the corpus grows. Rows with a null id stay, as do repeats of a row that
+    stays."""
     rows, names = plain(docs, ("doc_id", "text"))
     fps = materialise(fingerprints(rows, shingle=shingle), "simhash-fp").where("id is not null")
-    texts = materialise(fps.groupBy("th", "fp").agg(F.min("id").alias("id")), "simhash-texts")  # one row per different text
+    node = lambda i, th: F.xxhash64(i, th)  # noqa: E731  ids may repeat
+    texts = fps.groupBy("th", "fp").agg(F.min("id").alias("id")).withColumn("node", node("id", "th"))
+    texts = materialise(texts, "simhash-texts")  # one row per different text
     classes = materialise(texts.groupBy("fp").agg(F.min(F.struct("id", "th")).alias("r")).select("fp", F.col("r.id").alias("rep"), F.col("r.th").alias("th")), "simhash-class")
     across = in_buckets(classes, radius).groupBy("shard").applyInArrow(bucket_nearest(radius), "id long, th long, bits long, other long, other_th long")
-    across = across.groupBy("id", "th").agg(F.min(F.struct("bits", "other", "other_th")).alias("n")).select("id", "th", "n.other", "n.other_th")
-    within = texts.join(classes.select("fp", F.col("rep").alias("other"), F.col("th").alias("other_th")).hint("merge"), "fp").where("th <> other_th").select("id", "th", "other", "other_th")
-    pointers = materialise(across.unionAll(within), "simhash-pointers")
+    across = across.groupBy("id", "th").agg(F.min(F.struct("bits", "other", "other_th")).alias("n")).select(node("id", "th").alias("u"), node("n.other", "n.other_th").alias("v"))
+    within = texts.join(classes.select("fp", node("rep", "th").alias("v")).hint("merge"), "fp").where("node <> v").select(F.col("node").alias("u"), "v")
     text = F.col("text").cast("string").alias("text")
-    whole = rows.select(F.col("doc_id").cast("long").alias("id"), F.xxhash64(text).alias("th"), text)
-    named = whole.join(pointers.select(F.col("other").alias("id"), F.col("other_th").alias("th")).distinct().hint("merge"), ["id", "th"], "left_semi").dropDuplicates(["id", "th"])
-    named = named.select(F.col("id").alias("other"), F.col("th").alias("other_th"), F.col("text").alias("other_text"))
-    pairs = whole.join(pointers.hint("merge"), ["id", "th"]).join(named.hint("merge"), ["other", "other_th"]).select("id", "th", "text", "other_text")
-    copies = fps.join(texts.withColumnRenamed("id", "first").hint("merge"), ["th", "fp"]).where("id <> first").select("id", "th")
-    go = materialise(pairs.mapInArrow(alike(shingle, least), "id long, th long").unionAll(copies), "simhash-go").distinct()
+    whole = rows.select(node(F.col("doc_id").cast("long"), F.xxhash64(text)).alias("node"), text)
+    links = verified(materialise(across.unionAll(within), "simhash-pointers"), whole, shingle, least)
+    joined = texts.join(connected_components(links, "simhash-cc").hint("merge"), "node", "left").select("fp", "node", F.coalesce("root", "node").alias("root"))
+    pairs = in_buckets(materialise(joined, "simhash-joined"), radius).groupBy("shard").applyInArrow(bucket_pairs(radius), "u long, v long").distinct()
+    links = links.unionAll(verified(materialise(pairs, "simhash-pairs"), whole, shingle, least))
+    roots = connected_components(links, "simhash-cc")
+    members = materialise(roots.unionAll(roots.select("root", "root").distinct()).join(texts.hint("merge"), "node").select("root", "id", "th"), "simhash-members")
+    first = members.groupBy("root").agg(F.min(F.struct("id", "th")).alias("first"))
+    repeats = members.join(first.hint("merge"), "root").where("struct(id, th) <> first").select("id", "th")
+    copies = fps.join(texts.select("th", "fp", F.col("id").alias("first")).hint("merge"), ["th", "fp"]).where("id <> first").select("id", "th")
+    go = materialise(repeats.unionAll(copies), "simhash-go").distinct()
     gone = (F.col("doc_id").cast("long") == F.col("_go.id")) & (F.xxhash64(text) == F.col("_go.th"))
     return rows.join(go.hint("merge").alias("_go"), gone, "left_anti").toDF(*names)
 
