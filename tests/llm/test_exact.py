@@ -13,7 +13,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tests.llm.conftest import DOCS, texts_of
-from trackweave.llm import bpe, decontaminate, licenses, pii, repeats, simhash
+from trackweave.llm import bpe, common, decontaminate, licenses, pii, repeats, simhash
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -360,6 +360,73 @@ def test_keep_one_compares_all_neighbours(spark):
     assert left == {1, 2, 4}
 
 
+def planted_pairs(rng, n, words, least, most):
+    """Texts of chance words and copies with some of them changed, with the similarity of each pair's shingles."""
+    out = []
+    while len(out) < n:
+        a = [f"t{x}" for x in rng.integers(0, 10**9, words)]
+        b = list(a)
+        for k in rng.choice(words, rng.integers(1, max(2, words // 30)), replace=False):
+            b[k] = f"c{rng.integers(0, 10**9)}"
+        x, y = (simhash.shingle_set(" ".join(t).encode(), 5) for t in (a, b))
+        if least <= len(x & y) / len(x | y) < most:
+            out.append((" ".join(a), " ".join(b)))
+    return out
+
+
+def test_keep_one_recall(spark):
+    """Against all pairs, by ranges of similarity; pairs below 0.8 stay apart."""
+    rng = np.random.default_rng(5)
+    ranges = [(0.7, 0.8), (0.8, 0.85), (0.85, 0.95), (0.95, 1.01)]
+    pairs = [planted_pairs(rng, 200, words, *r) for r, words in zip(ranges, (120, 120, 200, 400), strict=True)]
+    rows = [(1000 * r + 2 * k + side, text) for r, some in enumerate(pairs) for k, pair in enumerate(some) for side, text in enumerate(pair)]
+    left = {r.doc_id for r in simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    caught = [np.mean([1000 * r + 2 * k + 1 not in left for k in range(200)]) for r in range(4)]
+    print("recall of near copies by similarity:", dict(zip(ranges[1:], caught[1:], strict=True)))
+    assert all(1000 * r + 2 * k in left for r in range(4) for k in range(200))
+    assert caught[0] == 0 and min(caught[1:]) >= 0.98
+
+
+def test_keep_one_groups_of_near_copies(spark, monkeypatch):
+    """A large group whose members are near a few others only, in buckets of several tiles, against all pairs."""
+    monkeypatch.setattr(simhash, "TILE", 16)
+    rng = np.random.default_rng(6)
+    base, rows = [f"b{k}" for k in range(150)], []
+    for i in range(150):
+        words = list(base)
+        for k in rng.choice(150, rng.integers(0, 7), replace=False):
+            words[k] = f"x{rng.integers(0, 10**6)}"
+        rows.append((i, " ".join(words)))
+    sets = [simhash.shingle_set(t.encode(), 5) for _, t in rows]
+    low = brute_components(range(150), lambda i, j: len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]))
+    left = {r.doc_id for r in simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(left) > 3 and left == set(low.values())
+
+
+def test_crowded_buckets_are_dealt_as_tiles(spark):
+    """Tile pairs beyond the radius by population count are not dealt, and no link is lost."""
+    rng = np.random.default_rng(7)
+    fps = np.unique(np.concatenate([rng.integers(0, 1 << 63, 250, np.uint64), np.bitwise_or(*(np.uint64(1) << rng.integers(0, 63, (2, 150), np.uint64)))]))
+    rows = spark.createDataFrame([(1, int(f), k) for k, f in enumerate(fps)], "bucket long, fp long, rep long")
+    tiles = simhash.tile_counts(rows, 20).collect()
+    dealt = simhash.dealt(rows, 2, tile=20)
+    all_pairs = sum(r.parts for r in tiles) * (sum(r.parts for r in tiles) + 1) // 2
+    some = dealt.select("lo", "hi").distinct().count()
+    print("tile pairs skipped by population count:", all_pairs - some, "of", all_pairs)
+    assert 0 < some < all_pairs / 2
+    edges = dealt.groupBy("shard").applyInArrow(simhash.bucket_links(2), "u long, v long")
+    got = {r.node: r.root for r in common.connected_components(edges).collect()}
+    want = brute_components(range(len(fps)), lambda i, j: int(fps[i] ^ fps[j]).bit_count() <= 2)
+    assert got == {k: v for k, v in want.items() if k != v} and len(got) > 100
+
+
+def test_components_of_hubs(spark):
+    """A hub with most of the links is dealt over several tasks; the result does not change."""
+    edges = spark.createDataFrame([(0, k) for k in range(1, 900)] + [(k, k + 1000) for k in range(1, 200)] + [(5000, 5001)], "u long, v long")
+    low = common.connected_components(edges).collect()
+    assert {r.node: r.root for r in low} == {**{k: 0 for k in range(1, 900)}, **{k + 1000: 0 for k in range(1, 200)}, 5001: 5000}
+
+
 # ---- decontamination ----
 
 

@@ -76,6 +76,16 @@ def unite(labels: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
             labels[:] = nxt
 
 
+def low_end(e: DataFrame, low: DataFrame, total: int, salts: int = 32) -> DataFrame:
+    """e (u, v) joined to low (u, c, m) by u. Hubs, nodes with over a 500th of all edges, are dealt over `salts` parts; there
+    are fewer than a thousand of them, so their list may be broadcast."""
+    hubs = F.broadcast(low.where(F.col("c") > max(64, total // 500)).select("u", F.lit(salts).alias("parts")))
+    part = F.pmod(F.col("v"), F.coalesce("parts", F.lit(1))).alias("part")
+    left = e.join(hubs, "u", "left").select("u", "v", part)
+    right = low.join(hubs, "u", "left").select("u", "m", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("parts", F.lit(1)) - F.lit(1).cast("long"))).alias("part"))
+    return left.join(right.hint("merge"), ["u", "part"]).drop("part")
+
+
 def connected_components(edges: DataFrame, name: str = "components", max_rounds: int = 60) -> DataFrame:
     """(u, v) long edges -> (node, root): root is the smallest node of node's component; roots themselves are not listed.
 
@@ -91,8 +101,8 @@ def connected_components(edges: DataFrame, name: str = "components", max_rounds:
     last = stat(e)
     for _ in range(max_rounds if last[0] else 0):
         both = e.unionAll(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low.hint("merge"), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        low = both.groupBy("u").agg(F.count("*").alias("c"), F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
+        large = low_end(both, low, 2 * last[0]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         moved = large.join(low.hint("merge"), "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         e = materialise(moved.unionAll(low.select("u", F.col("m").alias("v"))).distinct(), name)
