@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from trackweave.plans import pipeline
-from trackweave.sources import readers, volumes, writers
+from trackweave.sources import readers, shared, volumes, writers
 from trackweave.streaming import frames
 
 
@@ -98,3 +98,29 @@ def test_pipelines(spark):
     got = pipeline.select_and_curate(pts.select("id", "t", "x", "y", "z"), nuc, cand, edits, [2], 1.5, 7)
     assert {(r.t, r.x) for r in got["curated"].collect()} == {(t, float((2 if t > 4 else 3) + t)) for t in range(8)}
     assert got["selected"].where("id = 3").count() == 0 and got["selected"].where("id = 2").count() == 8
+
+
+@pytest.mark.parametrize("master,fine", [("local", True), ("local[4]", True), ("local-cluster[2,1,512]", False), ("yarn", False), ("spark://h:1", False)])
+def test_shared_folder_is_never_a_machine_local_one(master, fine):
+    class Context:
+        at = None
+
+        def __init__(self):
+            self.master = master
+
+        def getCheckpointDir(self):
+            return self.at
+
+        def setCheckpointDir(self, at):
+            self.at = at
+
+    class Session:
+        def __init__(self, **conf):
+            self.conf, self.sparkContext = {k.replace("_", "."): v for k, v in conf.items()}, Context()
+
+    if fine:
+        assert shared.shared_dir(Session()) == "file:///tmp/checkpoints"
+    else:
+        with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+            shared.shared_dir(Session())
+    assert shared.shared_dir(Session(spark_checkpoint_dir="hdfs://n/x/")) == "hdfs://n/x"

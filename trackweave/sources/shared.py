@@ -10,12 +10,16 @@ WRITTEN: list[str] = []  # folders of intermediate tables that this driver has m
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where that is unset (tests, one machine) a folder under /tmp is set."""
-    at = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    """The folder in spark.checkpoint.dir. Where that is unset and all runs on one machine (master local), a folder under
+    /tmp is set; on a cluster each executor would write to a disk of its own, and rows would be lost, so there it raises."""
+    at = spark.conf.get("spark.checkpoint.dir", None)
     if at:
         return at.rstrip("/")
     held = spark.sparkContext.getCheckpointDir()
     if held is None:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError(f"master {master} needs spark.checkpoint.dir, a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir("file:///tmp/checkpoints")
         held = spark.sparkContext.getCheckpointDir()
     return held.rstrip("/")
