@@ -133,6 +133,39 @@ def test_filters_are_those_that_exceed():
         assert set(want) == set(got) if len(want) else len(got) >= 1
 
 
+@pytest.mark.parametrize("rows,depth", [(2_000, 2), (1_000_000, 3), (1_000_000_000, 4)])
+def test_filters_a_vector_and_recall_by_depth(rows, depth):
+    """Pairs at cosine 0.98 exactly, dimension 64: filters a vector stay near per_vector, and pairs share one."""
+    code, rng = embeddings.ProductCode(64, rows, 16, 16), np.random.default_rng(2)
+    x, z = rng.standard_normal((2, 500, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    z -= (z * x).sum(axis=1, keepdims=True) * x
+    y = 0.98 * x + np.sqrt(1 - 0.98**2) * z / np.linalg.norm(z, axis=1, keepdims=True)
+    caps = [[set() for _ in x], [set() for _ in x]]
+    for side, v in enumerate((x, y)):
+        for at in range(0, len(v), 50):
+            for row, name in zip(*(a.tolist() for a in code.decode(v[at : at + 50])), strict=True):
+                caps[side][at + row].add(name)
+    n = np.mean([len(c) for c in caps[0]])
+    recall = np.mean([bool(a & b) for a, b in zip(*caps, strict=True)])
+    print(f"depth {code.m}: {n:.1f} filters a vector, recall {recall:.3f}")
+    assert code.m == depth and 12 <= n <= 20 and recall >= 0.92
+    assert (np.bitwise_count(code.signs(x) ^ code.signs(y)).sum(axis=1) <= embeddings.BITS).all()
+
+
+def test_embedding_groups_over_tiles_and_crowded_filters(spark, monkeypatch):
+    """One large group of near copies, dealt as tile pairs in its filters and in its component: every link is counted once."""
+    for name, value in (("TILE", 8), ("SAMPLE", 1), ("MOST_HOT", 10**9)):
+        monkeypatch.setattr(embeddings, name, value)
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=32)
+    copies = x + rng.normal(size=(120, 32)) * 0.1 * np.linalg.norm(x) / np.sqrt(32)
+    rows = [(k, [float(c) for c in v.astype(np.float32)], 0) for k, v in enumerate(np.concatenate([copies, rng.normal(size=(60, 32))]))]
+    want = brute_links(rows)
+    got = {r.id: (r.n_links, r.component) for r in embeddings.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")).collect()}
+    assert sum(n for n, _ in want.values()) > 5000 and got == want
+
+
 # ---- quality ----
 
 
