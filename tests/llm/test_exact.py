@@ -86,6 +86,15 @@ def test_pii_sql_agrees_where_terms_are_found(spark, as_table, tmp_path):
     assert by_row(got) == by_row(rel.fetchall()) and sum(r.n_terms for r in got) >= 10
 
 
+def test_pii_lists_beyond_the_broadcast(spark, monkeypatch, docs):
+    rows = [(k, f"Write to jo.bloggs@ex.org, ask for Bloggs at desk {'abcdefgh'[k]}") for k in range(8)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").union(docs.select("doc_id", "text").withColumn("doc_id", F.col("doc_id") + 100))
+    few = {r.id: (r.term, r.removed) for r in pii.scanned(df).collect()}
+    monkeypatch.setattr(pii, "MOST_TERMS", 0)
+    monkeypatch.setattr(pii, "MOST_ROWS", 0)
+    assert few == {r.id: (r.term, r.removed) for r in pii.scanned(df).collect()} and any(few[k][0] for k in range(8))
+
+
 def test_pii_disclosure_is_the_formula(spark):
     rows = [(k, f"alpha beta x{chr(64)}y.org gamma") for k in range(5)] + [(9 + k, "alpha other") for k in range(5)] + [(50 + k, "nothing here") for k in range(30)]
     rows = [(k, f"{t} uniq{'abcdefghij'[k % 10]}{'klmnopqrst'[k // 10]}") for k, t in rows]
@@ -478,6 +487,29 @@ def test_decontamination_table(spark, odd_docs, docs, block_bytes):
     assert got == by_row((i, *want(t)) for i, t in texts_of(rows))
 
 
+def test_decontamination_of_many_blocks(spark, docs):
+    """Blocks of one item or of a piece of one, in one pass or in several: the same result, and one Python node a pass."""
+    texts = texts_of(docs)
+    cuts = [(k, " ".join(t.split()[3 : 20 + k % 40])) for k, (_, t) in enumerate(texts) if t and len(t.split()) > 70]
+    long = (10_000, " ".join(t for _, t in texts[:40] if t))
+    bench = spark.createDataFrame([*cuts, *((20_000 + k, cuts[0][1]) for k in range(300)), long], "item_id long, text string")
+    got = {}
+    for name, sizes in {"whole": {}, "blocks": {"block_bytes": 300}, "passes": {"block_bytes": 3000, "pass_bytes": 25_000}}.items():
+        df = decontaminate.contamination(docs, bench, **sizes)
+        assert df._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+        got[name] = by_row((r.id, r.n_words, r.n_hit, tuple(map(tuple, r.hit)), tuple(r["items"])) for r in df.collect())
+    assert len(cuts) > 50 and got["whole"] == got["blocks"] == got["passes"]
+    assert max(len(r[4]) for r in got["whole"]) > 300
+
+
+def test_decontamination_pieces_hold_all_windows():
+    words = [f"w{k}" for k in range(500)]
+    for most in (1, 40, 333, 10**6):
+        some = list(decontaminate.pieces(" , ".join(words).encode(), 10, most))
+        wins = {tuple(p.split(b" , ")[a : a + 10]) for p in some for a in range(max(1, len(p.split(b" , ")) - 9))}
+        assert wins == {tuple(w.encode() for w in words[a : a + 10]) for a in range(491)}
+
+
 def test_decontamination_stage(spark, odd_docs):
     bench = spark.createDataFrame([(1, "quick brown fox jumps over the lazy dog again and again"), (2, "x")], "item_id long, text string")
     out = decontaminate.without_benchmark(odd_docs, bench)

@@ -1,15 +1,17 @@
 """Benchmark decontamination with one FM-index per shard of training text.
 
-A shard is a slice of an Arrow batch (about 8 MB of text). Its words are mapped to the benchmark's vocabulary; runs of
-known words that are long enough to hold a window are kept as the indexed sequence (a window cannot reach over an
-unknown word), each run ended by a separator. The index is a word-level FM-index: suffix array by prefix doubling,
-Burrows-Wheeler transform in a wavelet matrix with packed rank counts, and suffix positions sampled at run starts and at
-every SAMPLE-th position. All windows are searched backward at once; occurrences are located by walking to a sampled
-position; overlapping occurrences are merged into removal spans.
-
-Texts never leave their task and nothing is shuffled. The benchmark's windows are broadcast in blocks of at most
-`block_bytes` of benchmark text; each further block is one more pass over the rows in the same stage, so no broadcast
-grows with the benchmark.
+A shard is a slice of an Arrow batch (about 8 MB of text). Its words that stand anywhere in the benchmark get numbers; runs of
+such words that are long enough to hold a window are kept as the indexed sequence (a window cannot reach over an unknown
+word), each run ended by a separator. The index is a word-level FM-index: suffix array by prefix doubling, Burrows-Wheeler
+transform in a wavelet matrix with packed rank counts, and suffix positions sampled at run starts and at every SAMPLE-th
+position. It is built once per shard. All windows of a block of the benchmark are searched backward at once; equal windows
+meet in one suffix interval, whose occurrences are located once, by walking to a sampled position; overlapping occurrences
+are merged into removal spans, and owners are looked up for each text and interval, not for each occurrence.
+
+Texts never leave their task and nothing is shuffled. The benchmark is cut into blocks of `block_bytes` of text (longer items
+into pieces that overlap by a window less a word). One pass over the rows searches the blocks of `pass_bytes` of benchmark
+text, one block after the other; they are broadcast, a few bytes a word. A larger benchmark takes further passes, each
+written to the shared folder before the next one's blocks are broadcast, so what is broadcast at a time is bounded.
 
 Nulls and edges: null or empty texts and items have no words. An item with a null id marks words but is not listed.
 Repeated items or rows change nothing for others. An empty benchmark marks nothing.
@@ -27,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import documents, plain, slices, table, utf8
+from .common import documents, materialise, plain, slices, table, utf8
 
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 SAMPLE = 8
@@ -133,25 +135,33 @@ class FMIndex:
         return out
 
 
+class Numbers(dict):
+    """Numbers words from 1 on as they are looked up."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = n = len(self) + 1
+        return n
+
+
 class Phrases:
-    """The distinct windows of some benchmark items, as symbol patterns, with the items that hold each."""
+    """The windows of some benchmark items: the items' words as numbers from 1, and where in them each window begins."""
 
     def __init__(self, items: list[tuple[int | None, bytes]], window: int):
-        vocabulary: dict[bytes, int] = {}
-        held: dict[tuple[int, ...], set] = {}
-        for item_id, text in items:
-            ids = [vocabulary.setdefault(w, len(vocabulary) + 1) for w in WORD.findall(text.lower())]
-            for a in range(max(1, len(ids) - window + 1) if ids else 0):
-                held.setdefault(tuple(ids[a : a + window]), set()).add(item_id)
-        self.vocabulary, self.n = vocabulary, len(held)
-        self.length = np.array([len(p) for p in held], np.int64)
-        self.begin = np.cumsum(self.length) - self.length
-        self.flat = np.array([s for p in held for s in p], np.int64)
-        self.shortest = int(self.length.min()) if len(self.length) else 1
-        owners = [sorted(x for x in s if x is not None) for s in held.values()]
-        self.owner_n = np.array([len(o) for o in owners], np.int64)
-        self.owner_at = np.cumsum(self.owner_n) - self.owner_n
-        self.owner = np.array([x for o in owners for x in o], np.int64)
+        vocabulary = Numbers()
+        parts, begin, length, owner, at = [], [], [], [], 0
+        for k, (_, text) in enumerate(items):
+            ids = np.array([vocabulary[w] for w in WORD.findall(text.lower())], np.int32)
+            n = max(1, len(ids) - window + 1) if len(ids) else 0
+            parts.append(ids)
+            begin.append(np.arange(at, at + n, dtype=np.int32))
+            length.append(np.full(n, min(window, len(ids)), np.int32))
+            owner.append(np.full(n, k, np.int32))
+            at += len(ids)
+        whole = lambda xs: np.concatenate([np.zeros(0, np.int32), *xs])
+        self.words, self.flat = b" ".join(vocabulary), whole(parts)
+        self.begin, self.length, self.owner = whole(begin), whole(length), whole(owner)
+        self.item = [i for i, _ in items]
+        self.shortest = int(self.length.min()) if len(self.length) else 0
 
 
 def runs_of(ids: np.ndarray, shortest: int) -> np.ndarray:
@@ -165,63 +175,117 @@ def runs_of(ids: np.ndarray, shortest: int) -> np.ndarray:
     return np.flatnonzero(np.cumsum(mark, dtype=np.int8)[: len(ids)])
 
 
-def scan_shard(texts: list[bytes], phrases: Phrases) -> tuple[list[list[tuple[int, int]]], list[list[int]], list[int]]:
+def search_block(index: FMIndex, phrases: Phrases, number: np.ndarray, doc: np.ndarray, step: np.ndarray, items: list[set]) -> None:
+    """Marks the words that the block's windows cover in step (+1 where a cover starts, -1 after it), and adds the items of
+    windows that occur to those of their texts. number: the index's symbols of the block's words, 0 for those it lacks."""
+    symbols = number[phrases.flat]
+    ok = np.concatenate(([0], np.cumsum(symbols == 0)))
+    begin, length = phrases.begin.astype(np.int64), phrases.length.astype(np.int64)
+    which = np.flatnonzero(ok[begin + length] == ok[begin])  # all words known here
+    lo, hi = index.search(symbols, begin[which], length[which])
+    which, lo, hi = which[lo < hi], lo[lo < hi], hi[lo < hi]
+    if not len(which):
+        return
+    keys = lo * (int(length.max()) + 1) + length[which]
+    _, first, same = np.unique(keys, return_index=True, return_inverse=True)  # equal windows have one interval
+    n = hi[first] - lo[first]
+    at = index.locate(np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo[first], n))
+    np.add.at(step, at, 1)
+    np.add.at(step, at + np.repeat(length[which][first], n), -1)
+    held = np.unique(np.repeat(np.arange(len(first)), n) * len(items) + doc[at])  # interval and text
+    owned = np.unique(same * len(phrases.item) + phrases.owner[which])
+    owner, cut = owned % len(phrases.item), np.searchsorted(owned // len(phrases.item), np.arange(len(first) + 1))
+    for interval, d in zip((held // len(items)).tolist(), (held % len(items)).tolist(), strict=True):
+        items[d].update(phrases.item[k] for k in owner[cut[interval] : cut[interval + 1]].tolist())
+
+
+def scan_shard(texts: list[bytes], *blocks: Phrases) -> tuple[list[list[tuple[int, int]]], list[list[int]], list[int]]:
     """Per text: merged spans of hit words, ids of items with occurring windows, number of words."""
-    get, n_words, parts = phrases.vocabulary.get, [], []
+    vocabulary = Numbers()
+    n_words, parts = [], []
     for text in texts:
         words = WORD.findall(text.lower())
         n_words.append(len(words))
-        parts += [np.fromiter(map(get, words, repeat(0)), np.int32, len(words)), np.zeros(1, np.int32)]
+        parts += [np.fromiter(map(vocabulary.__getitem__, words), np.int32, len(words)), np.zeros(1, np.int32)]
     spans: list[list[tuple[int, int]]] = [[] for _ in texts]
-    items: list[list[int]] = [[] for _ in texts]
+    items: list[set] = [set() for _ in texts]
+    known = np.zeros(len(vocabulary) + 1, bool)
+    numbers = []
+    for block in blocks:
+        numbers.append(np.fromiter(map(vocabulary.get, block.words.split(), repeat(0)), np.int32))
+        known[numbers[-1]] = True
+    known[0] = False
     ids = np.concatenate([*parts, np.zeros(0, np.int32)])
-    kept = runs_of(ids, phrases.shortest)
-    if not len(kept) or not phrases.n:
-        return spans, items, n_words
-    size = np.array(n_words) + 1
-    doc = np.repeat(np.arange(len(texts)), size)[kept]
-    word = kept - (np.cumsum(size) - size)[doc]
-    seq = ids[kept].astype(np.int64)
-    index = FMIndex(seq, len(phrases.vocabulary))
-    lo, hi = index.search(phrases.flat, phrases.begin, phrases.length)
-    n = hi - lo
-    which = np.repeat(np.arange(phrases.n), n)
-    at = index.locate(np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n))
-    step = np.zeros(len(seq) + 1, np.int64)
-    np.add.at(step, at, 1)
-    np.add.at(step, at + phrases.length[which], -1)
-    edge = np.diff(np.concatenate(([0], (np.cumsum(step)[:-1] > 0).view(np.int8), [0])))
-    for a, b in zip(np.flatnonzero(edge == 1), np.flatnonzero(edge == -1), strict=True):
-        spans[doc[a]].append((int(word[a]), int(word[b - 1]) + 1))
-    owners = phrases.owner_n[which]
-    item = phrases.owner[np.arange(int(owners.sum())) - np.repeat(np.cumsum(owners) - owners, owners) + np.repeat(phrases.owner_at[which], owners)]
-    pairs = np.unique(np.stack((np.repeat(doc[at], owners), item)), axis=1) if len(item) else np.zeros((2, 0), np.int64)
-    for d, i in pairs.T.tolist():
-        items[d].append(i)
-    return spans, items, n_words
+    kept = runs_of(np.where(known[ids], ids, 0), min((b.shortest for b in blocks if b.shortest), default=1))
+    if len(kept) and blocks:
+        size = np.array(n_words) + 1
+        doc = np.repeat(np.arange(len(texts)), size)[kept]
+        word = kept - (np.cumsum(size) - size)[doc]
+        held, seq = np.unique(np.where(known[ids[kept]], ids[kept], 0), return_inverse=True)  # 0, the end of a run, is the least
+        index = FMIndex(seq, len(held) - 1)
+        symbol = np.zeros(len(vocabulary) + 1, np.int64)
+        symbol[held] = np.arange(len(held))
+        step = np.zeros(len(seq) + 1, np.int64)
+        for block, number in zip(blocks, numbers, strict=True):
+            search_block(index, block, symbol[np.concatenate(([0], number))], doc, step, items)
+        edge = np.diff(np.concatenate(([0], (np.cumsum(step)[:-1] > 0).view(np.int8), [0])))
+        for a, b in zip(np.flatnonzero(edge == 1), np.flatnonzero(edge == -1), strict=True):
+            spans[doc[a]].append((int(word[a]), int(word[b - 1]) + 1))
+    return spans, [sorted(x - {None}) for x in items], n_words
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     out: list[tuple[int, int]] = []
     for a, b in sorted(spans):
-        if out and a < out[-1][1]:
+        if out and a <= out[-1][1]:  # touching spans are one, as within a pass
             out[-1] = (out[-1][0], max(b, out[-1][1]))
         else:
             out.append((a, b))
     return out
 
 
-def benchmark_blocks(benchmark: DataFrame, block_bytes: int):
-    """Lists of items of at most block_bytes of text each (one item at least)."""
+def pieces(text: bytes, window: int, most: int):
+    """text in pieces of about `most` bytes; each but the last holds window - 1 words of the next one, so no window is lost.
+    A piece shorter than a window is never made, as that would be an item of its own."""
+    if len(text) <= most:
+        yield text
+        return
+    at = [m.span() for m in WORD.finditer(text.lower())]
+    first = 0
+    while first < len(at):
+        last = first + window - 1
+        while last + 1 < len(at) and at[last][1] - at[first][0] < most:
+            last += 1
+        last = min(last, len(at) - 1)
+        yield text[at[first][0] : at[last][1]]
+        if last == len(at) - 1:
+            return
+        first = last - window + 2
+
+
+def benchmark_blocks(benchmark: DataFrame, window: int, block_bytes: int):
+    """(Phrases, bytes) of at most about block_bytes of text each."""
     block, held = [], 0
     for row in benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).where("text is not null").toLocalIterator():
-        raw = row[1].encode()
-        if block and held + len(raw) > block_bytes:
-            yield block
-            block, held = [], 0
-        block.append((row[0], raw))
-        held += len(raw)
-    yield block
+        for piece in pieces(row[1].encode(), window, block_bytes):
+            if block and held + len(piece) > block_bytes:
+                yield Phrases(block, window), held
+                block, held = [], 0
+            block.append((row[0], piece))
+            held += len(piece)
+    yield Phrases(block, window), held
+
+
+def benchmark_passes(spark, benchmark: DataFrame, window: int, block_bytes: int, pass_bytes: int):
+    """Lists of broadcast blocks of at most pass_bytes of benchmark text (one block at least)."""
+    some, held = [], 0
+    for block, n in benchmark_blocks(benchmark, window, block_bytes):
+        if some and held + n > pass_bytes:
+            yield some
+            some, held = [], 0
+        some.append(spark.sparkContext.broadcast(block))
+        held += n
+    yield some
 
 
 def cut_words(text: bytes, spans: list[tuple[int, int]]) -> bytes:
@@ -234,18 +298,19 @@ def cut_words(text: bytes, spans: list[tuple[int, int]]) -> bytes:
     return b"".join([*out, text[last:]])
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 2 << 20, cut: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 2 << 20, cut: bool = False, carry: tuple[str, ...] = (), pass_bytes: int = 32 << 20) -> DataFrame:
     """(id, n_words, n_hit, hit, items, *carry), with cut=True also clean: the text without its hit spans (null stays null)."""
-    spark = docs.sparkSession
     empty = F.array().cast("array<struct<start:int,end:int>>"), F.array().cast("array<long>")
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), empty[0].alias("hit"), empty[1].alias("items"), F.lit(0).cast("long").alias("n_words"), *carry)
     shape = StructType([*StructType.fromDDL(STATE).fields, *(docs.schema[c] for c in carry)])
-    blocks = benchmark_blocks(benchmark, block_bytes)
-    block = next(blocks)
-    while block is not None:
-        after = next(blocks, None)
-        rows = rows.mapInArrow(one_pass(spark.sparkContext.broadcast(block), window, after is None, cut), shape)
-        block = after
+    passes = benchmark_passes(docs.sparkSession, benchmark, window, block_bytes, pass_bytes)
+    blocks = next(passes)
+    while (after := next(passes, None)) is not None:
+        rows = materialise(rows.mapInArrow(one_pass(blocks, False, cut), shape), "benchmark-pass")
+        for block in blocks:
+            block.unpersist()
+        blocks = after
+    rows = rows.mapInArrow(one_pass(blocks, True, cut), shape)
     n_hit = F.aggregate("hit", F.lit(0).cast("long"), lambda n, s: n + (s["end"] - s["start"]))
     return rows.select("id", "n_words", n_hit.alias("n_hit"), "hit", "items", *carry, *([F.col("text").alias("clean")] if cut else []))
 
@@ -259,13 +324,12 @@ def without_benchmark(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     return out.select(*[{"text": F.col("clean").alias("text"), "n_chars": n_chars}.get(c, F.col(c)) for c in rows.columns]).toDF(*names)
 
 
-def one_pass(block, window: int, last: bool, cut: bool):
+def one_pass(blocks: list, last: bool, cut: bool):
     def run(batches):
-        phrases = Phrases(block.value, window)
         for whole in batches:
             for batch in slices(whole):
                 texts = list(utf8(batch.column(1)))
-                spans, items, n_words = scan_shard(texts, phrases)
+                spans, items, n_words = scan_shard(texts, *(b.value for b in blocks))
                 before = batch.column(2).to_pylist(), batch.column(3).to_pylist()
                 spans = [merged([(s["start"], s["end"]) for s in old or ()] + new) for old, new in zip(before[0], spans, strict=True)]
                 items = [sorted({*(old or ()), *new}) for old, new in zip(before[1], items, strict=True)]
