@@ -11,7 +11,10 @@ stands in no row without it). Where it reaches `generalise_at` and at least `min
 pair, the term is generalised in every row that holds the entity near it; from `remove_at` on it is removed. All its
 places in that row count.
 
-Everything is DataFrame functions. Texts of rows without a match are never shuffled; counts are partial aggregates.
+Everything is DataFrame functions. Matches and their neighbours are found once and written, without the texts; the corpus is
+then read for the counts of those terms alone that enough texts show with an entity, and once more for the spans. Lists of
+terms and of rows with disclosing terms are broadcast up to MOST_TERMS and MOST_ROWS; beyond that they are joined by a
+shuffle, of partial counts and of the texts of rows that hold a match.
 
 Nulls and edges: a null text counts as empty. Rows with null or repeated ids are told apart by their text's hash; rows
 equal in both are equal in result and each is returned. An empty table gives no rows.
@@ -24,7 +27,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, plain
+from .common import documents, materialise, plain
 
 # Plain forms: [A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+ ; [0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+) ;
 # [0-9]([\x20-]?[0-9])+ ; \+[0-9][\x20().0-9-]+[0-9]. A match starts at a run's start or where the last match ended.
@@ -38,6 +41,9 @@ KINDS = list(PATTERNS)
 LABELS = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]"}
 SPAN = "array<struct<start:int,end:int,value:string>>"
 NOT_LETTERS = r"[^\p{L}]+"
+MOST_TERMS = 200_000
+MOST_ROWS = 50_000
+PART = 32
 
 
 def may_hold(kind: str, text: Column) -> Column:
@@ -105,18 +111,36 @@ def neighbours(kind: str, text: Column, window: int) -> Column:
     return F.when(may_hold(kind, text), found).otherwise(F.array().cast("array<struct<entity:string,terms:array<string>>>"))
 
 
+def counted(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(term, n_t): rows that hold it, for the terms of `wanted` that any holds."""
+    wanted = wanted.select("term").distinct()
+    wanted = F.broadcast(wanted) if wanted.count() <= MOST_TERMS else wanted.hint("merge")
+    held = rows.select(F.explode(F.array_distinct(terms(F.col("text")))).alias("term"))
+    return held.join(wanted, "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_t"))
+
+
 def disclosing_terms(rows: DataFrame, window: int, generalise_at: float, remove_at: float, min_support: int) -> tuple[DataFrame, DataFrame]:
     """rows (id, text) -> (id, h, entity, term) contexts, and (entity, term, disclosed, remove) above the threshold."""
     text = F.col("text")
-    some = rows.where(F.greatest(*[may_hold(k, text) for k in KINDS])).select("id", F.xxhash64("text").alias("h"), F.flatten(F.array(*[neighbours(k, text, window) for k in KINDS])).alias("near"))
-    entities = some.select("id", "h", "near").select(F.explode(F.array_distinct(F.transform("near", lambda x: x["entity"]))).alias("entity"))
+    near = F.flatten(F.array(*[neighbours(k, text, window) for k in KINDS]))
+    some = rows.where(F.greatest(*[may_hold(k, text) for k in KINDS])).select("id", F.xxhash64("text").alias("h"), near.alias("near"))
+    some = materialise(some.where(F.size("near") > 0), "pii-near")
+    entities = some.select(F.explode(F.array_distinct(F.transform("near", lambda x: x["entity"]))).alias("entity"))
     n_e = entities.groupBy("entity").agg(F.count("*").alias("n_e"))
     pairs = F.flatten(F.transform("near", lambda x: F.transform(x["terms"], lambda t: F.struct(x["entity"].alias("entity"), t.alias("term")))))
     contexts = some.select("id", "h", F.explode(F.array_distinct(pairs)).alias("p")).select("id", "h", "p.entity", "p.term")
     joint = contexts.groupBy("entity", "term", "h").agg(F.count("*").alias("n")).groupBy("entity", "term").agg(F.sum("n").alias("n_et"), F.count("*").alias("support")).where(F.col("support") >= min_support)
-    n_t = rows.select(F.explode(F.array_distinct(terms(text))).alias("term")).groupBy("term").agg(F.count("*").alias("n_t"))
+    # PMI / IC >= g  <=>  n_t <= n_et * (N / n_e) ** (1 - g). Terms whose count among the rows near entities, or among one row
+    # in PART of all, is beyond that already are out before the whole corpus is counted: most frequent words.
     total = rows.count()
-    told = joint.join(n_e, "entity").join(n_t, "term")
+    n_near = contexts.select("id", "h", "term").distinct().groupBy("term").agg(F.count("*").alias("n_near"))
+    most = F.col("n_et") * F.pow(F.lit(float(total)) / F.col("n_e"), F.lit(1 - generalise_at)) * 1.001
+    joint = joint.join(n_e, "entity").withColumn("most", most).join(n_near, "term").where(F.col("n_near") <= F.col("most"))
+    joint = materialise(joint, "pii-joint")
+    n_part = counted(rows.where(F.pmod(F.xxhash64("text"), F.lit(PART)) == 0), joint)
+    joint = materialise(joint.join(n_part.withColumnRenamed("n_t", "n_part"), "term", "left").where("coalesce(n_part, 0) <= most"), "pii-joint")
+    n_t = counted(rows, joint)
+    told = joint.join(n_t, "term")
     pmi = F.log2(F.col("n_et") * F.lit(float(total)) / (F.col("n_e") * F.col("n_t")))
     told = told.withColumn("disclosed", F.try_divide(pmi, F.log2(F.lit(float(max(1, total))) / F.col("n_e")))).where(F.col("disclosed") >= generalise_at)
     return contexts, told.select("entity", "term", "disclosed", (F.col("disclosed") >= remove_at).alias("remove"))
@@ -138,15 +162,22 @@ def scanned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", win
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), *(F.col(c).alias(f"_{c}") for c in keep))
     contexts, told = disclosing_terms(rows, window, generalise_at, remove_at, min_support)
     listed = contexts.join(told, ["entity", "term"]).groupBy("id", "h", "term").agg(F.max("remove").alias("remove"))
-    listed = listed.groupBy("id", "h").agg(F.array_sort(F.collect_list("term")).alias("listed"), F.collect_list(F.when(F.col("remove"), F.col("term"))).alias("removed"))
-    text, none = F.col("text"), F.array().cast("array<string>")
-    found = rows.select("*", *[base_spans(k, text).alias(k) for k in KINDS])
-    holds = F.greatest(*[F.size(k) for k in KINDS]) > 0
+    listed = listed.groupBy("id", "h").agg(F.array_sort(F.collect_list("term")).alias("listed"), F.array_sort(F.collect_list(F.when(F.col("remove"), F.col("term")))).alias("removed"))
+    listed = materialise(listed, "pii-listed").alias("l")
+    text, none = F.col("f.text"), F.array().cast("array<string>")
+    found = rows.select("*", *[base_spans(k, F.col("text")).alias(k) for k in KINDS]).withColumn("h", F.xxhash64("text"))
     own = ["id", "text", *KINDS, *(f"_{c}" for c in keep)]
+
+    def joined(found: DataFrame, listed: DataFrame) -> DataFrame:
+        out = found.alias("f").join(listed, F.col("f.id").eqNullSafe(F.col("l.id")) & (F.col("f.h") == F.col("l.h")), "left")
+        spans = term_spans(text, F.coalesce("l.listed", none), F.concat(*KINDS))
+        return out.select(*(F.col(f"f.{c}") for c in own), spans.alias("term"), F.coalesce("l.removed", none).alias("removed"))
+
+    if listed.count() <= MOST_ROWS:
+        return joined(found, F.broadcast(listed))
+    holds = F.greatest(*[F.size(k) for k in KINDS]) > 0
     quiet = found.where(~holds).select(*own, F.array().cast(SPAN).alias("term"), none.alias("removed"))
-    loud = found.where(holds).withColumn("h", F.xxhash64("text")).alias("f").join(listed.alias("l"), F.col("f.id").eqNullSafe(F.col("l.id")) & (F.col("f.h") == F.col("l.h")), "left")
-    spans = term_spans(F.col("f.text"), F.coalesce("l.listed", none), F.concat(*KINDS))
-    return quiet.unionAll(loud.select(*(F.col(f"f.{c}") for c in own), spans.alias("term"), F.coalesce("l.removed", none).alias("removed")))
+    return quiet.unionAll(joined(found.where(holds), listed))
 
 
 def sanitised(text: Column, removed: Column) -> Column:
