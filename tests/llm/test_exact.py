@@ -429,8 +429,23 @@ def test_crowded_buckets_are_dealt_as_tiles(spark):
     assert got == {k: v for k, v in want.items() if k != v} and len(got) > 100
 
 
-def test_components_of_hubs(spark):
+@pytest.mark.parametrize("few", [common.FEW, 0])
+def test_components_in_one_task_and_by_stars(spark, monkeypatch, few):
+    monkeypatch.setattr(common, "FEW", few)
+    rng = np.random.default_rng(8)
+    edges = [(int(a), int(b)) for a, b in rng.integers(-200, 200, (190, 2))] + [(k, k + 1) for k in range(1000, 1060)] + [(5000, 5000), (6000, None)]
+    low = {x: x for e in edges for x in e if x is not None}
+    for _ in range(400):
+        for a, b in edges:
+            if b is not None:
+                low[a] = low[b] = min(low[a], low[b])
+    got = {r.node: r.root for r in common.connected_components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    assert got == {k: v for k, v in low.items() if k != v}
+
+
+def test_components_of_hubs(spark, monkeypatch):
     """A hub with most of the links is dealt over several tasks; the result does not change."""
+    monkeypatch.setattr(common, "FEW", 0)
     edges = spark.createDataFrame([(0, k) for k in range(1, 900)] + [(k, k + 1000) for k in range(1, 200)] + [(5000, 5001)], "u long, v long")
     low = common.connected_components(edges).collect()
     assert {r.node: r.root for r in low} == {**{k: 0 for k in range(1, 900)}, **{k + 1000: 0 for k in range(1, 200)}, 5001: 5000}

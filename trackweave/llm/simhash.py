@@ -323,7 +323,7 @@ def left_links(members: DataFrame, own: DataFrame, radius: int, least: float) ->
     return rows.groupBy("shard").applyInArrow(bucket_verified(radius, least), "u long, v long")
 
 
-def keep_one(docs: DataFrame, shingle: int = 5, radius: int = 22, least: float = 0.8, rounds: int = 2) -> DataFrame:
+def keep_one(docs: DataFrame, shingle: int = 5, radius: int = 22, least: float = 0.8, rounds: int = 1) -> DataFrame:
     """docs without those that repeat a document of smaller id: exact copies, and documents linked to one. Links join
     texts that share a band of minimum hashes and whose fingerprints differ by at most radius bits, if the Jaccard
     similarity of their shingles is at least `least` (exact, by 64-bit hashes); the smallest id of each connected component
