@@ -173,6 +173,53 @@ def test_cubes_find_all_pairs_within_the_radius(spark):
     assert near == {i: n for i, (n, d) in full.items() if d < 7}
 
 
+@pytest.mark.parametrize("n_points,n_targets,spread", [(150, 300, "even"), (150, 300, "far"), (40, 3, "even"), (60, 200, "line"), (30, 100, "one place")])
+def test_nearest_by_cubes_is_the_nearest(spark, n_points, n_targets, spread):
+    """Against all pairs: even and crowded frames, points far from all targets, flat ones; whole numbers give ties."""
+    rng = np.random.default_rng(n_points)
+    a, b = rng.integers(-40, 40, (n_points, 3)).astype(float), rng.integers(-40, 40, (n_targets, 3)).astype(float)
+    if spread == "far":
+        a, b = a * 50, b / 20
+    elif spread == "line":
+        a[:, 1:], b[:, 1:] = 0, 0
+    elif spread == "one place":
+        b[:] = 5
+    p = [(k, k % 3, *map(float, v)) for k, v in enumerate(a)] + [(9000, 0, None, 1.0, 1.0), (9001, 7, 1.0, 1.0, 1.0)]
+    n = [(k, k % 2, *map(float, v)) for k, v in enumerate(b)] + [(9999, 0, None, 0.0, 0.0)]
+    want = {(i, t): None for i, t, *_ in p}
+    for i, t, *x in p[:n_points]:
+        near = [(math.dist(x, y), j) for j, u, *y in n[:n_targets] if u == t]
+        want[i, t] = min(near, default=None)
+    points, targets = spark.createDataFrame(p, "id long, t int, x double, y double, z double"), spark.createDataFrame(n, "target_id long, t int, x double, y double, z double")
+    got = {(r.id, r.t): None if r.nuc_id is None else (r.dist, r.nuc_id) for r in spatial.nearest(points, targets).collect()}
+    assert {k: v and v[1] for k, v in got.items()} == {k: v and v[1] for k, v in want.items()}
+    assert all(v is None or abs(v[0] - want[k][0]) < 1e-9 for k, v in got.items())
+    inner = {(r.id, r.t) for r in spatial.nearest(points, targets, keep="inner").collect()}
+    assert inner == {k for k, v in want.items() if v is not None}
+
+
+def test_nearest_voxel_is_the_nearest(spark):
+    rng = np.random.default_rng(1)
+    labels = [(t, z, y, x, int(rng.integers(0, 4))) for t in range(2) for z in range(5) for y in range(7) for x in range(9)]
+    spots = [(t, 100 * t + k, *map(int, rng.integers(0, 5, 3))) for t in range(3) for k in range(40)]
+    chosen = {(0, 1), (0, 2), (1, 3)}
+    cols = "t int, z int, y int, x int, label int"
+    got = voxel.nearest_voxel(spark.createDataFrame(spots, "t int, id long, z int, y int, x int"), spark.createDataFrame(labels, cols), spark.createDataFrame(sorted(chosen), "t int, label int"))
+    for r in got.collect():
+        t, _, *p = next(s for s in spots if s[1] == r.id)
+        dist = lambda v: math.sqrt(sum(((a - b) * c) ** 2 for a, b, c in zip(p, v, (0.75, 0.173, 0.173), strict=True)))  # noqa: E731, B023
+        near = min(((round(dist(v[1:4]), 9), v[4]) for v in labels if v[0] == t and (t, v[4]) in chosen), default=(None, None))
+        assert (r.dist_nuc if r.dist_nuc is None else round(r.dist_nuc, 9), r.nuc_id) == near
+
+
+def test_null_models_differ_between_cells_and_take_frames_from_a_table(spark):
+    cos = spark.createDataFrame([(c, i, 1, 0.5) for c in (0, 1) for i in (1, 2)], "cell_id long, id long, t int, cos double")
+    table = spark.createDataFrame([(1, 0.2), (2, 0.5)], "c int, prob double")
+    rows = persistence.null_models(cos, table, spark.range(1).select(F.lit(12).alias("n_frames"))).collect()
+    by = {c: [r.cos for r in rows if r.cell_id == c and r.model == "uniform"] for c in (0, 1)}
+    assert len(by[0]) == len(by[1]) == 20 and not set(by[0]) & set(by[1])
+
+
 def test_registration_round_trip(spark):
     rng = np.random.default_rng(4)
     p = spark.createDataFrame([(k, 0, k % 5, *map(float, rng.integers(0, 99, 3))) for k in range(30)], POINT)
@@ -252,6 +299,7 @@ def test_links_chains_and_gaps(spark):
     p = spark.createDataFrame([(i, t, x, 0.0, 0.0, 0) for i, t, x in rows], "id long, t int, x double, y double, z double, movie int")
     links = linking.mutual_links(p, 5.0)
     assert {(r.id_a, r.id_b) for r in links.collect()} == {(10, 11), (30, 12)}
+    assert linking.chains(p, links).count() == 6
     assert {(r.id, r.head, r.place) for r in linking.chains(p, links, 3).collect()} == {(10, 10, 0), (11, 10, 1), (12, 30, 1), (20, 20, 0), (21, 21, 0), (30, 30, 0)}
     track = {r.id: r.track for r in linking.link_frames(p, "movie", 5.0).collect()}
     assert track[20] == track[21] and track[10] == track[11] and len(set(track.values())) == 3

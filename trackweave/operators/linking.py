@@ -25,10 +25,12 @@ def mutual_links(points: DataFrame, max_dist: float, key: list[str] | None = Non
     return best.select(*key, "t", F.col("id").alias("id_a"), F.col("target_id").alias("id_b"), "dist")
 
 
-def chains(points: DataFrame, links: DataFrame, n_frames: int) -> DataFrame:
+def chains(points: DataFrame, links: DataFrame, n_frames: int | None = None) -> DataFrame:
     """(id, t, head, place): the first point of each point's chain and the steps from it. Chains have one link in and one
     out at most, so pointers are doubled: log2(n_frames) joins, each written, as a plan that joins with itself would double
-    as well. Ids are unique over frames."""
+    as well. n_frames is read off the points if not given. Ids are unique over frames."""
+    if n_frames is None:
+        n_frames = points.agg(F.coalesce(F.max("t") - F.min("t") + 1, F.lit(1))).first()[0]
     up = points.select("id", "t").join(links.select(F.col("id_b").alias("id"), F.col("id_a").alias("head")), "id", "left")
     up = up.withColumn("place", F.when(F.col("head").isNull(), 0).otherwise(1)).withColumn("head", F.coalesce("head", "id"))
     up = materialise(up, "chains")

@@ -65,17 +65,20 @@ def simulate(ids: list[int], n_frames: int, prob: dict[int, float], seed: int =
     return uniform, out
 
 
-def null_models(cosines: DataFrame, prob: DataFrame, n_frames: int, seed: int = 42) -> DataFrame:
+def null_models(cosines: DataFrame, prob: DataFrame, n_frames: int | DataFrame, seed: int = 42) -> DataFrame:
     """(cell_id, model, id, t, cos) for each cell: the order of the random stream is part of the meaning, so a cell's
-    few spots are simulated in one group; cells run in parallel, each with the seed. prob is (c, prob), a row per run
-    length (at most the number of frames)."""
-    table = {r["c"]: r["prob"] for r in prob.select("c", "prob").collect()}
+    few spots are simulated in one group; cells run in parallel, each with a stream of its own (cell 0 has the bare seed).
+    prob is (c, prob), a row per run length (at most the number of frames); n_frames a number or one row (n_frames)."""
+    table = prob.agg(F.map_from_entries(F.collect_list(F.struct(F.col("c").cast("int"), F.col("prob").cast("double")))).alias("table"))
+    known = table.withColumn("n_frames", F.lit(n_frames)) if isinstance(n_frames, int) else table.crossJoin(F.broadcast(n_frames.select("n_frames")))
 
     def run(group):
         import pandas as pd
 
-        ids = sorted(int(i) for i in group["id"].unique())
-        both = zip(("uniform", "t_prob"), simulate(ids, n_frames, table, seed), strict=True)
-        return pd.DataFrame([(int(group["cell_id"].iloc[0]), m, *r) for m, rows in both for r in rows], columns=["cell_id", "model", "id", "t", "cos"])
+        cell, ids = int(group["cell_id"].iloc[0]), sorted(int(i) for i in group["id"].unique())
+        table, frames = dict(group["table"].iloc[0]), int(group["n_frames"].iloc[0])
+        both = zip(("uniform", "t_prob"), simulate(ids, frames, table, seed + 1_000_003 * cell), strict=True)
+        return pd.DataFrame([(cell, m, *r) for m, rows in both for r in rows], columns=["cell_id", "model", "id", "t", "cos"])
 
-    return cosines.select("cell_id", "id").distinct().groupBy("cell_id").applyInPandas(run, "cell_id long, model string, id long, t int, cos double")
+    rows = cosines.select("cell_id", "id").distinct().crossJoin(F.broadcast(known))  # one row
+    return rows.groupBy("cell_id").applyInPandas(run, "cell_id long, model string, id long, t int, cos double")

@@ -8,16 +8,54 @@ from pyspark.sql import functions as F
 from ..functions.scalars import distance, xyz
 
 
+FEW_TARGETS = 32  # frames with no more are one cube
+
+
+def levels(points: DataFrame, targets: DataFrame, on: list[str], scale: dict[str, float]) -> DataFrame:
+    """(on, _o.x, _o.y, _o.z, _e, _top): per frame the corner and edge of the finest cubes, about one target each, and the level,
+    of doubled edges, at which one cube holds all of the frame."""
+    both = points.select(*on, *"xyz", F.lit(0).alias("_n")).unionAll(targets.select(*on, *"xyz", F.lit(1).alias("_n")))
+    at = {c: F.col(c) * scale[c] for c in "xyz"}
+    ends = both.groupBy(*on).agg(F.sum("_n").alias("_n"), F.struct(*[F.min(at[c]).alias(c) for c in "xyz"]).alias("_o"), F.greatest(*[F.max(at[c]) - F.min(at[c]) for c in "xyz"]).alias("_w"))
+    top = F.when(F.col("_n") <= FEW_TARGETS, 0).otherwise(F.ceil(F.log2("_n") / 3)).cast("int")
+    wide = F.when(F.col("_w") > 0, F.col("_w") * 1.0001).otherwise(F.lit(1.0))
+    return ends.where("_n > 0").withColumn("_top", top).select(*on, "_o", "_top", (wide / F.pow(F.lit(2.0), F.col("_top"))).alias("_e"))
+
+
+def cube(level: Column, scale: dict[str, float]) -> list[Column]:
+    return [F.floor((F.col(c) * scale[c] - F.col(f"_o.{c}")) / (F.col("_e") * F.pow(F.lit(2.0), level))).alias(f"_g{c}") for c in "xyz"]
+
+
+def nearest_of(points: DataFrame, targets: DataFrame, on: list[str], dist: Column, scale: dict[str, float]) -> DataFrame:
+    """(on, id, nuc_id, dist) of points that have a target in their frame. dist is an expression of x, y, z and the
+    target's _x, _y, _z, at most as long as the scaled straight line. If a point's cube holds a target at some level, its
+    nearest one is closer than two edges, so it lies in the 27 cubes around the point one level up. Cubes join by equality: a
+    large frame is neither one task nor quadratic, as long as its targets are spread as its points are."""
+    place = levels(points, targets, on, scale)
+    key, each = [*on, "_l", "_gx", "_gy", "_gz"], F.explode(F.sequence(F.lit(0), F.col("_top")))
+    known = lambda df: df.where(F.greatest(*[F.col(c).isNull().cast("int") for c in "xyz"]) == 0).join(place, on)
+    t = known(targets.select(*on, "target_id", *"xyz")).withColumn("_l", each)
+    t = t.select(*on, "_l", *cube(F.col("_l"), scale), "target_id", *[F.col(c).alias(f"_{c}") for c in "xyz"])
+    p = known(points.select(*on, "id", *"xyz"))
+    own = p.withColumn("_l", each).select(*on, "id", "_l", *cube(F.col("_l"), scale))
+    first = own.join(t.select(*key).distinct(), key, "left_semi").groupBy(*on, "id").agg(F.min("_l").alias("_l"))
+    level = F.least(F.col("_l") + 1, F.col("_top"))
+    p = p.join(first, [*on, "id"]).withColumn("_l", level)
+    p = p.select(*on, "id", *"xyz", "_l", "_top", *cube(F.col("_l"), scale))
+    steps = F.array(*[F.struct(*[F.lit(d).alias(n) for n, d in zip("xyz", (i, j, k), strict=True)]) for i in (0, -1, 1) for j in (0, -1, 1) for k in (0, -1, 1)])
+    p = p.withColumn("_d", F.explode(F.when(F.col("_top") == 0, F.slice(steps, 1, 1)).otherwise(steps)))
+    p = p.withColumns({f"_g{c}": F.col(f"_g{c}") + F.col(f"_d.{c}") for c in "xyz"}).drop("_d", "_top")
+    best = F.min(F.struct(dist.alias("dist"), F.col("target_id").alias("nuc_id"))).alias("best")
+    return p.join(t, key).groupBy(*on, "id").agg(best).select(*on, "id", "best.nuc_id", "best.dist")
+
+
 def nearest(points: DataFrame, targets: DataFrame, on: list[str] | str = "t", keep: str = "left") -> DataFrame:
     """For each point (columns id, x, y, z and `on`) the nearest target (target_id, x, y, z and `on`): nuc_id and dist,
-    of equal distances the smallest id; NULL if `on` has none. Points must be unique by id and `on`.
-
-    Frames meet by equality and hold few targets; see nearest_within for large ones."""
+    of equal distances the smallest id; NULL if `on` has none or the point has no place (with keep="inner" such points
+    are left out). Targets without a place are nobody's nearest. Points must be unique by id and `on`."""
     on = [on] if isinstance(on, str) else on
-    t = targets.select(*on, F.col("target_id").alias("_id"), *[F.col(c).alias(f"_{c}") for c in "xyz"])
-    both = points.join(t, on, keep)
-    best = F.min(F.when(F.col("_id").isNotNull(), F.struct(distance(xyz(), xyz("_")).alias("dist"), F.col("_id").alias("nuc_id")))).alias("best")
-    return both.groupBy(*on, "id").agg(best).select(*on, "id", "best.nuc_id", "best.dist")
+    found = nearest_of(points, targets, on, distance(xyz(), xyz("_")), dict.fromkeys("xyz", 1.0))
+    return found if keep == "inner" else points.select(*on, "id").join(found, [*on, "id"], "left")
 
 
 def grid(prefix: str, radius: float) -> list[Column]:
@@ -93,6 +131,5 @@ def select_spots(points: DataFrame, nuclei: DataFrame, candidates: DataFrame, fr
         last = F.last(F.when(F.col("id").isNotNull(), F.struct("id", *"xyz")), ignorenulls=True)
         filled = filled.withColumn("_n", last.over(Window.partitionBy("cell_id").orderBy("t").rowsBetween(Window.unboundedPreceding, 0)))
         chosen = filled.where("_n is not null").select("cell_id", "t", "_n.*")
-    targets = chosen.select("cell_id", "t", F.col("id").alias("target_id"), *"xyz")
-    cells = points.join(targets.select("cell_id", "t"), "t")
-    return radius_pairs(cells, targets, radius, ["cell_id", "t"]).select("cell_id", "t", "id", "dist")
+    targets = chosen.select("t", F.struct("cell_id", "id").alias("target_id"), *"xyz")
+    return radius_pairs(points, targets, radius).select("target_id.cell_id", "t", "id", "dist")

@@ -5,11 +5,12 @@ from __future__ import annotations
 from itertools import product
 from math import sqrt
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import norm
 from ..model import Scale
+from .spatial import nearest_of
 
 
 def argmax_z(voxels: DataFrame) -> DataFrame:
@@ -47,17 +48,6 @@ def gather(spots: DataFrame, voxels: DataFrame, around: list[tuple[int, int, int
     return s.join(voxels, ["t", *"zyx"]).select("t", "id", "value", *more)
 
 
-def thresholded(values: Column, factor: float = 1.15) -> Column:
-    """Of an array of intensities: struct(size, fluo) of those strictly above mean + factor * population deviation;
-    size 0 and NULL if there are none. No exchange: the sample is one row."""
-    n = F.size(values)
-    mean = F.try_divide(F.aggregate(values, F.lit(0.0), lambda a, v: a + v), n)
-    spread = F.sqrt(F.try_divide(F.aggregate(values, F.lit(0.0), lambda a, v: a + (v - mean) * (v - mean)), n))
-    above = F.filter(values, lambda v: v > mean + factor * spread)
-    size = F.size(above)
-    return F.struct(size.cast("long").alias("size"), F.try_divide(F.aggregate(above, F.lit(0.0), lambda a, v: a + v), size).alias("fluo"))
-
-
 def fluo_threshold(samples: DataFrame, factor: float = 1.15) -> DataFrame:
     """(t, size, fluo) of rows (t, values). The mean and the threshold are computed once per row."""
     v = F.col("values")
@@ -88,25 +78,26 @@ def relabel_by_seed(labels: DataFrame, seeds: DataFrame, scale: Scale = Scale())
 
 
 def surface(labels: DataFrame) -> DataFrame:
-    """Foreground voxels that lack a neighbour of the same label on one of six sides."""
-    sides = F.explode(F.array(*[F.struct(*[F.lit(v).alias(c) for c, v in zip("zyx", d, strict=True)]) for d in ((1, 0, 0), (-1, 0, 0), (0, 1, 0), (0, -1, 0), (0, 0, 1), (0, 0, -1))]))
-    front = labels.where("label <> 0").select("t", "label", *"zyx")
-    touched = front.withColumn("d", sides).select("t", "label", *[(F.col(c) + F.col(f"d.{c}")).alias(c) for c in "zyx"])
-    inner = touched.groupBy("t", "label", *"zyx").agg(F.count("*").alias("n")).where("n = 6").drop("n")
-    return front.join(inner, ["t", "label", *"zyx"], "left_anti")
+    """Foreground voxels that lack a neighbour of the same label on one of six sides. Voxels are unique by frame and place."""
+    front, inner = labels.where("label <> 0").select("t", "label", *"zyx"), F.lit(True)
+    for c in "zyx":  # one exchange for each axis
+        line = Window.partitionBy("t", "label", *(o for o in "zyx" if o != c)).orderBy(c)
+        both = (F.lag(c).over(line) == F.col(c) - 1) & (F.lead(c).over(line) == F.col(c) + 1)
+        front = front.withColumn(f"_{c}", F.coalesce(both, F.lit(False)))
+        inner = inner & F.col(f"_{c}")
+    return front.where(~inner).select("t", "label", *"zyx")
 
 
 def nearest_voxel(spots: DataFrame, labels: DataFrame, chosen: DataFrame, scale: Scale = Scale()) -> DataFrame:
     """(t, id, nuc_id, dist_nuc): for spots in voxels the nearest voxel of the frame's chosen labels (t, label); of equal
     distances the smallest label; NULL in frames without one. Only surface voxels are compared, besides those that spots
-    stand on: a nearest voxel lies on a surface or under the spot."""
+    stand on: a nearest voxel lies on a surface or under the spot. By cubes, see spatial.nearest_of."""
     mine = labels.join(chosen.select("t", "label"), ["t", "label"], "left_semi")
     under = mine.join(spots.select("t", *"zyx").distinct(), ["t", *"zyx"], "left_semi").select("t", "label", *"zyx")
-    v = surface(mine).unionByName(under).select("t", "label", *[F.col(c).alias(f"_{c}") for c in "zyx"])
-    both = spots.select("t", "id", *"zyx").join(v, "t", "left")
+    v = surface(mine).unionByName(under).select("t", F.col("label").alias("target_id"), *"zyx")
     d = norm([(F.col(c) - F.col(f"_{c}")) * getattr(scale, c) for c in "zyx"])  # equal steps are equally far, to the last bit
-    best = F.min(F.when(F.col("label").isNotNull(), F.struct(d.alias("d"), "label"))).alias("b")
-    return both.groupBy("t", "id").agg(best).select("t", "id", F.col("b.label").alias("nuc_id"), F.col("b.d").alias("dist_nuc"))
+    found = nearest_of(spots, v, ["t"], d, {c: getattr(scale, c) for c in "xyz"})
+    return spots.select("t", "id").join(found.withColumnRenamed("dist", "dist_nuc"), ["t", "id"], "left")
 
 
 def normalise_percentile(voxels: DataFrame, low: float = 0.01, high: float = 0.998) -> DataFrame:

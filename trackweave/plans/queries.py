@@ -280,6 +280,28 @@ def ffill_reference(spark, d):
     return centres(spark, d).select("cell_id", "t", r6(spine.last_known(F.col("x"), ["cell_id"])).alias("x"))
 
 
+# The two queries above leave out cells and frames, in their SQL as well; these two take every row.
+WHOLE_CENTRE = (("centre", "SELECT cell_id, t, avg(x) AS x, avg(y) AS y, avg(z) AS z FROM fx_traj WHERE nuc_id = 1 GROUP BY 1, 2"), CENTRE[1])
+
+
+def whole_centres(spark, d):
+    p = fx.traj(spark, d)
+    return spine.densify(A.cell_centre(p.where("nuc_id = 1")), "cell_id", spine.frames(p))
+
+
+@query(with_views("""SELECT cell_id, t, round(CASE WHEN x IS NOT NULL THEN x ELSE nx + (coalesce(px, lx) - nx) / power(2.0, t - coalesce(pt, -1)) END, 6) AS x
+FROM (SELECT *, last_value(x IGNORE NULLS) OVER b AS px, last_value(CASE WHEN x IS NOT NULL THEN t END IGNORE NULLS) OVER b AS pt, first_value(x IGNORE NULLS) OVER a AS nx, last_value(x IGNORE NULLS) OVER al AS lx
+FROM cd WINDOW b AS (PARTITION BY cell_id ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), a AS (PARTITION BY cell_id ORDER BY t ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING),
+al AS (PARTITION BY cell_id ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING))""", "spine", extra=WHOLE_CENTRE))
+def gapfill_midpoint_all_cells(spark, d):
+    return spine.gapfill_midpoint(whole_centres(spark, d), ["x"], ["cell_id"]).select("cell_id", "t", r6("x").alias("x"))
+
+
+@query(with_views("SELECT cell_id, t, round(last_value(x IGNORE NULLS) OVER (PARTITION BY cell_id ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 6) AS x FROM cd", "spine", extra=WHOLE_CENTRE))
+def ffill_reference_all_cells(spark, d):
+    return whole_centres(spark, d).select("cell_id", "t", r6(spine.last_known(F.col("x"), ["cell_id"])).alias("x"))
+
+
 NN = (("nn", "SELECT s.t, s.id, n.id AS nuc_id, sqrt((s.x-n.x)*(s.x-n.x)+(s.y-n.y)*(s.y-n.y)+(s.z-n.z)*(s.z-n.z)) AS dist FROM fx_point s LEFT JOIN fx_point n ON s.t = n.t AND n.kind = 'nucleus' WHERE s.kind = 'spot'"),
       ("best", "SELECT t, id, nuc_id, dist FROM (SELECT *, row_number() OVER (PARTITION BY t, id ORDER BY dist NULLS LAST, nuc_id) AS k FROM nn) WHERE k = 1"))
 
@@ -691,7 +713,7 @@ def mutual_nn_links(spark, d):
 @query(with_views("SELECT id, t, head, place FROM ch", "fx_point", extra=(*LINKS, ("ch", "SELECT id, t, id AS head, 0 AS place FROM sp WHERE id NOT IN (SELECT id_b FROM lk) UNION ALL SELECT lk.id_b, ch.t + 1, ch.head, ch.place + 1 FROM ch JOIN lk ON lk.id_a = ch.id"))).replace("WITH ", "WITH RECURSIVE ", 1))
 def track_chains(spark, d):
     s = spots(spark, d)
-    return L.chains(s, L.mutual_links(s, 10.0), 10)
+    return L.chains(s, L.mutual_links(s, 10.0))
 
 
 @query()
@@ -702,7 +724,7 @@ def link_frames(spark, d):
 @query()
 def null_models(spark, d):
     cos = K.cosines(dense(spark, d))
-    return P.null_models(cos, P.persistence_prob(P.run_counter(cos)), 100)
+    return P.null_models(cos, P.persistence_prob(P.run_counter(cos)), spine.frames(fx.traj(spark, d)))
 
 
 @query()
