@@ -124,3 +124,8 @@ def test_shared_folder_is_never_a_machine_local_one(master, fine):
         with pytest.raises(ValueError, match="spark.checkpoint.dir"):
             shared.shared_dir(Session())
     assert shared.shared_dir(Session(spark_checkpoint_dir="hdfs://n/x/")) == "hdfs://n/x"
+
+
+@pytest.mark.parametrize("uri,want", [("s3a://b/x", "s3://b/x"), ("S3N://b/x", "s3://b/x"), ("s3://b/x", "s3://b/x"), ("file:///a", "file:///a"), ("hdfs://n/s3a://x", "hdfs://n/s3a://x"), ("/plain", "/plain")])
+def test_uris_for_arrow(uri, want):
+    assert shared.arrow_uri(uri) == want

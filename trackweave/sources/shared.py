@@ -25,6 +25,12 @@ def shared_dir(spark: SparkSession) -> str:
     return held.rstrip("/")
 
 
+def arrow_uri(uri: str) -> str:
+    """uri with a scheme that pyarrow knows: s3a and s3n, which Spark uses, are s3. Others stay."""
+    scheme, colon, rest = uri.partition("://")
+    return f"s3://{rest}" if colon and scheme.lower() in ("s3a", "s3n") else uri
+
+
 def clear_intermediate(spark: SparkSession) -> int:
     """Deletes the intermediate tables made so far. Only for when results that read them have been written."""
     jvm, conf, n = spark._jvm, spark._jsc.hadoopConfiguration(), 0

@@ -18,6 +18,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, GreaterThanOrEqual, In, InputPartition, LessThanOrEqual
 
+from .shared import arrow_uri
+
 VOXELS = "channel string, t int, z int, y int, x int, value int"
 NAME = re.compile(r"(?:(C\d+)_)?T(\d+)")
 SLAB = 1 << 20
@@ -132,14 +134,14 @@ class VolumeReader(DataSourceReader):
     def partitions(self):
         from pyarrow import fs
 
-        system, base = fs.FileSystem.from_uri(self.path)
+        system, base = fs.FileSystem.from_uri(arrow_uri(self.path))
         names = [i.path for i in system.get_file_info(fs.FileSelector(base)) if i.is_file]
         return [FilePartition(p) for p in sorted(names) if (m := NAME.search(p.rsplit("/", 1)[-1])) and self.wanted(int(m[2]))]
 
     def read(self, partition):
         from pyarrow import fs
 
-        system, _ = fs.FileSystem.from_uri(self.path)
+        system, _ = fs.FileSystem.from_uri(arrow_uri(self.path))
         with system.open_input_stream(partition.path) as f:
             yield from batches(partition.path.rsplit("/", 1)[-1], f.read(), self.foreground)
 
