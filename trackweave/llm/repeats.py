@@ -15,7 +15,8 @@ Texts are dealt once, by document, for the cutting and the result. Anchors are f
 would cost more disk than the work is worth.
 
 An anchor with more than `hot` runs would fill a task: its windows are instead aggregated by their bytes for the earliest
-place and joined back, which Spark combines before the shuffle and splits if skewed. The result is the same.
+place, which Spark combines before the shuffle, and all windows at other places go: a join by place, which has no hot keys.
+The result is the same. The number of shards grows with the runs, so a shard's memory does not.
 
 Nulls and edges: a null text counts as empty. Null ids come last in the order. Rows that repeat an id with another text
 are ordered by the text's hash; rows equal in both are one document and get equal results. Texts shorter than `length`
@@ -39,6 +40,7 @@ HOT = 100_000
 LAST = 2**63 - 1  # stands for a null id
 BITS = 24  # of a place in a slice of texts; more for a longer slice
 SLICE = 1 << 19  # bytes of text whose anchors are found at a time
+SHARD_RUNS = 100_000  # runs in a shard, some 16 MB of their bytes, about ten times that while it is sorted
 BLOB = 8 << 20  # bytes of runs that are packed at a time
 
 
@@ -183,7 +185,7 @@ def scan_intervals(lcp: np.ndarray, left: np.ndarray, first: np.ndarray) -> np.n
     return best
 
 
-RUN = "h long, doc long, th int, place long"
+RUN = "h long, doc long, th long, place long"
 SPAN_BITS = 24  # of a run's length in `place`, which holds first byte << SPAN_BITS | length
 
 
@@ -203,7 +205,7 @@ def runs(rows: DataFrame, length: int, piece: int = 4 * SLICE) -> DataFrame:
                     part, h, a, e = anchor_runs(parts[x : x + step], length)
                     at = pa.array(row[part + x])
                     place = (a + base[part + x]) << SPAN_BITS | (e - a)
-                    yield pa.record_batch([pa.array(h), batch.column(0).take(at), batch.column(1).take(at), pa.array(place)], ["h", "doc", "th", "place"])
+                    yield pa.record_batch([pa.array(h), batch.column(0).take(at), batch.column(1).cast(pa.int64()).take(at), pa.array(place)], ["h", "doc", "th", "place"])
 
     return rows.mapInArrow(run, RUN)
 
@@ -218,7 +220,7 @@ def packed(shard: np.ndarray, doc: np.ndarray, th: np.ndarray, a: np.ndarray, pa
         own = order[x:y]
         bytes_ = [parts[k] for k in own]
         sizes = np.array([len(p) for p in bytes_], np.int32)
-        blobs.append(squeeze(b"".join([np.int64(len(own)).tobytes(), doc[own].astype(np.int64).tobytes(), th[own].astype(np.int32).tobytes(), a[own].astype(np.int32).tobytes(), sizes.tobytes(), *bytes_])))
+        blobs.append(squeeze(b"".join([np.int64(len(own)).tobytes(), doc[own].astype(np.int64).tobytes(), th[own].astype(np.int64).tobytes(), a[own].astype(np.int32).tobytes(), sizes.tobytes(), *bytes_])))
     return pa.record_batch([pa.array(shard[order][cut[:-1]].astype(np.int32)), pa.array(blobs, pa.binary())], ["shard", "blob"])
 
 
@@ -226,7 +228,7 @@ def unpacked(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
     cols, rest = [[], [], [], []], []
     for raw in map(zstandard.ZstdDecompressor().decompress, blobs):
         n, at = int(np.frombuffer(raw, np.int64, 1)[0]), 8
-        for col, kind in zip(cols, (np.int64, np.int32, np.int32, np.int32), strict=True):
+        for col, kind in zip(cols, (np.int64, np.int64, np.int32, np.int32), strict=True):
             col.append(np.frombuffer(raw, kind, n, at).astype(np.int64))
             at += n * np.dtype(kind).itemsize
         rest.append(raw[at:])
@@ -268,7 +270,7 @@ def single_windows(length: int):
                         a, n = p >> SPAN_BITS, p & ((1 << SPAN_BITS) - 1)
                         out += [(doc, th, s, text[s : s + length]) for s in range(a, a + n - length + 1)]
                 cols = list(zip(*out, strict=True)) or [[]] * 4
-                yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.binary()), strict=True)], ["doc", "th", "s", "bytes"])
+                yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], ["doc", "th", "s", "bytes"])
 
     return run
 
@@ -292,7 +294,7 @@ def shard_repeats(length: int):
         first = new | np.concatenate(([True], s[1:] + text[1:] * (1 << 40) > reach[:-1]))[: len(s)]
         at = np.flatnonzero(first)
         last = np.append(at[1:] - 1, len(s) - 1)[: len(at)]
-        return pa.table({"doc": doc[at], "th": th[at].astype(np.int32), "span": s[at] << 32 | (reach[last] - text[last] * (1 << 40))})
+        return pa.table({"doc": doc[at], "th": th[at], "span": s[at] << 32 | (reach[last] - text[last] * (1 << 40))})
 
     return run
 
@@ -311,20 +313,21 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """(id, n_bytes, spans array<struct<s,e>>, kept binary): spans are the maximal removed runs of bytes."""
     spark = docs.sparkSession
     text = F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("doc"), F.hash(text).alias("th"), text.alias("text"))
+    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("doc"), F.xxhash64(text).alias("th"), text.alias("text"))
     found = runs(rows, length)
     often = materialise(found.groupBy("h").agg(F.count("*").alias("n")).where("n > 1"), "repeats-anchors")
-    shards = 8 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n_runs = often.where(F.col("n") <= hot).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    shards = max(8 * int(spark.conf.get("spark.sql.shuffle.partitions")), n_runs // SHARD_RUNS + 1)
     hits = found.join(often.hint("merge"), "h").select("doc", "th", "n", "place", F.pmod("h", F.lit(shards)).cast("int").alias("shard"))
     lists = {"cold": F.collect_list(F.when(F.col("n") <= hot, F.struct("shard", "place"))), "warm": F.collect_list(F.when(F.col("n") > hot, F.col("place")))}
     warm = not often.where(F.col("n") > hot).isEmpty()
     near = rows.join(hits.groupBy("doc", "th").agg(*[lists[c].alias(c) for c in lists if c == "cold" or warm]).hint("merge"), ["doc", "th"])
     cold = near.select("doc", "th", "text", "cold").mapInArrow(pack_runs, "shard int, blob binary")
-    spans = cold.groupBy("shard").applyInArrow(shard_repeats(length), "doc long, th int, span long")
+    spans = cold.groupBy("shard").applyInArrow(shard_repeats(length), "doc long, th long, span long")
     if warm:
-        each = near.where(F.size("warm") > 0).select("doc", "th", "text", "warm").mapInArrow(single_windows(length), "doc long, th int, s long, bytes binary")
-        first = each.groupBy("bytes").agg(F.min(F.struct("doc", "th", "s")).alias("first"))
-        later = each.join(first.hint("merge"), "bytes").where(F.struct("doc", "th", "s") > F.col("first"))
+        each = near.where(F.size("warm") > 0).select("doc", "th", "text", "warm").mapInArrow(single_windows(length), "doc long, th long, s long, bytes binary")
+        first = each.groupBy("bytes").agg(F.min(F.struct("doc", "th", "s")).alias("first")).select("first.*")
+        later = each.select("doc", "th", "s").join(first.hint("merge"), ["doc", "th", "s"], "left_anti")  # by place: no hot key
         spans = spans.unionAll(later.select("doc", "th", F.shiftleft("s", 32).bitwiseOR(F.col("s") + length).alias("span")))
     gone = spans.groupBy("doc", "th").agg(F.collect_list("span").alias("spans"))
     ends = rows.join(gone.hint("merge"), ["doc", "th"], "left").select(F.nullif("doc", F.lit(LAST)).alias("id"), "text", "spans")
