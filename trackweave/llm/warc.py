@@ -1,7 +1,8 @@
 """WARC archives: write request, response or revisit, and metadata records; read them back; assemble transactions.
 
-Which payload is stored is decided before writing: digests are aggregated (largest page id per digest) and joined back
-on the digest, the only exchange that carries payloads; the join's hot digests can be split. Each task then streams its
+Which payload is stored is decided before writing: digests are aggregated (largest page id per digest) and those that
+repeat are written. Up to MOST_REPEATED of them are broadcast, and no payload moves; a longer list is joined on the digest by
+a shuffle, whose hot digests can be split. Each task then streams its
 rows into gzip-membered archives in the shared folder and rolls to a new file at `roll_bytes`. A file's name holds the
 task attempt, and the manifest of finished files is itself written as a table, so after a lost executor only the files
 of attempts that succeeded are read. Files are opened through pyarrow's file systems by URI.
@@ -24,8 +25,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.shared import arrow_uri
 from .common import WRITTEN, materialise, shared_dir, slices, table
 
+MOST_REPEATED = 200_000  # digests of 40 characters with an id
 REVISIT_LEAST = 1000  # bytes a payload needs to be stored once only
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -38,7 +41,8 @@ def planned(pages: DataFrame, least: int = REVISIT_LEAST, id_col: str = "page_id
     rows = pages.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(url_col).cast("string"), F.lit("")).alias("url"), payload.alias("payload"))
     rows = rows.withColumn("n", F.octet_length("payload").cast("long")).withColumn("digest", F.sha1("payload"))
     stored = rows.where(F.col("n") >= least).groupBy("digest").agg(F.max("id").alias("first"), F.count("*").alias("of")).where("of > 1").select("digest", "first")
-    out = rows.join(stored.hint("merge"), "digest", "left")
+    stored = materialise(stored, "warc-repeated")
+    out = rows.join(F.broadcast(stored) if stored.count() <= MOST_REPEATED else stored.hint("merge"), "digest", "left")
     return out.withColumn("refers", F.when((F.col("n") >= least) & (F.col("id") < F.col("first")), F.col("first"))).select("id", "url", "payload", "digest", "n", "refers")
 
 
@@ -78,7 +82,7 @@ def write_archives(plan: DataFrame, roll_bytes: int = 64 << 20) -> DataFrame:
     def run(batches):
         from pyarrow import fs
 
-        system, base = fs.FileSystem.from_uri(folder)
+        system, base = fs.FileSystem.from_uri(arrow_uri(folder))
         system.create_dir(base, recursive=True)
         task = TaskContext.get()
         label, n, part, sink, size, records = f"{task.partitionId()}-{task.taskAttemptId()}", 0, 0, None, 0, 0
@@ -154,7 +158,7 @@ def read_archives(manifest: DataFrame, with_payload: bool = True) -> DataFrame:
 
         for batch in batches:
             for uri in batch.column(0).to_pylist():
-                system, path = fs.FileSystem.from_uri(uri)
+                system, path = fs.FileSystem.from_uri(arrow_uri(uri))
                 held, size = [], 0
                 with system.open_input_stream(path, compression=None) as f:
                     for raw in members(f):
