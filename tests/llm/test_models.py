@@ -228,9 +228,40 @@ def test_url_odd_rows(spark):
     assert urlfilter.judged(rows.limit(0)).count() == 0
 
 
+def test_url_rules_by_join_and_by_trie(spark):
+    """Rules beyond max_rules are joined: the same result, ties between hosts of equal length and long urls included."""
+    rng = np.random.default_rng(4)
+    hosts, segments = ["com", "a.com", "b.a.com", "net", "c.net", ""], ["", "x", "xy", "xyz", "q"]
+    some = lambda n: ["/" + "/".join(rng.choice(segments, rng.integers(0, 4))) for _ in range(n)]
+    rules = [(str(rng.choice(["block", "allow"])), str(h), p[: rng.integers(0, len(p) + 1)]) for h, p in zip(rng.choice(hosts, 60), some(60))]
+    rules += [("allow", "a.com", "/x/"), ("block", "c.net", "/x/"), ("block", "a.com", "/x/")]
+    urls = [f"http://{h}{p}{q}" for h, p, q in zip(rng.choice([*hosts, "z.b.a.com", "xcom", "A.COM"], 200), some(200), rng.choice(["", "?q", "#f"], 200))]
+    urls += [None, "none", "http://a.com/" + "x/" * 20_000]
+    rows = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    table = spark.createDataFrame(rules, "verdict string, host string, path string")
+    tuples = lambda df: Counter(tuple(r) for r in df.select("id", "host", "path", "rule", "verdict").collect())
+    want = tuples(urlfilter.judged(rows, rules))
+    assert want == tuples(urlfilter.judged(rows, table)) == tuples(urlfilter.judged(rows, table, max_rules=5)) == tuples(urlfilter.judged(rows, rules, max_rules=5))
+
+    def brute(url):
+        host, path = urlfilter.split_url(url)
+        fits = [(len(h) + len(p), v == "block", h + p, v) for v, h, p in rules if (host or path) and (h in ("", host) or host.endswith("." + h)) and path.startswith(p)]
+        return max(fits, default=(0, False, None, "allow"))[2:]
+
+    assert {k: (r, v) for k, _, _, r, v in want} == {k: brute(u) for k, u in enumerate(urls)}
+
+
 # ---- WARC ----
 
 
+def test_warc_plans_repeats_by_broadcast_and_by_shuffle(spark, monkeypatch):
+    rows = spark.createDataFrame([(k, "u", str(k % 4) * (990 + k % 3 * 10)) for k in range(40)] + [(50, "u", "y" * 200_000)] * 2, "page_id long, url string, html string")
+    plan = lambda: Counter((r.id, r.refers) for r in warc.planned(rows).collect())
+    one = plan()
+    monkeypatch.setattr(warc, "MOST_REPEATED", 0)
+    assert one == plan() and sum(n for (_, refers), n in one.items() if refers is not None) > 10
+
+
 def test_warc_round_trip(spark):
     big, other = "<p>é\r\n\r\n" + "x" * 1200, "y" * 999
     rows = [(1, "http://a/b?c", big), (2, "http://a\nWARC-Type: fake", big), (3, None, big), (4, "u", other), (5, "u", other), (6, "u", None), (None, "u", big), (3, "again", big), (7, "u", "WARC/1.1\r\n\r\n")]

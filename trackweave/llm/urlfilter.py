@@ -1,8 +1,10 @@
 """URL filter: a trie over reversed host labels and path segments, broadcast, longest match wins.
 
 A rule is (verdict, host, path). It fits its host and all subdomains if the url's path starts with the rule's path as a
-string. Of the rules that fit, the one with the longest host and path together wins; of equals, block wins. The trie's
-size is checked before it is broadcast (`max_rules`); rules are a configuration, not data that grows with the pages.
+string. Of the rules that fit, the one with the longest host and path together wins; of equals, block wins, then the greater
+text. Among the tails of a node those of each length are looked up at once, so flat lists of rules cost their lengths, not
+their number. Rules may be a list or a table (verdict, host, path). The trie's size is checked before it is broadcast: more
+than `max_rules` rules are joined instead, by host suffix and path prefix, with the same result.
 
 Nulls and edges: a null url or one without "://" has empty host and path and gets the default verdict. A null id stays.
 """
@@ -13,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import UPPER, LOWER, table
+from .common import LOWER, UPPER, materialise, table
 
 RULES = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/")]
 TO_LOWER = str.maketrans(UPPER, LOWER)
@@ -41,13 +43,15 @@ class Trie:
             for label in reversed(host.translate(TO_LOWER).split(".")) if host else ():
                 node = node["labels"].setdefault(label, {"labels": {}, "paths": None})
             if node["paths"] is None:
-                node["paths"] = {"next": {}, "tails": {}}
+                node["paths"] = {"next": {}, "tails": {}, "lengths": []}
             step = node["paths"]
             *whole, tail = path.split("/")
             for segment in whole:
-                step = step["next"].setdefault(segment, {"next": {}, "tails": {}})
+                step = step["next"].setdefault(segment, {"next": {}, "tails": {}, "lengths": []})
             found = (len(host) + len(path), verdict == "block", host.translate(TO_LOWER) + path, verdict)
             step["tails"][tail] = max(step["tails"].get(tail, found), found)
+            if len(tail) not in step["lengths"]:
+                step["lengths"].append(len(tail))
 
     def match(self, host: str, path: str) -> tuple[str | None, str | None]:
         """(rule, verdict) of the longest rule that fits."""
@@ -58,8 +62,9 @@ class Trie:
         while node is not None:
             step = node["paths"]
             for segment in segments if step else ():
-                for tail, found in step["tails"].items():
-                    if segment.startswith(tail) and (best is None or found > best):
+                for n in step["lengths"]:
+                    found = step["tails"].get(segment[:n]) if n <= len(segment) else None
+                    if found is not None and (best is None or found > best):
                         best = found
                 if (step := step["next"].get(segment)) is None:
                     break
@@ -68,9 +73,44 @@ class Trie:
         return (best[2], best[3]) if best else (None, None)
 
 
-def judged(pages: DataFrame, rules=RULES, default: str = "allow", id_col: str = "page_id", url_col: str = "url") -> DataFrame:
+def split_urls(pages: DataFrame, id_col: str, url_col: str) -> DataFrame:
+    """(id, host, path) by the batch."""
+
+    def run(batches):
+        for batch in batches:
+            out = [split_url(url) for url in batch.column(1).to_pylist()]
+            yield pa.record_batch([batch.column(0), *(pa.array([x[k] for x in out], pa.string()) for k in range(2))], ["id", "host", "path"])
+
+    return pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url")).mapInArrow(run, "id long, host string, path string")
+
+
+def joined(pages: DataFrame, rules: DataFrame, default: str, id_col: str, url_col: str) -> DataFrame:
+    """judged() for rules that are too many for a trie: different places (host, path) meet the rules on every host suffix and on
+    the path prefixes whose lengths occur among the host's rules."""
+    r = rules.select("verdict", F.translate(F.coalesce("host", F.lit("")), UPPER, LOWER).alias("h"), F.coalesce("path", F.lit("")).alias("p"))
+    rank = F.struct((F.length("h") + F.length("p")).alias("n"), (F.col("verdict") == "block").alias("block"), F.concat("h", "p").alias("rule"), "verdict")
+    r = r.groupBy("h", "p").agg(F.max(rank).alias("found"))
+    lengths = r.select("h", F.length("p").alias("n")).distinct()
+    urls = materialise(split_urls(pages, id_col, url_col), "urls")
+    places = urls.select("host", "path").where("host <> '' or path <> ''").distinct()
+    labels = F.split("host", r"\.")
+    ends = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda k: F.array_join(F.slice(labels, k, F.size(labels)), "."))
+    tried = places.withColumn("h", F.explode(F.array_distinct(F.concat(ends, F.array(F.lit("")))))).join(lengths.hint("merge"), "h").where(F.length("path") >= F.col("n"))
+    hit = tried.withColumn("p", F.substring("path", F.lit(1), F.col("n"))).join(r.hint("merge"), ["h", "p"]).groupBy("host", "path").agg(F.max("found").alias("found"))
+    out = urls.join(hit.hint("merge"), ["host", "path"], "left")
+    return out.select("id", "host", "path", "found.rule", F.coalesce("found.verdict", F.lit(default)).alias("verdict"))
+
+
+def judged(pages: DataFrame, rules=RULES, default: str = "allow", id_col: str = "page_id", url_col: str = "url", max_rules: int = 1_000_000) -> DataFrame:
     """(id, host, path, rule, verdict): one row per row of pages."""
-    trie = pages.sparkSession.sparkContext.broadcast(Trie(list(rules)))
+    spark = pages.sparkSession
+    if isinstance(rules, DataFrame):
+        if rules.count() > max_rules:
+            return joined(pages, rules, default, id_col, url_col)
+        rules = [tuple(x or "" for x in r) for r in rules.select("verdict", "host", "path").collect()]
+    elif len(rules) > max_rules:
+        return joined(pages, spark.createDataFrame(list(rules), "verdict string, host string, path string"), default, id_col, url_col)
+    trie = spark.sparkContext.broadcast(Trie(list(rules), max_rules))
 
     def run(batches):
         for batch in batches:
