@@ -193,6 +193,41 @@ def test_quality_views_teach_each_other():
     assert right(quality.co_train(text, noise, label, rounds=4, per_round=100)) == alone  # a view that knows nothing passes nothing
 
 
+def test_quality_exchange_looks_at_every_unlabelled_row(spark, monkeypatch):
+    """Rows and labels that pass in each round are those of the computation in memory, over all rows and over tables."""
+    rng = np.random.default_rng(1)
+    word = lambda good: "".join(rng.choice(list("abcdefgh" if good else "mnopqr#{"), rng.integers(2, 8)))
+    rows = []
+    for k in range(600):
+        good = bool(rng.random() < 0.6)
+        text = " ".join(word(good if rng.random() < 0.8 else not good) for _ in range(rng.integers(5, 40)))
+        rows.append((k, text, "en" if good == (rng.random() < 0.9) else "de", f"s{int(good) + 2 * int(rng.random() < 0.1)}", len(text), int(good)))
+    docs = spark.createDataFrame([r[:5] for r in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(7)
+    labels = spark.createDataFrame([(r[0], r[5], 0) for r in rows[:120]], "doc_id long, quality int, toxic int")
+    passed = {"memory": [], "tables": []}
+    real = quality.exchange
+
+    def noted(name):
+        def run(views, label, choose, *more):
+            def seen(*args):
+                out = choose(*args)
+                passed[name].append({v: sorted((round(float(x.sum()), 4), float(y)) for x, y in zip(*got, strict=True)) for v, got in out.items()})
+                return out
+
+            return real(views, label, seen, *more)
+
+        return run
+
+    monkeypatch.setattr(quality, "exchange", noted("tables"))
+    a = quality.trained(docs, labels, per_round=40, confidence=0.8)
+    monkeypatch.setattr(quality, "exchange", noted("memory"))
+    x = np.array([quality.text_features(r[1].encode()) for r in rows], np.float64)
+    m = np.array([quality.meta_features(*r[2:5]) for r in rows], np.float64)
+    b = quality.co_train(x, m, np.array([r[5] if r[0] < 120 else np.nan for r in rows]), per_round=40, confidence=0.8)
+    assert passed["tables"] == passed["memory"] and len(passed["memory"]) == 3 and sum(len(v) for r in passed["memory"] for v in r.values()) > 60
+    assert np.allclose(a.scores(x, m)[0], b.scores(x, m)[0])
+
+
 def test_quality_odd_rows(spark, odd_docs):
     labels = spark.createDataFrame([(1, 1, 0), (1, 0, 0), (7, None, 0), (None, 1, 0)], "doc_id long, quality int, toxic int")
     out = quality.keep_good(odd_docs, labels)
