@@ -201,6 +201,13 @@ def test_bpe_long_tokens_and_specials(codec, reference):
         assert codec.encode(text).tolist() == reference.encode_ordinary(text)
 
 
+def test_bpe_memo_is_bounded_by_bytes(codec, reference, monkeypatch):
+    monkeypatch.setattr(bpe, "MEMO_BYTES", 1000)
+    texts = [f"{chr(97 + k % 26) * 400}{k} word{k} two" for k in range(30)]
+    assert all(codec.encode(t).tolist() == reference.encode_ordinary(t) for t in texts)
+    assert sum(len(t.encode()) for t in codec.memo) <= 1000 + 2 * 410
+
+
 def test_perfect_hash_is_minimal(codec):
     keys = list(codec.ranks)
     assert sorted(codec.hash.place(bpe.hash64(keys)).tolist()) == list(range(len(keys)))

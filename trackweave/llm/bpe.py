@@ -24,7 +24,8 @@ from pyspark.sql import functions as F
 
 from .common import documents, slices
 
-MEMO = 600_000  # pre-tokens a worker remembers before it starts anew
+MEMO = 600_000  # pre-tokens a worker remembers before it starts anew,
+MEMO_BYTES = 16 << 20  # and bytes of them, so that long ones do not fill it
 MOST_VOCABULARY_BYTES = 64 << 20
 
 
@@ -103,6 +104,7 @@ class Codec:
         splits = ((ranks.get(key[:c]), ranks.get(key[c:]), r) for key, r in ranks.items() for c in range(1, len(key)))
         self.pairs = {a << 32 | b: r for a, b, r in splits if a is not None and b is not None}
         self.memo: dict[str, bytes] = {}
+        self.held = 0
 
     def merge(self, raw: bytes) -> bytes:
         """Tier two: the lowest-ranked pair first, leftmost among equals. A heap entry is rank << 32 | place; it is stale
@@ -130,12 +132,14 @@ class Codec:
         return b"".join([self.packed_id[i] for i in ids if i >= 0])
 
     def resolve(self, tokens: set[str]) -> None:
-        if len(self.memo) > MEMO:
+        if len(self.memo) > MEMO or self.held > MEMO_BYTES:
+            self.held = 0
             self.memo.clear()  # before this text's tokens, all of which are resolved below
         new = [t for t in tokens if t not in self.memo]
         if not new:
             return
         raw = [t.encode() for t in new]
+        self.held += sum(map(len, raw))
         keys, packed, memo = self.keys, self.packed, self.memo
         for t, r, p in zip(new, raw, self.hash.place(hash64(raw)).tolist(), strict=True):
             memo[t] = packed[p] if keys[p] == r else self.merge(r)
