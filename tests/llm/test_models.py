@@ -364,6 +364,20 @@ def test_pipeline_is_its_stages(spark):
     assert {r.doc_id: (r.n_tokens, r.decoded_sha256) for r in whole} == tokens
 
 
+def test_pipeline_near_dedup_is_similarity_by_all_pairs(spark):
+    """The stage on the small table against all pairs of at least 0.8: the smallest id of each component stays."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    texts = dict(texts_of(docs))
+    grams = {i: simhash.shingle_set((t or "").encode(), 5) for i, t in texts.items()}
+    low = {i: i for i in texts}
+    links = [(i, j) for i in texts for j in texts if i < j and (texts[i] == texts[j] or len(grams[i] & grams[j]) >= 0.8 * len(grams[i] | grams[j]))]
+    for _ in texts:
+        for i, j in links:
+            low[i] = low[j] = min(low[i], low[j])
+    stage = dict(corpus_pipeline.STAGES)["SimHash near-dedup"]
+    assert {r.doc_id for r in stage(spark, docs, SF).collect()} == set(low.values()) and len(set(low.values())) < len(texts) - 10
+
+
 def test_pipeline_stages_take_odd_rows(spark, odd_docs, tmp_path):
     plain = odd_docs.select("doc_id", "text", "lang", "source", "n_chars")
     for name in ("labels", "benchmark"):

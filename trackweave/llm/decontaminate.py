@@ -1,6 +1,6 @@
 """Benchmark decontamination with one FM-index per shard of training text.
 
-A shard is a slice of an Arrow batch (about 8 MB of text). Its words that stand anywhere in the benchmark get numbers; runs of
+A shard is a slice of an Arrow batch (SHARD bytes of text). Its words that stand anywhere in the benchmark get numbers; runs of
 such words that are long enough to hold a window are kept as the indexed sequence (a window cannot reach over an unknown
 word), each run ended by a separator. The index is a word-level FM-index: suffix array by prefix doubling, Burrows-Wheeler
 transform in a wavelet matrix with packed rank counts, and suffix positions sampled at run starts and at every SAMPLE-th
@@ -33,6 +33,7 @@ from .common import documents, materialise, plain, slices, table, utf8
 
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 SAMPLE = 8
+SHARD = 4 << 20
 STATE = "id long, text string, hit array<struct<start:int,end:int>>, items array<long>, n_words long"
 HIT = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
@@ -327,7 +328,7 @@ def without_benchmark(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def one_pass(blocks: list, last: bool, cut: bool):
     def run(batches):
         for whole in batches:
-            for batch in slices(whole):
+            for batch in slices(whole, SHARD):
                 texts = list(utf8(batch.column(1)))
                 spans, items, n_words = scan_shard(texts, *(b.value for b in blocks))
                 before = batch.column(2).to_pylist(), batch.column(3).to_pylist()

@@ -189,7 +189,7 @@ def viewed(docs: DataFrame) -> DataFrame:
 
     def run(batches):
         for whole in batches:
-            for batch in slices(whole):
+            for batch in slices(whole, 2 << 20):
                 x, m = features(batch, 1, 2, 3, 4)
                 yield pa.record_batch([batch.column(0), pa.array([r.tobytes() for r in x], pa.binary()), pa.array([r.tobytes() for r in m], pa.binary())], ["doc_id", "x", "m"])
 
@@ -208,7 +208,7 @@ def sure_rows(rows: DataFrame, models: dict, calibrated: dict, sure: float) -> D
     def run(batches):
         models, calibrated = shared.value
         for whole in batches:
-            for batch in slices(whole):
+            for batch in slices(whole, 1 << 20):
                 views = matrices(batch.column(1), batch.column(2))
                 odds = {v: calibrated[v].log_odds(models[v].log_odds(views[v])[:, None]) for v in views}
                 some = pa.array(np.maximum(np.abs(odds["text"]), np.abs(odds["meta"])) >= sure)
@@ -267,7 +267,7 @@ def scored(docs: DataFrame, model: CoTrained, threshold: float = 0.5) -> DataFra
 
     def run(batches):
         for whole in batches:
-            for batch in slices(whole):
+            for batch in slices(whole, 4 << 20):
                 both, a, b = shared.value.scores(*features(batch, *at))
                 yield pa.record_batch([*batch.columns, pa.array(both), pa.array(a), pa.array(b), pa.array(both >= threshold)], [*batch.schema.names, *added])
 
