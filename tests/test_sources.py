@@ -129,3 +129,19 @@ def test_shared_folder_is_never_a_machine_local_one(master, fine):
 @pytest.mark.parametrize("uri,want", [("s3a://b/x", "s3://b/x"), ("S3N://b/x", "s3://b/x"), ("s3://b/x", "s3://b/x"), ("file:///a", "file:///a"), ("hdfs://n/s3a://x", "hdfs://n/s3a://x"), ("/plain", "/plain")])
 def test_uris_for_arrow(uri, want):
     assert shared.arrow_uri(uri) == want
+
+
+@pytest.mark.parametrize("kind", ["tif", "npy"])
+def test_written_volumes_are_read_back(spark, tmp_path, kind):
+    rows = [(t, z, y, x, 100 * t + 10 * z + x - 5) for t in (2, 11) for z in range(2) for y in range(3) for x in range(4) if (z, y, x) != (0, 1, 1)]
+    voxels = spark.createDataFrame(rows, "t int, z int, y int, x int, value int").withColumn("extra", F.lit("e"))
+    folder = f"file://{tmp_path}/out"
+    for _ in range(2):  # written again: the same files
+        made = volumes.write_volumes(voxels, folder, kind=kind, channel="C02").collect()
+    assert sorted(r.path for r in made) == [f"{folder}/C02_T{t:05d}.{kind}" for t in (2, 11)]
+    assert sorted(p.name for p in (tmp_path / "out").glob("*") if not p.name.startswith((".", "_"))) == [f"C02_T{t:05d}.{kind}" for t in (2, 11)]
+    got = {tuple(r) for r in volumes.read_volumes(spark, folder).select("channel", "t", "z", "y", "x", "value").collect()}
+    assert got == {("C02", *r) for r in rows} | {("C02", t, 0, 1, 1, 0) for t in (2, 11)}
+    assert volumes.write_volumes(voxels.limit(0), folder).count() == 0
+    with pytest.raises(ValueError, match="kind"):
+        volumes.write_volumes(voxels, folder, kind="hdf")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,6 +17,7 @@ from ..operators import linking as L
 from ..operators import persistence as P
 from ..operators import spatial as J
 from ..operators import spine, stats, tables, voxel
+from ..sources import shared, volumes, writers
 from . import fixtures as fx
 from .fixtures import with_views
 
@@ -46,6 +48,43 @@ def kin(spark, d) -> DataFrame:
     return K.directions(dense(spark, d))
 
 
+# ---- files: written, listed and read again ----
+
+
+def own_folder(spark, name: str) -> str:
+    folder = f"{shared.shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    shared.WRITTEN.append(folder)
+    return folder
+
+
+@query(with_views("SELECT t, z, y, x, value FROM fx_voxel", "fx_voxel"))
+def volume_tiff_round_trip(spark, d):
+    folder = own_folder(spark, "tiff")
+    volumes.write_volumes(fx.voxel(spark, d), folder)
+    return volumes.read_volumes(spark, folder).select("t", *"zyx", "value")
+
+
+@query(with_views("SELECT t, z, y, x, label FROM fx_label WHERE label <> 0", "fx_label"))
+def label_npy_round_trip(spark, d):
+    folder = own_folder(spark, "npy")
+    volumes.write_volumes(fx.label(spark, d).withColumn("value", F.col("label")), folder, kind="npy")
+    return volumes.read_volumes(spark, folder, foreground=True).select("t", *"zyx", F.col("value").alias("label"))
+
+
+@query(with_views("SELECT id, t, round(x, 6) AS x, round(y, 6) AS y, round(z, 6) AS z FROM fx_traj", "fx_traj"))
+def points_csv_round_trip(spark, d):
+    folder = own_folder(spark, "csv")
+    writers.write_points(fx.traj(spark, d).select("id", "t", *"xyz"), folder)
+    return spark.read.csv(folder, header=True, schema="id long, t int, x double, y double, z double").select("id", "t", *[r6(c).alias(c) for c in "xyz"])
+
+
+@query(with_views("SELECT id, t, round(x, 6) AS x FROM fx_traj WHERE t = 3", "fx_traj"))
+def table_by_frame_round_trip(spark, d):
+    folder = own_folder(spark, "frames")
+    writers.write_table(fx.traj(spark, d).select("id", "t", "x"), folder, by_frame=True)
+    return spark.read.parquet(folder).where("t = 3").select("id", "t", r6("x").alias("x"))
+
+
 # ---- scans, filters, projections ----
 
 

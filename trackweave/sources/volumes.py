@@ -10,6 +10,7 @@ from __future__ import annotations
 import io
 import re
 import struct
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, GreaterThanOrEqual, In, InputPartition, LessThanOrEqual
 
-from .shared import arrow_uri
+from .shared import arrow_uri, materialise
 
 VOXELS = "channel string, t int, z int, y int, x int, value int"
 NAME = re.compile(r"(?:(C\d+)_)?T(\d+)")
@@ -106,6 +107,36 @@ def read_volumes(spark: SparkSession, path: str, frames: list[int] | None = None
     return files.mapInArrow(run, VOXELS)
 
 
+def write_volumes(voxels: DataFrame, folder: str, kind: str = "tif", channel: str = "C00", dtype: str = "i4") -> DataFrame:
+    """Writes one volume a frame, as TIFF or NPY, named by channel and frame, and returns the written list (t, path, bytes).
+    A volume reaches from 0 to the greatest z, y and x of its frame; places without a voxel hold 0. A frame is one file, so
+    one group. Each attempt writes a file of its own and moves it into place: a frame that is written again replaces itself."""
+    if kind not in ("tif", "npy"):
+        raise ValueError(f"no such kind of volume: {kind}")
+
+    def run(rows: pa.Table) -> pa.Table:
+        from pyarrow import fs
+
+        t, *at, value = (rows.column(c).to_numpy() for c in ("t", "z", "y", "x", "value"))
+        volume = np.zeros([int(a.max()) + 1 for a in at], dtype)
+        volume[tuple(at)] = value
+        out = io.BytesIO()
+        if kind == "npy":
+            np.save(out, volume)
+        raw = out.getvalue() if kind == "npy" else encode_tiff(volume)
+        system, base = fs.FileSystem.from_uri(arrow_uri(folder))
+        system.create_dir(base, recursive=True)
+        name = f"{channel}_T{int(t[0]):05d}.{kind}"
+        draft = f"{base}/_{uuid.uuid4().hex}"
+        with system.open_output_stream(draft, compression=None) as f:
+            f.write(raw)
+        system.move(draft, f"{base}/{name}")
+        return pa.table({"t": pa.array([int(t[0])], pa.int64()), "path": [f"{folder}/{name}"], "bytes": pa.array([len(raw)], pa.int64())})
+
+    rows = voxels.select(F.col("t").cast("long").alias("t"), *[F.col(c).cast("int").alias(c) for c in (*"zyx", "value")])
+    return materialise(rows.groupBy("t").applyInArrow(run, "t long, path string, bytes long"), "volume-list")
+
+
 class FilePartition(InputPartition):
     def __init__(self, path: str):
         super().__init__(path)
