@@ -341,6 +341,31 @@ def test_segmentation_finds_components(spark):
     assert set(got) == on and got[0, 0, 0] == got[0, 0, 1] != got[0, 2, 2] == got[1, 2, 2]
 
 
+def flood(on):
+    """Labels of 6-connected components by their first place, from 1."""
+    label = {}
+    for start in sorted(on):
+        if start not in label:
+            n, todo = 1 + max(label.values(), default=0), [start]
+            while todo:
+                p = todo.pop()
+                if p in on and p not in label:
+                    label[p] = n
+                    todo += [tuple(v + s * (k == j) for j, v in enumerate(p)) for k in range(3) for s in (-1, 1)]
+    return label
+
+
+@pytest.mark.parametrize("tile", [1, 3, 64])
+def test_segmentation_does_not_depend_on_tiles(spark, tile):
+    rng = np.random.default_rng(8)
+    on = {t: {tuple(int(v) for v in p) for p in np.argwhere(rng.random((7, 8, 9)) < share)} for t, share in ((0, 0.3), (4, 0.45))}
+    rows = [(t, z, y, x, 100 if (z, y, x) in on[t] else 0) for t in on for z in range(7) for y in range(8) for x in range(9)]
+    rows += [(9, 0, 0, x, 5) for x in range(4)]  # a flat frame has no foreground
+    got = voxel.segment(spark.createDataFrame(rows, "t int, z int, y int, x int, value int"), tile=tile).collect()
+    assert {(r.t, r.z, r.y, r.x): r.label for r in got} == {(t, *p): n for t in on for p, n in flood(on[t]).items()}
+    assert voxel.segment(spark.createDataFrame([], "t int, z int, y int, x int, value int"), tile=tile).collect() == []
+
+
 def test_selection_backfills_only_if_asked(spark):
     n = spark.createDataFrame([(7, 1, 0.0), (7, 3, 0.0)], "id long, t int, x double").withColumns({"y": F.lit(0.0), "z": F.lit(0.0)})
     p = spark.createDataFrame([(k, t, float(k)) for k in (1, 30) for t in range(5)], "id long, t int, x double").withColumns({"y": F.lit(0.0), "z": F.lit(0.0)})

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import norm
 from ..model import Scale
+from ..sources.shared import materialise
 from .spatial import nearest_of
 
 
@@ -106,30 +107,87 @@ def normalise_percentile(voxels: DataFrame, low: float = 0.01, high: float = 0.9
     return voxels.join(p, "t").withColumn("norm", F.try_divide(F.col("value") - F.col("_lo"), F.col("_hi") - F.col("_lo"))).drop("_lo", "_hi")
 
 
-def segment(voxels: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """A documented stand-in for a trained segmentation network: percentile normalisation, threshold, and 6-connected
-    components per frame (label numbers by first voxel). A model can be plugged in as any function DataFrame -> DataFrame
-    of label voxels. Frames are independent, each in one group."""
+def components(n: int, a, b):
+    """The smallest member of each of n nodes' component under the edges a[k] - b[k], by hooking roots to smaller ones."""
+    import numpy as np
+
+    root = np.arange(n)
+    while True:
+        ra, rb = root[a], root[b]
+        apart = ra != rb
+        if not apart.any():
+            return root
+        np.minimum.at(root, np.maximum(ra, rb)[apart], np.minimum(ra, rb)[apart])
+        while not np.array_equal(root[root], root):
+            root = root[root]
+
+
+BITS = 21  # of a place's z, y and x in one long
+
 
-    def run(pdf):
+def pieces(front: DataFrame, tile: int) -> DataFrame:
+    """Foreground (t, z, y, x) -> with `piece`, the first place (as one long) of the voxel's 6-connected component within its
+    tile of tile^3 voxels. A tile is a group, so a worker holds one dense tile, however large the frame."""
+    schema = f"t {dict(front.dtypes)['t']}, z int, y int, x int, piece long"
+
+    def run(rows):
+        import numpy as np
+        import pyarrow as pa
+
+        at = np.stack([rows.column(c).to_numpy() for c in "zyx"]).astype(np.int64)
+        if at.min() < 0 or at.max() >= 1 << BITS:
+            raise ValueError(f"voxel places must be in 0..{(1 << BITS) - 1}")
+        at = at[:, np.lexsort(at[::-1])]
+        low = at.min(axis=1)
+        shape = at.max(axis=1) - low + 1
+        index = np.full(shape, -1)
+        index[tuple(at - low[:, None])] = np.arange(at.shape[1])
+        a, b = [], []
+        for axis in range(3):
+            here, there = np.delete(index, -1, axis).ravel(), np.delete(index, 0, axis).ravel()
+            both = (here >= 0) & (there >= 0)
+            a.append(here[both])
+            b.append(there[both])
+        first = at[:, components(at.shape[1], np.concatenate(a), np.concatenate(b))]
+        piece = (first[0] << 2 * BITS) | (first[1] << BITS) | first[2]
+        t = rows.column("t")[0]
+        i4 = lambda v: pa.array(v.astype(np.int32))
+        return pa.table({"t": pa.array([t.as_py()] * len(piece), t.type), **{c: i4(v) for c, v in zip("zyx", at, strict=True)}, "piece": pa.array(piece)})
+
+    tiles = {f"_{c}": F.floor(F.col(c) / tile) for c in "zyx"}
+    return front.withColumns(tiles).groupBy("t", *tiles).applyInArrow(lambda rows: run(rows.select(["t", *"zyx"])), schema)
+
+
+def joined_pieces(cells: DataFrame, tile: int) -> DataFrame:
+    """(t, piece, first): pieces that touch another one across a tile's border, and the first place of their component. Only
+    the different touching pairs of a frame meet in one group, never its voxels."""
+    pairs = []
+    for c in "zyx":
+        rest = [o for o in "zyx" if o != c]
+        here = cells.where(F.col(c) % tile == tile - 1).select("t", *rest, (F.col(c) + 1).alias(c), F.col("piece").alias("a"))
+        there = cells.where(F.col(c) % tile == 0).select("t", *rest, c, F.col("piece").alias("b"))
+        pairs.append(here.join(there, ["t", *"zyx"]).select("t", "a", "b").distinct())
+    links = pairs[0].unionByName(pairs[1]).unionByName(pairs[2]).distinct()
+
+    def run(rows):
         import numpy as np
+        import pyarrow as pa
+
+        names, ends = np.unique(np.concatenate([rows.column(c).to_numpy() for c in "ab"]), return_inverse=True)
+        first = names[components(len(names), *np.split(ends, 2))]
+        t = rows.column("t")[0]
+        return pa.table({"t": pa.array([t.as_py()] * len(names), t.type), "piece": pa.array(names), "first": pa.array(first)})
 
-        places = {p: k for k, p in enumerate(zip(pdf["z"], pdf["y"], pdf["x"], strict=True))}
-        label = np.zeros(len(pdf), np.int64)
-        n = 0
-        for start in sorted(places):
-            if label[places[start]]:
-                continue
-            n, todo = n + 1, [start]
-            label[places[start]] = n
-            while todo:
-                z, y, x = todo.pop()
-                for q in ((z + 1, y, x), (z - 1, y, x), (z, y + 1, x), (z, y - 1, x), (z, y, x + 1), (z, y, x - 1)):
-                    k = places.get(q)
-                    if k is not None and not label[k]:
-                        label[k] = n
-                        todo.append(q)
-        return pdf[["t", "z", "y", "x"]].assign(label=label)
+    return links.groupBy("t").applyInArrow(run, f"t {dict(cells.dtypes)['t']}, piece long, first long")
 
+
+def segment(voxels: DataFrame, threshold: float = 0.5, tile: int = 64) -> DataFrame:
+    """A documented stand-in for a trained segmentation network: percentile normalisation, threshold, and 6-connected
+    components per frame (label numbers by first voxel, from 1). Voxels are unique by frame and place; frames whose low and
+    high percentile are equal have no foreground. Frames are cut into tiles, and pieces that meet at a border are joined, so
+    the labels do not depend on `tile`. A model can be plugged in as any function DataFrame -> DataFrame of label voxels."""
     front = normalise_percentile(voxels).where(F.col("norm") > threshold).select("t", *[F.col(c).cast("int").alias(c) for c in "zyx"])
-    return front.groupBy("t").applyInPandas(run, f"t {dict(voxels.dtypes)['t']}, z int, y int, x int, label long")
+    cells = materialise(pieces(front, tile), "pieces")
+    named = cells.select("t", "piece").distinct().join(joined_pieces(cells, tile), ["t", "piece"], "left").withColumn("first", F.coalesce("first", "piece"))
+    number = F.dense_rank().over(Window.partitionBy("t").orderBy("first")).cast("long")
+    return cells.join(named.select("t", "piece", number.alias("label")), ["t", "piece"]).select("t", *"zyx", "label")

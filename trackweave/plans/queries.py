@@ -296,31 +296,8 @@ def smooth_counts(spark, d):
     return spine.smooth_counts(frame_counts(spark, d), ["cell_id"]).select("cell_id", "t", "n", "n_smooth")
 
 
-CENTRE = (("centre", "SELECT cell_id, t, avg(x) AS x, avg(y) AS y, avg(z) AS z FROM fx_traj WHERE nuc_id = 1 AND t % 5 <> 2 AND cell_id % 3 < 2 GROUP BY 1, 2"),
-          ("cd", "SELECT c.cell_id, s.t, m.x FROM (SELECT DISTINCT cell_id FROM centre) c CROSS JOIN spine s LEFT JOIN centre m ON m.cell_id = c.cell_id AND m.t = s.t"))
-
-
-def centres(spark, d):
-    p = fx.traj(spark, d)
-    centre = A.cell_centre(p.where("nuc_id = 1 and t % 5 <> 2 and cell_id % 3 < 2"))
-    return spine.densify(centre, "cell_id", spine.frames(p))
-
-
-@query(with_views("""SELECT cell_id, t, round(CASE WHEN x IS NOT NULL THEN x ELSE nx + (coalesce(px, lx) - nx) / power(2.0, t - coalesce(pt, -1)) END, 6) AS x
-FROM (SELECT *, last_value(x IGNORE NULLS) OVER b AS px, last_value(CASE WHEN x IS NOT NULL THEN t END IGNORE NULLS) OVER b AS pt, first_value(x IGNORE NULLS) OVER a AS nx, last_value(x IGNORE NULLS) OVER al AS lx
-FROM cd WINDOW b AS (PARTITION BY cell_id ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), a AS (PARTITION BY cell_id ORDER BY t ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING),
-al AS (PARTITION BY cell_id ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING))""", "spine", extra=CENTRE))
-def gapfill_midpoint(spark, d):
-    return spine.gapfill_midpoint(centres(spark, d), ["x"], ["cell_id"]).select("cell_id", "t", r6("x").alias("x"))
-
-
-@query(with_views("SELECT cell_id, t, round(last_value(x IGNORE NULLS) OVER (PARTITION BY cell_id ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 6) AS x FROM cd", "spine", extra=CENTRE))
-def ffill_reference(spark, d):
-    return centres(spark, d).select("cell_id", "t", r6(spine.last_known(F.col("x"), ["cell_id"])).alias("x"))
-
-
-# The two queries above leave out cells and frames, in their SQL as well; these two take every row.
-WHOLE_CENTRE = (("centre", "SELECT cell_id, t, avg(x) AS x, avg(y) AS y, avg(z) AS z FROM fx_traj WHERE nuc_id = 1 GROUP BY 1, 2"), CENTRE[1])
+WHOLE_CENTRE = (("centre", "SELECT cell_id, t, avg(x) AS x, avg(y) AS y, avg(z) AS z FROM fx_traj WHERE nuc_id = 1 GROUP BY 1, 2"),
+                ("cd", "SELECT c.cell_id, s.t, m.x FROM (SELECT DISTINCT cell_id FROM centre) c CROSS JOIN spine s LEFT JOIN centre m ON m.cell_id = c.cell_id AND m.t = s.t"))
 
 
 def whole_centres(spark, d):
@@ -606,7 +583,13 @@ def normalise_percentile(spark, d):
     return voxel.normalise_percentile(fx.voxel(spark, d)).select("t", *"zyx", r6("norm").alias("norm"))
 
 
-@query()
+PARTS = (("fr", "SELECT v.t, v.z, v.y, v.x, v.i AS p FROM fx_voxel v JOIN (SELECT t, quantile_cont(value, 0.01) AS lo, quantile_cont(value, 0.998) AS hi FROM fx_voxel GROUP BY t) q ON q.t = v.t WHERE (v.value - q.lo) / nullif(q.hi - q.lo, 0) > 0.5"),
+         ("beside", "SELECT a.t, a.p, b.p AS q FROM fr a JOIN fr b ON a.t = b.t AND abs(a.z - b.z) + abs(a.y - b.y) + abs(a.x - b.x) = 1"),
+         ("reach", "SELECT t, p, p AS q FROM fr UNION SELECT r.t, r.p, b.q FROM reach r JOIN beside b ON b.t = r.t AND b.p = r.q"),
+         ("part", "SELECT t, p, min(q) AS f FROM reach GROUP BY 1, 2"))
+
+
+@query(with_views("SELECT fr.t, fr.z, fr.y, fr.x, dense_rank() OVER (PARTITION BY fr.t ORDER BY part.f) AS label FROM fr JOIN part ON part.t = fr.t AND part.p = fr.p", "fx_voxel", extra=PARTS).replace("WITH ", "WITH RECURSIVE ", 1))
 def segment_threshold(spark, d):
     return voxel.segment(fx.voxel(spark, d))
 
