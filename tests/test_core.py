@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from trackweave.functions import scalars as S
-from trackweave.operators import aggregates, curation, kinematics, linking, persistence, spatial, spine, stats, tables, voxel
+from trackweave.operators import aggregates, curation, kinematics, linking, persistence, spatial, spine, stats, tables, tracking, voxel
 
 POINT = "id long, cell_id long, t int, x double, y double, z double"
 
@@ -428,3 +428,57 @@ def test_intensity_correction_scales_back(spark):
         want = {(r[0], r[2]): v * q * (hi[r[0]] - lo[r[0]]) + lo[r[0]] for r, v, q in zip(rows, norm, ratio)}
         got = {(r.id, r.t): r.fluo_corr for r in stats.zt_correction(df, log).collect()}
         assert got == pytest.approx(want)
+
+
+CONFIG = {
+    "MotionModel": {
+        "states": 6, "measurements": 3, "accuracy": 2.0, "prob_not_assign": 0.1, "max_lost": 2,
+        "P": {"sigma": 10.0, "matrix": np.eye(6).ravel().tolist()}, "G": {"sigma": 0.1, "matrix": [0.5, 0.5, 0.5, 1, 1, 1]}, "R": {"sigma": 0.5, "matrix": np.eye(3).ravel().tolist()},
+    },
+    "HypothesisModel": {"hypotheses": ["P_link", "P_branch"], "dist_thresh": 6, "time_thresh": 4},
+}
+
+
+def moving(spark, rows):
+    return spark.createDataFrame([(m, i, t, float(x), float(y), 0.0) for m, i, t, x, y in rows], "movie int, id long, t int, x double, y double, z double")
+
+
+def test_motion_carries_tracks_past_each_other(spark):
+    rows = [(0, 100 * k + t, t, 3 * t if k else 30 - 3 * t, k) for t in range(11) for k in (0, 1)]
+    how = tracking.Tracker.of(CONFIG)
+    got = {r.id: r.track for r in tracking.link_motion(moving(spark, rows), "movie", how).collect()}
+    assert len({got[t] for t in range(11)}) == 1 == len({got[100 + t] for t in range(11)}) and got[0] != got[100]
+
+
+def test_motion_gaps_divisions_and_lineage(spark):
+    how = tracking.Tracker.of(CONFIG)
+    assert how.max_lost == 2 and how.gap_dist == 6 and how.gap_time == 4 and how.divide
+    rows = [(1, t, t, 0, 0) for t in range(4)] + [(1, 10 * t + k, t, 5.5 * (2 * k - 1) + (t - 4) * (2 * k - 1), 0) for t in range(4, 7) for k in (0, 1)]
+    rows += [(2, t, t, t, 0) for t in (0, 1, 2, 5, 6)] + [(3, 0, 0, 0, 0), (3, 1, 4, 1, 0), (3, 2, 9, 1, 0)]
+    p = moving(spark, rows).unionByName(spark.createDataFrame([(2, 99, None, 0.0, 0.0, 0.0), (2, 98, 1, None, 0.0, 0.0), (2, 97, 1, float("nan"), 0.0, 0.0)], "movie int, id long, t int, x double, y double, z double"))
+    tracks = tracking.link_motion(p, "movie", how)
+    got = {(r.movie, r.id): (r.track, r.parent) for r in tracks.collect()}
+    assert got[1, 3] == (1, None) and {got[1, 60][1], got[1, 61][1]} == {1} and got[1, 60][0] != got[1, 61][0]
+    assert {v for k, v in got.items() if k[0] == 2} == {(1, None)}  # lost for two frames
+    assert got[3, 0] == got[3, 1] == (1, None) and got[3, 2] == (2, None)  # an end and a start four frames apart are joined, five are not
+    assert {(r.track, r.first_t, r.last_t, r.n, r.parent) for r in tracking.lineage(tracks, "movie").where("movie = 1").collect()} == {(1, 0, 3, 4, None), (2, 4, 6, 3, 1), (3, 4, 6, 3, 1)}
+    assert tracking.link_motion(p.limit(0), "movie", how).collect() == []
+
+
+def test_motion_in_a_moving_frame_and_without_parameters(spark):
+    rows = [(0, 10 * t + k, t, 500 * t + 5 * k, 0) for t in range(4) for k in (0, 1)]
+    ref = spark.createDataFrame([(0, t, 500.0 * t, 0.0, 0.0) for t in range(4)], "movie int, t int, x double, y double, z double")
+    got = {r.id: (r.track, r.x) for r in tracking.link_motion_registered(moving(spark, rows), ref, "movie", tracking.Tracker.of({})).collect()}
+    assert len({v[0] for v in got.values()}) == 2 and got[0][0] == got[30][0] and got[31][1] == 1505.0
+
+
+def test_direction_covariance(spark):
+    rng = np.random.default_rng(2)
+    at = rng.normal(size=(5, 4, 3))
+    df = spark.createDataFrame([(i, 0, t, *map(float, at[i, t])) for i in range(5) for t in range(4) if (i, t) != (4, 2)], "id long, cell_id long, t int, x double, y double, z double")
+    got = {r.t: r for r in stats.direction_covariance(spine.densify(df, "id", same=("cell_id",))).collect()}
+    for t in range(3):
+        steps = (at[:, t + 1] - at[:, t])[: 5 if t == 0 else 4]
+        c = np.cov(steps.T)
+        assert [got[t][k] for k in ("var_x", "var_y", "var_z", "cov_xy", "cov_xz", "cov_yz")] == pytest.approx([c[0, 0], c[1, 1], c[2, 2], c[0, 1], c[0, 2], c[1, 2]])
+        assert got[t].n == len(steps)

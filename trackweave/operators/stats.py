@@ -22,6 +22,17 @@ def correlation(rows: DataFrame, columns: list[str], key: str = "cell_id") -> Da
     return a.join(b, [key, "t"]).groupBy(key, "id_a", "id_b").agg(*[pearson(c, f"_{c}").alias(f"r_{c}") for c in columns])
 
 
+def direction_covariance(dense: DataFrame, key: str = "cell_id") -> DataFrame:
+    """(key, t, n, var_x, var_y, var_z, cov_xy, cov_xz, cov_yz): sample covariance over a cell's spots of the steps from this
+    frame to the next; spots that miss a place of either frame are left out, and fewer than two steps give NULL. dense is
+    (id, key, t, x, y, z) for all frames."""
+    w = Window.partitionBy("id").orderBy("t")
+    steps = dense.select(key, "t", *[(F.lead(c).over(w) - F.col(c)).alias(c) for c in "xyz"]).where(" and ".join(f"{c} is not null" for c in "xyz"))
+    return steps.groupBy(key, "t").agg(
+        F.count("*").alias("n"), *[F.var_samp(c).alias(f"var_{c}") for c in "xyz"], *[F.covar_samp(*c).alias(f"cov_{c}") for c in ("xy", "xz", "yz")]
+    )
+
+
 def minmax(series: DataFrame, column: str, key: str = "id") -> DataFrame:
     """Adds lo, hi (of the key) and norm in [0, 1], NULL for a constant series."""
     w = Window.partitionBy(key)

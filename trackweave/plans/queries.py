@@ -16,8 +16,8 @@ from ..operators import kinematics as K
 from ..operators import linking as L
 from ..operators import persistence as P
 from ..operators import spatial as J
-from ..operators import spine, stats, tables, voxel
-from ..sources import shared, volumes, writers
+from ..operators import spine, stats, tables, tracking, voxel
+from ..sources import readers, shared, volumes, writers
 from . import fixtures as fx
 from .fixtures import with_views
 
@@ -599,6 +599,12 @@ def segment_threshold(spark, d):
 R = "covar_pop(a.{c}, b.{c}) / nullif(stddev_pop(CASE WHEN b.{c} IS NOT NULL THEN a.{c} END) * stddev_pop(CASE WHEN a.{c} IS NOT NULL THEN b.{c} END), 0)"
 
 
+@query(with_views("SELECT cell_id, t, count(*) AS n, round(var_samp(ex), 6) AS var_x, round(var_samp(ey), 6) AS var_y, round(var_samp(ez), 6) AS var_z, round(covar_samp(ex, ey), 6) AS cov_xy, round(covar_samp(ex, ez), 6) AS cov_xz, round(covar_samp(ey, ez), 6) AS cov_yz FROM steps WHERE ex IS NOT NULL AND ey IS NOT NULL AND ez IS NOT NULL GROUP BY 1, 2", "steps"))
+def direction_covariance(spark, d):
+    rows = stats.direction_covariance(dense(spark, d))
+    return rows.select("cell_id", "t", "n", *[r6(c).alias(c) for c in rows.columns[3:]])
+
+
 def corr_sql(column: str, source: str, *views: str, extra=()) -> str:
     return with_views(f"SELECT a.cell_id, a.id AS id_a, b.id AS id_b, round({R.format(c=column)}, 6) AS r FROM {source} a JOIN {source} b ON a.cell_id = b.cell_id AND a.t = b.t GROUP BY 1, 2, 3", *views, extra=extra)
 
@@ -743,6 +749,41 @@ def link_frames(spark, d):
     return L.link_frames(fx.traj(spark, d), "cell_id", 150.0)
 
 
+# The tracker's parameters
+TRACKER = """{"TrackerConfig": {"MotionModel": {"name": "cell_motion", "dt": 1.0, "measurements": 3, "states": 6, "accuracy": 7.5, "prob_not_assign": 0.1, "max_lost": 5,
+"A": {"matrix": [1,0,0,1,0,0, 0,1,0,0,1,0, 0,0,1,0,0,1, 0,0,0,1,0,0, 0,0,0,0,1,0, 0,0,0,0,0,1]},
+"H": {"matrix": [1,0,0,0,0,0, 0,1,0,0,0,0, 0,0,1,0,0,0]},
+"P": {"sigma": 150.0, "matrix": [0.1,0,0,0,0,0, 0,0.1,0,0,0,0, 0,0,0.1,0,0,0, 0,0,0,1,0,0, 0,0,0,0,1,0, 0,0,0,0,0,1]},
+"G": {"sigma": 15.0, "matrix": [0.5,0.5,0.5,1,1,1]}, "R": {"sigma": 5.0, "matrix": [1,0,0, 0,1,0, 0,0,1]}},
+"HypothesisModel": {"hypotheses": ["P_FP", "P_init", "P_term", "P_link", "P_branch", "P_dead"], "dist_thresh": 40, "time_thresh": 2}}}"""
+
+
+def tracker() -> tracking.Tracker:
+    return tracking.Tracker.of(readers.read_config(TRACKER))
+
+
+@query()
+def link_motion(spark, d):
+    return tracking.link_motion(fx.traj(spark, d), "cell_id", tracker())
+
+
+@query()
+def link_motion_lineage(spark, d):
+    return tracking.lineage(link_motion(spark, d), "cell_id")
+
+
+@query()
+def link_motion_registered(spark, d):
+    centre = whole_centres(spark, d)
+    reference = centre.select("cell_id", "t", *[spine.last_known(F.col(c), ["cell_id"]).alias(c) for c in "xyz"]).where("x is not null")
+    return tracking.link_motion_registered(fx.traj(spark, d), reference, "cell_id", tracker())
+
+
+@query()
+def link_motion_2d(spark, d):
+    return tracking.link_motion(fx.traj(spark, d).withColumn("z", F.lit(0.0)), "cell_id", tracker())
+
+
 @query()
 def null_models(spark, d):
     cos = K.cosines(dense(spark, d))
