@@ -1,5 +1,8 @@
 """Readers, writers, the stream and the whole pipelines."""
 
+import struct
+import zlib
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -24,6 +27,90 @@ def test_tiff_round_trip():
     assert (volumes.decode_tiff(volumes.encode_tiff(v)) == v).all()
 
 
+def lzw(raw):
+    """TIFF's LZW, written the plain way: bits as text."""
+    table, width, word = {bytes([k]): k for k in range(256)}, 9, b""
+    bits = [f"{256:09b}"]
+    for k in raw:
+        if word + bytes([k]) in table:
+            word += bytes([k])
+            continue
+        bits.append(f"{table[word]:0{width}b}")
+        table[word + bytes([k])] = len(table) + 2
+        width = 9 if len(table) + 2 < 512 else 10 if len(table) + 2 < 1024 else 11 if len(table) + 2 < 2048 else 12
+        word = bytes([k])
+        if len(table) + 2 >= 4094:
+            bits += [f"{table[word]:0{width}b}", f"{256:0{width}b}"]
+            table, width, word = {bytes([k]): k for k in range(256)}, 9, b""
+    bits += [f"{table[word]:0{width}b}"] if word else []
+    if word and len(table) + 3 >= 1 << width:  # the reader has added a word by now
+        width = min(12, width + 1)
+    text = "".join(bits) + f"{257:0{width}b}"
+    text += "0" * (-len(text) % 8)
+    return int(text, 2).to_bytes(len(text) // 8, "big")
+
+
+def packbits(raw):
+    out = bytearray()
+    for k in range(0, len(raw), 100):
+        part = raw[k : k + 100]
+        out += bytes([257 - len(part), part[0]]) if len(set(part)) == 1 and len(part) > 1 else bytes([len(part) - 1]) + part
+    return bytes(out)
+
+
+def tiff(volume, packed=1, big=False, order="<", differences=False, rows=4):
+    """A TIFF in strips of a few rows, by the specification."""
+    squeeze = {1: bytes, 5: lzw, 8: zlib.compress, 32773: packbits}[packed]
+    pointer, entry = ("Q", 20) if big else ("I", 12)
+    head = (b"II" if order == "<" else b"MM") + (struct.pack(order + "HHHQ", 43, 8, 0, 16) if big else struct.pack(order + "HI", 42, 8))
+    out = bytearray(head)
+    for z, page in enumerate(volume):
+        d = np.diff(page, axis=1, prepend=page.dtype.type(0)) if differences else page
+        strips = [squeeze(d[r : r + rows].astype(page.dtype.newbyteorder(order)).tobytes()) for r in range(0, len(page), rows)]
+        tags = [(256, [page.shape[1]]), (257, [page.shape[0]]), (258, [8 * page.dtype.itemsize]), (259, [packed]), (273, None), (277, [1]), (279, [len(s) for s in strips]), (317, [2 if differences else 1]), (339, [{"u": 1, "i": 2, "f": 3}[page.dtype.kind]])]
+        count = struct.calcsize(order + ("Q" if big else "H"))
+        after = len(out) + count + entry * len(tags) + struct.calcsize(order + pointer)
+        width = 8 if big else 4
+        lists = 2 * len(strips) * width if len(strips) > 1 else 0
+        begins = [after + lists + sum(map(len, strips[:k])) for k in range(len(strips))]
+        out += struct.pack(order + ("Q" if big else "H"), len(tags))
+        spill = b""
+        for tag, values in tags:
+            values = begins if values is None else values
+            body = b"".join(struct.pack(order + pointer, v) for v in values)
+            if len(body) > width:
+                body, spill = struct.pack(order + pointer, after + len(spill)), spill + body
+            out += struct.pack(order + "HH" + pointer, tag, 16 if big else 4, len(values)) + body
+        end = after + len(spill) + sum(map(len, strips))
+        out += struct.pack(order + pointer, end if z + 1 < len(volume) else 0) + spill + b"".join(strips)
+    return bytes(out)
+
+
+@pytest.mark.parametrize("packed", [1, 5, 8, 32773])
+@pytest.mark.parametrize("big", [False, True])
+def test_packed_tiff(packed, big):
+    rng = np.random.default_rng(5)
+    smooth = np.repeat(rng.integers(0, 3, (2, 9, 40)), 5, axis=2).astype(np.uint16)
+    noise = rng.integers(-30000, 30000, (1, 60, 70)).astype(np.int16)  # fills the table of words more than once
+    for v in (smooth, noise, smooth[:, :1, :1], smooth.astype(np.float32)):
+        for order in "<>":
+            for differences in (False, True)[: 1 if v.dtype.kind == "f" else 2]:
+                got = volumes.decode_tiff(tiff(v, packed, big, order, differences, rows=60 if v is noise else 4))
+                assert got.shape == v.shape and (got == v).all()
+
+
+def test_tiff_with_images_behind_its_only_page_and_refused_ones():
+    v = np.arange(2 * 3 * 5, dtype=np.uint16).reshape(2, 3, 5)
+    said = b"ImageJ=1.53\nimages=2\n\0"
+    tags = [(256, 4, 1, 5), (257, 4, 1, 3), (258, 4, 1, 16), (259, 4, 1, 1), (270, 2, len(said), 200), (273, 4, 1, 300), (277, 4, 1, 1), (279, 4, 1, 30)]
+    raw = struct.pack("<2sHI", b"II", 42, 8) + struct.pack("<H", len(tags)) + b"".join(struct.pack("<HHII", *t) for t in tags) + struct.pack("<I", 0)
+    raw = raw.ljust(200, b"\0") + said
+    assert (volumes.decode_tiff(raw.ljust(300, b"\0") + v.tobytes()) == v).all()
+    for bad in (b"GIF89a" * 9, tiff(v).replace(struct.pack("<HHII", 259, 4, 1, 1), struct.pack("<HHII", 259, 4, 1, 7))):
+        with pytest.raises(ValueError):
+            volumes.decode_tiff(bad)
+
+
 def test_volumes_by_file_and_by_source(spark, movie):
     path, stacks = movie
     rows = volumes.read_volumes(spark, str(path), frames=[1, 2], channel="C00")

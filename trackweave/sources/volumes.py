@@ -1,4 +1,4 @@
-"""Image and label volumes: one file per channel and frame, NPY or uncompressed TIFF, as rows of voxels.
+"""Image and label volumes: one file per channel and frame, NPY or TIFF, as rows of voxels.
 
 `read_volumes` reads through Spark's own file readers, so any store that Spark knows will do; `VolumeSource` is the same
 as a data source (spark.read.format("volume")) whose partitions are files and whose frame filters prune files before
@@ -11,6 +11,7 @@ import io
 import re
 import struct
 import uuid
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,30 +28,90 @@ SLAB = 1 << 20
 KINDS = {1: {8: "u1", 16: "u2", 32: "u4"}, 2: {8: "i1", 16: "i2", 32: "i4"}, 3: {32: "f4", 64: "f8"}}  # TIFF sample formats
 
 
+def unpack_bits(raw: bytes) -> bytes:
+    out, at = bytearray(), 0
+    while at < len(raw):
+        n = raw[at]
+        if n < 128:
+            out += raw[at + 1 : at + 2 + n]
+            at += 2 + n
+        else:
+            out += raw[at + 1 : at + 2] * (257 - n if n > 128 else 0)
+            at += 2 if n > 128 else 1
+    return bytes(out)
+
+
+def unpack_lzw(raw: bytes) -> bytes:
+    """TIFF's LZW: codes of 9 to 12 bits, high bits first, widened one code early; 256 clears, 257 ends."""
+    clear, end = 256, 257
+    words: list[bytes] = []
+    out: list[bytes] = []
+    held, bits, width, last = 0, 0, 9, b""
+    for byte in raw:
+        held, bits = (held << 8) | byte, bits + 8
+        if bits < width:
+            continue
+        bits -= width
+        code, held = held >> bits, held & ((1 << bits) - 1)
+        if code == end:
+            break
+        if code == clear:
+            words, width, last = [bytes([k]) for k in range(256)] + [b"", b""], 9, b""
+            continue
+        if not last:
+            word = words[code]
+        else:
+            word = words[code] if code < len(words) else last + last[:1]
+            words.append(last + word[:1])
+        out.append(word)
+        last = word
+        width = min(12, max(9, (len(words) + 1).bit_length()))
+    return b"".join(out)
+
+
+UNPACK = {1: bytes, 5: unpack_lzw, 8: zlib.decompress, 32946: zlib.decompress, 32773: unpack_bits}  # TIFF compression schemes
+WIDTHS = {1: ("B", 1), 2: ("s", 1), 3: ("H", 2), 4: ("I", 4), 16: ("Q", 8)}  # TIFF tag types
+
+
 def decode_tiff(raw: bytes) -> np.ndarray:
-    """Pages of a baseline TIFF without compression, one sample a pixel, stacked along z."""
+    """Pages of a TIFF or BigTIFF in strips, one sample a pixel, stacked along z: plain, deflated, LZW or packed bits, with or
+    without differences along rows. A page whose description counts more images has these right behind it (plain only)."""
     order = {b"II": "<", b"MM": ">"}.get(raw[:2])
-    if order is None or struct.unpack(order + "H", raw[2:4])[0] != 42:
+    kind = struct.unpack(order + "H", raw[2:4])[0] if order else 0
+    if kind not in (42, 43):
         raise ValueError("not a TIFF file")
-    sizes = {1: ("B", 1), 3: ("H", 2), 4: ("I", 4)}
-    at, pages = struct.unpack(order + "I", raw[4:8])[0], []
+    big = kind == 43
+    pointer, count_of, entry, inline = ("Q", "Q", 20, 8) if big else ("I", "H", 12, 4)
+    read = lambda code, at: struct.unpack_from(order + code, raw, at)
+    at, pages = read(pointer, 8 if big else 4)[0], []
     while at:
-        n = struct.unpack(order + "H", raw[at : at + 2])[0]
+        n, first = read(count_of, at)[0], at + struct.calcsize(order + count_of)
         tags = {}
-        for k in range(n):
-            tag, kind, count = struct.unpack(order + "HHI", raw[at + 2 + 12 * k : at + 10 + 12 * k])
-            if kind in sizes:
-                code, width = sizes[kind]
-                begin = at + 10 + 12 * k
-                if width * count > 4:
-                    begin = struct.unpack(order + "I", raw[begin : begin + 4])[0]
-                tags[tag] = struct.unpack(f"{order}{count}{code}", raw[begin : begin + width * count])
-        if tags.get(259, (1,))[0] != 1 or tags.get(277, (1,))[0] != 1:
-            raise ValueError("compressed or multi-sample TIFF pages are not supported")
-        kind = order + KINDS[tags.get(339, (1,))[0]][tags.get(258, (1,))[0]]
-        data = b"".join(raw[o : o + c] for o, c in zip(tags[273], tags[279], strict=True))
-        pages.append(np.frombuffer(data, kind).reshape(tags[257][0], tags[256][0]))
-        at = struct.unpack(order + "I", raw[at + 2 + 12 * n : at + 6 + 12 * n])[0]
+        for begin in range(first, first + entry * n, entry):
+            tag, form, count = read("HH" + pointer, begin)
+            if form in WIDTHS:
+                code, width = WIDTHS[form]
+                begin += entry - inline
+                if width * count > inline:
+                    begin = read(pointer, begin)[0]
+                tags[tag] = read(f"{count}{code}", begin)
+        packed, step = tags.get(259, (1,))[0], tags.get(317, (1,))[0]
+        if packed not in UNPACK or step not in (1, 2) or tags.get(277, (1,))[0] != 1 or 273 not in tags:
+            raise ValueError("TIFF pages with tiles, several samples a pixel, or a compression other than deflate, LZW and packed bits are not supported")
+        dtype = np.dtype(order + KINDS[tags.get(339, (1,))[0]][tags.get(258, (1,))[0]])
+        shape = (tags[257][0], tags[256][0])
+        said = re.search(rb"images=(\d+)", tags.get(270, (b"",))[0])
+        images = int(said[1]) if said and packed == 1 and not pages and not read(pointer, first + entry * n)[0] else 1
+        if images > 1:
+            begin, size = tags[273][0], images * shape[0] * shape[1] * dtype.itemsize
+            return np.frombuffer(raw[begin : begin + size], dtype).reshape(images, *shape)
+        page = np.frombuffer(b"".join(UNPACK[packed](raw[o : o + c]) for o, c in zip(tags[273], tags[279], strict=True)), dtype).reshape(shape)
+        if step == 2:
+            if dtype.kind == "f":
+                raise ValueError("differences of floats are not supported")
+            page = np.cumsum(page, axis=1, dtype=dtype.newbyteorder("="))
+        pages.append(page)
+        at = read(pointer, first + entry * n)[0]
     return np.stack(pages)
 
 
