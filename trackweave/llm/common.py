@@ -77,14 +77,15 @@ def unite(labels: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
             labels[:] = nxt
 
 
-def low_end(e: DataFrame, low: DataFrame, total: int, salts: int = 32) -> DataFrame:
-    """e (u, v) joined to low (u, c, m) by u. Hubs, nodes with over a 500th of all edges, are dealt over `salts` parts; there
-    are fewer than a thousand of them, so their list may be broadcast."""
-    hubs = F.broadcast(low.where(F.col("c") > max(64, total // 500)).select("u", F.lit(salts).alias("parts")))
-    part = F.pmod(F.col("v"), F.coalesce("parts", F.lit(1))).alias("part")
-    left = e.join(hubs, "u", "left").select("u", "v", part)
-    right = low.join(hubs, "u", "left").select("u", "m", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("parts", F.lit(1)) - F.lit(1).cast("long"))).alias("part"))
-    return left.join(right.hint("merge"), ["u", "part"]).drop("part")
+def join_hot(rows: DataFrame, sizes: DataFrame, key: str, by: str, total: int, salts: int = 32) -> DataFrame:
+    """rows joined to sizes (key, c rows, ...; one row a key) by key, without c. Hot keys, those with over a 500th of `total`
+    rows, are dealt over `salts` parts by the column `by`; as total counts all rows at least, there are fewer than 500 of them
+    (below 32,000 rows fewer than total / 64), so their list may be broadcast."""
+    hot = F.broadcast(sizes.where(F.col("c") > max(64, total // 500)).select(key, F.lit(salts).cast("long").alias("parts")))
+    parts = F.coalesce("parts", F.lit(1).cast("long"))
+    left = rows.join(hot, key, "left").withColumn("part", F.pmod(F.xxhash64(by), parts)).drop("parts")
+    right = sizes.join(hot, key, "left").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))).drop("parts", "c")
+    return left.join(right.hint("merge"), [key, "part"]).drop("part")
 
 
 def united(edges: pa.Table) -> pa.Table:
@@ -117,7 +118,7 @@ def connected_components(edges: DataFrame, name: str = "components", max_rounds:
     for _ in range(max_rounds):
         both = e.unionAll(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.count("*").alias("c"), F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-        large = low_end(both, low, 2 * last[0]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = join_hot(both, low, "u", "v", 2 * last[0]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         moved = large.join(low.hint("merge"), "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         e = materialise(moved.unionAll(low.select("u", F.col("m").alias("v"))).distinct(), name)

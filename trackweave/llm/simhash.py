@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_batch, connected_components, documents, materialise, plain, slices, unite, utf8
+from .common import by_batch, connected_components, documents, join_hot, materialise, plain, slices, unite, utf8
 
 TILE = 1024
 CHANCE = 256
@@ -354,8 +354,8 @@ def keep_one(docs: DataFrame, shingle: int = 5, radius: int = 22, least: float =
         roots = connected_components(links, "simhash-cc")
     tops = roots.unionAll(roots.select("root", "root").distinct())
     grouped = materialise(tops.join(texts.select("node", "id", "th").hint("merge"), "node").select("root", "id", "th"), "simhash-groups")
-    first = grouped.groupBy("root").agg(F.min(F.struct("id", "th")).alias("first"))
-    repeats = grouped.join(first.hint("merge"), "root").where("struct(id, th) <> first").select("id", "th")
+    first = grouped.groupBy("root").agg(F.count("*").alias("c"), F.min(F.struct("id", "th")).alias("first"))
+    repeats = join_hot(grouped, first, "root", "id", grouped.count()).where("struct(id, th) <> first").select("id", "th")
     copies = marks.select("id", "th", "fp").join(texts.select("th", "fp", F.col("id").alias("first")).hint("merge"), ["th", "fp"]).where("id <> first").select("id", "th")
     go = materialise(repeats.unionAll(copies), "simhash-go").distinct()
     gone = (F.col("doc_id").cast("long") == F.col("_go.id")) & (F.xxhash64(text) == F.col("_go.th"))
