@@ -1,6 +1,6 @@
 """The corpus operators' queries, and their SQL where SQL can express them."""
 
-from . import bpe, decontaminate, embeddings, licenses, pii, quality, repeats, simhash, urlfilter, warc
+from . import bpe, decontaminate, embeddings, licenses, pii, quality, repeats, search, sharding, simhash, urlfilter, warc
 
 QUERIES = {
     "op1_pii_disclosure": pii.op1,
@@ -13,6 +13,8 @@ QUERIES = {
     "op8_warc_transactions": warc.op8,
     "op9_decontamination": decontaminate.op9,
     "op10_embedding_caps": embeddings.op10,
+    "op11_byte_shards": sharding.op11,
+    "op12_ranked_search": search.op12,
 }
 # The others: 3 rests on a trained model, 4 and 6 on a tokeniser and a hash that SQL lacks.
 ORACLE_SQL = {
@@ -23,4 +25,6 @@ ORACLE_SQL = {
     "op8_warc_transactions": warc.SQL,
     "op9_decontamination": decontaminate.SQL,
     "op10_embedding_caps": embeddings.SQL,
+    "op11_byte_shards": sharding.SQL,
+    "op12_ranked_search": search.SQL,
 }
