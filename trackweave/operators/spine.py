@@ -11,16 +11,22 @@ def frames(series: DataFrame, t: str = "t") -> DataFrame:
     return series.agg((F.max(t) + 1).alias("n_frames"))
 
 
-def densify(series: DataFrame, keys: list[str] | str = "id", n_frames: DataFrame | None = None, same: tuple[str, ...] = ()) -> DataFrame:
+def densify(series: DataFrame, keys: list[str] | str = "id", n_frames: DataFrame | str | None = None, same: tuple[str, ...] = ()) -> DataFrame:
     """One row per key and frame 0..n-1, NULL where the series has none; `present` tells which. Columns in `same` are
     alike in all of a key's rows and are filled.
 
     Instead of joining a spine, each row fills the gap up to the key's next row, so the one exchange is by key and
-    serves every window that follows. n_frames is one row (broadcast)."""
+    serves every window that follows. n_frames is one row (broadcast), or a row for each value of the columns of `keys` and
+    `same` that it has, such as a cell's own number of frames, or the name of a column of series that holds the number."""
     keys = [keys] if isinstance(keys, str) else keys
-    rest = [c for c in series.columns if c not in (*keys, "t", *same)]
+    rows = series.withColumnRenamed(n_frames, "n_frames") if isinstance(n_frames, str) else series
+    rest = [c for c in rows.columns if c not in (*keys, "t", *same, "n_frames" if isinstance(n_frames, str) else "")]
     w = Window.partitionBy(*keys).orderBy("t")
-    rows = series.withColumns({"_next": F.lead("t").over(w), "_prev": F.lag("t").over(w)}).crossJoin(F.broadcast(n_frames if n_frames is not None else frames(series)))
+    rows = rows.withColumns({"_next": F.lead("t").over(w), "_prev": F.lag("t").over(w)})
+    if not isinstance(n_frames, str):
+        n_frames = n_frames if n_frames is not None else frames(series)
+        owner = [c for c in (*keys, *same) if c in n_frames.columns]
+        rows = rows.join(n_frames.select(*owner, "n_frames"), owner) if owner else rows.crossJoin(F.broadcast(n_frames))
     end = F.greatest(F.col("t"), F.coalesce("_next", "n_frames") - 1)
     begin = F.when(F.col("_prev").isNull(), F.least(F.lit(0), F.col("t"))).otherwise(F.col("t"))
     rows = rows.withColumn("_t", F.explode(F.sequence(begin, end)))
