@@ -1,8 +1,14 @@
 """Linking by motion: a constant-velocity (or any linear) filter predicts each open track, beliefs assign the frame's points,
 and ended tracks are joined over gaps or split into two. Parameters come from a tracker's JSON.
 
+A movie is cut by time into blocks that are followed in parallel (`fragments`). A block first goes through some frames before its
+own, so that it knows the open tracks; where these agree with those that the block before it ends with, their names are joined, and
+where they do not, the block is followed again from the latter. Joins over gaps and divisions are chosen in rounds over the pairs
+of ends and starts that cubes of space bring together. So no group holds more than a block, and the result is that of following
+the whole movie at once (`link_whole`).
+
 This is a documented substitute for an external Bayesian tracker; it claims no equality with one. What it keeps is the model:
-matrices, assignment beliefs, search radius, gaps and divisions.
+matrices, assignment beliefs, search radius, gaps and divisions. `hypotheses` joins fragments by a global optimum instead.
 """
 
 from __future__ import annotations
@@ -12,10 +18,12 @@ from math import erf, inf, sqrt
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .spatial import register
+from ..sources.shared import materialise
+from .graphs import chosen, roots
+from .spatial import radius_pairs, register
 
 
 @dataclass(frozen=True)
@@ -64,10 +72,33 @@ def belief(off: np.ndarray, sigma: np.ndarray, accuracy: float) -> np.ndarray:
     return np.prod(phi((off + accuracy) / sigma) - phi((off - accuracy) / sigma), axis=-1) if off.size else np.zeros(off.shape[:-1])
 
 
+def near(a: np.ndarray, b: np.ndarray, reach: float) -> tuple[np.ndarray, np.ndarray]:
+    """Places of a and b closer than reach, by ascending a and b: cubes of that edge meet their neighbours only."""
+    if not len(a) or not len(b):
+        return np.zeros(0, int), np.zeros(0, int)
+    low = np.minimum(a.min(axis=0), b.min(axis=0))
+    cell_a, cell_b = (np.floor((p - low) / reach).astype(np.int64) + 1 for p in (a, b))
+    step = np.concatenate(([1], np.cumprod(np.maximum(cell_a.max(axis=0), cell_b.max(axis=0))[:-1] + 2)))
+    key_a, key_b = cell_a @ step, cell_b @ step
+    order = np.argsort(key_b, kind="stable")
+    key_b = key_b[order]
+    found = []
+    for off in np.ndindex(*[3] * a.shape[1]):
+        at = key_a + (np.array(off) - 1) @ step
+        first, n = np.searchsorted(key_b, at), np.searchsorted(key_b, at, "right")
+        n = n - first
+        i = np.repeat(np.arange(len(a)), n)
+        j = order[np.repeat(first, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
+        close = np.linalg.norm(a[i] - b[j], axis=1) < reach
+        found.append((i[close], j[close]))
+    i, j = (np.concatenate(x) for x in zip(*found, strict=True))
+    order = np.lexsort((j, i))
+    return i[order], j[order]
+
+
 def assign(seen: np.ndarray, sigma: np.ndarray, points: np.ndarray, how: Tracker) -> list[tuple[int, int]]:
     """(track, point) pairs by descending belief; ties go to the older track, then the earlier point."""
-    far = np.linalg.norm(seen[:, None] - points[None], axis=2)
-    i, j = np.nonzero(far < how.reach)
+    i, j = near(seen, points, how.reach)
     b = belief(seen[i] - points[j], sigma[i], how.accuracy) / belief(np.zeros_like(sigma), sigma, how.accuracy)[i]
     pairs, tracks, taken = [], set(), set()
     for k in np.lexsort((j, i, -b)):
@@ -80,36 +111,58 @@ def assign(seen: np.ndarray, sigma: np.ndarray, points: np.ndarray, how: Tracker
     return pairs
 
 
-def follow(times: np.ndarray, places: np.ndarray, how: Tracker) -> np.ndarray:
-    """Track number (from 0) of each point; points are sorted by frame and id."""
-    track, n = np.full(len(times), -1), 0
-    state, cov = np.zeros((0, len(how.move))), np.zeros((0, *how.move.shape))
-    names, lost = np.zeros(0, int), np.zeros(0, int)
-    last = times[0] if len(times) else 0
-    for t in np.unique(times):
-        for _ in range(int(min(t - last, how.max_lost + 1))):
+@dataclass(frozen=True)
+class Open:
+    """Tracks that may go on, older ones first, as they stand after frame `at`: names and last points (both the index of a point, or
+    what the caller means by a number below 0), state, covariance, and frames since the last point."""
+
+    at: int
+    name: np.ndarray
+    last: np.ndarray
+    state: np.ndarray
+    cov: np.ndarray
+    lost: np.ndarray
+
+
+def follow(times: np.ndarray, places: np.ndarray, how: Tracker, begin: int = 0, end: int | None = None, held: Open | None = None) -> tuple[np.ndarray, Open | None]:
+    """Points begin..end, sorted by frame and id, from the open tracks `held` on: each one's track, named by the index of its first
+    point, and the tracks that are open then."""
+    end = len(times) if end is None else end
+    if begin == end:
+        return np.zeros(0, np.int64), held
+    track = np.full(end - begin, -1)
+    n = len(how.move)
+    o = held or Open(int(times[begin]), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, n)), np.zeros((0, n, n)), np.zeros(0, np.int64))
+    at, name, last, state, cov, lost = o.at, o.name, o.last, o.state, o.cov, o.lost
+    edges = begin + np.concatenate(([0], np.flatnonzero(np.diff(times[begin:end])) + 1, [end - begin]))
+    for first, stop in zip(edges, edges[1:], strict=False):
+        gap = int(times[first]) - at
+        for _ in range(min(gap, how.max_lost + 1)):
             state, cov = state @ how.move.T, how.move @ cov @ how.move.T + how.drift
-        lost, last = lost + int(t - last), t
+        lost, at = lost + gap, int(times[first])
         keep = lost <= how.max_lost + 1
-        state, cov, names, lost = state[keep], cov[keep], names[keep], lost[keep]
-        mine = np.flatnonzero(times == t)
-        here = places[mine]
+        state, cov, name, last, lost = state[keep], cov[keep], name[keep], last[keep], lost[keep]
+        here = places[first:stop]
         s = how.see @ cov @ how.see.T + how.noise
         pairs = assign(state @ how.see.T, np.sqrt(np.diagonal(s, axis1=1, axis2=2)), here, how)
+        own = np.full(stop - first, -1)
+        new = np.ones(stop - first, bool)
         if pairs:
             i, j = np.array(pairs).T
             gain = cov[i] @ how.see.T @ np.linalg.inv(s[i])
             state[i] += np.einsum("nsm,nm->ns", gain, here[j] - state[i] @ how.see.T)
             cov[i] = cov[i] - gain @ how.see @ cov[i]
             lost[i] = 0
-            track[mine[j]] = names[i]
-        new = mine[track[mine] < 0]
-        track[new] = n + np.arange(len(new))
-        state = np.concatenate([state, places[new] @ how.see])
+            last[i] = first + j
+            own[j], new[j] = name[i], False
+        new = np.flatnonzero(new)
+        own[new] = first + new
+        track[first - begin : stop - begin] = own
+        state = np.concatenate([state, here[new] @ how.see])
         cov = np.concatenate([cov, np.repeat(how.spread[None], len(new), 0)])
-        names, lost = np.concatenate([names, track[new]]), np.concatenate([lost, np.zeros(len(new), int)])
-        n += len(new)
-    return track
+        name, last = np.concatenate([name, first + new]), np.concatenate([last, first + new])
+        lost = np.concatenate([lost, np.zeros(len(new), np.int64)])
+    return track, Open(at, name, last, state, cov, lost)
 
 
 def join_tracks(times: np.ndarray, places: np.ndarray, track: np.ndarray, how: Tracker) -> tuple[np.ndarray, dict[int, int]]:
@@ -154,24 +207,182 @@ def join_tracks(times: np.ndarray, places: np.ndarray, track: np.ndarray, how: T
     return np.array([first(int(k)) for k in track], np.int64), {k: first(v) for k, v in parent.items()}
 
 
-def link_motion(points: DataFrame, key: str, how: Tracker) -> DataFrame:
-    """(key, id, t, track, parent): points (key, id, t, x, y, z, unique by key, id and t) in tracks from 1, numbered within
-    each movie by first frame and id; parent is the track that divided into this one, else NULL. Points with a missing place
-    or frame have no track and go. Movies are independent; one movie is one group, as linking needs all its frames."""
+def located(points: DataFrame, key: str, how: Tracker) -> DataFrame:
+    """(key, id, t, x, y, z) of the points that have a movie, a frame and a place; what the tracker does not measure is 0."""
+    known = points.where(" and ".join(f"{c} is not null" for c in (key, "id", "t", *"xyz"))).where(" and ".join(f"not isnan({c}) and abs({c}) < double('{inf}')" for c in "xyz"))
+    return known.select(key, "id", "t", *[(F.col(c).cast("double") if k < len(how.see) else F.lit(0.0)).alias(c) for k, c in enumerate("xyz")])
+
+
+def link_whole(points: DataFrame, key: str, how: Tracker) -> DataFrame:
+    """link_motion with each movie as one group: for short movies, and to hold the blocks against."""
     kinds = dict(points.dtypes)
 
     def run(rows: pa.Table) -> pa.Table:
         rows = rows.sort_by([("t", "ascending"), ("id", "ascending")])
         times = rows.column("t").to_numpy().astype(np.int64)
-        places = np.stack([rows.column(c).to_numpy().astype(float) for c in "xyz"], axis=1)[:, : len(how.see)]
-        track, parent = join_tracks(times, places, follow(times, places, how), how)
+        places = np.stack([rows.column(c).to_numpy() for c in "xyz"], axis=1)[:, : len(how.see)]
+        number = np.unique(follow(times, places, how)[0], return_inverse=True)[1]
+        track, parent = join_tracks(times, places, number, how)
         order = {k: n + 1 for n, k in enumerate(dict.fromkeys(track.tolist()))}
         parents = [order.get(parent.get(k, -1)) for k in track.tolist()]
         return pa.table({key: rows.column(key), "id": rows.column("id"), "t": rows.column("t"), "track": pa.array([order[k] for k in track.tolist()], pa.int64()), "parent": pa.array(parents, pa.int64())})
 
-    known = points.where(" and ".join(f"{c} is not null" for c in ("t", *"xyz"))).where(" and ".join(f"not isnan({c}) and abs({c}) < double('{inf}')" for c in "xyz"))
-    rows = known.select(key, "id", "t", *[F.col(c).cast("double").alias(c) for c in "xyz"])
-    return rows.groupBy(key).applyInArrow(run, f"{key} {kinds[key]}, id {kinds['id']}, t {kinds['t']}, track long, parent long")
+    return located(points, key, how).groupBy(key).applyInArrow(run, f"{key} {kinds[key]}, id {kinds['id']}, t {kinds['t']}, track long, parent long")
+
+
+POINT, BEFORE, AFTER = 0, 1, 2  # rows of a block: its points, the tracks open before its first frame and after its last
+
+
+def follow_block(rows: pa.Table, key: str, length: int, how: Tracker) -> pa.Table:
+    """Points of a block, with some of frames before it or with the tracks open before it -> its own points under their
+    tracks' names, and the tracks open before and after it."""
+    block, kind = rows.column("block")[0].as_py(), rows.column("kind").to_numpy()
+    given, points = rows.filter(pa.array(kind == BEFORE)).sort_by("n"), rows.filter(pa.array(kind == POINT)).sort_by([("t", "ascending"), ("id", "ascending")])
+    times = points.column("t").to_numpy().astype(np.int64)
+    begin = int(np.searchsorted(times, block * length))
+    if begin == len(times):
+        return rows.slice(0, 0)
+    places = np.stack([points.column(c).to_numpy() for c in "xyz"], axis=1)[:, : len(how.see)]
+    held, m, n = None, len(given), len(how.move)
+    if m:
+        state, cov = (np.array(given.column(c).to_pylist(), float) for c in ("state", "cov"))
+        below = -1 - np.arange(m)  # point -1 - k is the k-th given track's
+        held = Open(given.column("at")[0].as_py(), below, below, state.reshape(m, n), cov.reshape(m, n, n), given.column("lost").to_numpy().astype(np.int64))
+    before = follow(times, places, how, 0, begin, held)[1]
+    track, after = follow(times, places, how, begin, None, before)
+
+    head = np.concatenate([given.column("name").to_pylist(), [{"t": int(t), "id": i, "block": block, key: rows.column(key)[0].as_py()} for t, i in zip(times, points.column("id").to_pylist(), strict=True)]])
+    at_t = np.concatenate([given.column("t").to_numpy(), points.column("t").to_numpy()])
+    at_id = np.concatenate([np.array(given.column("id").to_pylist(), object), np.array(points.column("id").to_pylist(), object)])
+    place_of = lambda k: np.where(k < 0, -1 - k, m + k)
+    out = {c: [] for c in rows.column_names}
+
+    def add(kind: int, name: np.ndarray, point: np.ndarray, **more) -> None:
+        k = len(name)
+        known = {key: [rows.column(key)[0].as_py()] * k, "block": [block] * k, "kind": [kind] * k, "name": head[place_of(name)].tolist(), "t": at_t[place_of(point)].tolist(), "id": at_id[place_of(point)].tolist(), **more}
+        for c in out:
+            out[c] += known.get(c, [None] * k)
+
+    own = np.arange(begin, len(times))
+    add(POINT, track, own, **{c: points.column(c).to_numpy()[begin:].tolist() for c in "xyz"})
+    for kind, o in ((BEFORE, before), (AFTER, after)):
+        if o is not None:
+            live = o.lost + (int(times[begin]) - o.at if kind == BEFORE else 0) <= how.max_lost + 1
+            add(kind, o.name[live], o.last[live], n=list(range(int(live.sum()))), at=[o.at] * int(live.sum()), lost=o.lost[live].tolist(), state=o.state[live].tolist(), cov=o.cov[live].reshape(-1, n * n).tolist())
+    return pa.table({c: pa.array(v, rows.schema.field(c).type) for c, v in out.items()})
+
+
+def fragments(points: DataFrame, key: str, how: Tracker, block: int = 50, overlap: int = 20, same: float = 1e-6) -> DataFrame:
+    """(key, id, t, x, y, z, name): the track that each point is in before ends and starts are joined. name is a struct that tells
+    tracks apart and sorts by first frame and id. Frames are cut into blocks of `block`, each warmed up by `overlap` frames before it;
+    two blocks agree if the same tracks are open between them and numbers differ by at most `same`, relatively."""
+    kinds = dict(points.dtypes)
+    name = f"struct<t: {kinds['t']}, id: {kinds['id']}, block: long, {key}: {kinds[key]}>"
+    schema = f"{key} {kinds[key]}, block long, kind int, id {kinds['id']}, t {kinds['t']}, x double, y double, z double, name {name}, n int, at long, lost long, state array<double>, cov array<double>"
+    run = lambda rows: rows.groupBy(key, "block").applyInArrow(lambda table: follow_block(table, key, block, how), schema)
+    own = materialise(located(points, key, how).withColumn("block", F.floor(F.col("t") / block).cast("long")), "motion-points")
+    nothing = {c: F.lit(None).cast(k) for c, k in [("name", name), ("n", "int"), ("at", "long"), ("lost", "long"), ("state", "array<double>"), ("cov", "array<double>")]}
+    as_points = lambda rows: rows.select(key, "block", F.lit(POINT).alias("kind"), "id", "t", *"xyz", *[v.alias(c) for c, v in nothing.items()])
+    place = Window.partitionBy(key).orderBy("block")
+    blocks = own.groupBy(key, "block").agg(F.min("t").alias("first_t")).select(key, "block", "first_t", F.lag("block").over(place).alias("before"))
+    blocks = materialise(blocks, "motion-blocks")
+    warm = own.withColumn("block", F.explode(F.sequence("block", F.floor((F.col("t") + overlap) / block).cast("long"))))
+    parts = materialise(run(as_points(warm)), "motion")
+
+    def handed(parts: DataFrame) -> DataFrame:
+        """What each block gets from the one before it: that one's open tracks, without those that end before its first frame."""
+        after = blocks.where("before is not null").join(parts.where(F.col("kind") == AFTER).withColumnRenamed("block", "before"), [key, "before"])
+        return after.where(F.col("lost") + F.col("first_t") - F.col("at") <= how.max_lost + 1)
+
+    number = F.row_number().over(Window.partitionBy(key, "block").orderBy("n"))
+    while True:
+        mine = parts.where(F.col("kind") == BEFORE).select(key, "block", number.alias("k"), F.struct("name", "id", "t", "lost", "state", "cov").alias("a"))
+        theirs = handed(parts).select(key, "block", number.alias("k"), F.struct("name", "id", "t", "lost", "state", "cov").alias("b"))
+        both = materialise(mine.join(theirs, [key, "block", "k"], "full"), "motion-seams")
+        apart = lambda c: F.exists(F.zip_with(f"a.{c}", f"b.{c}", lambda x, y: F.abs(x - y) > same * (1 + F.abs(y))), lambda d: d)
+        equal = F.expr("a.id = b.id and a.t = b.t and a.lost = b.lost") & ~apart("state") & ~apart("cov")
+        wrong = materialise(both.where(~F.coalesce(equal, F.lit(False))).select(key, "block").distinct(), "motion-again")
+        if wrong.isEmpty():
+            break
+        given = handed(parts).join(wrong, [key, "block"], "left_semi").select(key, "block", F.lit(BEFORE).alias("kind"), "id", "t", *"xyz", *nothing)
+        again = run(as_points(own.join(wrong, [key, "block"], "left_semi")).unionByName(given))
+        parts = materialise(parts.join(wrong, [key, "block"], "left_anti").unionByName(again), "motion")
+    renamed = roots(both.where("a.name <> b.name").select(F.col("a.name").alias("child"), F.col("b.name").alias("parent")))
+    found = parts.where(F.col("kind") == POINT).select(key, "id", "t", *"xyz", "name")
+    return found.join(renamed.withColumnRenamed("child", "name"), "name", "left").select(key, "id", "t", *"xyz", F.coalesce("root", "name").alias("name"))
+
+
+def summary(named: DataFrame, key: str) -> DataFrame:
+    """(key, name, n, head, tail): one row a fragment; head and tail are structs t, x, y, z of its first and last point."""
+    here = F.struct("t", *"xyz")
+    return named.groupBy(key, "name").agg(F.count("*").alias("n"), F.min_by(here, "t").alias("head"), F.max_by(here, "t").alias("tail"))
+
+
+def gaps(found: DataFrame, key: str, dist: float, time: int) -> DataFrame:
+    """(e, s, d, dt, off): ends and starts of fragments (see `summary`) that a gap of 1..time frames and less than dist parts; off
+    is the way from the one to the other. An end goes to the frames it may reach, so frames and cubes join by equality."""
+    tails = found.select(key, F.col("name").alias("id"), F.explode(F.sequence(F.lit(1), F.lit(time))).alias("dt"), "tail.*")
+    tails = tails.select(key, F.struct("id", "dt", *"xyz").alias("id"), (F.col("t") + F.col("dt")).alias("t"), *"xyz")
+    heads = found.select(key, F.struct("name", *[F.col(f"head.{c}").alias(c) for c in "xyz"]).alias("target_id"), "head.*")
+    pairs = radius_pairs(tails, heads, dist, [key, "t"])
+    off = F.array(*[F.col(f"target_id.{c}") - F.col(f"id.{c}") for c in "xyz"])
+    return pairs.select(key, F.col("id.id").alias("e"), F.col("target_id.name").alias("s"), F.col("dist").alias("d"), F.col("id.dt").alias("dt"), off.alias("off"))
+
+
+def opposite(a: str, b: str) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x) < 0
+
+
+def sisters(pairs: DataFrame) -> DataFrame:
+    """(e, a, b, da, db): two starts in the frame after an end, on opposite sides of it, the nearer one first."""
+    one = pairs.where("dt = 1")
+    a, b = (one.select("e", F.struct("d", "s").alias(c), F.col("off").alias(f"off_{c}")) for c in "ab")
+    both = a.join(b, "e").where((F.col("a") < F.col("b")) & opposite("off_a", "off_b"))
+    return both.select("e", F.col("a.s").alias("a"), F.col("b.s").alias("b"), F.col("a.d").alias("da"), F.col("b.d").alias("db"))
+
+
+def joined(pairs: DataFrame, divide: bool) -> tuple[DataFrame, DataFrame]:
+    """(child, parent) of fragments that go on from others, and of those that divisions give. An end with starts on opposite
+    sides divides into the nearest two; then ends and starts are joined by ascending distance."""
+    if divide:
+        best = F.min(F.struct((F.col("da") + F.col("db")).alias("sum"), "a", "b")).alias("best")
+        found = sisters(pairs).groupBy("e").agg(best).select("e", "best.*").withColumn("sides", F.array("a", "b"))
+        taken = materialise(chosen(found, [F.col(c) for c in ("sum", "a", "b", "e")], ["e"]), "divisions")
+        split = taken.select(F.explode("sides").alias("child"), F.col("e").alias("parent"))
+        pairs = pairs.join(split.select(F.col("parent").alias("e")), "e", "left_anti").join(split.select(F.col("child").alias("s")), "s", "left_anti")
+    else:
+        split = pairs.select(F.col("s").alias("child"), F.col("e").alias("parent")).limit(0)
+    claims = pairs.withColumn("sides", F.array(F.struct(F.lit("end").alias("side"), F.col("e").alias("name")), F.struct(F.lit("start").alias("side"), F.col("s").alias("name"))))
+    links = chosen(claims, [F.col(c) for c in ("d", "e", "s")], ["e", "s"])
+    return links.select(F.col("s").alias("child"), F.col("e").alias("parent")), split
+
+
+def numbered(named: DataFrame, key: str, links: DataFrame, split: DataFrame, kinds: dict[str, str]) -> DataFrame:
+    """(key, id, t, track, parent, name): fragments under the numbers of their tracks, from 1 in each movie by first frame and id.
+    Tracks are ranked within the block of their first frame; only the blocks' counts are summed in one place."""
+    up = materialise(roots(links), "track-names")
+    first = lambda c: F.coalesce("root", c)
+    whole = materialise(named.join(up.withColumnRenamed("child", "name"), "name", "left").select(key, "id", "t", "name", first("name").alias("root")), "tracks")
+    tracks = whole.select(key, "root").distinct().withColumn("_b", F.col("root.block"))
+    base = tracks.groupBy(key, "_b").agg(F.count("*").alias("_n"))
+    base = base.withColumn("_base", F.coalesce(F.sum("_n").over(Window.partitionBy(key).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
+    number = F.row_number().over(Window.partitionBy(key, "_b").orderBy("root")) + F.col("_base")
+    tracks = materialise(tracks.join(base, [key, "_b"]).select("root", number.cast("long").alias("track")), "track-numbers")
+    mother = split.join(up.select(F.col("child").alias("parent"), "root"), "parent", "left").select(F.col("child").alias("root"), first("parent").alias("_m"))
+    mother = mother.join(tracks.select(F.col("root").alias("_m"), F.col("track").alias("parent")), "_m").select("root", "parent")
+    rows = whole.join(tracks, "root").join(mother, "root", "left")
+    return rows.select(key, F.col("id").cast(kinds["id"]), F.col("t").cast(kinds["t"]), "track", "parent", "name")
+
+
+def link_motion(points: DataFrame, key: str, how: Tracker, block: int = 50, overlap: int = 20) -> DataFrame:
+    """(key, id, t, track, parent): points (key, id, t, x, y, z, unique by key, id and t) in tracks from 1, numbered within
+    each movie by first frame and id; parent is the track that divided into this one, else NULL. Points with a missing movie,
+    id, place or frame have no track and go. Movies are independent, and so are blocks of frames: `block` and `overlap` change the
+    work, not the tracks."""
+    named = materialise(fragments(points, key, how, block, overlap), "fragments")
+    pairs = materialise(gaps(summary(named, key), key, how.gap_dist, how.gap_time), "gaps")
+    links, split = joined(pairs, how.divide)
+    return numbered(named, key, links, split, dict(points.dtypes)).drop("name")
 
 
 def lineage(tracks: DataFrame, key: str) -> DataFrame:

@@ -5,13 +5,14 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..model import Scale
 from ..operators import aggregates as A
 from ..operators import curation as C
+from ..operators import hypotheses as H
 from ..operators import kinematics as K
 from ..operators import linking as L
 from ..operators import persistence as P
@@ -755,7 +756,8 @@ TRACKER = """{"TrackerConfig": {"MotionModel": {"name": "cell_motion", "dt": 1.0
 "H": {"matrix": [1,0,0,0,0,0, 0,1,0,0,0,0, 0,0,1,0,0,0]},
 "P": {"sigma": 150.0, "matrix": [0.1,0,0,0,0,0, 0,0.1,0,0,0,0, 0,0,0.1,0,0,0, 0,0,0,1,0,0, 0,0,0,0,1,0, 0,0,0,0,0,1]},
 "G": {"sigma": 15.0, "matrix": [0.5,0.5,0.5,1,1,1]}, "R": {"sigma": 5.0, "matrix": [1,0,0, 0,1,0, 0,0,1]}},
-"HypothesisModel": {"hypotheses": ["P_FP", "P_init", "P_term", "P_link", "P_branch", "P_dead"], "dist_thresh": 40, "time_thresh": 2}}}"""
+"HypothesisModel": {"hypotheses": ["P_FP", "P_init", "P_term", "P_link", "P_branch", "P_dead"], "lambda_time": 5.0, "lambda_dist": 3.0, "lambda_link": 10.0, "lambda_branch": 50.0, "eta": 1e-10,
+"theta_dist": 20.0, "theta_time": 5.0, "dist_thresh": 40, "time_thresh": 2, "apop_thresh": 5, "segmentation_miss_rate": 0.1, "apoptosis_rate": 0.001, "relax": true}}}"""
 
 
 def tracker() -> tracking.Tracker:
@@ -784,6 +786,43 @@ def link_motion_2d(spark, d):
     return tracking.link_motion(fx.traj(spark, d).withColumn("z", F.lit(0.0)), "cell_id", tracker())
 
 
+@query()
+def link_optimum(spark, d):
+    return H.link_optimum(fx.traj(spark, d), "cell_id", tracker(), H.Model.of(readers.read_config(TRACKER)))
+
+
+def unbroken(spark, d) -> DataFrame:
+    """Points of the series, those of a spot's consecutive frames as one fragment."""
+    w = Window.partitionBy("id").orderBy("t")
+    rows = fx.traj(spark, d).withColumn("g", F.col("t") - F.row_number().over(w))
+    return rows.withColumn("name", F.struct(F.min("t").over(Window.partitionBy("id", "g")).alias("t"), "id")).select("cell_id", "id", "t", *"xyz", "name")
+
+
+EDGE = "ln(greatest(CASE WHEN {f} < 5 THEN exp(-({f}) / 5.0) END, CASE WHEN {b} < 20 THEN exp(-{b} / 3.0) END, 1e-10)) + half"
+OFFERS = (("gr", "SELECT *, t - row_number() OVER (PARTITION BY id ORDER BY t) AS g FROM fx_traj"),
+          ("fr", "SELECT cell_id, id, count(*) AS n, min(t) AS h, max(t) AS l, " + ", ".join(f"arg_min({c}, t) AS h{c}, arg_max({c}, t) AS l{c}" for c in "xyz") + " FROM gr GROUP BY cell_id, id, g"),
+          ("bx", "SELECT cell_id AS c, min(t) AS t0, max(t) AS t1, " + ", ".join(f"min({c}) AS {c}0, max({c}) AS {c}1" for c in "xyz") + " FROM fx_traj GROUP BY 1"),
+          ("fs", "SELECT *, 0.5 * ln(greatest(1 - pow(0.1e0, n), 1e-10)) AS half, least(" + ", ".join(f"h{c} - {c}0, {c}1 - h{c}" for c in "xyz") + ") AS hb, least(" + ", ".join(f"l{c} - {c}0, {c}1 - l{c}" for c in "xyz") + ") AS lb FROM fr JOIN bx ON bx.c = fr.cell_id"),
+          ("pr", "SELECT * FROM (SELECT e.cell_id, e.id, e.h, e.half AS eh, s.id AS a, s.h AS at_, s.half AS sh, s.h - e.l AS dt, s.hx - e.lx AS ox, s.hy - e.ly AS oy, s.hz - e.lz AS oz, sqrt((s.hx-e.lx)*(s.hx-e.lx)+(s.hy-e.ly)*(s.hy-e.ly)+(s.hz-e.lz)*(s.hz-e.lz)) AS d FROM fs e JOIN fs s ON s.cell_id = e.cell_id AND s.h > e.l AND s.h <= e.l + 2) WHERE d < 40"))
+
+
+@query(with_views(f"""SELECT cell_id, kind, id, CAST(h AS INT) AS t, a_id, CAST(a_t AS INT) AS a_t, b_id, CAST(b_t AS INT) AS b_t, round(score, 6) + 0.0 AS score FROM (
+SELECT cell_id, 'P_FP' AS kind, id, h, NULL AS a_id, NULL AS a_t, NULL AS b_id, NULL AS b_t, n * ln(0.1e0) AS score FROM fs UNION ALL SELECT cell_id, 'P_init', id, h, NULL, NULL, NULL, NULL, {EDGE.format(f="h - t0", b="hb")} FROM fs
+UNION ALL SELECT cell_id, 'P_term', id, h, NULL, NULL, NULL, NULL, {EDGE.format(f="t1 - l", b="lb")} FROM fs UNION ALL SELECT cell_id, 'P_dead', id, h, NULL, NULL, NULL, NULL, ln(0.001e0) + half FROM fs WHERE n >= 5
+UNION ALL SELECT cell_id, 'P_link', id, h, a, at_, NULL, NULL, -d * dt / 10.0 + eh + sh FROM pr
+UNION ALL SELECT p.cell_id, 'P_branch', p.id, p.h, p.a, p.at_, q.a, q.at_, -(p.d + q.d) / 100.0 + p.eh + p.sh + q.sh FROM pr p JOIN pr q ON q.cell_id = p.cell_id AND q.id = p.id AND q.h = p.h AND p.dt = 1 AND q.dt = 1 AND (p.d, p.at_, p.a) < (q.d, q.at_, q.a) AND p.ox*q.ox + p.oy*q.oy + p.oz*q.oz < 0)""", "fx_traj", extra=OFFERS))
+def hypothesis_scores(spark, d):
+    rows = H.offers_of(unbroken(spark, d), "cell_id", H.Model.of(readers.read_config(TRACKER)))
+    to = lambda k, c: F.get("to", F.lit(k))[c]
+    return rows.select("cell_id", "kind", "name.id", "name.t", *[to(k, c).alias(f"{n}_{c}") for k, n in enumerate("ab") for c in ("id", "t")], r6("score").alias("score"))
+
+
+@query()
+def hypothesis_choice(spark, d):
+    rows = H.explained(H.optimum(H.offers_of(unbroken(spark, d), "cell_id", H.Model.of(readers.read_config(TRACKER)))))
+    return rows.select("name.id", "name.t", "start_by", "end_by", F.transform("to", lambda c: F.concat_ws("@", c["id"].cast("string"), c["t"].cast("string"))).alias("to"), "proved")
+
+
 @query()
 def null_models(spark, d):
     cos = K.cosines(dense(spark, d))
