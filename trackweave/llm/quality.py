@@ -7,7 +7,8 @@ which learns from them as well (`per_round` bounds the sample that models are fi
 logistic model on held-out labelled rows calibrates the two views' log odds and combines them; it scores every document in
 one pass, without a shuffle. Models are a few hundred numbers and are broadcast.
 
-Features are made once and written; a round reads them and writes the ids and odds of the sure documents, which lose those
+A model does not depend on how rows are dealt to partitions: odds are summed row by row and rounded to 1e-9 before they are
+compared, and ties go to the smaller id. Features are made once and written; a round reads them and writes the ids and odds of the sure documents, which lose those
 that have labels in a join of ids.
 
 Nulls and edges: a null text counts as empty; null metadata has a bucket of its own. Labels with null id or quality are
@@ -93,7 +94,9 @@ class Logistic:
         return cls(w, mean, scale)
 
     def log_odds(self, x: np.ndarray) -> np.ndarray:
-        return np.clip(((x - self.mean) / self.scale) @ self.weights[:-1] + self.weights[-1], -30, 30)
+        """Summed row by row, in one order, and rounded: a matrix product's last bits depend on how many rows it is given, and
+        rows of equal odds would be chosen by them."""
+        return np.round(np.clip(np.add.reduce((x - self.mean) / self.scale * self.weights[:-1], axis=1) + self.weights[-1], -30, 30), 9)
 
 
 @dataclass
