@@ -7,8 +7,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from trackweave.operators import voxel
 from trackweave.plans import pipeline
-from trackweave.sources import readers, shared, volumes, writers
+from trackweave.sources import blocks, readers, shared, volumes, writers
 from trackweave.streaming import frames
 
 
@@ -232,3 +233,77 @@ def test_written_volumes_are_read_back(spark, tmp_path, kind):
     assert volumes.write_volumes(voxels.limit(0), folder).count() == 0
     with pytest.raises(ValueError, match="kind"):
         volumes.write_volumes(voxels, folder, kind="hdf")
+
+
+@pytest.mark.parametrize("kind", ["tif", "npy"])
+def test_values_keep_their_type_or_are_refused(spark, tmp_path, kind):
+    stacks = {"f4": np.array([[[0.25, 0.75], [1.9, -1.9]]], np.float32), "u4": np.array([[[3000000000, 0], [1, 2]]], np.uint32), "i2": np.array([[[-5, 7], [0, 1]]], np.int16)}
+    for t, (name, v) in enumerate(stacks.items()):
+        path = tmp_path / name
+        path.mkdir()
+        raw = path / f"C00_T{t:05d}.{kind}"
+        np.save(raw, v) if kind == "npy" else raw.write_bytes(volumes.encode_tiff(v))
+        for value in ("int", "long", "double"):
+            read = lambda: [r.value for r in volumes.read_volumes(spark, str(path), value=value).orderBy("z", "y", "x").collect()]  # noqa: B023, E731
+            if value == "double" or name == "i2" or (name, value) == ("u4", "long"):
+                assert read() == v.ravel().tolist()
+            else:
+                with pytest.raises(Exception, match="do not fit"):
+                    read()
+    with pytest.raises(ValueError):
+        volumes.read_volumes(spark, str(tmp_path), value="short")
+    rows = spark.createDataFrame([(0, 0, 0, 0, 0.5), (0, 0, 0, 1, -2.25)], "t int, z int, y int, x int, value double")
+    volumes.write_volumes(rows, f"file://{tmp_path}/out", kind=kind, dtype="f8")
+    assert [r.value for r in volumes.read_volumes(spark, f"{tmp_path}/out", value="double").orderBy("x").collect()] == [0.5, -2.25]
+    with pytest.raises(Exception, match="do not fit"):
+        volumes.write_volumes(rows, f"file://{tmp_path}/out2", kind=kind)
+
+
+def test_blocks_are_those_of_whole_files(spark, tmp_path):
+    rng = np.random.default_rng(7)
+    v = rng.integers(0, 900, (3, 70, 40)).astype(np.uint16)
+    np.save(tmp_path / "C01_T00001.npy", v)
+    (tmp_path / "C01_T00002.tif").write_bytes(volumes.encode_tiff(v))
+    for t, (packed, step) in enumerate([(1, False), (5, True), (8, False), (32773, True)], 3):
+        (tmp_path / f"C01_T{t:05d}.tif").write_bytes(tiff(v, packed, t == 4, "<", step, rows=9))
+    (tmp_path / "notes.tif").write_bytes(b"no frame in the name")
+    index = blocks.volume_index(spark, str(tmp_path)).cache()
+    got = blocks.read_blocks(index).groupBy("t").agg(F.count("*"), F.sum(F.xxhash64("channel", *"zyx", "value").cast("decimal(38,0)")))
+    want = volumes.read_volumes(spark, str(tmp_path)).groupBy("t").agg(F.count("*"), F.sum(F.xxhash64("channel", *"zyx", "value").cast("decimal(38,0)")))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and got.count() == 6
+    assert index.where("t = 1").count() == 9 and index.where("t = 4").count() == 24
+    with pytest.raises(ValueError, match="C order"):
+        list(blocks.npy_blocks(lambda at, n, raw=npy(np.asfortranarray(v)): raw[at : at + n]))
+
+
+def npy(v):
+    import io
+
+    out = io.BytesIO()
+    np.save(out, v)
+    return out.getvalue()
+
+
+def test_gather_reads_touched_blocks_only(spark, tmp_path):
+    """All other bytes are spoilt: had they been decoded, the packed ones would raise and plain ones differ."""
+    rng = np.random.default_rng(8)
+    v = rng.integers(0, 900, (6, 128, 64)).astype(np.uint16)
+    np.save(tmp_path / "C00_T00000.npy", v)
+    (tmp_path / "C00_T00001.tif").write_bytes(tiff(v, 8, False, "<", True, rows=16))
+    spots = spark.createDataFrame([(0, 1, 2, 10, 5), (1, 2, 3, 33, 60), (1, 3, 0, 0, 0), (9, 4, 0, 0, 0)], "t int, id int, z int, y int, x int")
+    around = voxel.offsets()
+    want = sorted(map(tuple, voxel.gather(spots, volumes.read_volumes(spark, str(tmp_path)).drop("channel"), around).collect()))
+    index = blocks.volume_index(spark, str(tmp_path)).cache()
+    index.count()
+    places = spark.createDataFrame([(t, z + dz, y + dy) for t, _, z, y, _ in map(tuple, spots.collect()) for dz, dy, _ in around], "t int, z int, y int")
+    used = blocks.touched(index, places).collect()
+    kept = {(r.path.rsplit("/", 1)[-1], r["at"], r.bytes) for r in used}
+    for f in ("C00_T00000.npy", "C00_T00001.tif"):
+        raw = bytearray((tmp_path / f).read_bytes())
+        for r in index.collect():
+            if r.path.endswith(f) and (f, r["at"], r.bytes) not in kept:
+                raw[r["at"] : r["at"] + r.bytes] = b"\xff" * r.bytes
+        (tmp_path / f).write_bytes(raw)
+    assert sorted(map(tuple, blocks.gather(spots, index, around).collect())) == want and len(want) > 150
+    assert sum(r.bytes for r in used) < 0.25 * index.agg(F.sum("bytes")).first()[0]
+    assert blocks.gather(spots, index, around, channel="C01").count() == 0

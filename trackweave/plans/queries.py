@@ -18,7 +18,8 @@ from ..operators import linking as L
 from ..operators import persistence as P
 from ..operators import spatial as J
 from ..operators import spine, stats, tables, tracking, voxel
-from ..sources import readers, shared, volumes, writers
+from ..sources import blocks, readers, shared, volumes, writers
+from ..streaming import frames, linker
 from . import fixtures as fx
 from .fixtures import with_views
 
@@ -521,6 +522,14 @@ def ellipsoid_gather(spark, d):
     return rows.groupBy("t", "id").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
 
 
+@query(with_views(GATHER.format(dz="2.7556*(v.z-s.z)*(v.z-s.z)", flat=""), "fx_spot", "fx_voxel"))
+def block_gather(spark, d):
+    folder = own_folder(spark, "blocks")
+    volumes.write_volumes(fx.voxel(spark, d), folder)
+    rows = blocks.gather(fx.block_spots(spark, d), blocks.volume_index(spark, folder), voxel.offsets())
+    return rows.groupBy("t", "id").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
+
+
 @query(with_views(GATHER.format(dz="0", flat="AND v.z = s.z"), "fx_spot", "fx_voxel"))
 def disk_gather(spark, d):
     rows = voxel.gather(fx.block_spots(spark, d), fx.voxel(spark, d).drop("i"), voxel.offsets(flat=True))
@@ -739,7 +748,21 @@ def mutual_nn_links(spark, d):
     return L.mutual_links(spots(spark, d), 10.0).select("t", "id_a", "id_b", r6("dist").alias("dist"))
 
 
-@query(with_views("SELECT id, t, head, place FROM ch", "fx_point", extra=(*LINKS, ("ch", "SELECT id, t, id AS head, 0 AS place FROM sp WHERE id NOT IN (SELECT id_b FROM lk) UNION ALL SELECT lk.id_b, ch.t + 1, ch.head, ch.place + 1 FROM ch JOIN lk ON lk.id_a = ch.id"))).replace("WITH ", "WITH RECURSIVE ", 1))
+CHAINS = with_views("SELECT id, t, head, place FROM ch", "fx_point", extra=(*LINKS, ("ch", "SELECT id, t, id AS head, 0 AS place FROM sp WHERE id NOT IN (SELECT id_b FROM lk) UNION ALL SELECT lk.id_b, ch.t + 1, ch.head, ch.place + 1 FROM ch JOIN lk ON lk.id_a = ch.id"))).replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+@query(CHAINS)
+def stream_track_chains(spark, d):
+    folder, own = own_folder(spark, "stream"), linker.with_state_store(spark)
+    points = spots(own, d).select(F.lit(0).alias("movie"), "t", "id", *"xyz")
+    last = points.agg((F.max("t") + 1002).alias("t")).select(F.lit(0).alias("movie"), "t", *[F.lit(None).cast(k).alias(c) for c, k in points.dtypes[2:]])  # a frame so much later closes all
+    points.unionByName(last).write.parquet(f"{folder}/in")
+    arriving = own.readStream.schema(points.schema).option("maxFilesPerTrigger", 4).parquet(f"{folder}/in")
+    frames.into_table(linker.stream_chains(arriving, "movie", 10.0, delay=1000), f"{folder}/out", f"{folder}/checkpoint").awaitTermination()
+    return spark.read.parquet(f"{folder}/out").select("id", "t", "head", "place")
+
+
+@query(CHAINS)
 def track_chains(spark, d):
     s = spots(spark, d)
     return L.chains(s, L.mutual_links(s, 10.0))
