@@ -167,6 +167,27 @@ def test_licence_files_of_several_licences(spark):
     assert got[len(sets)] == {"gpl-3", "bsd-3"} and not any(got[k] for k in range(len(sets) + 1, len(texts)))
 
 
+def test_licences_score_whole_templates_and_follow_the_sql(spark, as_table):
+    """A template word for word scores 1, alone or beside others, in rare and in crowded tables; the SQL gives the same rows."""
+    import duckdb
+
+    mit, apache, gpl, bsd = (max((t for label, t, _ in licenses.TEMPLATES if label == want), key=len) for want in ("mit", "apache-2", "gpl-3", "bsd-3"))
+    texts = [mit, f"first {bsd} then {mit}", ". ".join((apache, bsd, gpl, mit)), mit.replace("free of charge", "for a fee"), "", None] + [f"ordinary words number {k}" for k in range(97)]
+    for more in ([], [mit] * 90, [f"{bsd} {k}" for k in range(300)]):
+        rows = spark.createDataFrame(list(enumerate(texts + more)), "doc_id long, text string")
+        as_table(licenses, documents=rows)
+        got = {r.doc_id: r for r in licenses.op2(spark, "").collect()}
+        assert [got[k].score for k in range(3)] == [1, 1, 1] and got[3].score < 1 and [got[k].score for k in (4, 5)] == [0, 0]
+        assert [got[k].labels for k in range(4)] == ["mit", "bsd-3,mit", "apache-2,bsd-3,gpl-3,mit", ""]
+        con = duckdb.connect()
+        con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+        con.executemany("INSERT INTO documents VALUES (?, ?)", list(enumerate(texts + more)))
+        cursor = con.execute(licenses.sql())
+        names = [d[0] for d in cursor.description]
+        want = {r[names.index("doc_id")]: dict(zip(names, r, strict=True)) for r in cursor.fetchall()}
+        assert all({**r.asDict(), "score": None} == {**want[k], "score": None} and abs(r.score - want[k]["score"]) < 2e-6 for k, r in got.items()) and len(want) == len(got)
+
+
 def test_licences_that_many_rows_hold(spark):
     """Common licence words: a header in a third of the rows, in all rows, and tables of few rows."""
     head = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: file"

@@ -1,19 +1,18 @@
 """Licence scan with a positional rare-token index.
 
 Templates are short licence texts with mandatory key phrases. Their words make the index: word -> postings (template,
-position). The corpus gives each indexed word its IDF, ln((rows + 1) / (rows with it + 1)). A file looks up the `top`
-indexed words of highest IDF that it holds (at least `min_idf`); each of their places votes, with the word's IDF, for
-(template, place - position). The best relative position's votes over the template's whole IDF is the template's score;
-the file's score is the best one. Texts of several licences share the `top` words, so labels do not rest on them: for
-each template whose key phrases stand in the file word for word, all its words vote at all their places, and it gives its
-label if that reaches `accept` of its IDF. These votes hold the index's own, so no template that the index accepts is lost.
-There a word weighs LEAST at least, so licences that stand in many rows or in all, and those of tiny tables, are found too;
-words below `min_idf` stay out of the index alone.
+position). The corpus gives each indexed word its IDF, ln((rows + 1) / (rows with it + 1)). A file looks up the indexed words of
+highest IDF that it holds (all of at least `min_idf`); these propose the templates that they stand in, and so do a template's
+key phrases if all of them stand in the file word for word. For each proposed template all its words vote, with their IDF (LEAST
+at least, so that licences that stand in many rows or in all, and those of tiny tables, are told too), for their place minus their
+position in the template. The best relative position's votes over the template's whole IDF is the template's score; the file's score
+is the best one, and a template whose key phrases stand in the file and whose score reaches `accept` gives its label.
 
 Base phrases are found word for word beside that, and their labels are always given. All is DataFrame functions within a
 row: the one exchange is the count of rows by indexed word, a few hundred words.
 
-Nulls and edges: a null text has no words; it gets no labels and score 0. Ids are carried as they are.
+Nulls and edges: a null text has no words; it gets no labels and score 0. Ids are carried as they are, null ones too. Rows that
+repeat an id or a text are rows of their own and count in the IDF. An empty table gives no rows. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -86,56 +85,44 @@ def best_votes(votes: Column, template: int) -> Column:
     return F.aggregate(F.filter(votes, lambda v: v["t"] == template), start, step, lambda a: a["best"])
 
 
-def votes_of(words: Column, chosen: Column, templates: Column | None, postings: dict[str, list[Column]]) -> Column:
-    """Sorted votes of the chosen words' places, for the given templates or for all."""
+def votes_of(words: Column, vocabulary: list[str], templates: Column, postings: dict[str, list[Column]]) -> Column:
+    """Sorted votes of the indexed words' places for the given templates."""
     index = F.create_map(*[x for w, places in postings.items() for x in (F.lit(w), F.array(*places))])
-    hits = F.filter(F.transform(words, lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda x: F.array_contains(chosen, x["w"]))
+    hits = F.filter(F.transform(words, lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda x: x["w"].isin(vocabulary))
     votes = F.flatten(F.transform(hits, lambda h: F.transform(F.element_at(index, h["w"]), lambda p: F.struct(p["t"].alias("t"), (h["i"] - p["p"]).alias("d"), p["idf"].alias("idf")))))
-    return F.array_sort(votes if templates is None else F.filter(votes, lambda v: F.array_contains(templates, v["t"])))
+    return F.array_sort(F.filter(votes, lambda v: F.array_contains(templates, v["t"])))
 
 
-def licences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates=TEMPLATES, top: int = 12, min_idf: float = 1.5, accept: float = 0.6) -> DataFrame:
+def licences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates=TEMPLATES, min_idf: float = 1.5, accept: float = 0.6) -> DataFrame:
     """(id, n_words, base array<struct<n,first,last>> in the order of BASE, found array<string>, score)."""
     rows = docs.select(F.col(id_col).alias("id"), words_of(F.col(text_col)).alias("words"))
-    vocabulary = sorted({w for _, text, _ in templates for w in text.split()})
+    words_in = [text.split() for _, text, _ in templates]
+    vocabulary = sorted({w for words in words_in for w in words})
     idf = idf_of(rows, vocabulary)
     rare = sorted((w for w in vocabulary if idf[w] >= min_idf), key=lambda w: (-idf[w], w))
+    weight = {w: max(LEAST, idf[w]) for w in vocabulary}
     n_words, joined = F.size("words"), F.col("joined")
     out = rows.withColumn("joined", F.concat(F.lit(" "), F.array_join("words", " "), F.lit(" ")))
     base = F.array(*[phrase_places(joined, n_words, p) for p in BASE])
-    weight = {w: max(LEAST, idf[w]) for w in vocabulary}
-
-    def postings(words: list[str], weights: dict[str, float]) -> dict[str, list[Column]]:
-        places = [(w, t, p) for t, (_, text, _) in enumerate(templates) for p, w in enumerate(text.split())]
-        return {x: [F.struct(F.lit(t).alias("t"), F.lit(p).alias("p"), F.lit(weights[w]).alias("idf")) for w, t, p in places if w == x] for x in words}
-
-    none = F.array().cast("array<struct<t:int,d:int,idf:double>>")
-    if rare:
-        out = out.withColumn("top", F.slice(F.array_intersect(F.array(*[F.lit(w) for w in rare]), "words"), 1, top))
-        votes = votes_of(F.col("words"), F.col("top"), None, postings(rare, idf))
-        out = out.withColumn("votes", F.when(F.size("top") > 0, votes).otherwise(none))
-    else:
-        out = out.withColumn("votes", none)
-
-    def share(votes: str, t: int, weights: dict[str, float]) -> Column:
-        return F.least(F.lit(1.0), best_votes(F.col(votes), t) / F.lit(max(sum(weights[w] for w in templates[t][1].split()), 1e-9)))
-
-    out = out.withColumn("scores", F.when(F.size("votes") > 0, F.array(*[share("votes", t, idf) for t in range(len(templates))])).otherwise(F.array(F.lit(0.0))))
+    texts = lambda some: F.array(*[F.lit(w) for w in some]).cast("array<string>")
 
     def phrased(t: int) -> Column:
         ok = F.lit(True)
         for p in templates[t][2]:
             ok = ok & F.contains(joined, F.lit(f" {p} "))
-        return F.when(ok, F.lit(t))
-
-    def verified(t: int) -> Column:
-        return F.when(F.array_contains("phrased", F.lit(t)) & (share("all_votes", t, weight) >= accept), F.lit(templates[t][0]))
+        return ok
 
-    out = out.withColumn("phrased", F.array_compact(F.array(*[phrased(t) for t in range(len(templates))])))
-    votes = votes_of(F.col("words"), F.array(*[F.lit(w) for w in vocabulary]), F.col("phrased"), postings(vocabulary, weight))
-    out = out.withColumn("all_votes", F.when(F.size("phrased") > 0, votes).otherwise(none))
-    found = F.array_compact(F.array(*[verified(t) for t in range(len(templates))]))
-    return out.select("id", n_words.cast("long").alias("n_words"), base.alias("base"), found.alias("found"), F.array_max("scores").alias("score"))
+    out = out.withColumn("rare", F.array_intersect(texts(rare), "words"))
+    out = out.withColumn("phrased", F.array_compact(F.array(*[F.when(phrased(t), F.lit(t)) for t in range(len(templates))])))
+    proposed = [F.when(F.array_contains("phrased", F.lit(t)) | F.arrays_overlap("rare", texts(sorted({*words} & {*rare}))), F.lit(t)) for t, words in enumerate(words_in)]
+    out = out.withColumn("proposed", F.when((F.size("rare") > 0) | (F.size("phrased") > 0), F.array_compact(F.array(*proposed))).otherwise(F.array().cast("array<int>")))
+    places = {w: [F.struct(F.lit(t).alias("t"), F.lit(p).alias("p"), F.lit(weight[w]).alias("idf")) for t, words in enumerate(words_in) for p, x in enumerate(words) if x == w] for w in vocabulary}
+    votes = votes_of(F.col("words"), vocabulary, F.col("proposed"), places)
+    out = out.withColumn("votes", F.when(F.size("proposed") > 0, votes).otherwise(F.array().cast("array<struct<t:int,d:int,idf:double>>")))
+    share = lambda t: F.least(F.lit(1.0), best_votes(F.col("votes"), t) / F.lit(sum(weight[w] for w in words_in[t])))
+    out = out.withColumn("scores", F.when(F.size("votes") > 0, F.array(*[share(t) for t in range(len(templates))])).otherwise(F.array(F.lit(0.0))))
+    verified = [F.when(F.array_contains("phrased", F.lit(t)) & (F.get("scores", F.lit(t)) >= accept), F.lit(label)) for t, (label, _, _) in enumerate(templates)]
+    return out.select("id", n_words.cast("long").alias("n_words"), base.alias("base"), F.array_compact(F.array(*verified)).alias("found"), F.array_max("scores").alias("score"))
 
 
 def op2(spark, sf_dir: str) -> DataFrame:
@@ -149,7 +136,7 @@ def op2(spark, sf_dir: str) -> DataFrame:
     )
 
 
-def sql(top: int = 12, min_idf: float = 1.5, accept: float = 0.6) -> str:
+def sql(min_idf: float = 1.5, accept: float = 0.6) -> str:
     """The query in DuckDB's SQL."""
     quote = lambda x: "'" + x + "'"
     rows = lambda xs: ", ".join("(" + ", ".join(map(str, x)) + ")" for x in xs)
@@ -164,11 +151,12 @@ base(phrase, k, label) AS (VALUES {base}), tw(t, p, w) AS (VALUES {words}), ph(t
 hit AS (SELECT x.doc_id, b.label, x.i FROM x JOIN base b ON x.w = string_split(b.phrase, ' ')[1] JOIN d ON d.doc_id = x.doc_id WHERE array_to_string(d.w[x.i + 1 : x.i + b.k], ' ') = b.phrase),
 h AS (SELECT doc_id, count(*) AS n, min(i) AS a, max(i) AS b, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM hit GROUP BY doc_id),
 idf AS (SELECT v.w, ln(((SELECT count(*) FROM d) + 1.0e0) / (count(DISTINCT x.doc_id) + 1.0e0)) AS idf FROM (SELECT DISTINCT w FROM tw) v LEFT JOIN x ON x.w = v.w GROUP BY v.w),
-tops AS (SELECT doc_id, w, idf FROM (SELECT x.doc_id, x.w, any_value(f.idf) AS idf, row_number() OVER (PARTITION BY x.doc_id ORDER BY any_value(f.idf) DESC, x.w) AS k FROM x JOIN idf f ON f.w = x.w WHERE f.idf >= {min_idf} GROUP BY 1, 2) WHERE k <= {top}),
-votes AS (SELECT x.doc_id, tw.t, x.i - tw.p AS g, sum(o.idf) AS s FROM x JOIN tops o ON o.doc_id = x.doc_id AND o.w = x.w JOIN tw ON tw.w = x.w GROUP BY 1, 2, 3),
-whole AS (SELECT t, sum(idf) AS s FROM tw JOIN idf ON idf.w = tw.w GROUP BY t),
-score AS (SELECT v.doc_id, v.t, least(1.0e0, max(v.s / greatest(q.s, 1e-9))) AS s FROM votes v JOIN whole q ON q.t = v.t GROUP BY 1, 2),
-found AS (SELECT c.doc_id, ph.t, any_value(ph.label) AS label FROM score c JOIN ph ON ph.t = c.t JOIN j ON j.doc_id = c.doc_id WHERE c.s >= {accept} GROUP BY 1, 2 HAVING bool_and(contains(j.s, ' ' || ph.phrase || ' '))),
+full_ AS (SELECT j.doc_id, ph.t, any_value(ph.label) AS label FROM j CROSS JOIN ph GROUP BY 1, 2 HAVING bool_and(contains(j.s, ' ' || ph.phrase || ' '))),
+proposed AS (SELECT x.doc_id, tw.t FROM x JOIN idf ON idf.w = x.w JOIN tw ON tw.w = x.w WHERE idf.idf >= {min_idf} UNION SELECT doc_id, t FROM full_),
+votes AS (SELECT x.doc_id, tw.t, x.i - tw.p AS g, sum(greatest({LEAST}e0, idf.idf)) AS s FROM x JOIN idf ON idf.w = x.w JOIN tw ON tw.w = x.w JOIN proposed o ON o.doc_id = x.doc_id AND o.t = tw.t GROUP BY 1, 2, 3),
+whole AS (SELECT t, sum(greatest({LEAST}e0, idf)) AS s FROM tw JOIN idf ON idf.w = tw.w GROUP BY t),
+score AS (SELECT v.doc_id, v.t, least(1.0e0, max(v.s / q.s)) AS s FROM votes v JOIN whole q ON q.t = v.t GROUP BY 1, 2),
+found AS (SELECT c.doc_id, f.label FROM score c JOIN full_ f ON f.doc_id = c.doc_id AND f.t = c.t WHERE c.s >= {accept}),
 labels AS (SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM (SELECT doc_id, label FROM hit UNION ALL SELECT doc_id, label FROM found) GROUP BY doc_id)
 SELECT j.doc_id, CAST(j.n_words AS BIGINT) AS n_words, coalesce(h.n, 0) AS n_base, CAST(h.a AS BIGINT) AS first_word, CAST(h.b AS BIGINT) AS last_word, coalesce(h.labels, '') AS base_labels,
 coalesce(l.labels, '') AS labels, round(coalesce((SELECT max(s) FROM score c WHERE c.doc_id = j.doc_id), 0.0e0), 6) AS score
