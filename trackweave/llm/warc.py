@@ -1,7 +1,8 @@
 """WARC archives: write request, response or revisit, and metadata records; read them back; assemble transactions.
 
-Which payload is stored is decided before writing: digests are aggregated (largest page id per digest) and those that
-repeat are written. Up to MOST_REPEATED of them are broadcast, and no payload moves; a longer list is joined on the digest by
+Which payload is stored is decided before writing: digests are aggregated (largest page id per digest, and of rows that
+repeat it the first one) and those that repeat are written. A response that others revisit is named by its page and digest, so
+WARC-Refers-To holds the id of a record that is in the archives; other records are named by task attempt and place. Up to MOST_REPEATED of them are broadcast, and no payload moves; a longer list is joined on the digest by
 a shuffle, whose hot digests can be split. Each task then streams its
 rows into gzip-membered archives in the shared folder and rolls to a new file at `roll_bytes`. A file's name holds the
 task attempt, and the manifest of finished files is itself written as a table, so after a lost executor only the files
@@ -11,7 +12,9 @@ Assembly: request and metadata records name their response or revisit in WARC-Co
 on it and each capture becomes one row with nested structs.
 
 Nulls and edges: a null payload is empty. Rows with a null id are always stored as responses. Rows that repeat the
-chosen id and payload are responses too. A null url is written as an empty target.
+chosen id and payload are responses too, and one of them is the one that revisits name. A null url is written as an empty target.
+An empty table gives no archives and no rows. Rows are told apart by their place in the scan, so pages should be a table that is read,
+not one whose rows come in another order each time.
 """
 
 from __future__ import annotations
@@ -36,14 +39,15 @@ RECORD = "record_id string, concurrent_to string, type string, refers_to string,
 
 
 def planned(pages: DataFrame, least: int = REVISIT_LEAST, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(id, url, payload, digest, n, refers): refers is the id of the response that a revisit points to, else null."""
+    """(id, url, payload, digest, n, refers, named): refers is the id of the response that a revisit points to, else null; named is
+    true for the responses that revisits point to."""
     payload = F.coalesce(F.col(html_col).cast("string"), F.lit("")).cast("binary")
     rows = pages.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(url_col).cast("string"), F.lit("")).alias("url"), payload.alias("payload"))
-    rows = rows.withColumn("n", F.octet_length("payload").cast("long")).withColumn("digest", F.sha1("payload"))
-    stored = rows.where(F.col("n") >= least).groupBy("digest").agg(F.max("id").alias("first"), F.count("*").alias("of")).where("of > 1").select("digest", "first")
+    rows = rows.withColumn("n", F.octet_length("payload").cast("long")).withColumn("digest", F.sha1("payload")).withColumn("row", F.monotonically_increasing_id())
+    stored = rows.where(F.col("n") >= least).groupBy("digest").agg(F.max(F.struct("id", (-F.col("row")).alias("row"))).alias("m"), F.count("*").alias("of")).where("of > 1").select("digest", F.col("m.id").alias("first"), (-F.col("m.row")).alias("first_row"))
     stored = materialise(stored, "warc-repeated")
     out = rows.join(F.broadcast(stored) if stored.count() <= MOST_REPEATED else stored.hint("merge"), "digest", "left")
-    return out.withColumn("refers", F.when((F.col("n") >= least) & (F.col("id") < F.col("first")), F.col("first"))).select("id", "url", "payload", "digest", "n", "refers")
+    return out.withColumn("refers", F.when((F.col("n") >= least) & (F.col("id") < F.col("first")), F.col("first"))).withColumn("named", (F.col("n") >= least) & F.coalesce(F.col("row") == F.col("first_row"), F.lit(False))).select("id", "url", "payload", "digest", "n", "refers", "named")
 
 
 def member(kind: str, record_id: str, target: str, block: bytes, more: list[str]) -> bytes:
@@ -57,17 +61,22 @@ def one_line(url: str) -> str:
     return url.replace("\r", "%0D").replace("\n", "%0A").strip()
 
 
-def capture(name: str, page_id, url: str, payload: bytes, digest: str, refers) -> list[bytes]:
+def page_record(page_id: int, digest: str) -> str:
+    return f"urn:x-page:{page_id}:{digest}"
+
+
+def capture(name: str, page_id, url: str, payload: bytes, digest: str, refers, named: bool) -> list[bytes]:
     """The response or revisit, its request and its metadata."""
     target = one_line(url)
     own = f"urn:x-capture:{name}"
-    link = [f"WARC-Concurrent-To: <{own}:main>"]
+    main_id = page_record(page_id, digest) if named else f"{own}:main"
+    link = [f"WARC-Concurrent-To: <{main_id}>"]
     path = "/" + target.partition("://")[2].partition("/")[2]
     known = [f"WARC-Payload-Digest: sha1:{digest}"]
     if refers is None:
-        main = member("response", f"{own}:main", target, b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n" + payload, [*known, "Content-Type: application/http;msgtype=response"])
+        main = member("response", main_id, target, b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n" + payload, [*known, "Content-Type: application/http;msgtype=response"])
     else:
-        main = member("revisit", f"{own}:main", target, b"HTTP/1.1 200 OK\r\n\r\n", [*known, f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: <urn:x-page:{refers}>", "Content-Type: application/http;msgtype=response"])
+        main = member("revisit", main_id, target, b"HTTP/1.1 200 OK\r\n\r\n", [*known, f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: <{page_record(refers, digest)}>", "Content-Type: application/http;msgtype=response"])
     request = member("request", f"{own}:request", target, f"GET {path} HTTP/1.1\r\n\r\n".encode(), [*link, "Content-Type: application/http;msgtype=request"])
     fields = f"page-id: {'' if page_id is None else page_id}\r\npayload-bytes: {len(payload)}\r\n".encode()
     return [main, request, member("metadata", f"{own}:metadata", target, fields, [*link, "Content-Type: application/warc-fields"])]
@@ -89,11 +98,11 @@ def write_archives(plan: DataFrame, roll_bytes: int = 64 << 20) -> DataFrame:
         done = []
         for whole in batches:
             for batch in slices(whole):
-                for page_id, url, payload, digest, _, refers in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                for page_id, url, payload, digest, _, refers, named in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                     if sink is None:
                         name = f"part-{label}-{part}.warc.gz"
                         sink, size, records, part = system.open_output_stream(f"{base}/{name}", compression=None), 0, 0, part + 1
-                    for raw in capture(f"{label}-{n}", page_id, url, payload, digest, refers):
+                    for raw in capture(f"{label}-{n}", page_id, url, payload, digest, refers, named):
                         sink.write(raw)
                         size, records = size + len(raw), records + 1
                     n += 1
@@ -108,7 +117,7 @@ def write_archives(plan: DataFrame, roll_bytes: int = 64 << 20) -> DataFrame:
         yield pa.record_batch([names], ["files"])
 
     # One row per task: a task that runs again sends its row where the first one went, so a reader has the files of one run.
-    rows = plan.select("id", "url", "payload", "digest", "n", "refers")
+    rows = plan.select("id", "url", "payload", "digest", "n", "refers", "named")
     finished = rows.mapInArrow(run, "files array<struct<path:string,records:long,bytes:long>>")
     few = finished.repartition(max(1, spark.sparkContext.defaultParallelism // 4))
     return materialise(few.select(F.inline("files")), "warc-manifest")
@@ -192,7 +201,7 @@ def op8(spark, sf_dir: str) -> DataFrame:
     got = transactions(read_archives(manifest, with_payload=False))
     return got.select(
         F.col("metadata.page_id").alias("page_id"), F.coalesce("response.payload_bytes", "metadata.payload_bytes").alias("payload_bytes"), F.col("response.payload_digest").alias("payload_digest"),
-        F.col("response.type").alias("record_type"), F.regexp_extract("response.refers_to", r"^urn:x-page:(-?\d+)$", 1).try_cast("long").alias("refers_to"),
+        F.col("response.type").alias("record_type"), F.regexp_extract("response.refers_to", r"^urn:x-page:(-?\d+):", 1).try_cast("long").alias("refers_to"),
     )
 
 
