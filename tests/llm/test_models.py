@@ -288,6 +288,7 @@ def test_url_rules_by_join_and_by_trie(spark):
     tuples = lambda df: Counter(tuple(r) for r in df.select("id", "host", "path", "rule", "verdict").collect())
     want = tuples(urlfilter.judged(rows, rules))
     assert want == tuples(urlfilter.judged(rows, table)) == tuples(urlfilter.judged(rows, table, max_rules=5)) == tuples(urlfilter.judged(rows, rules, max_rules=5))
+    assert want == tuples(urlfilter.judged(rows, table, max_bytes=40)) == tuples(urlfilter.judged(rows, rules, max_bytes=40))
 
     def brute(url):
         host, path = urlfilter.split_url(url)
@@ -321,7 +322,9 @@ def test_warc_round_trip(spark):
     seen = Counter((r.metadata.page_id, r.response.type, r.response.refers_to, r.metadata.payload_bytes, r.response.payload_digest, None if r.response.payload is None else bytes(r.response.payload)) for r in got)
     raw = [(i, (t or "").encode()) for i, _, t in rows]
     stored = lambda i, b: len(b) < 1000 or i is None or i == 3
-    assert seen == Counter((i, "response" if stored(i, b) else "revisit", None if stored(i, b) else "urn:x-page:3", len(b), hashlib.sha1(b).hexdigest(), b if stored(i, b) else None) for i, b in raw)
+    assert seen == Counter((i, "response" if stored(i, b) else "revisit", None if stored(i, b) else f"urn:x-page:3:{hashlib.sha1(b).hexdigest()}", len(b), hashlib.sha1(b).hexdigest(), b if stored(i, b) else None) for i, b in raw)
+    revisits, ids = records.where("type = 'revisit'"), records.groupBy("record_id").count()
+    assert ids.where("count > 1").isEmpty() and revisits.join(records.where("type = 'response'").selectExpr("record_id refers_to", "payload_digest of"), "refers_to").where("of = payload_digest").count() == revisits.count() == 2
     empty = warc.write_archives(warc.planned(df.limit(0)))
     assert warc.transactions(warc.read_archives(empty)).count() == 0
 

@@ -6,7 +6,8 @@ stands. Tier two: the other pre-tokens are merged by a heap of (rank, place) ove
 Each worker keeps a bounded memo of pre-tokens it has resolved. The vocabulary file is read on the driver from the path
 given, its size is checked, and it is broadcast; texts stay in their task, nothing is shuffled.
 
-Nulls: a null text counts as empty (no ids). Special tokens are never made: their strings are ordinary text.
+Nulls and edges: a null text counts as empty (no ids); a null id stays. Rows that repeat are encoded each. An empty table gives
+no rows. Special tokens are never made: their strings are ordinary text. Other columns are not read.
 """
 
 from __future__ import annotations

@@ -3,10 +3,12 @@
 A rule is (verdict, host, path). It fits its host and all subdomains if the url's path starts with the rule's path as a
 string. Of the rules that fit, the one with the longest host and path together wins; of equals, block wins, then the greater
 text. Among the tails of a node those of each length are looked up at once, so flat lists of rules cost their lengths, not
-their number. Rules may be a list or a table (verdict, host, path). The trie's size is checked before it is broadcast: more
-than `max_rules` rules are joined instead, by host suffix and path prefix, with the same result.
+their number. Rules may be a list or a table (verdict, host, path). The trie's size is checked before it is built: more than
+`max_rules` rules, or `max_bytes` of their text, are joined instead, by host suffix and path prefix, with the same result. A rule
+takes some 2.3 KB of a process in the trie, so the bounds keep it near 110 MB.
 
-Nulls and edges: a null url or one without "://" has empty host and path and gets the default verdict. A null id stays.
+Nulls and edges: a null url or one without "://" has empty host and path and gets the default verdict. A null id stays; rows
+that repeat are judged each; an empty table gives no rows and no rules give every url the default. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -17,6 +19,7 @@ from pyspark.sql import functions as F
 
 from .common import LOWER, UPPER, materialise, table
 
+MOST_RULES, MOST_RULE_BYTES = 50_000, 4 << 20
 RULES = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/")]
 TO_LOWER = str.maketrans(UPPER, LOWER)
 
@@ -34,7 +37,7 @@ def split_url(url: str | None) -> tuple[str, str]:
 class Trie:
     """Host labels from the right, then whole path segments, then what a rule's path leaves after its last slash."""
 
-    def __init__(self, rules, max_rules: int = 1_000_000):
+    def __init__(self, rules, max_rules: int = MOST_RULES):
         if len(rules) > max_rules:
             raise ValueError(f"{len(rules)} rules; at most {max_rules} are broadcast")
         self.root: dict = {"labels": {}, "paths": None}
@@ -101,14 +104,16 @@ def joined(pages: DataFrame, rules: DataFrame, default: str, id_col: str, url_co
     return out.select("id", "host", "path", "found.rule", F.coalesce("found.verdict", F.lit(default)).alias("verdict"))
 
 
-def judged(pages: DataFrame, rules=RULES, default: str = "allow", id_col: str = "page_id", url_col: str = "url", max_rules: int = 1_000_000) -> DataFrame:
+def judged(pages: DataFrame, rules=RULES, default: str = "allow", id_col: str = "page_id", url_col: str = "url", max_rules: int = MOST_RULES, max_bytes: int = MOST_RULE_BYTES) -> DataFrame:
     """(id, host, path, rule, verdict): one row per row of pages."""
     spark = pages.sparkSession
     if isinstance(rules, DataFrame):
-        if rules.count() > max_rules:
+        text = F.coalesce(F.octet_length("host"), F.lit(0)) + F.coalesce(F.octet_length("path"), F.lit(0))
+        n, size = rules.agg(F.count("*"), F.coalesce(F.sum(text), F.lit(0))).first()
+        if n > max_rules or size > max_bytes:
             return joined(pages, rules, default, id_col, url_col)
         rules = [tuple(x or "" for x in r) for r in rules.select("verdict", "host", "path").collect()]
-    elif len(rules) > max_rules:
+    elif len(rules) > max_rules or sum(len(h.encode()) + len(p.encode()) for _, h, p in rules) > max_bytes:
         return joined(pages, spark.createDataFrame(list(rules), "verdict string, host string, path string"), default, id_col, url_col)
     trie = spark.sparkContext.broadcast(Trie(list(rules), max_rules))
 
