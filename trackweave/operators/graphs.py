@@ -54,3 +54,24 @@ def chosen(rows: DataFrame, order: list[Column], key: list[str], sides: str = "s
         gone = each.join(first.select(F.explode(sides).alias("_side")), "_side", "left_semi").select(*key).distinct()
         left = materialise(left.join(gone, key, "left_anti"), "claims")
     return taken if taken is not None else left
+
+
+def first_of_neighbours(nodes: DataFrame, order: list[Column], edges: DataFrame) -> DataFrame:
+    """The rows of nodes (node, ...) that stay when all are gone through in ascending order, each if no neighbour of it (edges
+    a, b of nodes) has stayed before. order is total. In each round every row that comes before all its undecided neighbours stays, and
+    its neighbours go; that gives the same rows as one row after the other."""
+    left = materialise(nodes.withColumn("_o", F.struct(*order)), "undecided")
+    rank = lambda c: left.select(F.col("node").alias(c), F.col("_o").alias(f"_{c}"))
+    both = edges.where("a <> b").select("a", "b").join(rank("a"), "a").join(rank("b"), "b")
+    swap = F.col("_a") < F.col("_b")
+    pairs = materialise(both.select(F.when(swap, F.col("a")).otherwise(F.col("b")).alias("before"), F.when(swap, F.col("b")).otherwise(F.col("a")).alias("after")).distinct(), "undecided-pairs")
+    stay = None
+    while not left.isEmpty():
+        first = materialise(left.join(pairs.select(F.col("after").alias("node")), "node", "left_anti"), "stay")
+        stay = first if stay is None else stay.unionAll(first)
+        gone = pairs.join(first.select(F.col("node").alias("before")), "before", "left_semi").select(F.col("after").alias("node"))
+        settled = materialise(first.select("node").unionAll(gone).distinct(), "settled")
+        left = materialise(left.join(settled, "node", "left_anti"), "undecided")
+        open_ = lambda df, c: df.join(settled.withColumnRenamed("node", c), c, "left_anti")  # noqa: B023, E731
+        pairs = materialise(open_(open_(pairs, "before"), "after"), "undecided-pairs")
+    return (left if stay is None else stay).drop("_o")

@@ -17,7 +17,7 @@ from ..operators import kinematics as K
 from ..operators import linking as L
 from ..operators import persistence as P
 from ..operators import spatial as J
-from ..operators import spine, stats, tables, tracking, voxel
+from ..operators import spine, stats, suppression, tables, tracking, voxel, watershed
 from ..sources import blocks, readers, shared, volumes, writers
 from ..streaming import frames, linker
 from . import fixtures as fx
@@ -604,6 +604,38 @@ def segment_threshold(spark, d):
     return voxel.segment(fx.voxel(spark, d))
 
 
+HILLS = (*PARTS[:1],
+         ("bg", "SELECT v.t, v.z, v.y, v.x FROM fx_voxel v LEFT JOIN fr ON fr.t = v.t AND fr.p = v.i WHERE fr.p IS NULL"),
+         ("ds", "SELECT f.t, f.p, f.z, f.y, f.x, least(9.0, (f.z+1)*(f.z+1), (4-f.z)*(4-f.z), (f.y+1)*(f.y+1), (4-f.y)*(4-f.y), (f.x+1)*(f.x+1), (4-f.x)*(4-f.x), coalesce(b, 9)) AS d2 FROM (SELECT f.*, (SELECT min((f.z-b.z)*(f.z-b.z)+(f.y-b.y)*(f.y-b.y)+(f.x-b.x)*(f.x-b.x)) FROM bg b WHERE b.t = f.t) AS b FROM fr f) f"),
+         ("up", "SELECT t, p, q FROM (SELECT a.t, a.p, b.p AS q, row_number() OVER (PARTITION BY a.t, a.p ORDER BY b.d2 DESC, b.p) AS k FROM ds a JOIN ds b ON b.t = a.t AND abs(a.z-b.z) <= 1 AND abs(a.y-b.y) <= 1 AND abs(a.x-b.x) <= 1) WHERE k = 1"),
+         ("walk", "SELECT t, p, q FROM up UNION SELECT w.t, w.p, u.q FROM walk w JOIN up u ON u.t = w.t AND u.p = w.q"),
+         ("hl", "SELECT w.t, w.p, w.q AS h, d.d2, d.z, d.y, d.x FROM walk w JOIN up u ON u.t = w.t AND u.p = w.q AND u.q = w.q JOIN ds d ON d.t = w.t AND d.p = w.p"),
+         ("tp", "SELECT t, h, max(d2) AS top FROM hl GROUP BY 1, 2"),
+         ("ps", "SELECT a.t, a.h AS g, b.h, max(least(a.d2, b.d2)) AS low FROM hl a JOIN hl b ON a.t = b.t AND a.h <> b.h AND abs(a.z-b.z) + abs(a.y-b.y) + abs(a.x-b.x) = 1 GROUP BY 1, 2, 3"),
+         ("mg", "SELECT ps.t, ps.g, ps.h FROM ps JOIN tp a ON a.t = ps.t AND a.h = ps.g JOIN tp b ON b.t = ps.t AND b.h = ps.h WHERE sqrt(least(a.top, b.top)) - sqrt(low) < 0.2"),
+         ("rc", "SELECT t, h, h AS g FROM tp UNION SELECT r.t, r.h, m.h FROM rc r JOIN mg m ON m.t = r.t AND m.g = r.g"),
+         ("wh", "SELECT t, h, min(g) AS f FROM rc GROUP BY 1, 2"))
+
+
+@query(with_views("SELECT hl.t, hl.z, hl.y, hl.x, n.label FROM hl JOIN (SELECT t, h, dense_rank() OVER (PARTITION BY t ORDER BY f) AS label FROM wh) n ON n.t = hl.t AND n.h = hl.h", "fx_voxel", extra=HILLS).replace("WITH ", "WITH RECURSIVE ", 1).replace("ds AS (", "ds AS MATERIALIZED (").replace("up AS (", "up AS MATERIALIZED (").replace("hl AS (", "hl AS MATERIALIZED (").replace("mg AS (", "mg AS MATERIALIZED ("))
+def segment_split(spark, d):
+    return watershed.segment_split(fx.voxel(spark, d), scale=Scale(1.0, 1.0, 1.0), reach=3.0, depth=0.2)
+
+
+BOXES = (("bx", "SELECT t, id, 1 / (1 + x*x/400 + y*y/400 + z*z/400) AS score, " + ", ".join(f"{c} - 4 - id % 5 AS {c}0, {c} + 4 + id % 5 AS {c}1" for c in "zyx") + " FROM fx_point"),
+         ("rk", "SELECT *, row_number() OVER (PARTITION BY t ORDER BY score DESC, id) AS k FROM bx WHERE score >= 0.5577"),
+         ("ov", "SELECT * FROM (SELECT a.t, a.k AS i, b.k, (a.z1-a.z0)*(a.y1-a.y0)*(a.x1-a.x0) + (b.z1-b.z0)*(b.y1-b.y0)*(b.x1-b.x0) AS total, " + "*".join(f"greatest(0, least(a.{c}1, b.{c}1) - greatest(a.{c}0, b.{c}0))" for c in "zyx") + " AS common FROM rk a JOIN rk b ON b.t = a.t AND b.k > a.k) WHERE common > 0.3e0 * (total - common)"),
+         ("nb", "SELECT rk.t, rk.k, coalesce(list(ov.i) FILTER (WHERE ov.i IS NOT NULL), []) AS l FROM rk LEFT JOIN ov ON ov.t = rk.t AND ov.k = rk.k GROUP BY 1, 2"),
+         ("st", "SELECT DISTINCT t, CAST(0 AS BIGINT) AS k, CAST([] AS BIGINT[]) AS kept FROM rk UNION ALL SELECT st.t, nb.k, CASE WHEN list_has_any(st.kept, nb.l) THEN st.kept ELSE list_append(st.kept, nb.k) END FROM st JOIN nb ON nb.t = st.t AND nb.k = st.k + 1"))
+
+
+@query(with_views("SELECT rk.t, rk.id, round(rk.score, 6) AS score FROM rk JOIN (SELECT t, unnest(kept) AS k FROM (SELECT t, arg_max(kept, k) AS kept FROM st GROUP BY 1)) s ON s.t = rk.t AND s.k = rk.k", "fx_point", extra=BOXES).replace("WITH ", "WITH RECURSIVE ", 1).replace("nb AS (", "nb AS MATERIALIZED ("))
+def suppress_overlaps(spark, d):
+    half = 4 + F.col("id") % 5
+    boxes = fx.point(spark, d).withColumns({"score": 1 / (1 + F.col("x") * F.col("x") / 400 + F.col("y") * F.col("y") / 400 + F.col("z") * F.col("z") / 400)} | {f"{c}{k}": F.col(c) + (half if k else -half) for c in "zyx" for k in (0, 1)})
+    return suppression.suppress(boxes).select("t", "id", r6("score").alias("score"))
+
+
 # ---- statistics ----
 
 R = "covar_pop(a.{c}, b.{c}) / nullif(stddev_pop(CASE WHEN b.{c} IS NOT NULL THEN a.{c} END) * stddev_pop(CASE WHEN a.{c} IS NOT NULL THEN b.{c} END), 0)"
