@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import distance, xyz
+from ..sources.shared import materialise
 
 
 FEW_TARGETS = 32  # frames with no more are one cube
@@ -31,14 +32,15 @@ def nearest_of(points: DataFrame, targets: DataFrame, on: list[str], dist: Colum
     target's _x, _y, _z, at most as long as the scaled straight line. If a point's cube holds a target at some level, its
     nearest one is closer than two edges, so it lies in the 27 cubes around the point one level up. Cubes join by equality: a
     large frame is neither one task nor quadratic, as long as its targets are spread as its points are."""
-    place = levels(points, targets, on, scale)
+    points, targets = materialise(points.select(*on, "id", *"xyz"), "nearest-points"), materialise(targets.select(*on, "target_id", *"xyz"), "nearest-targets")
+    place = levels(points, targets, on, scale)  # what is used more than once is written: plans would repeat it
     key, each = [*on, "_l", "_gx", "_gy", "_gz"], F.explode(F.sequence(F.lit(0), F.col("_top")))
     known = lambda df: df.where(F.greatest(*[F.col(c).isNull().cast("int") for c in "xyz"]) == 0).join(place, on)
-    t = known(targets.select(*on, "target_id", *"xyz")).withColumn("_l", each)
-    t = t.select(*on, "_l", *cube(F.col("_l"), scale), "target_id", *[F.col(c).alias(f"_{c}") for c in "xyz"])
-    p = known(points.select(*on, "id", *"xyz"))
+    t = known(targets).withColumn("_l", each)
+    t = materialise(t.select(*on, "_l", *cube(F.col("_l"), scale), "target_id", *[F.col(c).alias(f"_{c}") for c in "xyz"]), "nearest-cubes")
+    p = materialise(known(points), "nearest-placed")
     own = p.withColumn("_l", each).select(*on, "id", "_l", *cube(F.col("_l"), scale))
-    first = own.join(t.select(*key).distinct(), key, "left_semi").groupBy(*on, "id").agg(F.min("_l").alias("_l"))
+    first = materialise(own.join(t.select(*key).distinct(), key, "left_semi").groupBy(*on, "id").agg(F.min("_l").alias("_l")), "nearest-levels")
     level = F.least(F.col("_l") + 1, F.col("_top"))
     p = p.join(first, [*on, "id"]).withColumn("_l", level)
     p = p.select(*on, "id", *"xyz", "_l", "_top", *cube(F.col("_l"), scale))
