@@ -17,7 +17,8 @@ from ..operators import kinematics as K
 from ..operators import linking as L
 from ..operators import persistence as P
 from ..operators import spatial as J
-from ..operators import spine, stats, suppression, tables, tracking, voxel, watershed
+from ..operators import edits as edit_log
+from ..operators import resample, spine, stats, suppression, tables, tracking, voxel, watershed
 from ..sources import blocks, readers, shared, volumes, writers
 from ..streaming import frames, linker
 from . import fixtures as fx
@@ -622,6 +623,36 @@ def segment_split(spark, d):
     return watershed.segment_split(fx.voxel(spark, d), scale=Scale(1.0, 1.0, 1.0), reach=3.0, depth=0.2)
 
 
+GRID = (("gy", "SELECT range AS j, greatest(0.0, least(3.0, (range + 0.5) / 0.5 - 0.5)) AS s FROM range(2)"), ("gx", "SELECT range AS j, greatest(0.0, least(3.0, (range + 0.5) / 2.0 - 0.5)) AS s FROM range(8)"))
+
+
+@query(with_views("SELECT v.t, v.z, CAST(gy.j AS INT) AS y, CAST(gx.j AS INT) AS x, round(sum(v.value * (1 - abs(gy.s - v.y)) * (1 - abs(gx.s - v.x))), 4) + 0.0 AS value FROM fx_voxel v JOIN gy ON abs(gy.s - v.y) < 1 JOIN gx ON abs(gx.s - v.x) < 1 GROUP BY 1, 2, 3, 4", "fx_voxel", extra=GRID))
+def resample_linear(spark, d):
+    return resample.resample(fx.voxel(spark, d), (1, 0.5, 2)).select("t", *"zyx", F.round("value", 4).alias("value"))
+
+
+@query(with_views("SELECT l.t, l.z, CAST(y.range AS INT) AS y, CAST(x.range AS INT) AS x, l.label FROM fx_label l JOIN range(8) y ON l.y = greatest(0, least(3, ceil((y.range + 0.5) * 0.5 - 1))) JOIN range(2) x ON l.x = greatest(0, least(3, ceil((x.range + 0.5) * 2 - 1)))", "fx_label"))
+def labels_resampled_back(spark, d):
+    labels = fx.label(spark, d)
+    return resample.labels_back(labels, (1, 0.5, 2), labels.select("t", F.lit(4).alias("nz"), F.lit(8).alias("ny"), F.lit(2).alias("nx")).distinct())
+
+
+EDITED = (("ed", "SELECT id, t, 1 + t % 3 AS version, CASE WHEN (id + t) % 4 = 0 THEN 'cut' ELSE 'put' END AS kind, z + 1 AS z, y, x FROM fx_traj WHERE id % 2 = 0 UNION ALL SELECT id, t, 2, 'put', z + 2, y, x FROM fx_traj WHERE id % 6 = 0 UNION ALL SELECT id + 1000000, t, 2, 'put', z, y, x FROM fx_traj WHERE t = 1"),
+          ("hd", "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id, t ORDER BY version DESC, z DESC) AS k FROM ed WHERE version <= 2) WHERE k = 1"))
+
+
+@query(with_views("SELECT id, t, round(z, 6) AS z, round(y, 6) AS y, round(x, 6) AS x FROM (SELECT id, t, z, y, x FROM fx_traj p WHERE NOT EXISTS (SELECT 1 FROM hd WHERE hd.id = p.id AND hd.t = p.t) UNION ALL SELECT id, t, z, y, x FROM hd WHERE kind = 'put')", "fx_traj", extra=EDITED))
+def edits_as_of(spark, d):
+    p, log = fx.traj(spark, d).select("id", "t", *"zyx"), own_folder(spark, "edits")
+    first = p.where("id % 2 = 0").select("id", "t", F.when((F.col("id") + F.col("t")) % 4 == 0, "cut").otherwise("put").alias("kind"), (F.col("z") + 1).alias("z"), "y", "x", F.lit(0).cast("long").alias("seq"))
+    later = p.where("id % 6 = 0").select("id", "t", F.lit("put").alias("kind"), (F.col("z") + 2).alias("z"), "y", "x", F.lit(1).cast("long").alias("seq"))
+    new = p.where("t = 1").select((F.col("id") + 1000000).alias("id"), "t", F.lit("put").alias("kind"), *"zyx", F.lit(2).cast("long").alias("seq"))
+    for v in (1, 2, 3):
+        mine = first.where(F.col("t") % 3 == v - 1)
+        edit_log.append(mine.unionByName(later).unionByName(new) if v == 2 else mine, log, v)
+    return edit_log.as_of(p, edit_log.read(spark, log), 2).select("id", "t", *[r6(c).alias(c) for c in "zyx"])
+
+
 BOXES = (("bx", "SELECT t, id, 1 / (1 + x*x/400 + y*y/400 + z*z/400) AS score, " + ", ".join(f"{c} - 4 - id % 5 AS {c}0, {c} + 4 + id % 5 AS {c}1" for c in "zyx") + " FROM fx_point"),
          ("rk", "SELECT *, row_number() OVER (PARTITION BY t ORDER BY score DESC, id) AS k FROM bx WHERE score >= 0.5577"),
          ("ov", "SELECT * FROM (SELECT a.t, a.k AS i, b.k, (a.z1-a.z0)*(a.y1-a.y0)*(a.x1-a.x0) + (b.z1-b.z0)*(b.y1-b.y0)*(b.x1-b.x0) AS total, " + "*".join(f"greatest(0, least(a.{c}1, b.{c}1) - greatest(a.{c}0, b.{c}0))" for c in "zyx") + " AS common FROM rk a JOIN rk b ON b.t = a.t AND b.k > a.k) WHERE common > 0.3e0 * (total - common)"),
