@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
@@ -102,15 +102,13 @@ def scan_union_frames(spark, d):
     return tables.union_frames(*[tables.at_frame(p, t) for t in range(3)]).groupBy("t").agg(F.count("*").alias("n"), r6(F.sum("x")).alias("sum_x"))
 
 
-JUNK = "('POSITION_T', 'POSITION_X'), ('T', 'X'), ('(sec)', '(micron)'), ('600', '1.5'), ('1200', '2.25'), ('1800', NULL)"
-
-
-@query(f"SELECT TRY_CAST(a AS DOUBLE) / 600 AS t, TRY_CAST(b AS DOUBLE) AS x FROM (VALUES {JUNK}) v(a, b) WHERE TRY_CAST(a AS DOUBLE) IS NOT NULL")
+@query(with_views("SELECT id, t, round(x, 6) AS x FROM fx_traj", "fx_traj"))
 def csv_header_rows(spark, d):
-    from ..sources.readers import without_junk_rows
-
-    rows = spark.sql(f"SELECT a AS position_t, b AS position_x FROM VALUES {JUNK} v(a, b)")
-    return without_junk_rows(rows, ["position_t", "position_x"], "position_t").select((F.col("position_t") / 600).alias("t"), F.col("position_x").alias("x"))
+    """An export with two more header rows below the names in every file."""
+    folder, text = own_folder(spark, "export"), fx.traj(spark, d).select(*[F.col(c).cast("string").alias(c) for c in ("t", "id", "x")])
+    junk = text.limit(1).select(F.explode(F.array(*[F.struct(*[F.lit(v).alias(c) for c, v in zip(("t", "id", "x"), row, strict=True)]) for row in (("T", "ID", "X"), ("(sec)", "", "(micron)"))])).alias("j")).select("j.*")
+    junk.unionByName(text).write.csv(folder, header=True)
+    return readers.read_exported(spark, folder, ["t", "id", "x"]).select(F.col("id").cast("long").alias("id"), F.col("t").cast("int").alias("t"), r6("x").alias("x"))
 
 
 @query(with_views("SELECT id, t, x, y, z FROM fx_traj WHERE t = 5", "fx_traj"))
@@ -166,14 +164,11 @@ def apply_point_edits(spark, d):
     return tables.apply_point_edits(p, p.where("t = 0 and id % 2 = 0"), p.where("t = 1").withColumn("id", F.col("id") + 1000000))
 
 
-NAMES = "('a_C00_T00000.tif'), ('a_C00_T00012.tif'), ('b_C01_T00349.npy'), ('b_C01_T00349.npy'), ('readme.txt')"
-
-
-@query(f"SELECT max(TRY_CAST(regexp_extract(n, 'T(\\d+)', 1) AS INT)) AS max_t, count(DISTINCT TRY_CAST(regexp_extract(n, 'T(\\d+)', 1) AS INT)) AS n FROM (VALUES {NAMES}) v(n)")
+@query(with_views("SELECT max(t) AS max_t, count(DISTINCT t) AS n FROM fx_voxel WHERE t % 3 > 0", "fx_voxel"))
 def frame_discovery(spark, d):
-    from ..sources.readers import discover_frames
-
-    return discover_frames(spark.sql(f"SELECT n AS file_name FROM VALUES {NAMES} v(n)"))
+    folder = own_folder(spark, "discovery")
+    volumes.write_volumes(fx.voxel(spark, d).where("t % 3 > 0"), folder)
+    return readers.discover_frames(readers.list_files(spark, folder))
 
 
 # ---- dense series ----
@@ -746,7 +741,7 @@ SCRIPT = "ID 8\n60: 7\n\n40: Disappear in 6\n20: 4 Reappear\nID 5\n80: nan\n70:
 TOP = 80
 PARSED = (("raw", f"SELECT 0 AS cell_id, CAST(unnest(generate_series(0, len(string_split(s, chr(10))) - 1)) AS INT) AS line_no, trim(unnest(string_split(s, chr(10)))) AS text FROM (SELECT '{SCRIPT.replace(chr(10), chr(92) + 'n')}' AS e, replace(e, chr(92) || 'n', chr(10)) AS s)"),
           ("wd", "SELECT *, string_split(text, ' ') AS w, string_split(text, ' ')[1] = 'ID' AS head FROM raw WHERE text <> ''"),
-          ("mn", "SELECT *, last_value(CASE WHEN head THEN CAST(w[2] AS BIGINT) END IGNORE NULLS) OVER (ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS main FROM wd"),
+          ("mn", "SELECT *, last_value(CASE WHEN head THEN CAST(w[2] AS BIGINT) END IGNORE NULLS) OVER (PARTITION BY cell_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS main FROM wd"),
           ("pr", """SELECT cell_id, line_no, main, CASE WHEN NOT head THEN CAST(string_split(text, ':')[1] AS INT) END AS tp, CASE WHEN head THEN 'start' WHEN regexp_full_match(w[2], '[0-9]+') THEN 'id'
           WHEN w[2] = 'Disappear' AND len(w) > 2 THEN 'merge' WHEN w[2] IN ('Disappear', 'nan') THEN 'none' ELSE 'same' END AS kind,
           CASE WHEN regexp_full_match(w[2], '[0-9]+') THEN CAST(w[2] AS BIGINT) WHEN w[2] = 'Disappear' AND len(w) > 2 THEN CAST(w[len(w)] AS BIGINT) END AS target FROM mn"""),
@@ -762,14 +757,30 @@ def edits(spark):
     return C.intervals(C.parse(script(spark)), TOP)
 
 
-@query(with_views("SELECT * FROM pr", extra=PARSED))
+BLOCK = """'ID ' || id || chr(10) || (60 + id % 9) || ': ' || (id + 1) || chr(10) || chr(10) || CASE id % 3 WHEN 0 THEN '40: Disappear in ' || (id + 2) WHEN 1 THEN '40: ' || (id + 3) || ' Appear' ELSE '40: nan' END
+|| chr(10) || CASE WHEN id % 2 = 0 THEN '20: Disappear' ELSE '20: ' || id || ' Reappear' END"""
+WRITTEN = (("tx", f"SELECT cell_id, string_agg({BLOCK}, chr(10) ORDER BY id) AS s FROM (SELECT DISTINCT cell_id, id FROM fx_traj) GROUP BY 1"),
+           ("raw", "SELECT cell_id, CAST(unnest(generate_series(0, len(string_split(s, chr(10))) - 1)) AS INT) AS line_no, trim(unnest(string_split(s, chr(10)))) AS text FROM tx"), *PARSED[1:])
+
+
+def scripts(spark, d) -> DataFrame:
+    """A curation text for each cell of the series, a block for each spot."""
+    i = F.col("id")
+    text = lambda *parts: F.concat(*[p if isinstance(p, Column) else F.lit(p) for p in (x.cast("string") if isinstance(x, Column) else x for x in parts)])
+    third = F.when(i % 3 == 0, text("40: Disappear in ", i + 2)).when(i % 3 == 1, text("40: ", i + 3, " Appear")).otherwise("40: nan")
+    block = F.concat_ws("\n", text("ID ", i), text(60 + i % 9, ": ", i + 1), F.lit(""), third, F.when(i % 2 == 0, "20: Disappear").otherwise(text("20: ", i, " Reappear")))
+    ids = fx.traj(spark, d).select("cell_id", "id").distinct().select("cell_id", F.struct("id", block.alias("block")).alias("b"))
+    return ids.groupBy("cell_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("b")), lambda b: b["block"]), "\n").alias("text"))
+
+
+@query(with_views("SELECT * FROM pr", "fx_traj", extra=WRITTEN))
 def curation_parse(spark, d):
-    return C.parse(script(spark))
+    return C.parse(scripts(spark, d))
 
 
-@query(with_views("SELECT cell_id, main, t_lo, t_hi, raw_id, merge_id FROM ed", extra=PARSED))
+@query(with_views("SELECT cell_id, main, t_lo, t_hi, raw_id, merge_id FROM ed", "fx_traj", extra=WRITTEN))
 def curation_intervals(spark, d):
-    return edits(spark)
+    return C.intervals(C.parse(scripts(spark, d)), TOP)
 
 
 CURATED = "SELECT CASE e.main WHEN 5 THEN 1 WHEN 8 THEN 2 ELSE 3 END AS id, p.t, p.z, p.y, p.x FROM fx_traj p JOIN ed e ON p.id = e.{} AND p.t > e.t_lo AND p.t <= e.t_hi"
@@ -785,12 +796,9 @@ def curate_interval_join_merged(spark, d):
     return C.apply(C.numbered(edits(spark), [5, 8, 9]), fx.traj(spark, d), merged=True).select(F.col("id").cast("int").alias("id"), "t", "z", "y", "x")
 
 
-NUC_TEXT = "T: 0\n1: 35\n2: 80\nT: 1\n1: nan\n3: 35\n"
-
-
-@query("SELECT * FROM (VALUES (0, 0, CAST(1 AS BIGINT), CAST(35 AS BIGINT)), (0, 0, 2, 80), (0, 1, 1, NULL), (0, 1, 3, 35)) v(cell_id, t, id, nuc_id)")
+@query(with_views("SELECT cell_id, t, id, nuc_id FROM fx_traj", "fx_traj"))
 def nuc_text_parse(spark, d):
-    return C.nucleus_text(script(spark, NUC_TEXT))
+    return C.nucleus_text(C.nucleus_lines(fx.traj(spark, d)))
 
 
 # ---- labels and links ----
