@@ -85,7 +85,7 @@ def hills(front: DataFrame, scale: Scale, reach: float, tile: int) -> DataFrame:
 
     rows = front.select("t", *[F.col(c).cast("int").alias(c) for c in "zyx"])
     for c, h in zip("zyx", halo, strict=True):  # a voxel goes to every tile whose halo holds it
-        rows = rows.withColumn(f"_{c}", F.explode(F.sequence(F.floor((F.col(c) - h) / tile), F.floor((F.col(c) + h) / tile))))
+        rows = rows.withColumn(f"_{c}", F.explode(F.sequence(F.greatest(F.lit(0), F.floor((F.col(c) - h) / tile)), F.floor((F.col(c) + h) / tile))))
     return rows.groupBy("t", "_z", "_y", "_x").applyInArrow(run, schema)
 
 
