@@ -1,5 +1,6 @@
 """Readers, writers, the stream and the whole pipelines."""
 
+import os
 import struct
 import zlib
 
@@ -171,6 +172,28 @@ def test_stream_counts_equal_batch_counts(spark, tmp_path):
     assert {(r.t, r.n) for r in spark.sql("select t, n from counts").collect()} == {(0, 1), (1, 2), (2, 3)}
 
 
+def test_stream_counts_with_a_delay_forget_closed_frames(spark, tmp_path):
+    for k, frames_ in enumerate([(0, 1, 0), (2, 1, 3), (9,), (30,), (4, 31)]):  # frame 4 comes after it was closed
+        (tmp_path / f"in{k}.csv").write_text("cell_id,t,x\n" + "".join(f"1,{t},0.5\n" for t in frames_))
+        os.utime(tmp_path / f"in{k}.csv", (1_700_000_000 + k, 1_700_000_000 + k))  # files are taken by age
+    points = frames.stream_points(spark, str(tmp_path), "cell_id long, t int, x double", files_per_trigger=1)
+    q = frames.into_table(frames.stream_counts(points, delay=3), str(tmp_path / "out"), str(tmp_path / "cp"))
+    q.awaitTermination(120)
+    assert sorted((r.t, r.n) for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [(0, 2), (1, 2), (2, 1), (3, 1), (9, 1)]
+    assert q.lastProgress["stateOperators"][0]["numRowsTotal"] <= 2
+
+
+def test_missing_is_null_and_never_nan(spark, tmp_path):
+    np.save(tmp_path / "tracks.npy", np.array([[1, 0, np.nan, 1.5, 2.5]]))
+    assert [tuple(r) for r in volumes.read_tracks(spark, str(tmp_path / "tracks.npy")).collect()] == [(1, 0, None, 1.5, 2.5)]
+    (tmp_path / "p.csv").write_text("id,t,x\n1,0,NaN\n2,0,\n3,0,1.5\n")
+    assert sorted((r.id, r.x) for r in readers.read_points(spark, str(tmp_path / "p.csv"), "id long, t int, x double").collect()) == [(1, None), (2, None), (3, 1.5)]
+    assert [tuple(r) for r in readers.read_exported(spark, str(tmp_path / "p.csv"), ["x", "id"]).collect()] == [(1.5, 3.0)]
+    (tmp_path / "v").mkdir()
+    np.save(tmp_path / "v" / "C00_T00001.npy", np.array([[[np.nan, 2.0]]]))
+    assert [r.value for r in volumes.read_volumes(spark, str(tmp_path / "v"), value="double").orderBy("x").collect()] == [None, 2.0]
+
+
 def test_pipelines(spark):
     on = lambda t: {(0, 0, t), (1, 0, t), (0, 4, 4)}
     rows = [(t, z, y, x, 100 if (z, y, x) in on(t) else 0) for t in range(3) for z in range(2) for y in range(5) for x in range(5)]

@@ -1,10 +1,10 @@
-"""Data model: physical scale, schemas and the rule that a missing value is NULL, never NaN."""
+"""Data model: physical scale and the rule that a missing value is NULL, never NaN."""
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -17,20 +17,14 @@ class Scale:
     x: float = 0.173
 
 
-# DDL of the tables that operators take and return.
-SPOT2D = "position_t double, position_x double, position_y double"
-SPOT3D = "t int, x int, y int, z int, position_x double, position_y double, position_z double"
 TRACK_POINT = "id long, t int, z double, y double, x double"
-TRACK_EDGE = "child long, parent long"
-SERIES = "id long, cell_id long, t int, x double, y double, z double, fluo double, nuc_id long, dist_nuc double"
-VOXEL = "channel string, t int, z int, y int, x int, value smallint"
-LABEL_VOXEL = "t int, z int, y int, x int, label int"
-CANDIDATE = "cell_id long, t_lo int, t_hi int, prio int, id long"
-EDIT_INTERVAL = "track_id long, t_lo int, t_hi int, raw_id long, merge_id long"
-CELL_CENTRE = "cell_id long, t int, x double, y double, z double"
-CELL_NUCLEUS = "cell_id long, t int, nuc_id long"
 
 
 def no_nan(c: Column) -> Column:
     """NULL where c is NaN."""
     return F.when(~F.isnan(c), c)
+
+
+def without_nan(rows: DataFrame) -> DataFrame:
+    """rows with NULL for every NaN: readers apply it, so that operators need not ask for both."""
+    return rows.withColumns({c: no_nan(F.col(c)) for c, kind in rows.dtypes if kind in ("float", "double")})

@@ -6,11 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalars import frame_of
+from ..model import without_nan
 
 
 def read_points(spark: SparkSession, path: str | list[str], schema: str, sep: str = ",") -> DataFrame:
-    """CSV with a header and a known schema; a glob or list of paths is one table (one file per frame)."""
-    return spark.read.csv(path, schema=schema, header=True, sep=sep)
+    """CSV with a header and a known schema; a glob or list of paths is one table (one file per frame). NaN is read as NULL."""
+    return without_nan(spark.read.csv(path, schema=schema, header=True, sep=sep))
 
 
 def read_exported(spark: SparkSession, path: str | list[str], columns: list[str], sep: str = ",") -> DataFrame:
@@ -20,8 +21,8 @@ def read_exported(spark: SparkSession, path: str | list[str], columns: list[str]
 
 
 def without_junk_rows(rows: DataFrame, columns: list[str], key: str) -> DataFrame:
-    """Columns as doubles, without the rows in which `key` is not a number."""
-    out = rows.select(*[F.col(c).try_cast("double").alias(c) for c in columns])
+    """Columns as doubles, without the rows in which `key` is not a number; NaN is NULL."""
+    out = without_nan(rows.select(*[F.col(c).try_cast("double").alias(c) for c in columns]))
     return out.where(F.col(key).isNotNull())
 
 

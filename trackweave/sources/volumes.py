@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, GreaterThanOrEqual, In, InputPartition, LessThanOrEqual
 
+from ..model import TRACK_POINT, without_nan
 from .shared import arrow_uri, materialise
 
 VALUES = {"int": np.int32, "long": np.int64, "double": np.float64}
@@ -168,7 +169,7 @@ def voxels_of(value: str) -> str:
 
 
 def as_values(stored: np.ndarray, value: str) -> np.ndarray:
-    """Stored numbers as the wanted kind; what that kind cannot hold raises and is never cut."""
+    """Stored numbers as the wanted kind; what that kind cannot hold raises and is never cut. NaN becomes NULL in rows_of."""
     if value != "double" and stored.size:
         most = np.iinfo(VALUES[value])
         if stored.dtype.kind == "f" or stored.max() > most.max or stored.min() < most.min:
@@ -183,7 +184,7 @@ def decode(name: str, raw: bytes) -> np.ndarray:
 
 def rows_of(channel: str | None, t: int, z: np.ndarray, y: np.ndarray, x: np.ndarray, value: np.ndarray) -> pa.RecordBatch:
     i4 = lambda a: pa.array(np.asarray(a).astype(np.int32))
-    return pa.record_batch([pa.array([channel] * len(z), pa.string()), i4(np.full(len(z), t)), i4(z), i4(y), i4(x), pa.array(value)], ["channel", "t", "z", "y", "x", "value"])
+    return pa.record_batch([pa.array([channel] * len(z), pa.string()), i4(np.full(len(z), t)), i4(z), i4(y), i4(x), pa.array(value, from_pandas=True)], ["channel", "t", "z", "y", "x", "value"])
 
 
 def batches(name: str, raw: bytes, foreground: bool, kind: str = "int") -> Iterator[pa.RecordBatch]:
@@ -307,7 +308,7 @@ class VolumeSource(DataSource):
 
 
 def read_tracks(spark: SparkSession, path: str) -> DataFrame:
-    """N x 5 matrices (ID, T, Z, Y, X) stored as NPY -> track points."""
+    """N x 5 matrices (ID, T, Z, Y, X) stored as NPY -> track points; NaN is NULL."""
 
     def run(rows):
         for b in rows:
@@ -315,4 +316,4 @@ def read_tracks(spark: SparkSession, path: str) -> DataFrame:
                 m = np.load(io.BytesIO(raw), allow_pickle=False)
                 yield pa.record_batch([pa.array(m[:, 0].astype(np.int64)), pa.array(m[:, 1].astype(np.int32)), *(pa.array(m[:, k].astype(np.float64)) for k in (2, 3, 4))], ["id", "t", "z", "y", "x"])
 
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, "id long, t int, z double, y double, x double")
+    return without_nan(spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, TRACK_POINT))
