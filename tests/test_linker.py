@@ -1,8 +1,11 @@
 """The stream linker against the batch operators, over shuffled arrival."""
 
+import os
 import random
+import time
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 
 from trackweave.operators import linking
@@ -66,3 +69,23 @@ def test_mutual_neighbours_against_all_pairs():
     back = [min(((d[i, j], a_id[i], i) for i in range(30) if d[i, j] < 3), default=(0, 0, None))[2] for j in range(25)]
     i, j = linker.mutual(a, a_id, b, b_id, 3.0)
     assert sorted(zip(i.tolist(), j.tolist(), strict=True)) == [(k, first[k]) for k in range(30) if first[k] is not None and back[first[k]] == k]
+
+
+def test_the_closing_row_comes_after_all_files(spark, monkeypatch):
+    """Twelve files of points, and a closing row whose file looks older than all of them."""
+    from trackweave.plans import queries
+
+    points, start, d = queries.spots, queries.frames.into_table, "/root/testdata/sf0.001"
+
+    def aged(stream, path, checkpoint):
+        folder = path.removeprefix("file://").removesuffix("/out") + "/in"
+        for f in (f for f in os.listdir(folder) if f.endswith(".parquet") and pq.read_table(f"{folder}/{f}", columns=["id"])["id"].null_count):
+            os.utime(f"{folder}/{f}", (time.time() - 3600,) * 2)
+        return start(stream, path, checkpoint)
+
+    monkeypatch.setattr(queries, "spots", lambda s, d: points(s, d).repartition(12))
+    monkeypatch.setattr(queries.frames, "into_table", aged)
+    got = queries.QUERIES["stream_track_chains"](spark, d).collect()
+    monkeypatch.undo()
+    want = queries.QUERIES["track_chains"](spark, d).collect()
+    assert sorted((r.id, r.t, r.head, r.place) for r in got) == sorted((r.id, r.t, r.head, r.place) for r in want)

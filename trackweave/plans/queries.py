@@ -827,9 +827,10 @@ def stream_track_chains(spark, d):
     folder, own = own_folder(spark, "stream"), linker.with_state_store(spark)
     points = spots(own, d).select(F.lit(0).alias("movie"), "t", "id", *"xyz")
     last = points.agg((F.max("t") + 1002).alias("t")).select(F.lit(0).alias("movie"), "t", *[F.lit(None).cast(k).alias(c) for c, k in points.dtypes[2:]])  # a frame so much later closes all
-    points.unionByName(last).write.parquet(f"{folder}/in")
-    arriving = own.readStream.schema(points.schema).option("maxFilesPerTrigger", 4).parquet(f"{folder}/in")
-    frames.into_table(linker.stream_chains(arriving, "movie", 10.0, delay=1000), f"{folder}/out", f"{folder}/checkpoint").awaitTermination()
+    for rows in (points, last):  # the closing row only once all points have been taken: what comes after it is too late
+        rows.write.mode("append").parquet(f"{folder}/in")
+        arriving = own.readStream.schema(points.schema).option("maxFilesPerTrigger", 4).parquet(f"{folder}/in")
+        frames.into_table(linker.stream_chains(arriving, "movie", 10.0, delay=1000), f"{folder}/out", f"{folder}/checkpoint").awaitTermination()
     return spark.read.parquet(f"{folder}/out").select("id", "t", "head", "place")
 
 
