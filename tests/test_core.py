@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from trackweave.functions import scalars as S
 from trackweave.operators import aggregates, curation, kinematics, linking, persistence, spatial, spine, stats, tables, tracking, voxel
+from trackweave.sources import shared
 
 POINT = "id long, cell_id long, t int, x double, y double, z double"
 
@@ -173,6 +174,20 @@ def test_cubes_find_all_pairs_within_the_radius(spark):
     assert near == {i: n for i, (n, d) in full.items() if d < 7}
 
 
+def test_nearest_compares_few_targets_in_several_tasks(spark):
+    rng, calls = np.random.default_rng(5), spark.sparkContext.accumulator(0)
+    frame = lambda name: spark.createDataFrame([(k, 0, *map(float, v)) for k, v in enumerate(rng.uniform(-20, 20, (400, 3)))], f"{name} long, t int, x double, y double, z double")
+
+    @F.udf("double")
+    def far(*v):
+        calls.add(1)
+        return math.dist(v[:3], v[3:])
+
+    assert len(spatial.nearest_of(frame("id"), frame("target_id"), ["t"], far(*"xyz", "_x", "_y", "_z"), dict.fromkeys("xyz", 1.0)).collect()) == 400
+    assert calls.value < 50 * 400
+    assert shared.spread(spark.range(50), 20).rdd.getNumPartitions() == 3 and shared.spread(spark.range(0)).count() == 0
+
+
 @pytest.mark.parametrize("n_points,n_targets,spread", [(150, 300, "even"), (150, 300, "far"), (40, 3, "even"), (60, 200, "line"), (30, 100, "one place")])
 def test_nearest_by_cubes_is_the_nearest(spark, n_points, n_targets, spread):
     """Against all pairs: even and crowded frames, points far from all targets, flat ones; whole numbers give ties."""

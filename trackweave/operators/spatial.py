@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import distance, xyz
-from ..sources.shared import materialise
+from ..sources.shared import materialise, spread
 
 
 FEW_TARGETS = 32  # frames with no more are one cube
@@ -29,26 +29,29 @@ def cube(level: Column, scale: dict[str, float]) -> list[Column]:
 
 def nearest_of(points: DataFrame, targets: DataFrame, on: list[str], dist: Column, scale: dict[str, float]) -> DataFrame:
     """(on, id, nuc_id, dist) of points that have a target in their frame. dist is an expression of x, y, z and the
-    target's _x, _y, _z, at most as long as the scaled straight line. If a point's cube holds a target at some level, its
-    nearest one is closer than two edges, so it lies in the 27 cubes around the point one level up. Cubes join by equality: a
-    large frame is neither one task nor quadratic, as long as its targets are spread as its points are."""
+    target's _x, _y, _z, the scaled straight line. Every cube shows one of its targets, and the closest of those that a point's own
+    cubes show bounds its search: only cubes at least as wide as this bound are looked through, as far as it reaches, and only targets
+    within it are compared. Cubes join by equality: a large frame is neither one task nor quadratic, as long as its targets are
+    spread as its points are."""
     points, targets = materialise(points.select(*on, "id", *"xyz"), "nearest-points"), materialise(targets.select(*on, "target_id", *"xyz"), "nearest-targets")
     place = levels(points, targets, on, scale)  # what is used more than once is written: plans would repeat it
     key, each = [*on, "_l", "_gx", "_gy", "_gz"], F.explode(F.sequence(F.lit(0), F.col("_top")))
     known = lambda df: df.where(F.greatest(*[F.col(c).isNull().cast("int") for c in "xyz"]) == 0).join(place, on)
     t = known(targets).withColumn("_l", each)
     t = materialise(t.select(*on, "_l", *cube(F.col("_l"), scale), "target_id", *[F.col(c).alias(f"_{c}") for c in "xyz"]), "nearest-cubes")
-    p = materialise(known(points), "nearest-placed")
-    own = p.withColumn("_l", each).select(*on, "id", "_l", *cube(F.col("_l"), scale))
-    first = materialise(own.join(t.select(*key).distinct(), key, "left_semi").groupBy(*on, "id").agg(F.min("_l").alias("_l")), "nearest-levels")
-    level = F.least(F.col("_l") + 1, F.col("_top"))
-    p = p.join(first, [*on, "id"]).withColumn("_l", level)
-    p = p.select(*on, "id", *"xyz", "_l", "_top", *cube(F.col("_l"), scale))
-    steps = F.array(*[F.struct(*[F.lit(d).alias(n) for n, d in zip("xyz", (i, j, k), strict=True)]) for i in (0, -1, 1) for j in (0, -1, 1) for k in (0, -1, 1)])
-    p = p.withColumn("_d", F.explode(F.when(F.col("_top") == 0, F.slice(steps, 1, 1)).otherwise(steps)))
-    p = p.withColumns({f"_g{c}": F.col(f"_g{c}") + F.col(f"_d.{c}") for c in "xyz"}).drop("_d", "_top")
+    p = materialise(spread(known(points)), "nearest-placed")
+    shown = t.groupBy(*key).agg(F.min(F.struct("target_id", *[f"_{c}" for c in "xyz"])).alias("_s")).select(*key, "_s.*")
+    own = p.withColumn("_l", each).select(*on, "id", *"xyz", "_l", *cube(F.col("_l"), scale))
+    bound = materialise(own.join(shown, key).groupBy(*on, "id").agg(F.min(dist).alias("_r")), "nearest-bounds")
+    level = F.least(F.greatest(F.lit(0), F.ceil(F.log2(F.col("_r") / F.col("_e")))), F.col("_top")).cast("int")
+    p = spread(p.join(bound, [*on, "id"])).withColumn("_l", level).withColumn("_w", F.col("_e") * F.pow(F.lit(2.0), F.col("_l")))
+    for c in "xyz":  # a little further than the bound, for rounding
+        at, far = F.col(c) * scale[c] - F.col(f"_o.{c}"), F.col("_r") * (1 + 1e-9) + F.col("_w") * 1e-9
+        low, high = F.greatest(F.lit(0), F.floor((at - far) / F.col("_w"))), F.least(F.pow(F.lit(2.0), F.col("_top") - F.col("_l")).cast("long") - 1, F.floor((at + far) / F.col("_w")))
+        p = p.withColumn(f"_g{c}", F.explode(F.sequence(low, high)))
     best = F.min(F.struct(dist.alias("dist"), F.col("target_id").alias("nuc_id"))).alias("best")
-    return p.join(t, key).groupBy(*on, "id").agg(best).select(*on, "id", "best.nuc_id", "best.dist")
+    close = p.select(*on, "id", *"xyz", "_r", *key[len(on) :]).join(t, key).where(dist <= F.col("_r"))
+    return close.groupBy(*on, "id").agg(best).select(*on, "id", "best.nuc_id", "best.dist")
 
 
 def nearest(points: DataFrame, targets: DataFrame, on: list[str] | str = "t", keep: str = "left") -> DataFrame:

@@ -48,3 +48,9 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     WRITTEN.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame, rows: int = 20_000) -> DataFrame:
+    """df in tasks of about that many rows, before a step that makes many rows of one. Small rows pack so well that Spark would
+    put them all into one task."""
+    return df.repartition(-(-df.count() // rows) or 1)
