@@ -268,3 +268,21 @@ class Sets(AccumulatorParam):
 
     def addInPlace(self, a, b):
         return a | b
+
+
+def test_rounds_over_graphs_broadcast_nothing(spark, monkeypatch):
+    """A broadcast goes through the driver, so a round must not make any, however small its tables are."""
+    plans = []
+
+    def written(df, name):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return materialise(df, name)
+
+    materialise = graphs.materialise
+    monkeypatch.setattr(graphs, "materialise", written)
+    edges = spark.createDataFrame([(k, k + 1) for k in range(9)], "u int, v int")
+    assert {r.root for r in graphs.components(edges).collect()} == {0}
+    assert graphs.roots(edges.toDF("parent", "child")).where("root = 0").count() == 9
+    assert {r.u for r in graphs.chosen(edges.withColumn("sides", F.array("u", "v")), [F.col("u")], ["u"]).collect()} == {0, 2, 4, 6, 8}
+    assert {r.node for r in graphs.first_of_neighbours(edges.select(F.col("u").alias("node")), [F.col("node")], edges.toDF("a", "b").where("b < 9")).collect()} == {0, 2, 4, 6, 8}
+    assert len(plans) > 20 and not any("Broadcast" in p for p in plans)
