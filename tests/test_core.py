@@ -188,6 +188,18 @@ def test_nearest_compares_few_targets_in_several_tasks(spark):
     assert shared.spread(spark.range(50), 20).rdd.getNumPartitions() == 3 and shared.spread(spark.range(0)).count() == 0
 
 
+def test_mutual_links_in_a_crowd_sort_no_pairs(spark):
+    """Every point is within reach of all others; places without a number and ties included."""
+    rng = np.random.default_rng(8)
+    rows = [(k, k % 3, *map(float, v)) for k, v in enumerate(rng.integers(-9, 9, (90, 3)))] + [(900, 0, math.nan, 0.0, 0.0), (901, 1, None, 0.0, 0.0), (902, 1, math.inf, 0.0, 0.0)]
+    links = linking.mutual_links(spark.createDataFrame(rows, "id long, t int, x double, y double, z double"), 1000.0)
+    at = {t: [(i, x) for i, u, *x in rows[:90] if u == t] for t in range(3)}
+    best = lambda x, t: min((math.dist(x, y), i) for i, y in at[t])[1]
+    want = {(t, i, best(x, t + 1)) for t in (0, 1) for i, x in at[t] if best(dict(at[t + 1])[best(x, t + 1)], t) == i}
+    assert {(r.t, r.id_a, r.id_b) for r in links.collect()} == want
+    assert "Window" not in links._jdf.queryExecution().executedPlan().toString()
+
+
 @pytest.mark.parametrize("n_points,n_targets,spread", [(150, 300, "even"), (150, 300, "far"), (40, 3, "even"), (60, 200, "line"), (30, 100, "one place")])
 def test_nearest_by_cubes_is_the_nearest(spark, n_points, n_targets, spread):
     """Against all pairs: even and crowded frames, points far from all targets, flat ones; whole numbers give ties."""

@@ -5,24 +5,24 @@ This is a documented substitute for an external Bayesian tracker; it claims no e
 
 from __future__ import annotations
 
-from math import ceil, log2
+from math import ceil, inf, log2
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.shared import materialise
-from .spatial import radius_pairs, register
+from .spatial import nearest, register
 
 
 def mutual_links(points: DataFrame, max_dist: float, key: list[str] | None = None) -> DataFrame:
     """(key..., t, id_a, id_b, dist): points of frames t and t + 1 that are each other's nearest, closer than max_dist; of
-    equal distances the smaller id. By cubes, so frames may be large."""
-    key = key or []
-    after = points.select(*key, (F.col("t") - 1).alias("t"), F.col("id").alias("target_id"), *"xyz")
-    pairs = radius_pairs(points, after, max_dist, [*key, "t"])
-    first = lambda by, other: F.row_number().over(Window.partitionBy(*key, "t", by).orderBy("dist", other))
-    best = pairs.withColumns({"_a": first("id", "target_id"), "_b": first("target_id", "id")}).where("_a = 1 and _b = 1")
-    return best.select(*key, "t", F.col("id").alias("id_a"), F.col("target_id").alias("id_b"), "dist")
+    equal distances the smaller id. By nearest joins, so a crowded frame does not become quadratic, however far max_dist reaches."""
+    on = [*(key or []), "t"]
+    placed = points.where(" and ".join(f"not isnan({c}) and abs({c}) < double('{inf}')" for c in "xyz"))
+    here, after = placed.select(*on, "id", *"xyz"), placed.select(*(key or []), (F.col("t") - 1).alias("t"), "id", *"xyz")
+    ahead, back = (nearest(a, b.withColumnRenamed("id", "target_id"), on, keep="inner") for a, b in ((here, after), (after, here)))
+    back = back.select(*on, F.col("id").alias("nuc_id"), F.col("nuc_id").alias("id"))
+    return ahead.where(F.col("dist") < max_dist).join(back, [*on, "id", "nuc_id"]).select(*on, F.col("id").alias("id_a"), F.col("nuc_id").alias("id_b"), "dist")
 
 
 def chains(points: DataFrame, links: DataFrame, n_frames: int | None = None) -> DataFrame:
