@@ -286,3 +286,15 @@ def test_rounds_over_graphs_broadcast_nothing(spark, monkeypatch):
     assert {r.u for r in graphs.chosen(edges.withColumn("sides", F.array("u", "v")), [F.col("u")], ["u"]).collect()} == {0, 2, 4, 6, 8}
     assert {r.node for r in graphs.first_of_neighbours(edges.select(F.col("u").alias("node")), [F.col("node")], edges.toDF("a", "b").where("b < 9")).collect()} == {0, 2, 4, 6, 8}
     assert len(plans) > 20 and not any("Broadcast" in p for p in plans)
+
+
+def test_few_pairs_are_those_of_cubes(monkeypatch):
+    rng = np.random.default_rng(3)
+    assert tracking.FEW_PAIRS >= 30 * 40
+    for reach in (1.0, 4.0, 100.0):
+        a, b = rng.integers(0, 12, (30, 3)).astype(float), rng.integers(0, 12, (40, 3)).astype(float)
+        whole = tracking.near(a, b, reach)
+        monkeypatch.setattr(tracking, "FEW_PAIRS", 0)
+        cubes = tracking.near(a, b, reach)
+        monkeypatch.undo()
+        assert all(np.array_equal(x, y) for x, y in zip(whole, cubes, strict=True)) and len(whole[0])

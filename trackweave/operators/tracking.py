@@ -68,14 +68,19 @@ class Tracker:
 
 def belief(off: np.ndarray, sigma: np.ndarray, accuracy: float) -> np.ndarray:
     """Chance of a normal with `sigma` to fall within accuracy of `off`, over all axes (the last one)."""
-    phi = np.vectorize(lambda v: 0.5 * (1 + erf(v / sqrt(2))), otypes=[float])
+    phi = lambda v: 0.5 * (1 + np.array([erf(x) for x in (v / sqrt(2)).ravel().tolist()]).reshape(v.shape))
     return np.prod(phi((off + accuracy) / sigma) - phi((off - accuracy) / sigma), axis=-1) if off.size else np.zeros(off.shape[:-1])
 
 
+FEW_PAIRS = 4096  # so many are compared at once rather than by cubes
+
+
 def near(a: np.ndarray, b: np.ndarray, reach: float) -> tuple[np.ndarray, np.ndarray]:
     """Places of a and b closer than reach, by ascending a and b: cubes of that edge meet their neighbours only."""
     if not len(a) or not len(b):
         return np.zeros(0, int), np.zeros(0, int)
+    if len(a) * len(b) <= FEW_PAIRS:
+        return np.nonzero(np.linalg.norm(a[:, None] - b[None], axis=2) < reach)
     low = np.minimum(a.min(axis=0), b.min(axis=0))
     cell_a, cell_b = (np.floor((p - low) / reach).astype(np.int64) + 1 for p in (a, b))
     step = np.concatenate(([1], np.cumprod(np.maximum(cell_a.max(axis=0), cell_b.max(axis=0))[:-1] + 2)))
@@ -100,14 +105,15 @@ def assign(seen: np.ndarray, sigma: np.ndarray, points: np.ndarray, how: Tracker
     """(track, point) pairs by descending belief; ties go to the older track, then the earlier point."""
     i, j = near(seen, points, how.reach)
     b = belief(seen[i] - points[j], sigma[i], how.accuracy) / belief(np.zeros_like(sigma), sigma, how.accuracy)[i]
+    good = b > how.prob_not_assign
+    i, j, b = i[good], j[good], b[good]
+    order = np.lexsort((j, i, -b))
     pairs, tracks, taken = [], set(), set()
-    for k in np.lexsort((j, i, -b)):
-        if b[k] <= how.prob_not_assign:
-            break
-        if i[k] not in tracks and j[k] not in taken:
-            tracks.add(i[k])
-            taken.add(j[k])
-            pairs.append((int(i[k]), int(j[k])))
+    for track, point in zip(i[order].tolist(), j[order].tolist(), strict=True):
+        if track not in tracks and point not in taken:
+            tracks.add(track)
+            taken.add(point)
+            pairs.append((track, point))
     return pairs
 
 
