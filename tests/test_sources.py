@@ -330,3 +330,25 @@ def test_gather_reads_touched_blocks_only(spark, tmp_path):
     assert sorted(map(tuple, blocks.gather(spots, index, around).collect())) == want and len(want) > 150
     assert sum(r.bytes for r in used) < 0.25 * index.agg(F.sum("bytes")).first()[0]
     assert blocks.gather(spots, index, around, channel="C01").count() == 0
+
+
+def test_small_voxels_do_not_meet_in_one_task(spark, tmp_path, monkeypatch, capsys):
+    """Rows that pack well are dealt by number, and joins hold the spots' side only: neither sorts, nor broadcasts, the voxels."""
+    monkeypatch.setattr(shared, "HELD", 100, raising=False)
+    rows = [(t, z, y, x, 100 * t + 20 * z + 5 * y + x) for t in range(40) for z in range(2) for y in range(3) for x in range(4)]
+    spots = [(t, t, t % 2, t % 3, t % 5) for t in range(40)] + [(1 << 40, 99, 0, 0, 0)]
+    around, inside = voxel.offsets(), {r[:4]: r[4] for r in rows}
+    want = sorted((t, i, inside[at]) for t, i, z, y, x in spots for dz, dy, dx in around if (at := (t, z + dz, y + dy, x + dx)) in inside)
+    voxels = spark.createDataFrame(rows, "t int, z int, y int, x int, value int")
+    made = volumes.write_volumes(voxels, f"file://{tmp_path}/out")
+    assert made.count() == 40 and len(made.inputFiles()) > 4
+    spots = spark.createDataFrame(spots, "t long, id int, z int, y int, x int")
+    index = blocks.volume_index(spark, f"file://{tmp_path}/out")
+    for got, exchanges in ((voxel.gather(spots, voxels, around), 2), (blocks.gather(spots, index, around), 4)):
+        got.explain()
+        plan = capsys.readouterr().out
+        assert "ShuffledHashJoin" in plan and "SortMergeJoin" not in plan and "BroadcastHashJoin" not in plan
+        assert plan.count("Exchange hashpartitioning") == exchanges  # frames of unlike types are dealt once
+        assert got.dtypes == [("t", "bigint"), ("id", "int"), ("value", "int")] and sorted(map(tuple, got.collect())) == want
+    listed = blocks.index_files(made)
+    assert sorted(map(tuple, listed.drop("path").collect())) == sorted(map(tuple, index.drop("path").collect())) and listed.count() == 80

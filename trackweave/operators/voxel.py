@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import norm
 from ..model import Scale
-from ..sources.shared import materialise
+from ..sources.shared import dealt, materialise
 from .spatial import nearest_of
 
 
@@ -43,10 +43,11 @@ def offsets(radius: float = 2.5, weights: tuple[float, float, float] = (1.66, 0.
 
 def gather(spots: DataFrame, voxels: DataFrame, around: list[tuple[int, int, int]], more: tuple[str, ...] = ()) -> DataFrame:
     """(t, id, value, *more): the voxels around each spot (t, id, z, y, x), clipped to the volume. Each spot is joined by
-    place to a fixed table of offsets, not to its frame's whole volume."""
+    place to a fixed table of offsets, not to its frame's whole volume. Spots are counted; the voxels pass by and are not held."""
     each = F.explode(F.array(*[F.struct(*[F.lit(v).alias(c) for c, v in zip("zyx", d, strict=True)]) for d in around]))
     s = spots.select("t", "id", *"zyx").withColumn("d", each).select("t", "id", *[(F.col(c) + F.col(f"d.{c}")).cast("int").alias(c) for c in "zyx"])
-    return s.join(voxels, ["t", *"zyx"]).select("t", "id", "value", *more)
+    s, v = dealt(s, voxels, ["t", *"zyx"], spots.count() * len(around))
+    return s.join(v, ["t", *"zyx"]).select("t", "id", "value", *more)
 
 
 def fluo_threshold(samples: DataFrame, factor: float = 1.15) -> DataFrame:

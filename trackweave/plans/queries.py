@@ -521,8 +521,8 @@ def ellipsoid_gather(spark, d):
 @query(with_views(GATHER.format(dz="2.7556*(v.z-s.z)*(v.z-s.z)", flat=""), "fx_spot", "fx_voxel"))
 def block_gather(spark, d):
     folder = own_folder(spark, "blocks")
-    volumes.write_volumes(fx.voxel(spark, d), folder)
-    rows = blocks.gather(fx.block_spots(spark, d), blocks.volume_index(spark, folder), voxel.offsets())
+    files = volumes.write_volumes(fx.voxel(spark, d), folder)
+    rows = blocks.gather(fx.block_spots(spark, d), blocks.index_files(files), voxel.offsets())
     return rows.groupBy("t", "id").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
 
 

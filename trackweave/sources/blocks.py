@@ -18,10 +18,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import voxel
-from .shared import arrow_uri
+from .shared import arrow_uri, dealt, spread
 from .volumes import NAME, as_values, rows_of, tiff_pages, unpack, voxels_of
 
 BAND = 32
+FILES = 1000  # whose headers a task reads
+PACK = 1 << 16  # voxels that leave a task at once
 INDEX = "path string, channel string, t int, z int, y0 int, rows int, width int, at long, bytes long, dtype string, packed int, step int"
 Block = tuple[int, int, int, int, int, int, str, int, int]
 
@@ -73,6 +75,12 @@ def opened(path: str):
 
 def volume_index(spark: SparkSession, path: str) -> DataFrame:
     """The blocks of all volumes under path, a row each. Files whose names lack a frame have none."""
+    return index_files(spark.read.format("binaryFile").load(path).select(F.col("_metadata.file_path").alias("path")))
+
+
+def index_files(files: DataFrame) -> DataFrame:
+    """volume_index of listed files (path), such as the list that write_volumes returns: then nothing lists a folder anew, which Spark
+    does on the driver."""
 
     def run(batches):
         for batch in batches:
@@ -86,17 +94,21 @@ def volume_index(spark: SparkSession, path: str) -> DataFrame:
                 kinds = [pa.string(), pa.string(), *[pa.int32()] * 5, pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.int32()]
                 yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], [x.split()[0] for x in INDEX.split(", ")])
 
-    files = spark.read.format("binaryFile").load(path).select(F.col("_metadata.file_path").alias("path"))
-    return files.mapInArrow(run, INDEX)
+    return spread(files.select("path"), FILES).mapInArrow(run, INDEX)
 
 
 def touched(index: DataFrame, places: DataFrame) -> DataFrame:
     """The blocks that hold any of the places (t, z, y)."""
-    p = places.select("t", "z", F.col("y").alias("_y")).distinct()
+    p, index = dealt(places.select(F.col("t").try_cast("int").alias("t"), "z", F.col("y").alias("_y")), index, ["t", "z"], places.count())
+    p = p.distinct()
     inside = (index["t"] == p["t"]) & (index["z"] == p["z"]) & (p["_y"] >= index["y0"]) & (p["_y"] < index["y0"] + index["rows"])
     return index.join(p, inside, "left_semi")
 
 
+def packed(parts: list[pa.RecordBatch]) -> list[pa.RecordBatch]:
+    return pa.Table.from_batches(parts).combine_chunks().to_batches() if parts else []
+
+
 def read_blocks(blocks: DataFrame, value: str = "int") -> DataFrame:
     """Voxels (channel, t, z, y, x, value) of blocks of an index; each block is one byte range of its file."""
     schema = voxels_of(value)
@@ -104,12 +116,20 @@ def read_blocks(blocks: DataFrame, value: str = "int") -> DataFrame:
     def run(batches):
         for batch in batches:
             at = {c: batch.column(c).to_pylist() for c in batch.schema.names}
-            for uri in dict.fromkeys(at["path"]):
+            places, held, size = {}, [], 0
+            for k, uri in enumerate(at["path"]):
+                places.setdefault(uri, []).append(k)
+            for uri, mine in places.items():
                 with opened(uri) as f:
-                    for k in (k for k, p in enumerate(at["path"]) if p == uri):
+                    for k in mine:
                         rows = unpack(f.read_at(at["bytes"][k], at["at"][k]), np.dtype(at["dtype"][k]), at["width"][k], at["packed"][k], at["step"][k])
                         y, x = (a.ravel() for a in np.indices(rows.shape))
-                        yield rows_of(at["channel"][k], at["t"][k], np.full(rows.size, at["z"][k]), y + at["y0"][k], x, as_values(rows.ravel(), value))
+                        held.append(rows_of(at["channel"][k], at["t"][k], np.full(rows.size, at["z"][k]), y + at["y0"][k], x, as_values(rows.ravel(), value)))
+                        size += rows.size
+                        if size >= PACK:
+                            yield from packed(held)
+                            held, size = [], 0
+            yield from packed(held)
 
     return blocks.mapInArrow(run, schema)
 

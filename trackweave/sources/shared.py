@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 WRITTEN: list[str] = []  # folders of intermediate tables that this driver has made
 
@@ -54,3 +55,22 @@ def spread(df: DataFrame, rows: int = 20_000) -> DataFrame:
     """df in tasks of about that many rows, before a step that makes many rows of one. Small rows pack so well that Spark would
     put them all into one task."""
     return df.repartition(-(-df.count() // rows) or 1)
+
+
+HELD = 250_000  # rows that a task sorts or keeps in a hash table, where their number is known
+
+
+def tasks(rows: int) -> int:
+    """How many tasks hold HELD rows each. Left to itself Spark deals by bytes: small rows pack so well that millions meet in one task."""
+    return -(-rows // HELD) or 1
+
+
+def dealt(held: DataFrame, streamed: DataFrame, on: list[str], rows: int) -> tuple[DataFrame, DataFrame]:
+    """Both sides of a join by `on`. Few rows of held are left to Spark, as it may broadcast them. More are dealt with streamed to tasks of
+    about HELD of them, which keep these in a hash table while streamed passes by unsorted, so its size asks for no memory."""
+    if rows <= HELD:
+        return held, streamed
+    kinds, other = dict(held.dtypes), dict(streamed.dtypes)
+    streamed = streamed.withColumns({c: F.col(c).cast("long") for c in on if (kinds[c], other[c]) == ("bigint", "int")})  # unlike keys are dealt twice
+    n = max(tasks(rows), int(held.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return held.repartition(n, *on).hint("shuffle_hash"), streamed.repartition(n, *on)
