@@ -230,6 +230,56 @@ def test_large_components_are_explained_without_one_task(spark):
     assert any(not r.proved for r in got) and sum(r.score for r in got) < 0
 
 
+def test_matched_is_the_assignment_and_its_prices_prove_it():
+    rng = np.random.default_rng(4)
+    for n, m in ((1, 1), (3, 5), (6, 6), (9, 5), (20, 25)):
+        i, j = np.nonzero(rng.random((n, m)) < 0.5)
+        w = rng.uniform(-1, 5, len(i))
+        cost = np.full((n, m + n), np.inf)
+        cost[i, j], cost[np.arange(n), m + np.arange(n)] = -w, 0
+        column, *_ = H.assignment(cost)
+        by, due, price = H.matched(i, j, w, n, m)
+        links = by[by >= 0]
+        assert (i[links] == np.flatnonzero(by >= 0)).all() and len(set(j[links])) == len(links)
+        assert w[links].sum() == pytest.approx(-cost[np.arange(n), column].sum()) == pytest.approx(due.sum() + price.sum())
+        assert (due[i] + price[j] > w - 1e-9).all() and (due > -1e-9).all() and (price > -1e-9).all()
+
+
+def test_the_optimum_does_not_depend_on_the_size_of_a_component(spark):
+    """A chain of 2,200 ends and starts in which taking the best link first leaves one end and one start over."""
+    n = 1100
+    links = [("P_link", (0, k), [(1, x)], s) for k in range(n) for x, s in ((k, -3.0), (k + 1, -2.999)) if x < n]
+    alone = [(kind, (t, k), [], -10.0) for t in (0, 1) for k in range(n) for kind in ("P_init", "P_term")]
+    offers = spark.createDataFrame(links + alone, "kind string, name struct<t: int, id: int>, to array<struct<t: int, id: int>>, score double")
+    got = H.optimum(offers).collect()
+    assert {(r.name.id, r.to[0].id) for r in got if r.kind == "P_link"} == {(k, k) for k in range(n)} and len(got) == 3 * n
+    assert all(r.proved for r in got) and sum(r.score for r in got) == pytest.approx(-23.0 * n)
+
+
+def test_best_of_many_parts_is_proved_part_by_part():
+    """80 copies of a part where divisions claim each other's starts: together they would take more steps than there are."""
+    end, begin, claims = [], [], []
+    for c in range(80):
+        e, s = len(end), len(begin)
+        end += [-4.0] * 4
+        begin += [-9.0] * 6
+        claims += [(-1.0 - 0.1 * ((c + x) % 5), e + x % 4, *sorted((s + x % 6, s + (x + y) % 6))) for x in range(4) for y in (1, 2, 3)]
+        claims += [(-2.0, e + x, s + x, -1) for x in range(4)]
+    taken, proved = H.best(np.array(end), np.array(begin), claims, nodes=60)
+    assert proved
+    for c in range(80):
+        mine = [x for x in range(len(claims)) if claims[x][1] // 4 == c]
+        best = -math.inf
+        for size in range(5):
+            for some in itertools.combinations(mine, size):
+                ends, starts = [claims[x][1] for x in some], [b for x in some for b in claims[x][2:] if b >= 0]
+                if len(set(ends)) == len(ends) and len(set(starts)) == len(starts):
+                    best = max(best, sum(claims[x][0] for x in some) - 4.0 * (4 - len(ends)) - 9.0 * (6 - len(starts)))
+        some = [x for x in taken if x in mine]
+        starts = [b for x in some for b in claims[x][2:] if b >= 0]
+        assert sum(claims[x][0] for x in some) - 4.0 * (4 - len(some)) - 9.0 * (6 - len(starts)) == pytest.approx(best)
+
+
 def test_optimum_closes_gaps_divides_and_drops_false_detections(spark):
     line = lambda a, b: [(t, 600.0 + t, 150.0, 25.0) for t in range(a, b)]
     mother = [(t, 100.0, 100.0, 25.0) for t in range(0, 12)]

@@ -15,14 +15,16 @@ probability alpha^n, and each explanation of a true one's end or start has half
   P_branch  -mean distance of the two / lambda_branch, both closer than dist_thresh
 
 No probability counts as less than eta. What cannot be better than others that explain the same goes (`kept`); the rest falls
-apart into connected components, which are local in time and space, and tasks solve components exactly (`best`): an assignment
-without divisions gives prices; divisions are branched on where they beat these. `proved` is false where `nodes` steps did not
-settle a component, and in components of more than `most` ends and starts, which are not brought into one task but are
-explained by descending gain in rounds over the whole table.
+apart into connected components, which are local in time and space, and tasks solve components of any size the same way (`best`):
+an assignment without divisions gives prices; what no change can make better under these is left (`moats`), and divisions are
+branched on in the parts that remain. `proved` is false where `nodes` steps did not settle such a part. A component is one task's,
+in memory that grows with its offers.
 """
 
 from __future__ import annotations
 
+import heapq
+import sys
 from dataclasses import dataclass, fields
 
 import numpy as np
@@ -134,7 +136,8 @@ def kept(offers: DataFrame, alone: DataFrame) -> DataFrame:
 
 def assignment(cost: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The column of each row in the assignment of least cost (rows <= columns, each row has a finite one), and prices u, v
-    with u[i] + v[j] <= cost[i, j], equal where assigned, v <= 0, and 0 where free. Shortest augmenting paths."""
+    with u[i] + v[j] <= cost[i, j], equal where assigned, v <= 0, and 0 where free. Shortest augmenting paths over a whole matrix, to
+    hold `matched` against."""
     n, m = cost.shape
     u, v, row_of, way = np.zeros(n), np.zeros(m), np.full(m, -1), np.zeros(m, int)
     for i in range(n):
@@ -161,94 +164,245 @@ def assignment(cost: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return column, u, v
 
 
+def matched(i: np.ndarray, j: np.ndarray, w: np.ndarray, n: int, m: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """`assignment` for links (i, j) that gain w over ends and starts on their own, of n ends and m starts: the link of each end or
+    -1, and prices due and price, none below 0, with due[i] + price[j] >= w, equal where linked, and 0 where not. Searches stay
+    among the links near an end, so memory grows with the links alone."""
+    order = np.argsort(i, kind="stable")
+    cut, link, to, worth = np.searchsorted(i[order], np.arange(n + 1)).tolist(), order.tolist(), j[order].tolist(), w[order].tolist()
+    top = np.zeros(n)
+    np.maximum.at(top, i, w)
+    due, price, by, row_of = top.tolist(), [0.0] * m, [-1] * n, [-1] * m
+    for source in range(n):
+        reach: dict[int, float] = {}
+        way: dict[int, tuple[int, int]] = {}
+        done: dict[int, float] = {}
+        rows, heap, row, here = [(source, 0.0)], [], source, 0.0
+        least, last = due[source], (source, -1)
+        while True:
+            if here + due[row] < least:
+                least, last = here + due[row], (row, -1)  # it stays on its own
+            for x in range(cut[row], cut[row + 1]):
+                c = to[x]
+                d = here + due[row] + price[c] - worth[x]
+                if c not in done and d < least and d < reach.get(c, np.inf):
+                    reach[c], way[c] = d, (row, x)
+                    if row_of[c] < 0:
+                        least, last = d, (row, x)
+                    else:
+                        heapq.heappush(heap, (d, c))
+            while heap and (heap[0][1] in done or heap[0][0] > reach[heap[0][1]]):
+                heapq.heappop(heap)
+            if not heap or heap[0][0] >= least:
+                break
+            here, c = heapq.heappop(heap)
+            done[c], row = here, row_of[c]
+            rows.append((row, here))
+        for r, d in rows:
+            due[r] -= least - d
+        for c, d in done.items():
+            price[c] += least - d
+        row, x = last
+        while True:
+            before, by[row] = by[row], x
+            if x >= 0:
+                row_of[to[x]] = row
+            if row == source:
+                break
+            row, x = way[to[before]]
+    return np.array([link[x] if x >= 0 else -1 for x in by], int), np.array(due), np.array(price)
+
+
+def apart(sides: list[list[int]]) -> list[list[int]]:
+    """Numbers of claims by connected component; a claim is the list of what it explains."""
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while root.setdefault(x, x) != x:
+            root[x] = x = root[root[x]]
+        return x
+
+    for some in sides:
+        for x in some[1:]:
+            root[find(x)] = find(some[0])
+    out: dict[int, list[int]] = {}
+    for c, some in enumerate(sides):
+        out.setdefault(find(some[0]), []).append(c)
+    return list(out.values())
+
+
+def moats(sides: list[list[int]], slack: list[float], taken: set[int], loss: dict[int, float]) -> list[set[int]]:
+    """Sets of ends and starts apart from each other such that only changes within one of them can make a solution better.
+
+    Under prices every solution loses, against their bound, the slack of its claims and the price of what it leaves alone, none of
+    which is below 0. Where a better solution differs, connected parts differ for themselves, and a part must add claims of less
+    slack than it saves of the loss that is there (`loss`, by place). So a loss reaches no further than itself by paths that cost the
+    slack of claims not taken, and losses whose reaches meet, or which a claim between them costs less than what they have left
+    there, are one and reach as far as their sum."""
+    of: dict[int, list[int]] = {}
+    for c, some in enumerate(sides):
+        for x in some:
+            of.setdefault(x, []).append(c)
+    root = {x: x for x in loss}
+    seeds, budget, ball = {x: [x] for x in loss}, dict(loss), {}
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = x = root[root[x]]
+        return x
+
+    def spread(g: int) -> dict[int, float]:
+        at, heap, done = {x: 0.0 for x in seeds[g]}, [(0.0, x) for x in seeds[g]], set()
+        while heap:
+            d, x = heapq.heappop(heap)
+            if x in done:
+                continue
+            done.add(x)
+            for c in of.get(x, ()):
+                e = d if c in taken else d + max(slack[c], 0.0)
+                if e < budget[g]:
+                    for y in sides[c]:
+                        if e < at.get(y, np.inf):
+                            at[y] = e
+                            heapq.heappush(heap, (e, y))
+        return {x: budget[g] - d for x, d in at.items()}  # what is left there
+
+    changed = set(seeds)
+    while changed:
+        for g in changed:
+            ball[g] = spread(g)
+        left: dict[int, dict[int, float]] = {}
+        for g, some in ball.items():
+            for x, rest in some.items():
+                left.setdefault(x, {})[g] = rest
+        meet = [list(some) for some in left.values() if len(some) > 1]
+        for c in {c for x in left for c in of.get(x, ())}:
+            most: dict[int, float] = {}
+            for x in sides[c]:
+                for g, rest in left.get(x, {}).items():
+                    most[g] = max(rest, most.get(g, 0.0))
+            if len(most) > 1 and (c in taken or sum(most.values()) > slack[c] - 1e-9):
+                meet.append(list(most))
+        changed = set()
+        for some in meet:
+            for g in some[1:]:
+                a, b = find(some[0]), find(g)
+                if a != b:
+                    root[b] = a
+                    seeds[a] += seeds.pop(b)
+                    budget[a] += budget.pop(b)
+                    ball.pop(b)
+                    changed = (changed | {a}) - {b}
+    return [set(some) for some in ball.values()]
+
+
+def packed(i: np.ndarray, j: np.ndarray, k: np.ndarray, w: np.ndarray, left: list[int], floor: float = -np.inf, branched: bool = False) -> tuple[float, list[int], bool]:
+    """The greatest sum of w over claims that share no end and no start, the claims, and whether that is proved; nothing at or below
+    `floor` is looked for. left[0] is how many more steps may be taken; parts that are apart have each as many."""
+    nodes = left[0]
+    whole, parts = np.arange(len(w)), apart([[2 * a, 2 * b + 1] + ([2 * c + 1] if c >= 0 else []) for a, b, c in zip(i.tolist(), j.tolist(), k.tolist(), strict=True)])
+    if len(parts) != 1:
+        found = [(np.array(p), packed(i[p], j[p], k[p], w[p], left if branched else [nodes], branched=branched)) for p in parts]
+        return sum(f[0] for _, f in found), [int(p[c]) for p, f in found for c in f[1]], all(f[2] for _, f in found)
+    single = k < 0
+    i = np.unique(i, return_inverse=True)[1]
+    names = np.unique(np.concatenate([j, k[~single]]))
+    j, k = np.searchsorted(names, j), np.where(single, -1, np.searchsorted(names, k))
+    n, m = int(i.max()) + 1, len(names)
+    top: list = [0.0, []]
+
+    def offer(taken: list[int]) -> None:
+        value = float(w[taken].sum())
+        if value > top[0] + 1e-9:
+            top[:] = [value, taken]
+
+    def round_up(r: np.ndarray) -> None:
+        """Claims by descending r, each if its end and starts are free: a solution to hold bounds against."""
+        free_r, free_c, more = [True] * n, [True] * m, []
+        for c in np.argsort(-r, kind="stable").tolist():
+            a, b, d = int(i[c]), int(j[c]), int(k[c])
+            if free_r[a] and free_c[b] and (d < 0 or free_c[d]):
+                more.append(c)
+                free_r[a] = free_c[b] = False
+                if d >= 0:
+                    free_c[d] = False
+        offer(more)
+
+    round_up(w)
+    if left[0] <= 0:
+        return *top, False
+    left[0] -= 1
+    links = np.flatnonzero(single)
+    by, _, price = matched(i[links], j[links], w[links], n, m)
+    offer(links[by[by >= 0]].tolist())
+    low, held, turns = np.inf, (price, price), 80
+    for turn in range(turns):  # prices of starts moved by subgradients; without divisions those of the links prove it at once
+        r = w - price[j] - np.where(single, 0, price[k])
+        due = np.zeros(n)
+        np.maximum.at(due, i, r)
+        value = price.sum() + due.sum()
+        if value < low:
+            low, held = value, (price, due)
+        if low > top[0] + 1e-9 and (turn % 20 == 0 or turn == turns - 1):
+            round_up(r)
+        if low <= max(top[0], floor) + 1e-9:
+            return *top, True
+        pick = (r == due[i]) & (r > 0)
+        used = np.bincount(j[pick], minlength=m) + np.bincount(k[pick & ~single], minlength=m)
+        slope = np.where((price <= 0) & (used == 0), 0, 1 - used)
+        size = float(slope @ slope)
+        if not size:
+            break
+        price = np.maximum(0, price - (value - top[0]) / (1 + turn / 10) / size * slope)
+    price, due = held
+    slack = due[i] + price[j] + np.where(single, 0, price[k]) - w
+    alive = low - slack > max(top[0], floor) + 1e-9  # a claim that falls short by more is in nothing better
+
+    taken = set(top[1])
+    sides = [[a, n + b] + ([n + c] if c >= 0 else []) for a, b, c in zip(i.tolist(), j.tolist(), k.tolist(), strict=True)]
+    loss = {x: float(p) for x, p in enumerate(np.concatenate([due, price])) if p > 1e-9}
+    for c in taken:
+        for x in sides[c]:
+            loss.pop(x, None)
+        if slack[c] > 1e-9:
+            loss[sides[c][0]] = float(slack[c])
+    within = moats(sides, slack.tolist(), taken, loss)
+    place = {x: g for g, some in enumerate(within) for x in some}
+    group = [place.get(some[0], -1) if len({place.get(x, -1) for x in some}) == 1 else -1 for some in sides]
+    own = np.where(alive | np.isin(whole, top[1]), group, -1)
+    if (own < 0).any() or len(within) > 1:
+        sure = True
+        for g in range(len(within)):
+            p = whole[own == g]
+            mine = [c for c in top[1] if own[c] == g]
+            value, more, proved = packed(i[p], j[p], k[p], w[p], left if branched else [nodes], float(w[mine].sum()), branched)
+            sure &= proved
+            if value > w[mine].sum() + 1e-9:
+                offer([c for c in top[1] if own[c] != g] + p[more].tolist())
+        return *top, sure
+    split = np.flatnonzero(~single)
+    b = int(split[np.argmin(slack[split])])
+    free = whole[(i != i[b]) & ~np.isin(j, [j[b], k[b]]) & (single | ~np.isin(k, [j[b], k[b]]))]
+    value, more, proved = packed(i[free], j[free], k[free], w[free], left, max(top[0], floor) - w[b], True)
+    offer([b, *free[more].tolist()])
+    rest = whole[whole != b]
+    value, more, sure = packed(i[rest], j[rest], k[rest], w[rest], left, max(top[0], floor), True)
+    offer(rest[more].tolist())
+    return *top, sure and proved
+
+
 def best(end: np.ndarray, begin: np.ndarray, claims: list[tuple[float, int, int, int]], nodes: int = 500) -> tuple[list[int], bool]:
     """The claims taken when all ends and starts are explained once at the greatest sum, and whether that is proved. end[i] and
     begin[j] are the scores of an end and a start on their own; a claim (score, i, j, k) explains end i and start j, and
     start k as well if k >= 0. Claims that are not taken leave their ends and starts on their own."""
-    n, m = len(end), len(begin)
-    score, i, j, k = (np.array(c) for c in zip(*claims, strict=True)) if claims else (np.zeros(0), *(np.zeros(0, int),) * 3)
-    gain = score - begin[j] - np.where(k >= 0, begin[k], 0)
-    single = k < 0
-    top: list = [-np.inf, [], True]
-    edge = {(int(a), int(b)): int(c) for c, (a, b) in enumerate(zip(i, j, strict=True)) if single[c]}
-
-    def offer(taken: list[int], value: float) -> None:
-        if value > top[0] + 1e-9:
-            top[:2] = [value, taken]
-
-    def round_up(r: np.ndarray, h: np.ndarray, taken: list[int], fixed: float, rows: np.ndarray) -> None:
-        """Claims h by descending r, each if its ends and starts are free: a solution to hold bounds against."""
-        free_r, free_c, more = rows.copy(), np.ones(m, bool), []
-        for c in h[np.argsort(-r, kind="stable")]:
-            if free_r[i[c]] and free_c[j[c]] and (single[c] or free_c[k[c]]) and gain[c] > end[i[c]]:
-                more.append(int(c))
-                free_r[i[c]] = free_c[j[c]] = False
-                if not single[c]:
-                    free_c[k[c]] = False
-        offer(taken + more, fixed + gain[more].sum() + end[free_r].sum())
-
-    def bound_by_prices(alive: np.ndarray, price: np.ndarray, fixed: float, taken: list[int], rows: np.ndarray) -> tuple[float, np.ndarray]:
-        """Prices of starts moved by subgradients: the least bound found, and what each claim falls short of its end's best."""
-        h, low, short, turns = np.flatnonzero(alive), np.inf, np.zeros(len(claims)), 80
-        for turn in range(turns):
-            r = gain[h] - price[j[h]] - np.where(single[h], 0, price[k[h]])
-            most = end.copy()
-            np.maximum.at(most, i[h], r)
-            value = fixed + price.sum() + most[rows].sum()
-            if value < low:
-                low, short = value, np.zeros(len(claims))
-                short[h] = most[i[h]] - r
-            if turn % 20 == 0 or turn == turns - 1:
-                round_up(r - end[i[h]], h, taken, fixed, rows)
-            if low <= top[0] + 1e-9:
-                break
-            pick = h[(r == most[i[h]]) & (r > end[i[h]])]
-            used = np.bincount(j[pick], minlength=m) + np.bincount(k[pick][~single[pick]], minlength=m)
-            slope = np.where((price <= 0) & (used == 0), 0, 1 - used)
-            size = float(slope @ slope)
-            if not size:
-                break
-            price = np.maximum(0, price - (value - top[0]) / (1 + turn / 10) / size * slope)
-        return low, short
-
-    stack = [(np.ones(len(claims), bool), [], np.ones(n, bool), np.ones(m, bool), np.inf)]
-    while stack:
-        alive, taken, rows, cols, known = stack.pop()
-        if known <= top[0] + 1e-9:
-            continue
-        if nodes <= 0:
-            top[2] = False
-            break
-        nodes -= 1
-        r, c = np.flatnonzero(rows), np.flatnonzero(cols)
-        where_r, where_c = np.full(n, -1), np.full(m, -1)
-        where_r[r], where_c[c] = np.arange(len(r)), np.arange(len(c))
-        links = np.flatnonzero(alive & single)
-        cost = np.full((len(r), len(c) + len(r)), np.inf)
-        cost[where_r[i[links]], where_c[j[links]]] = -gain[links]
-        cost[np.arange(len(r)), len(c) + np.arange(len(r))] = -end[r]
-        column, u, v = assignment(cost)
-        fixed = begin.sum() + gain[taken].sum()
-        offer(taken + [edge[int(r[a]), int(c[b])] for a, b in enumerate(column) if b < len(c)], fixed - cost[np.arange(len(r)), column].sum())
-        price, due = np.zeros(m), np.zeros(n)
-        price[c], due[r] = -v[: len(c)], -u
-        split = np.flatnonzero(alive & ~single)
-        over = gain[split] - due[i[split]] - price[j[split]] - price[k[split]]
-        if not len(over) or over.max() <= 1e-9:
-            continue  # the prices hold for divisions too: nothing is better
-        bound, short = bound_by_prices(alive, price, fixed, taken, rows)
-        if bound <= top[0] + 1e-9:
-            continue
-        alive = alive & (bound - short > top[0] + 1e-9)  # a claim that falls short by more is in nothing better
-        b = split[np.argmax(np.where(alive[split], over, -np.inf))]
-        if not alive[b]:
-            stack.append((alive, taken, rows, cols, bound))
-            continue
-        rest, rows_b, cols_b = alive.copy(), rows.copy(), cols.copy()
-        rest[b] = rows_b[i[b]] = cols_b[j[b]] = cols_b[k[b]] = False
-        stack.append((rest, taken, rows, cols, bound))
-        stack.append((alive & rows_b[i] & cols_b[j] & (single | cols_b[np.maximum(k, 0)]), [*taken, int(b)], rows_b, cols_b, bound))
-    return sorted(top[1]), top[2]
+    if not claims or nodes <= 0:
+        return [], not claims
+    score, i, j, k = (np.array(c) for c in zip(*claims, strict=True))
+    w = score - end[i] - begin[j] - np.where(k >= 0, begin[k], 0)
+    good = np.flatnonzero(w > 0)
+    sys.setrecursionlimit(max(sys.getrecursionlimit(), 1_000 + 4 * nodes))  # every step is a call or two
+    _, taken, proved = packed(i[good], j[good], k[good], w[good], [nodes])
+    return sorted(good[taken].tolist()), proved
 
 
 def solve(rows: pa.Table, nodes: int) -> pa.Table:
@@ -268,8 +422,10 @@ def solve(rows: pa.Table, nodes: int) -> pa.Table:
     return out.append_column("proved", pa.array([proved] * len(out), pa.bool_()))
 
 
-def optimum(offers: DataFrame, most: int = 2_000, nodes: int = 500) -> DataFrame:
-    """(kind, name, to, score, proved): of all offers those that explain every end and start once."""
+def optimum(offers: DataFrame, most: int | None = None, nodes: int = 500) -> DataFrame:
+    """(kind, name, to, score, proved): of all offers those that explain every end and start once. Components of all sizes are solved
+    the same way; only where `most` is given, those of more ends and starts are explained by descending gain, which is not the
+    optimum."""
     offers = materialise(offers, "hypotheses")
     alone = materialise(alternatives(offers), "alternatives")
     side = lambda s, c: F.struct(F.lit(s).alias("side"), c.alias("name"))
@@ -278,7 +434,8 @@ def optimum(offers: DataFrame, most: int = 2_000, nodes: int = 500) -> DataFrame
     claims = materialise(kept(offers, alone).withColumn("sides", sides), "hypotheses-kept")
     linked = claims.select(F.col("sides")[0].alias("u"), F.explode(F.slice("sides", 2, 2)).alias("v"))
     part = components(linked)
-    sizes = materialise(part.groupBy("root").agg((F.count("*") <= most).alias("small")).join(part, "root"), "hypotheses-parts")
+    small = F.lit(True) if most is None else F.count("*") <= most
+    sizes = materialise(part.groupBy("root").agg(small.alias("small")).join(part, "root"), "hypotheses-parts")
     claims = claims.join(sizes.select(F.col("node").alias("_n"), "root", "small"), F.col("sides")[0] == F.col("_n")).drop("_n")
     one = alone.select("name", F.explode(F.array(F.struct(side("start", F.col("name")).alias("node"), F.col("begin").alias("score")), F.struct(side("end", F.col("name")).alias("node"), F.col("end").alias("score")))).alias("o"))
     one = one.select("name", "o.*").join(sizes.where("small"), "node")
@@ -287,8 +444,10 @@ def optimum(offers: DataFrame, most: int = 2_000, nodes: int = 500) -> DataFrame
     rows = claims.where("small").select(*lonely.columns).unionByName(lonely)
     schema = f"kind string, name {shape['name']}, to {shape['to']}, score double, proved boolean"
     exact = rows.groupBy("root").applyInArrow(lambda table: solve(table, nodes), schema)
-    large = chosen(claims.where("not small"), [-F.col("gain"), F.col("kind"), F.col("name"), F.col("to")], ["kind", "name", "to"]).select("kind", "name", "to", "score", F.lit(False).alias("proved"))
-    taken = materialise(exact.unionByName(large).withColumn("sides", sides), "hypotheses-taken")
+    if most is not None:
+        large = chosen(claims.where("not small"), [-F.col("gain"), F.col("kind"), F.col("name"), F.col("to")], ["kind", "name", "to"]).select("kind", "name", "to", "score", F.lit(False).alias("proved"))
+        exact = exact.unionByName(large)
+    taken = materialise(exact.withColumn("sides", sides), "hypotheses-taken")
     used = taken.select(F.explode("sides").alias("s")).select("s.*")
     plain = F.array().cast(shape["to"]).alias("to")
     begin = alone.join(used.where("side = 'start'"), "name", "left_anti").select(F.when(F.col("begin").isNotNull(), "P_init").alias("kind"), "name", plain, F.col("begin").alias("score"), F.lit("start").alias("side"))
