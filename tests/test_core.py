@@ -305,6 +305,12 @@ def test_nucleus_positions(spark):
     assert got == {(0, "left"): (3, 2), (1, "left"): (3, 2), (1, "right"): (4, 1), (2, "left"): (9, 1), (2, "middle"): (5, 6), (2, "right"): (1, 8)}
 
 
+def test_nucleus_positions_list_their_spots(spark):
+    rows = spark.createDataFrame([(0, 9, 1.0, 1, [4]), (0, 7, 2.0, 2, [8, 3]), (0, 5, 3.0, 2, [2, 6]), (0, 1, 9.0, 1, [5]), (1, 3, 1.0, 2, [7, 1])], "t int, nuc_id long, x double, n long, spots array<long>")
+    got = {(r.t, r.position): (r.label, r.n, r.spots) for r in aggregates.nucleus_positions(rows).collect()}
+    assert got == {(0, "left"): (9, 1, [4]), (0, "middle"): (5, 4, [2, 3, 6, 8]), (0, "right"): (1, 1, [5]), (1, "left"): (3, 2, [1, 7])}
+
+
 def test_relabel_and_nearest_voxel(spark):
     labels = spark.createDataFrame([(0, 0, 0, x, 1 if x < 3 else 2, 9) for x in range(6)], "t int, z int, y int, x int, label int, value int")
     seeds = spark.createDataFrame([(0, 7, 0.0, 0.0, 0.0), (0, 8, 0.0, 0.0, 0.173 * 2.4), (0, 9, 99.0, 0.0, 0.0)], "t int, id long, z double, y double, x double")

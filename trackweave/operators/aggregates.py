@@ -48,11 +48,12 @@ def bounds(points: DataFrame, key: str = "cell_id") -> DataFrame:
 def nucleus_positions(counts: DataFrame) -> DataFrame:
     """Rows (t, nuc_id, x, n) of nuclei with spots -> (t, position, label, n): the least x is left, the greatest right, all
     others are middle under their smallest id; a lone nucleus is left. Of equal x the smaller id comes first, for the
-    greatest x as well."""
+    greatest x as well. Where rows list their spots (an array `spots`), so do the positions, in ascending order."""
     up = F.row_number().over(Window.partitionBy("t").orderBy("x", "nuc_id"))
     down = F.row_number().over(Window.partitionBy("t").orderBy(F.desc("x"), "nuc_id"))
     named = counts.withColumns({"_up": up, "_down": down}).withColumn("position", F.when(F.col("_up") == 1, "left").when(F.col("_down") == 1, "right").otherwise("middle"))
-    return named.groupBy("t", "position").agg(F.min("nuc_id").alias("label"), F.sum("n").alias("n"))
+    lists = [F.array_sort(F.flatten(F.collect_list("spots"))).alias("spots")] if "spots" in counts.columns else []
+    return named.groupBy("t", "position").agg(F.min("nuc_id").alias("label"), F.sum("n").alias("n"), *lists)
 
 
 def position_counts(positions: DataFrame, n_frames: DataFrame) -> DataFrame:

@@ -391,13 +391,18 @@ POSITIONS = (*NN, ("ns", "SELECT b.t, b.nuc_id, any_value(n.x) AS x, count(*) AS
 
 
 def positions(spark, d):
-    n = assigned(spark, d).where("nuc_id is not null").groupBy("t", "nuc_id").agg(F.count("*").alias("n"))
+    n = assigned(spark, d).where("nuc_id is not null").groupBy("t", "nuc_id").agg(F.count("*").alias("n"), F.collect_list("id").alias("spots"))
     return A.nucleus_positions(n.join(nuclei(spark, d).select("t", F.col("id").alias("nuc_id"), "x"), ["t", "nuc_id"]))
 
 
 @query(with_views("SELECT * FROM ps", "fx_point", extra=POSITIONS))
 def nucleus_rank_position(spark, d):
-    return positions(spark, d)
+    return positions(spark, d).drop("spots")
+
+
+@query(with_views("SELECT ps.t, ps.position, any_value(ps.label) AS label, count(*) AS n, string_agg(CAST(b.id AS VARCHAR), ',' ORDER BY b.id) AS spots FROM ps JOIN rk ON rk.t = ps.t AND ps.position = CASE WHEN u = 1 THEN 'left' WHEN v = 1 THEN 'right' ELSE 'middle' END JOIN best b ON b.t = rk.t AND b.nuc_id = rk.nuc_id GROUP BY 1, 2", "fx_point", extra=POSITIONS))
+def nucleus_rank_spots(spark, d):
+    return positions(spark, d).withColumn("spots", F.array_join(F.transform("spots", lambda i: i.cast("string")), ","))
 
 
 @query(with_views("SELECT s.t, p.position, coalesce(ps.n, 0) AS n FROM (SELECT CAST(unnest(generate_series(0, (SELECT max(t) FROM fx_point))) AS INT) AS t) s CROSS JOIN (VALUES ('left'), ('middle'), ('right')) p(position) LEFT JOIN ps ON ps.t = s.t AND ps.position = p.position", "fx_point", extra=POSITIONS))
