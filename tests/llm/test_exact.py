@@ -1,6 +1,7 @@
 """Operators whose results a brute-force version fixes: PII base spans, licences, BPE, repeats, SimHash, decontamination."""
 
 import hashlib
+import random
 import re
 from collections import Counter
 
@@ -294,6 +295,20 @@ def test_repeats_treats_repeated_rows_as_one_document(spark):
     assert repeats.without_repeats(rows.limit(0)).count() == 0
 
 
+def test_repeats_deal_texts_once_packed_and_their_hashes_only_where_ids_repeat(spark):
+    rng = random.Random(5)
+    line = " ".join(rng.choice(("alpha", "beta", "gamma", "delta")) for _ in range(40))
+    texts = [line + f" {k} " + " ".join(str(rng.random()) for _ in range(20)) for k in range(30)]
+    want = [n - cut for n, cut, *_ in repeats.brute([t.encode() for t in texts])]
+    for ids, hashed in ((list(range(30)), False), ([0, 0, *range(2, 30)], True)):
+        got = repeats.without_repeats(spark.createDataFrame(list(zip(ids, texts, strict=True)), "doc_id long, text string"))
+        kept = [(r.id, len(r.kept)) for r in got.collect()]
+        plan = got._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+        assert plan.count("MapInArrow pack_texts") == 1 and plan.count("ReusedExchange") == 1 and ("xxhash64" in plan) == hashed
+        assert hashed or by_row(kept) == by_row(zip(ids, want, strict=True))
+    assert all(0 <= r.h < 1 << 40 for r in repeats.runs(spark.createDataFrame([(1, 0, texts[0].encode())], "doc long, th long, text binary"), 100).collect())
+
+
 def test_repeats_in_pieces_of_a_long_text(spark):
     rng = np.random.default_rng(0)
     t = bytes(rng.integers(97, 101, 5000, np.uint8)).decode()

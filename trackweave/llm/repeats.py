@@ -11,8 +11,9 @@ different left neighbours (a run's start counts as different) is a maximal repea
 The earliest occurrence (document, then place) stays, of the others the common prefix goes. Groups of windows that all
 have the same left neighbour are left out before the scan: the group one byte to the left stands for them.
 
-Texts are dealt once, by document, for the cutting and the result. Anchors are found twice rather than kept, which
-would cost more disk than the work is worth.
+Texts are dealt once, by document and packed, for the cutting and the result. Anchors are found twice rather than kept, which
+would cost more disk than the work is worth; 40 bits of their hashes are dealt. Anchors that share these by chance only meet for
+nothing, as windows are told apart by their bytes. Hashes of texts are dealt only where an id comes with different texts.
 
 An anchor with more than `hot` runs would fill a task: its windows are instead aggregated by their bytes for the earliest
 place, which Spark combines before the shuffle, and all windows at other places go: a join by place, which has no hot keys.
@@ -41,7 +42,9 @@ LAST = 2**63 - 1  # stands for a null id
 BITS = 24  # of a place in a slice of texts; more for a longer slice
 SLICE = 1 << 19  # bytes of text whose anchors are found at a time
 SHARD_RUNS = 100_000  # runs in a shard, some 16 MB of their bytes, about ten times that while it is sorted
+SUB = 4  # parts of a shard that are sorted one after the other
 BLOB = 8 << 20  # bytes of runs that are packed at a time
+DEALT = np.int64((1 << 40) - 1)  # bits of an anchor's hash that are dealt
 
 
 def words64(buf: np.ndarray, n: int, kind: str = "<u8") -> np.ndarray:
@@ -147,9 +150,9 @@ def maximal_repeats(order: np.ndarray, contexts: bytes, sizes: np.ndarray, lengt
     pick, group, left = by[keep], group_of[keep], left[keep]
     # suffix array of what is left: bytes from the window's start to the run's end, then the run's order
     far = sizes[run[pick]] - off[pick]
-    width = int(far.max())
-    grid = buf[np.minimum(at[pick][:, None] + np.arange(width + (-width) % 8)[None, :], len(buf) - 1)]
-    grid = np.where(np.arange(grid.shape[1])[None, :] < far[:, None], grid, 0).astype(np.uint8)
+    width = int(far.max() + 7) // 8 * 8
+    grid = np.lib.stride_tricks.sliding_window_view(np.concatenate([buf, np.zeros(width, np.uint8)]), width)[at[pick]]  # a byte a place, no table of places
+    grid[np.arange(width)[None, :] >= far[:, None]] = 0
     keys = np.ascontiguousarray(grid).view(">u8")
     sa = np.lexsort((order[run[pick]], far, *(keys[:, k] for k in range(keys.shape[1] - 1, -1, -1)), group))
     pick, group, left, far, grid = pick[sa], group[sa], left[sa], far[sa], grid[sa]
@@ -205,44 +208,58 @@ def runs(rows: DataFrame, length: int, piece: int = 4 * SLICE) -> DataFrame:
                     part, h, a, e = anchor_runs(parts[x : x + step], length)
                     at = pa.array(row[part + x])
                     place = (a + base[part + x]) << SPAN_BITS | (e - a)
-                    yield pa.record_batch([pa.array(h), batch.column(0).take(at), batch.column(1).cast(pa.int64()).take(at), pa.array(place)], ["h", "doc", "th", "place"])
+                    yield pa.record_batch([pa.array(h & DEALT), batch.column(0).take(at), batch.column(1).cast(pa.int64()).take(at), pa.array(place)], ["h", "doc", "th", "place"])
 
     return rows.mapInArrow(run, RUN)
 
 
 def packed(shard: np.ndarray, doc: np.ndarray, th: np.ndarray, a: np.ndarray, parts: list[bytes]) -> pa.RecordBatch:
-    """Runs of a shard as one compressed value: columns, then bytes."""
+    """Runs of a shard, of its SUB parts one after the other, as one compressed value: columns, then bytes."""
     order = np.argsort(shard, kind="stable")
+    part = (shard % SUB).astype(np.int8)
+    shard = shard // SUB
     cut = np.flatnonzero(np.diff(shard[order], prepend=-1, append=-1))
-    squeeze = zstandard.ZstdCompressor(level=1).compress
+    squeeze = zstandard.ZstdCompressor(level=3).compress
     blobs = []
     for x, y in zip(cut, cut[1:], strict=False):
         own = order[x:y]
         bytes_ = [parts[k] for k in own]
         sizes = np.array([len(p) for p in bytes_], np.int32)
-        blobs.append(squeeze(b"".join([np.int64(len(own)).tobytes(), doc[own].astype(np.int64).tobytes(), th[own].astype(np.int64).tobytes(), a[own].astype(np.int32).tobytes(), sizes.tobytes(), *bytes_])))
+        blobs.append(squeeze(b"".join([np.int64(len(own)).tobytes(), doc[own].astype(np.int64).tobytes(), th[own].astype(np.int64).tobytes(), a[own].astype(np.int32).tobytes(), sizes.tobytes(), part[own].tobytes(), *bytes_])))
     return pa.record_batch([pa.array(shard[order][cut[:-1]].astype(np.int32)), pa.array(blobs, pa.binary())], ["shard", "blob"])
 
 
-def unpacked(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, bytes]:
-    cols, rest = [[], [], [], []], []
+def unpacked(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, bytes]:
+    cols, rest = [[], [], [], [], []], []
     for raw in map(zstandard.ZstdDecompressor().decompress, blobs):
         n, at = int(np.frombuffer(raw, np.int64, 1)[0]), 8
-        for col, kind in zip(cols, (np.int64, np.int64, np.int32, np.int32), strict=True):
+        for col, kind in zip(cols, (np.int64, np.int64, np.int32, np.int32, np.int8), strict=True):
             col.append(np.frombuffer(raw, kind, n, at).astype(np.int64))
             at += n * np.dtype(kind).itemsize
         rest.append(raw[at:])
     return (*(np.concatenate(c) for c in cols), b"".join(rest))
 
 
+def pack_texts(batches):
+    """Rows (doc, th, text) with each text packed, which deals fewer bytes than what shuffles pack."""
+    squeeze = zstandard.ZstdCompressor(level=3).compress
+    for big in batches:
+        for batch in slices(big, 2 << 20):
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(map(squeeze, batch.column(2).to_pylist()), pa.binary())], ["doc", "th", "text"])
+
+
+def open_texts(column: pa.Array) -> list[bytes]:
+    return list(map(zstandard.ZstdDecompressor().decompress, column.to_pylist()))
+
+
 def pack_runs(batches):
-    """Rows (doc, th, text, cold) -> the runs' bytes, by shard."""
+    """Rows (doc, th, packed text, cold) -> the runs' bytes, by shard."""
     held: list[tuple] = []
     parts: list[bytes] = []
     size = 0
     for big in batches:
-        for batch in slices(big, 2 << 20):
-            texts, lists = batch.column(2).to_pylist(), batch.column(3)
+        for batch in slices(big, 1 << 20):
+            texts, lists = open_texts(batch.column(2)), batch.column(3)
             if not (flat := lists.flatten()):
                 continue
             row = np.repeat(np.arange(len(texts)), np.diff(lists.offsets.to_numpy()))
@@ -259,13 +276,13 @@ def pack_runs(batches):
 
 
 def single_windows(length: int):
-    """Rows (doc, th, text, warm) -> one row per window."""
+    """Rows (doc, th, packed text, warm) -> one row per window."""
 
     def run(batches):
         for big in batches:
             for batch in slices(big, 1 << 18):
                 out: list[tuple] = []
-                for doc, th, text, places in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                for doc, th, text, places in zip(*(batch.column(c).to_pylist() for c in (0, 1)), open_texts(batch.column(2)), batch.column(3).to_pylist(), strict=True):
                     for p in places:
                         a, n = p >> SPAN_BITS, p & ((1 << SPAN_BITS) - 1)
                         out += [(doc, th, s, text[s : s + length]) for s in range(a, a + n - length + 1)]
@@ -277,12 +294,19 @@ def single_windows(length: int):
 
 def shard_repeats(length: int):
     def run(rows: pa.Table) -> pa.Table:
-        doc, th, a, sizes, contexts = unpacked(rows.column("blob").to_pylist())
+        doc, th, a, sizes, part, contexts = unpacked(rows.column("blob").to_pylist())
         by = np.lexsort((a, th, doc))
         keys = np.stack([doc[by], th[by], a[by]])
         order = np.empty(len(by), np.int64)
         order[by] = np.cumsum(np.concatenate(([True], (keys[:, 1:] != keys[:, :-1]).any(axis=0))))
-        run_, off, cut = maximal_repeats(order, contexts, sizes, length)
+        end = np.cumsum(sizes)
+        found = []
+        for k in np.unique(part):
+            own = np.flatnonzero(part == k)
+            bytes_ = b"".join([contexts[x:y] for x, y in zip((end - sizes)[own].tolist(), end[own].tolist(), strict=True)])
+            of, *rest = maximal_repeats(order[own], bytes_, sizes[own], length)
+            found.append((own[of], *rest))
+        run_, off, cut = (np.concatenate(x) for x in zip(*found, strict=True))
         # overlapping spans of a document are one
         s = a[run_] + off
         e, doc, th = s + cut, doc[run_], th[run_]
@@ -314,14 +338,17 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     spark = docs.sparkSession
     text = F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("doc"), F.xxhash64(text).alias("th"), text.alias("text"))
+    if rows.groupBy("doc").agg(F.min("th").alias("a"), F.max("th").alias("b")).where("a <> b").isEmpty():
+        rows = rows.withColumn("th", F.lit(0).cast("long"))  # ids tell texts apart
+    texts = rows.mapInArrow(pack_texts, "doc long not null, th long not null, text binary")
     found = runs(rows, length)
     often = materialise(found.groupBy("h").agg(F.count("*").alias("n")).where("n > 1"), "repeats-anchors")
     n_runs = often.where(F.col("n") <= hot).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     shards = max(8 * int(spark.conf.get("spark.sql.shuffle.partitions")), n_runs // SHARD_RUNS + 1)
-    hits = found.join(often.hint("merge"), "h").select("doc", "th", "n", "place", F.pmod("h", F.lit(shards)).cast("int").alias("shard"))
+    hits = found.join(often.hint("merge"), "h").select("doc", "th", "n", "place", F.pmod("h", F.lit(SUB * shards)).cast("int").alias("shard"))
     lists = {"cold": F.collect_list(F.when(F.col("n") <= hot, F.struct("shard", "place"))), "warm": F.collect_list(F.when(F.col("n") > hot, F.col("place")))}
     warm = not often.where(F.col("n") > hot).isEmpty()
-    near = rows.join(hits.groupBy("doc", "th").agg(*[lists[c].alias(c) for c in lists if c == "cold" or warm]).hint("merge"), ["doc", "th"])
+    near = texts.join(hits.groupBy("doc", "th").agg(*[lists[c].alias(c) for c in lists if c == "cold" or warm]).hint("merge"), ["doc", "th"])
     cold = near.select("doc", "th", "text", "cold").mapInArrow(pack_runs, "shard int, blob binary")
     spans = cold.groupBy("shard").applyInArrow(shard_repeats(length), "doc long, th long, span long")
     if warm:
@@ -330,13 +357,13 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         later = each.select("doc", "th", "s").join(first.hint("merge"), ["doc", "th", "s"], "left_anti")  # by place: no hot key
         spans = spans.unionAll(later.select("doc", "th", F.shiftleft("s", 32).bitwiseOR(F.col("s") + length).alias("span")))
     gone = spans.groupBy("doc", "th").agg(F.collect_list("span").alias("spans"))
-    ends = rows.join(gone.hint("merge"), ["doc", "th"], "left").select(F.nullif("doc", F.lit(LAST)).alias("id"), "text", "spans")
+    ends = texts.join(gone.hint("merge"), ["doc", "th"], "left").select(F.nullif("doc", F.lit(LAST)).alias("id"), "text", "spans")
 
     def run(batches):
         for big in batches:
-            for batch in slices(big, 4 << 20):
+            for batch in slices(big, 2 << 20):
                 ids, n, out, kept = batch.column(0), [], [], []
-                for text, spans in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                for text, spans in zip(open_texts(batch.column(1)), batch.column(2).to_pylist(), strict=True):
                     cuts = merged((x >> 32, x & 0xFFFFFFFF) for x in spans or ())
                     edges = [0, *(x for c in cuts for x in c), len(text)]
                     n.append(len(text))
